@@ -1,0 +1,108 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from logweir.functions.decode import parse_events, parse_rfc3339
+
+GOOD = [
+    ("{}", {"message": "", "event_id": ""}),
+    ("null", {"message": ""}),
+    ("  null\t", {"message": ""}),
+    (' {"message":"x"}\r', {"message": "x"}),
+    ('{"Message":"x"}', {"message": "x"}),
+    ('{"MESSAGE":"x","SOURCE":"y"}', {"message": "x", "source": "y"}),
+    ('{"meſsage":"x"}', {"message": "x"}),
+    ('{"message":null}', {"message": ""}),
+    ('{"message":"a","message":"b"}', {"message": "b"}),
+    ('{"message":"b","Message":"a"}', {"message": "a"}),
+    ('{"Message":"a","message":"b"}', {"message": "b"}),
+    ('{"message":"a","message":null}', {"message": "a"}),
+    ('{"metadata":{"a":1},"metadata":null}', {"metadata": "null"}),
+    ('{"timestamp":"2024-01-01T00:00:00Z"}', {"event_time": None}),
+    ('{"unknown":[1,{"x":2}],"message":"m"}', {"message": "m"}),
+    ('{"metadata":[{"a":1}]}', {"metadata": '[{"a":1}]'}),
+    ('{"metadata":[{"a":1} ] }', {"metadata": '[{"a":1}]'}),
+    ('{"metadata":"]}"}', {"metadata": '"]}"'}),
+    ('{"metadata":null}', {"metadata": "null"}),
+    ('{"metadata":{"n":12345678901234567890}}', {"metadata": '{"n":12345678901234567890}'}),
+    ('{"pii_redacted":true}', {"pii_redacted": True}),
+    ('{"pii_redacted":null}', {"pii_redacted": False}),
+    ('{"message":"\\u0041\\n"}', {"message": "A\n"}),
+    ('{"mess\\u0061ge":"x"}', {"message": "x"}),
+    (
+        '{"event_time":"2024-01-01T00:00:00.123456789+02:00"}',
+        {"event_time": dt.datetime(2023, 12, 31, 22, 0, 0, 123456)},
+    ),
+    (
+        '{"event_time":"2024-01-01T00:00:00-23:59"}',
+        {"event_time": dt.datetime(2024, 1, 1, 23, 59)},
+    ),
+]
+
+BAD = [
+    '{"message":123}', "[1]", '"s"', "1", "true", '{"message":"a"} x', '{"a":1},{"b":2}',
+    '{"a":01}', '{"a":1,}', " ", "{'message':'a'}", '{"a":NaN}', '{"a":tru}', '{"a":1',
+    '{"event_time":"2024-01-01"}', '{"received_at":"bad"}', '{"pii_redacted":"yes"}',
+    '{"pii_redacted":1}', '{"message":{}}', '{"message":["a"]}', '{"source":true}',
+    '{"event_time":1704067200}', '{"event_time":"2024-02-30T00:00:00Z"}',
+    '{"event_time":"2024-01-01T24:00:00Z"}', '{"event_time":"2024-01-01T00:00:00"}',
+    '{"event_time":"2024-01-01t00:00:00z"}', '{"event_time":""}',
+    '{"message":1,"message":"b"}', '{"message":"b","Message":2}',
+    "{}]", "{}] x", "{}],{}", "null]", "null] x", "null,null", '{"a":[{}]}]', "nul", "{}{}",
+    '{"a":"x\ty"}', '{"a":/*c*/1}', "[{}]", '{"d":1},"e":{"f":1}',
+]
+
+
+@pytest.fixture(scope="module")
+def decoded(spark):
+    lines = [line for line, _ in GOOD] + BAD
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, raw_event string")
+    return {row["n"]: row.asDict() for row in parse_events(df).collect()}
+
+
+@pytest.mark.parametrize("n", range(len(GOOD)), ids=[g[0] for g in GOOD])
+def test_accepted(decoded, n):
+    row = decoded[n]
+    assert row["parse_status"] == "ok"
+    for name, want in GOOD[n][1].items():
+        if name == "metadata":
+            assert json.loads(row[name]) == json.loads(want)
+        else:
+            assert row[name] == want
+
+
+@pytest.mark.parametrize("n", range(len(BAD)), ids=BAD)
+def test_rejected(decoded, n):
+    row = decoded[len(GOOD) + n]
+    assert row["parse_status"] == "error_parse"
+    assert row["message"] is None and row["event_id"] is None
+
+
+def test_null_payload_is_an_error(spark):
+    df = spark.createDataFrame([(None,)], "raw_event string")
+    assert parse_events(df).first()["parse_status"] == "error_parse"
+
+
+def test_missing_time_zero(spark):
+    df = spark.createDataFrame([("{}",)], "raw_event string")
+    out = parse_events(df, missing_time="zero").select(F.year("event_time").alias("y")).first()
+    assert out["y"] == 1
+    with pytest.raises(ValueError):
+        parse_events(df, missing_time="now")
+
+
+def test_rfc3339_fraction_digits(spark):
+    texts = ["2024-01-01T00:00:00.1Z", "2024-01-01T00:00:00.1234567890123Z", "2024-01-01T00:00:00.Z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(parse_rfc3339(F.col("t"))).collect()]
+    assert got == [
+        dt.datetime(2024, 1, 1, 0, 0, 0, 100000), dt.datetime(2024, 1, 1, 0, 0, 0, 123456), None
+    ]
+
+
+def test_decode_is_one_narrow_stage(spark):
+    df = spark.createDataFrame([("{}",)], "raw_event string")
+    plan = parse_events(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
