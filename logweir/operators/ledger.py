@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from logweir.functions.decode import OK, parse_events
 from logweir.functions.scalars import id_from_rank, id_rank, parse_message_id
-from logweir.schema import MESSAGE_ID
 
 DEFAULT_COUNT = 100
 
@@ -191,47 +190,53 @@ def ack_deliveries(
     return state, flagged.agg(F.count_if("_hit").alias("acknowledged"))
 
 
-def _newest_cutoff(ranks: DataFrame, keep: int) -> int | None:
+def _newest_cutoff(messages: DataFrame, keep: int) -> int | None:
     """Rank of the ``keep``-th newest id, or None when there are no more than ``keep``.
 
     Each pass counts the ids per equal slice of the range still in question, at most
     ``TRIM_BUCKETS`` counts, walks them from the newest, and goes on inside the one slice that
-    holds the cutoff. A slice of few ids is finished by a top-k. Ranks are unique, so the slices
-    always shrink, however many ids share a millisecond.
+    holds the cutoff. A slice of few ids is finished by a top-k. The slices shrink down to one id,
+    so a millisecond shared by a third of all messages is no harder than an even spread.
     """
-    bounds = ranks.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("rank").alias("n")).first()
+    rank = id_rank(F.col("message_id"))
+    bounds = messages.agg(F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.count("*").alias("n")).first()
     if bounds["n"] <= keep:
         return None
     low, high, inside = int(bounds["lo"]), int(bounds["hi"]), bounds["n"]
-    while inside > TRIM_TOP:
+    while inside > TRIM_TOP and low < high:
         width = (high - low) // TRIM_BUCKETS + 1
-        in_range = ranks.where((F.col("rank") >= _rank_lit(low)) & (F.col("rank") <= _rank_lit(high)))
-        slices = in_range.groupBy(
-            F.floor((F.col("rank") - _rank_lit(low)) / _rank_lit(width)).cast("int").alias("slice")
-        ).count()
+        slices = (
+            _between(messages, low, high)
+            .select(F.expr(f"int((rank - {low}BD) div {width}BD)").alias("slice"))
+            .groupBy("slice").count()
+        )
         for row in sorted(slices.collect(), key=lambda r: -r["slice"]):
             if row["count"] >= keep:
                 low, high = low + row["slice"] * width, min(high, low + (row["slice"] + 1) * width - 1)
                 inside = row["count"]
                 break
             keep -= row["count"]
-    last = (
-        ranks.where((F.col("rank") >= _rank_lit(low)) & (F.col("rank") <= _rank_lit(high)))
-        .orderBy(F.desc("rank")).limit(keep).agg(F.min("rank").alias("cutoff")).first()
-    )
-    return int(last["cutoff"])
+    if low == high:
+        return low
+    newest = _between(messages, low, high).orderBy(F.desc("rank")).limit(keep)
+    return int(newest.agg(F.min("rank").alias("cutoff")).first()["cutoff"])
 
 
-def _rank_lit(value: int) -> Column:
-    return F.lit(str(value)).cast("decimal(38,0)")
+def _between(messages: DataFrame, low: int, high: int) -> DataFrame:
+    """Ranks from ``low`` to ``high``; the bounds on ``ms`` let the scan skip row groups."""
+    first, last = low // 10**19, high // 10**19
+    return (
+        messages.where((F.col("message_id.ms") >= first) & (F.col("message_id.ms") <= last))
+        .select(id_rank(F.col("message_id")).alias("rank"))
+        .where(F.expr(f"rank BETWEEN {low}BD AND {high}BD"))
+    )
 
 
 def trim_cutoff(messages: DataFrame, stream: str, max_len: int) -> tuple[int, int] | None:
     """(ms, seq) of the oldest message to keep, or None when all are kept."""
     if max_len <= 0:
         raise ValueError("max_len must be a positive integer")
-    ranks = messages.where(F.col("stream") == stream).select(id_rank(F.col("message_id")).alias("rank"))
-    cutoff = _newest_cutoff(ranks, max_len)
+    cutoff = _newest_cutoff(messages.where(F.col("stream") == stream), max_len)
     return None if cutoff is None else divmod(cutoff, 10**19)
 
 
@@ -247,8 +252,3 @@ def trim_stream(messages: DataFrame, stream: str, max_len: int) -> tuple[DataFra
         drop = (F.col("stream") == stream) & ~id_at_least(F.col("message_id"), *map(F.lit, cutoff))
     return messages.where(~drop), messages.agg(F.count_if(drop).alias("trimmed"))
 
-
-__all__ = [
-    "MESSAGE_ID", "ack_deliveries", "claim_stale", "consumer_info", "group_info", "id_at_least",
-    "message_ids", "parse_start", "pending_messages", "pending_summary", "trim_cutoff", "trim_stream",
-]

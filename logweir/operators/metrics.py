@@ -82,10 +82,12 @@ def _fill_idle(counts: DataFrame, tick_seconds: int, by: list[str]) -> DataFrame
     """Add the missing ticks. Spans are cut before they are filled, so no row expands to them all."""
     block = 3_600 * tick_seconds
     # Spans come from the counts, a row per busy tick, not from the events.
+    # The sum keeps both uses of the counts alike, so that they share one shuffle.
     spans = counts.groupBy(*by).agg(
         F.min(F.unix_seconds("window_start")).alias("first"),
         F.max(F.unix_seconds("window_start")).alias("last"),
-    )
+        F.sum("events").alias("all_events"),
+    ).where(F.col("all_events") > 0)
     blocks = spans.select(
         *by, "last", F.explode(F.sequence("first", "last", F.lit(block).cast("long"))).alias("begin")
     ).repartition(*by, "begin")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: 32 hex digits, a hyphen allowed after each group of four, braces allowed around.
 UUID = r"^(\{[0-9a-fA-F]{4}(-?[0-9a-fA-F]{4}){7}\}|[0-9a-fA-F]{4}(-?[0-9a-fA-F]{4}){7})$"
-REQUIRED = ("received_at", "event_time", "source", "level", "message")
+# A missing event time is kept as NULL, so it is not among them.
+REQUIRED = ("received_at", "source", "level", "message")
 
 
 def invalid_reason() -> Column:

@@ -54,3 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/logweir/{name}-{uuid.uuid4().hex}"
+
+
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file or folder matches the path pattern, on whatever file system it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a batch write to the folder ran to its end."""
+    return matches(spark, f"{path}/_SUCCESS")

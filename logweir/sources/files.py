@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
+
+from logweir.session import matches
 
 SEGMENT_GLOB = "segment-*"
 
@@ -15,12 +18,12 @@ def drop_cr(line: Column) -> Column:
     ).otherwise(line)
 
 
-def scan_ndjson(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def scan_ndjson(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
     """One payload per non-empty line: ``raw_event`` and the ``file`` it came from.
 
-    Only a line feed ends a line, so large files still split. Decode with ``parse_events``.
+    Takes ``spark.read`` or ``spark.readStream``. Only a line feed ends a line, so large files
+    still split. Decode with ``parse_events``.
     """
-    reader = spark.readStream if stream else spark.read
     lines = reader.option("lineSep", "\n").text(path)
     return lines.select(
         drop_cr(F.col("value")).alias("raw_event"), F.col("_metadata.file_path").alias("file")
@@ -34,39 +37,41 @@ def scan_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the ``segment-`` files with a sortable place: ``segment, block_start, line_in_block``.
+    """Lines of all segments with a sortable place: ``segment, file, block_start, line_in_block``.
 
-    The place orders lines as they were written; nothing is sorted here, since most readers need
-    no order. Malformed lines are told apart by ``parse_events``.
+    A segment is a file or folder named ``segment-...`` in ``path``. The place orders lines as they
+    were written; nothing is sorted here, since most readers need no order. Malformed lines are
+    told apart by ``parse_events``.
     """
-    lines = (
-        spark.read.option("lineSep", "\n")
-        .option("pathGlobFilter", SEGMENT_GLOB)
-        .option("recursiveFileLookup", "true")
-        .text(path)
-    )
+    if not matches(spark, f"{path}/{SEGMENT_GLOB}"):
+        return spark.createDataFrame(
+            [], "segment string, file string, block_start long, line_in_block long, raw_event string"
+        )
+    lines = spark.read.option("lineSep", "\n").text(f"{path}/{SEGMENT_GLOB}")
     return lines.select(
-        F.col("_metadata.file_name").alias("segment"),
+        _segment(F.col("_metadata.file_path")).alias("segment"),
+        F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_in_block"),
         drop_cr(F.col("value")).alias("raw_event"),
     )
 
 
+def _segment(path: Column) -> Column:
+    return F.regexp_extract(path, r"/(segment-[^/]+)(/[^/]+)?$", 1)
+
+
 def segment_files(spark: SparkSession, path: str) -> DataFrame:
     """Name and size of each segment file, from the listing alone: no content is read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", SEGMENT_GLOB)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(F.element_at(F.split("path", "/"), -1).alias("segment"), F.col("length").alias("bytes"))
-    )
+    if not matches(spark, f"{path}/{SEGMENT_GLOB}"):
+        return spark.createDataFrame([], "segment string, bytes long")
+    files = spark.read.format("binaryFile").load(f"{path}/{SEGMENT_GLOB}")
+    return files.select(_segment(F.col("path")).alias("segment"), F.col("length").alias("bytes"))
 
 
 def ordered_segments(spark: SparkSession, path: str) -> DataFrame:
-    """The segment files by name, which is their age."""
-    return segment_files(spark, path).orderBy("segment")
+    """The segments by name, which is their age, with their size."""
+    return segment_files(spark, path).groupBy("segment").agg(F.sum("bytes").alias("bytes")).orderBy("segment")
 
 
 def load_api_keys(spark: SparkSession, path: str) -> DataFrame:
