@@ -188,9 +188,10 @@ def parse_events(df: DataFrame, col: str = "raw_event", missing_time: str | None
         + [F.col(f"_{n}_missing") | F.col(f"_{n}_time").isNotNull() for n in TIME_KEYS]
         + [_missing(F.col("_pii_redacted")) | _is_boolean(F.col("_pii_redacted"))]
     ) & ~closes_early(F.col(col))
-    judged = typed.select(
-        "*", F.coalesce(F.when(F.col("_is_object"), object_ok).otherwise(is_null), F.lit(False)).alias("_ok")
-    )
+    verdict = F.coalesce(F.when(F.col("_is_object"), object_ok).otherwise(is_null), F.lit(False))
+    # The verdict passes through a one-element explode: all event columns depend on it, and no
+    # filter on them moves below a generator, where it would repeat the decode many times over.
+    judged = typed.select("*", F.explode(F.array(verdict)).alias("_ok"))
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(f"_{name}_text"), F.lit(""))

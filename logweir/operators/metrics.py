@@ -92,12 +92,11 @@ def _fill_idle(counts: DataFrame, tick_seconds: int, by: list[str]) -> DataFrame
         *by, "last", F.explode(F.sequence("first", "last", F.lit(block).cast("long"))).alias("begin")
     ).repartition(*by, "begin")
     end = F.least(F.col("last"), F.col("begin") + block - tick_seconds)
-    zeros = blocks.select(
-        *by,
-        F.timestamp_seconds(
-            F.explode(F.sequence("begin", end, F.lit(tick_seconds).cast("long")))
-        ).alias("window_start"),
-        F.lit(0).cast("long").alias("events"),
+    seconds = blocks.select(
+        *by, F.explode(F.sequence("begin", end, F.lit(tick_seconds).cast("long"))).alias("second")
+    )
+    zeros = seconds.select(
+        *by, F.timestamp_seconds("second").alias("window_start"), F.lit(0).cast("long").alias("events")
     )
     return (
         counts.unionByName(zeros).groupBy(*by, "window_start").agg(F.sum("events").alias("events"))
@@ -159,7 +158,7 @@ def replay_report(decoded: DataFrame) -> DataFrame:
 def segment_usage(files: DataFrame, quota: int = QUOTA_BYTES) -> DataFrame:
     """Segments, their bytes, and whether they are over the quota."""
     total = F.coalesce(F.sum("bytes"), F.lit(0))
-    return files.agg(
+    return files.groupBy("segment").agg(F.sum("bytes").alias("bytes")).agg(
         F.count("*").alias("segments"), total.alias("bytes"), (total > quota).alias("over_quota")
     )
 

@@ -46,7 +46,7 @@ def ingest_job(
     lines = scan_ndjson(spark.readStream.option("maxFilesPerTrigger", max_files), landing)
 
     to_buffer = sinks.sink_with_spill(
-        lambda batch, n: sinks.append_buffer(batch, buffer, n), spill
+        lambda batch, n: sinks.append_buffer(batch, buffer, n), spill, persist=False
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -78,7 +78,7 @@ def consume_job(
     sink = sinks.sink_with_retry(
         write_fn or (lambda batch, n: sinks.append_logs(batch, logs, n)),
         lambda batch, n: sinks.write_dlq(batch, dlq, n),
-        attempts, backoff, sinks.report_writer(spark, reports),
+        attempts, backoff, sinks.report_writer(spark, reports), persist=False,
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:

@@ -178,18 +178,21 @@ def sink_with_retry(
     backoff: float = 1.0,
     report_fn: Callable[[BatchReport], None] | None = None,
     sleep: Callable[[float], None] = time.sleep,
+    persist: bool = True,
 ) -> WriteFn:
     """A ``foreachBatch`` function that tries ``write_fn``, then hands the batch to ``dlq_fn``.
 
     ``attempts`` counts all tries; waits double, with none after the last. An error of ``dlq_fn``
     is raised, so the batch is not committed and comes again. An empty batch calls nothing.
+    ``persist=False`` is for callers that keep the batch themselves.
     """
     if attempts < 1:
         raise ValueError("attempts must be at least 1")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # Retries and the count below read the rows again; a lost executor's share is recomputed.
-        batch = batch.persist()
+        if persist:
+            batch = batch.persist()
         try:
             count = batch.count()
             if count == 0:
@@ -209,7 +212,8 @@ def sink_with_retry(
             if report_fn:
                 report_fn(BatchReport(batch_id, count, status, used))
         finally:
-            batch.unpersist()
+            if persist:
+                batch.unpersist()
 
     return run
 
@@ -228,6 +232,7 @@ def sink_with_spill(
     report_fn: Callable[[BatchReport], None] | None = None,
     unavailable: Callable[[BaseException], bool] = is_unavailable,
     max_records: int = 100_000,
+    persist: bool = True,
 ) -> WriteFn:
     """A ``foreachBatch`` function that spills the batch when the primary sink is unreachable.
 
@@ -235,7 +240,8 @@ def sink_with_spill(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        if persist:
+            batch = batch.persist()
         try:
             wal_active = 0
             try:
@@ -249,7 +255,8 @@ def sink_with_spill(
                 status = "SPILLED" if wal_active else "SINKED"
                 report_fn(BatchReport(batch_id, batch.count(), status, 1, wal_active))
         finally:
-            batch.unpersist()
+            if persist:
+                batch.unpersist()
 
     return run
 
