@@ -127,13 +127,20 @@ def parse_events(df: DataFrame, col: str = "raw_event", missing_time: str | None
         raise ValueError(f"{col} would be overwritten; rename the payload column")
 
     # Each select adds one layer, so no expensive expression is written out twice in the plan.
-    docs = df.select(*kept, json_objects(F.col(col)).alias("_docs"))
-    objects = docs.select(
+    payload = F.col(col)
+    docs = df.select(
         *kept,
-        F.when(F.size("_docs") == 1, F.try_element_at("_docs", F.lit(1))).alias("_object"),
+        json_objects(payload).alias("_docs"),
+        closes_early(payload).alias("_stray"),
+        # A JSON null document is an empty event.
+        (F.trim(payload, F.lit(" \t\r\n")) == "null").alias("_null"),
+    )
+    objects = docs.select(
+        *kept, "_null",
+        F.when((F.size("_docs") == 1) & ~F.col("_stray"), F.try_element_at("_docs", F.lit(1))).alias("_object"),
     )
     entries = objects.select(
-        *kept, F.map_keys("_object").alias("_raw_keys"), F.map_values("_object").alias("_values")
+        *kept, "_null", F.map_keys("_object").alias("_raw_keys"), F.map_values("_object").alias("_values")
     )
     known = sum(
         (F.when(F.array_contains("_raw_keys", name), 1).otherwise(0) for name in EVENT_COLUMNS),
@@ -141,54 +148,52 @@ def parse_events(df: DataFrame, col: str = "raw_event", missing_time: str | None
     )
     # All keys are distinct event keys in exact case: the usual document needs no folding.
     entries = entries.select(
-        *kept, "_raw_keys", "_values", (F.size("_raw_keys") == known).alias("_plain")
+        *kept, "_null", "_raw_keys", "_values", (F.size("_raw_keys") == known).alias("_plain")
     )
     entries = entries.select(
-        *kept, "_values", "_plain",
+        *kept, "_null", "_values", "_plain",
         F.when(F.col("_plain"), F.col("_raw_keys"))
         .otherwise(F.transform("_raw_keys", fold_key)).alias("_keys"),
     )
     entries = entries.select(
-        *kept, "_values", "_keys",
+        *kept, "_null", "_values", "_keys",
         (~F.col("_plain") & (F.size(F.array_distinct("_keys")) != F.size("_keys"))).alias("_repeats"),
     )
+    # Repeated keys are rare: only their rows search all entries, and check each of them.
+    pairs = F.arrays_zip("_keys", "_values")
+    entries = entries.select(
+        *kept, "_null", "_values", "_keys", "_repeats",
+        F.when(F.col("_repeats"), F.array(*[_occurrence(name) for name in EVENT_COLUMNS])).alias("_decided"),
+        F.when(F.col("_repeats"), F.forall(pairs, lambda e: _entry_ok(e["_keys"], e["_values"])))
+        .otherwise(F.col("_keys").isNotNull()).alias("_entries_ok"),
+    )
 
     def value_of(name: str) -> Column:
         place = F.nullif(F.array_position("_keys", name), F.lit(0)).cast("int")
-        return F.when(F.col("_repeats"), _occurrence(name)).otherwise(
-            F.try_element_at("_values", place)
-        )
+        decided = F.try_element_at("_decided", F.lit(EVENT_COLUMNS.index(name) + 1))
+        return F.when(F.col("_repeats"), decided).otherwise(F.try_element_at("_values", place))
 
     values = entries.select(
-        *kept,
-        F.col("_keys").isNotNull().alias("_is_object"),
-        F.when(
-            F.col("_repeats"),
-            F.forall(
-                F.arrays_zip("_keys", "_values"), lambda e: _entry_ok(e["_keys"], e["_values"])
-            ),
-        ).otherwise(F.lit(True)).alias("_repeats_ok"),
-        *[value_of(name).alias(f"_{name}") for name in EVENT_COLUMNS],
+        *kept, "_null", "_entries_ok", *[value_of(name).alias(f"_{name}") for name in EVENT_COLUMNS]
     )
+    checked = ("_null", "_entries_ok", "_metadata", "_pii_redacted")
     texts = values.select(
-        *kept, "_is_object", "_repeats_ok", "_metadata", "_pii_redacted",
+        *kept, *checked,
         *[variant_text(F.col(f"_{name}")).alias(f"_{name}_text") for name in TEXT_KEYS + TIME_KEYS],
         *[_missing(F.col(f"_{name}")).alias(f"_{name}_missing") for name in TEXT_KEYS + TIME_KEYS],
     )
     typed = texts.select(
-        *kept, "_is_object", "_repeats_ok", "_metadata", "_pii_redacted",
+        *kept, *checked,
         *[F.col(f"_{n}_text") for n in TEXT_KEYS],
         *[F.col(f"_{n}_missing") for n in TEXT_KEYS + TIME_KEYS],
         *[parse_rfc3339(F.col(f"_{n}_text")).alias(f"_{n}_time") for n in TIME_KEYS],
     )
-    # A JSON null document is an empty event.
-    is_null = F.trim(F.col(col), F.lit(" \t\r\n")) == "null"
-    object_ok = F.col("_is_object") & F.col("_repeats_ok") & _all(
+    fields_ok = _all(
         [F.col(f"_{n}_missing") | F.col(f"_{n}_text").isNotNull() for n in TEXT_KEYS]
         + [F.col(f"_{n}_missing") | F.col(f"_{n}_time").isNotNull() for n in TIME_KEYS]
         + [_missing(F.col("_pii_redacted")) | _is_boolean(F.col("_pii_redacted"))]
-    ) & ~closes_early(F.col(col))
-    verdict = F.coalesce(F.when(F.col("_is_object"), object_ok).otherwise(is_null), F.lit(False))
+    )
+    verdict = F.coalesce(F.col("_null") | (F.col("_entries_ok") & fields_ok), F.lit(False))
     # The verdict passes through a one-element explode: all event columns depend on it, and no
     # filter on them moves below a generator, where it would repeat the decode many times over.
     judged = typed.select("*", F.explode(F.array(verdict)).alias("_ok"))

@@ -11,17 +11,23 @@ UUID = r"^(\{[0-9a-fA-F]{4}(-?[0-9a-fA-F]{4}){7}\}|[0-9a-fA-F]{4}(-?[0-9a-fA-F]{
 REQUIRED = ("received_at", "source", "level", "message")
 
 
-def invalid_reason() -> Column:
-    """Why the sink would refuse a row, or NULL. The first broken rule is named."""
+def invalid_reason(check_metadata: bool = True) -> Column:
+    """Why the sink would refuse a row, or NULL. The first broken rule is named.
+
+    ``check_metadata=False`` is for events fresh from the decode, whose metadata is JSON.
+    """
     reason = F.when(F.col("event_id").isNull(), "event_id is null").when(
         ~F.col("event_id").rlike(UUID), "event_id is not a uuid"
     )
     for name in REQUIRED:
         reason = reason.when(F.col(name).isNull(), f"{name} is null")
+    if not check_metadata:
+        return reason
     as_member = F.try_parse_json(F.concat(F.lit('{"d":'), F.col("metadata"), F.lit("}")))
     as_element = F.try_parse_json(F.concat(F.lit("["), F.col("metadata"), F.lit("]")))
     one_value = as_member.isNotNull() & (F.size(as_element.try_cast("array<variant>")) == 1)
-    return reason.when(F.col("metadata").isNotNull() & ~F.coalesce(one_value, F.lit(False)), "metadata is not json")
+    broken = F.col("metadata").isNotNull() & ~F.coalesce(one_value, F.lit(False))
+    return reason.when(broken, "metadata is not json")
 
 
 def invalid_rows(events: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ SELECT CAST(event_time AS DATE) AS event_date, level, count(*) AS events,
 FROM ev GROUP BY ALL""")
 def redacted_per_day(spark, sf_dir):
     """Decode, redact and count: the whole narrow path under one aggregation."""
-    lines = V.log_events(spark, sf_dir).select(
+    lines = V.log_events(spark, sf_dir, heavy=True).select(
         F.to_json(F.struct("event_id", "event_time", "level", F.parse_json("metadata").alias("metadata")),
                   {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("raw_event")
     )

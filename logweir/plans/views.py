@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.functions.scalars import JSON_TYPE, NDJSON_TYPE
+from logweir.session import spread
 
 STREAM = "log_events"
 GROUP = "log-processors"
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to work on: one small file must not mean one task."""
+    return spread(table(spark, sf_dir, name))
+
+
 def ntz(*names: str) -> list[Column]:
     """Timestamps as plain date-times for the result tables."""
     return [F.col(n).cast("timestamp_ntz").alias(n) for n in names]
@@ -29,7 +35,7 @@ def _uuid(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(f"00000000-0000-4000-{prefix}-"), F.lpad(number.cast("string"), 12, "0"))
 
 
-def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_events(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """``events`` as log events, with ``n`` (the event's number) and ``user_id``.
 
     Metadata depends on the type: keys to redact at the top level, below it, or none at all.
@@ -48,7 +54,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("props"))
     )
     ts = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(
+    return (heavy_table if heavy else table)(spark, sf_dir, "events").select(
         n.alias("n"),
         user.alias("user_id"),
         _uuid("8000", n).alias("event_id"),
@@ -64,15 +70,15 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts of ``documents``, ``conversations`` and ``pages`` as log messages."""
-    documents = table(spark, sf_dir, "documents").select(
+    documents = heavy_table(spark, sf_dir, "documents").select(
         _uuid("8001", F.col("doc_id")).alias("event_id"), "source", F.col("lang").alias("level"),
         F.col("text").alias("message"),
     )
-    turns = table(spark, sf_dir, "conversations").select(
+    turns = heavy_table(spark, sf_dir, "conversations").select(
         _uuid("8002", F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"),
         F.lit("chat").alias("source"), F.col("role").alias("level"), F.col("text").alias("message"),
     )
-    pages = table(spark, sf_dir, "pages").select(
+    pages = heavy_table(spark, sf_dir, "pages").select(
         _uuid("8003", F.col("page_id")).alias("event_id"), F.col("url").alias("source"),
         F.lit("").alias("level"), F.col("html").alias("message"),
     )
@@ -109,7 +115,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(case == 12, F.concat(F.lit("["), good, F.lit("]")))
         .otherwise(good)
     )
-    events = log_events(spark, sf_dir).select(value.alias("value"))
+    events = log_events(spark, sf_dir, heavy=True).select(value.alias("value"))
     texts = log_texts(spark, sf_dir).select(
         F.to_json(F.struct("event_id", "source", "level", "message")).alias("value")
     )
@@ -168,7 +174,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 10 <= 8, NDJSON_TYPE)
         .otherwise("text/plain")
     )
-    return log_events(spark, sf_dir).select(
+    return log_events(spark, sf_dir, heavy=True).select(
         n.alias("request_id"),
         "received_at",
         F.when(n % 25 == 0, "GET").otherwise("POST").alias("method"),
@@ -186,7 +192,7 @@ def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(
         F.split("text", "\n", -1), lambda line: F.to_json(F.struct(line.alias("message")))
     )
-    return table(spark, sf_dir, "documents").select(
+    return heavy_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("request_id"),
         F.lit("POST").alias("method"),
         F.concat(F.lit("key-"), F.col("doc_id") % 150).alias("api_key"),
@@ -246,7 +252,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "event_time", "source", "level", "message", F.parse_json("metadata").alias("metadata"),
     ), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
     cut = F.substring(whole, F.lit(1), F.length(whole) - 1)
-    return log_events(spark, sf_dir).select(
+    return log_events(spark, sf_dir, heavy=True).select(
         F.lit(STREAM).alias("stream"), message_id(),
         F.when(F.col("n") % 11 == 0, cut).otherwise(whole).alias("payload"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Event times are compared and printed in UTC.
@@ -67,3 +67,13 @@ def matches(spark: SparkSession, pattern: str) -> bool:
 def committed(spark: SparkSession, path: str) -> bool:
     """Whether a batch write to the folder ran to its end."""
     return matches(spark, f"{path}/_SUCCESS")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when their source has fewer splits than there are cores.
+
+    For work that costs far more per row than a small shuffle does. A source of many files or row
+    groups comes back as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

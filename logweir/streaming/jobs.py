@@ -64,7 +64,9 @@ def ingest_job(
 
 def split_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decoded buffer entries as (storable events, entries to quarantine with their reason)."""
-    reason = F.when(F.col("parse_status") != OK, ERROR_PARSE).otherwise(invalid_reason())
+    reason = F.when(F.col("parse_status") != OK, ERROR_PARSE).otherwise(
+        invalid_reason(check_metadata=False)
+    )
     judged = entries.withColumn("reason", reason)
     return judged.where(F.col("reason").isNull()), judged.where(F.col("reason").isNotNull())
 

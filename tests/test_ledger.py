@@ -1,0 +1,126 @@
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from logweir.operators import ledger
+from logweir.schema import DELIVERIES, MESSAGES
+
+T0 = dt.datetime(2024, 1, 1)
+NOW = dt.datetime(2024, 1, 2)
+
+
+def after(hours):
+    return T0 + dt.timedelta(hours=hours)
+
+
+@pytest.fixture(scope="module")
+def deliveries(spark):
+    rows = [
+        ("s", "g", "c1", (9, 11), after(1), 1, None), ("s", "g", "c1", (10, 2), after(2), 2, None),
+        ("s", "g", "c2", (10, 3), after(3), 1, None), ("s", "g", "c2", (11, 0), after(4), 1, after(5)),
+        ("s", "g", "c3", (8, 0), after(6), 1, after(6)),
+        ("s", "idle", "c1", (9, 11), after(1), 1, after(1)),
+        ("t", "g", "c1", (10, 2), after(1), 1, None),
+    ]
+    return spark.createDataFrame(rows, DELIVERIES)
+
+
+@pytest.fixture(scope="module")
+def messages(spark):
+    rows = [
+        ("s", (9, 11), '{"event_id":"e1","message":"one"}'), ("s", (10, 2), "broken"),
+        ("s", (10, 3), '{"event_id":"e3"}'), ("t", (10, 2), '{"event_id":"other"}'),
+    ]
+    return spark.createDataFrame(rows, MESSAGES)
+
+
+def test_group_and_consumer_info(deliveries):
+    groups = {(r["stream"], r["grp"]): r for r in ledger.group_info(deliveries).collect()}
+    main = groups["s", "g"]
+    assert (main["consumers"], main["pending"], tuple(main["last_delivered_id"])) == (3, 3, (11, 0))
+    assert groups["s", "idle"]["pending"] == 0
+    consumers = ledger.consumer_info(deliveries, F.lit(NOW)).where("stream = 's' and grp = 'g'").collect()
+    assert {r["consumer"]: (r["pending"], r["idle_ms"]) for r in consumers} == {
+        "c1": (2, 22 * 3_600_000), "c2": (1, 20 * 3_600_000), "c3": (0, 18 * 3_600_000),
+    }
+
+
+def test_pending_summary(deliveries):
+    rows = {(r["stream"], r["grp"]): r for r in ledger.pending_summary(deliveries).collect()}
+    main = rows["s", "g"]
+    # Ids compare as numbers: 9-11 comes before 10-2.
+    assert tuple(main["first_message_id"]) == (9, 11) and tuple(main["last_message_id"]) == (10, 3)
+    assert main["total"] == 3 and main["consumer_totals"] == {"c1": 2, "c2": 1}
+    idle = rows["s", "idle"]
+    assert (idle["total"], idle["first_message_id"], idle["consumer_totals"]) == (0, None, None)
+
+
+def ids(page):
+    return [tuple(r["message_id"]) for r in page.collect()]
+
+
+def test_pending_messages(deliveries):
+    def page(**options):
+        return ledger.pending_messages(deliveries, "s", "g", F.lit(NOW), **options)
+
+    assert ids(page()) == [(9, 11), (10, 2), (10, 3)]
+    assert ids(page(start="10")) == [(10, 2), (10, 3)]
+    assert ids(page(start="10-3")) == [(10, 3)]
+    assert ids(page(consumer="c1", count=1)) == [(9, 11)]
+    assert ids(page(consumer="c1", count=-1)) == [(9, 11), (10, 2)]
+    row = page(start="10-2", count=1).first()
+    assert (row["consumer"], row["idle_ms"], row["retry_count"]) == ("c1", 22 * 3_600_000, 2)
+
+
+def test_claim(spark, deliveries, messages):
+    named = ["9-11", "10-2", "10-3", "11-0", "99-0"]
+    state, events = ledger.claim_stale(
+        deliveries, messages, "s", "g", "new", 22 * 3_600_000, named, F.lit(NOW)
+    )
+    rows = {(r["stream"], r["grp"], *r["message_id"]): r for r in state.collect()}
+    assert len(rows) == 7 and state.columns == deliveries.columns
+    for key, count in (("s", "g", 9, 11), 2), (("s", "g", 10, 2), 3):
+        assert (rows[key]["consumer"], rows[key]["delivered_at"], rows[key]["delivery_count"]) == ("new", NOW, count)
+    assert rows["s", "g", 10, 3]["consumer"] == "c2"
+    assert rows["t", "g", 10, 2]["consumer"] == "c1" and rows["s", "idle", 9, 11]["consumer"] == "c1"
+    assert [(r["event_id"], r["message"], tuple(r["message_id"])) for r in events.collect()] == [("e1", "one", (9, 11))]
+
+
+def test_ack(spark, deliveries):
+    state, count = ledger.ack_deliveries(deliveries, "s", "g", ["9-11", "9-11", "11-0", "7-7"], F.lit(NOW))
+    assert count.first()["acknowledged"] == 1
+    acked = {(r["stream"], r["grp"], *r["message_id"]): r["acked_at"] for r in state.collect()}
+    assert acked["s", "g", 9, 11] == NOW and acked["s", "g", 11, 0] == after(5) and acked["s", "g", 10, 2] is None
+    with pytest.raises(ValueError):
+        ledger.ack_deliveries(deliveries, "s", "g", [], F.lit(NOW))
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 4_096])
+def test_trim_finds_the_exact_cutoff(spark, monkeypatch, buckets):
+    """Small slices and no top-k make the search walk; a third of all ids share one millisecond."""
+    monkeypatch.setattr(ledger, "TRIM_TOP", 3)
+    monkeypatch.setattr(ledger, "TRIM_BUCKETS", buckets)
+    rng = random.Random(buckets)
+    ids = {(1_704_067_200_000, n) for n in range(60)}
+    ids |= {(1_704_000_000_000 + rng.randrange(10**9), rng.randrange(3)) for _ in range(100)}
+    ids |= {(5, 9_000_000_000_000_000_000), (5, 1)}
+    rows = [("s", i, "{}") for i in ids] + [("t", (1, 1), "{}")]
+    messages = spark.createDataFrame(rows, MESSAGES).coalesce(1).cache()
+    newest = sorted(ids, reverse=True)
+    for keep in (1, 3, 25, 50, 75, len(ids) - 1, len(ids), 10_000):
+        cutoff = ledger.trim_cutoff(messages, "s", keep)
+        assert cutoff == (newest[keep - 1] if keep < len(ids) else None)
+    kept, trimmed = ledger.trim_stream(messages, "s", 25)
+    assert trimmed.first()["trimmed"] == len(ids) - 25
+    assert sorted(tuple(r["message_id"]) for r in kept.where("stream = 's'").collect()) == sorted(newest[:25])
+    assert kept.where("stream = 't'").count() == 1
+    messages.unpersist()
+
+
+def test_trim_limits(messages):
+    with pytest.raises(ValueError):
+        ledger.trim_stream(messages, "s", 0)
+    kept, trimmed = ledger.trim_stream(messages, "absent", 5)
+    assert kept.count() == 4 and trimmed.first()["trimmed"] == 0
