@@ -32,7 +32,7 @@ def scan_ndjson(reader: DataFrameReader | DataStreamReader, path: str) -> DataFr
 
 def scan_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """One payload per file, which the body limit bounds to about a MiB."""
-    bodies = spark.read.option("wholetext", "true").text(path)
+    bodies = spark.read.text(path, wholetext=True)
     return bodies.select(F.col("value").alias("raw_event"), F.col("_metadata.file_path").alias("file"))
 
 
