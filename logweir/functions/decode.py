@@ -3,12 +3,13 @@
 ``from_json`` with the event schema is too lenient (it turns numbers into text, accepts trailing
 text and matches keys by exact case), so the payload is read as a map of variants, which keeps the
 document order and repeated keys, and the type rules are checked on the variants.
+
+The expressions are SQL text, since a streaming job builds them anew for every micro-batch and a
+column object per operator would cost a second each time.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ TEXT_KEYS = ("event_id", "source", "level", "message")
 TIME_KEYS = ("received_at", "event_time")
 
 # The standard JSON grammar: Spark's reader allows single quotes and NaN unless told otherwise.
-STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+STRICT_JSON = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
 
 RFC3339 = (
     r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?"
@@ -29,89 +30,77 @@ RFC3339 = (
 )
 
 
-def parse_rfc3339(text: Column) -> Column:
-    """Timestamp of an RFC 3339 text, NULL when it is not one. Nanoseconds are cut to micros."""
-    sign = F.when(F.substring(text, -6, 1) == "-", 1).otherwise(-1)
-    shift = sign * (
-        F.substring(text, -5, 2).try_cast("int") * 60 + F.substring(text, -2, 2).try_cast("int")
-    )
-    # Offsets up to 23:59 are legal, more than a zone id allows: read as UTC and move.
-    local = F.concat(text.substr(F.lit(1), F.length(text) - 6), F.lit("Z")).try_cast("timestamp")
-    moved = F.timestamp_micros(F.unix_micros(local) + shift.cast("long") * 60_000_000)
-    parsed = F.when(F.endswith(text, F.lit("Z")), text.try_cast("timestamp")).otherwise(moved)
-    return F.when(text.rlike(RFC3339), parsed)
+def rfc3339_sql(text: str) -> str:
+    """Timestamp of an RFC 3339 text, NULL when it is not one. Nanoseconds are cut to micros.
 
+    Offsets up to 23:59 are legal, more than a zone id allows: the text is read as UTC and moved.
+    """
+    minutes = f"(try_cast(substr({text}, -5, 2) AS INT) * 60 + try_cast(substr({text}, -2, 2) AS INT))"
+    return f"""CASE WHEN {text} RLIKE r'{RFC3339}' THEN
+        CASE WHEN endswith({text}, 'Z') THEN try_cast({text} AS TIMESTAMP)
+        ELSE timestamp_micros(
+          unix_micros(try_cast(concat(substr({text}, 1, length({text}) - 6), 'Z') AS TIMESTAMP))
+          - CASE substr({text}, -6, 1) WHEN '-' THEN -60000000L ELSE 60000000L END * {minutes}) END END"""
 
-def _wrapped(text: Column) -> Column:
-    return F.concat(F.lit("["), text, F.lit("]"))
 
+def parse_rfc3339(column: str) -> Column:
+    return F.expr(rfc3339_sql(column))
 
-def json_objects(text: Column) -> Column:
+
+def objects_sql(text: str) -> str:
     """The text read as the elements of a JSON array of objects; NULL when malformed.
 
     A single well-formed object gives one element, blank text none, ``{},{}`` two.
-    Text that closes the array itself must be ruled out with :func:`closes_early`.
+    Text that closes the array itself must be ruled out with :func:`closes_early_sql`.
     """
-    return F.from_json(_wrapped(text), "array<map<string,variant>>", STRICT_JSON)
+    return f"from_json(concat('[', {text}, ']'), 'array<map<string,variant>>', {STRICT_JSON})"
 
 
-def closes_early(text: Column) -> Column:
+def closes_early_sql(text: str) -> str:
     """True when the first object is followed by a ``]`` of the text's own, as in ``{} ] x``.
 
     Only text with ``}`` before ``]`` can do so; that text is read once more inside an object,
     where the stray bracket is malformed.
     """
-    again = F.from_json(
-        F.concat(F.lit('{"d":'), text, F.lit("}")), "map<string,variant>", STRICT_JSON
+    inside = f"concat('{{\"d\":', {text}, '}}')"
+    return (
+        f"CASE WHEN contains({text}, ']') AND {text} RLIKE r'\\}}\\s*\\]' "
+        f"THEN from_json({inside}, 'map<string,variant>', {STRICT_JSON}) IS NULL ELSE false END"
     )
-    suspect = F.contains(text, F.lit("]")) & text.rlike(r"\}\s*\]")
-    return F.when(suspect, again.isNull()).otherwise(F.lit(False))
-
 
-def fold_key(key: Column) -> Column:
-    """Case-insensitive key form. U+017F (long s) is a case variant of ``s``."""
-    return F.translate(F.lower(key), "ſ", "s")
 
-
-def variant_text(value: Column) -> Column:
+def text_sql(value: str) -> str:
     """Text of a variant string, NULL for every other kind: only strings cast to binary."""
-    return F.try_variant_get(value, "$", "binary").cast("string")
-
+    return f"CAST(try_variant_get({value}, '$', 'binary') AS STRING)"
 
-def _is_boolean(value: Column) -> Column:
-    return F.schema_of_variant(value) == "BOOLEAN"
 
+def _quoted(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{name}'" for name in names)
 
-def _missing(value: Column) -> Column:
-    return value.isNull() | F.is_variant_null(value)
 
+# U+017F (long s) is a case variant of s.
+FOLDED_KEYS = "transform(_raw_keys, k -> translate(lower(k), 'ſ', 's'))"
 
-def _all(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+# Whether one entry of a document with repeated keys has the type its key asks for.
+ENTRY_OK = f"""CASE WHEN is_variant_null(e._values) THEN true
+  WHEN e._keys IN ({_quoted(TEXT_KEYS)}) THEN {text_sql('e._values')} IS NOT NULL
+  WHEN e._keys IN ({_quoted(TIME_KEYS)}) THEN {rfc3339_sql(text_sql('e._values'))} IS NOT NULL
+  WHEN e._keys = 'pii_redacted' THEN schema_of_variant(e._values) = 'BOOLEAN'
+  ELSE true END"""
 
 
-def _entry_ok(key: Column, value: Column) -> Column:
-    text = variant_text(value)
-    return (
-        F.when(F.is_variant_null(value), True)
-        .when(key.isin(*TEXT_KEYS), text.isNotNull())
-        .when(key.isin(*TIME_KEYS), parse_rfc3339(text).isNotNull())
-        .when(key == "pii_redacted", _is_boolean(value))
-        .otherwise(True)
-    )
-
-
-def _occurrence(name: str) -> Column:
+def _occurrence(name: str) -> str:
     """The deciding value of a key when several keys of the document fold to one name.
 
     The last one counts; JSON null leaves an earlier scalar as it was, but replaces metadata.
     """
+    counts = "" if name == "metadata" else " AND NOT is_variant_null(e._values)"
+    return f"try_element_at(filter(arrays_zip(_keys, _values), e -> e._keys = '{name}'{counts}), -1)._values"
 
-    def decides(entry: Column) -> Column:
-        named = entry["_keys"] == name
-        return named if name == "metadata" else named & ~F.is_variant_null(entry["_values"])
 
-    return F.try_element_at(F.filter(F.arrays_zip("_keys", "_values"), decides), F.lit(-1))["_values"]
+def _value(place: int, name: str) -> str:
+    return f"""CASE WHEN _repeats THEN try_element_at(_decided, {place})
+      ELSE try_element_at(_values, CAST(nullif(array_position(_keys, '{name}'), 0) AS INT)) END AS _{name}"""
 
 
 def parse_events(df: DataFrame, col: str = "raw_event", missing_time: str | None = None) -> DataFrame:
@@ -122,100 +111,67 @@ def parse_events(df: DataFrame, col: str = "raw_event", missing_time: str | None
     """
     if missing_time not in (None, "zero"):
         raise ValueError("missing_time must be None or 'zero'")
-    kept = [F.col(c) for c in df.columns if c not in EVENT_COLUMNS and c != "parse_status"]
     if col in EVENT_COLUMNS:
         raise ValueError(f"{col} would be overwritten; rename the payload column")
-
-    # Each select adds one layer, so no expensive expression is written out twice in the plan.
-    payload = F.col(col)
-    docs = df.select(
-        *kept,
-        json_objects(payload).alias("_docs"),
-        closes_early(payload).alias("_stray"),
-        # A JSON null document is an empty event.
-        (F.trim(payload, F.lit(" \t\r\n")) == "null").alias("_null"),
-    )
-    objects = docs.select(
-        *kept, "_null",
-        F.when((F.size("_docs") == 1) & ~F.col("_stray"), F.try_element_at("_docs", F.lit(1))).alias("_object"),
-    )
-    entries = objects.select(
-        *kept, "_null", F.map_keys("_object").alias("_raw_keys"), F.map_values("_object").alias("_values")
-    )
-    known = sum(
-        (F.when(F.array_contains("_raw_keys", name), 1).otherwise(0) for name in EVENT_COLUMNS),
-        F.lit(0),
-    )
-    # All keys are distinct event keys in exact case: the usual document needs no folding.
-    entries = entries.select(
-        *kept, "_null", "_raw_keys", "_values", (F.size("_raw_keys") == known).alias("_plain")
-    )
-    entries = entries.select(
-        *kept, "_null", "_values", "_plain",
-        F.when(F.col("_plain"), F.col("_raw_keys"))
-        .otherwise(F.transform("_raw_keys", fold_key)).alias("_keys"),
-    )
-    entries = entries.select(
-        *kept, "_null", "_values", "_keys",
-        (~F.col("_plain") & (F.size(F.array_distinct("_keys")) != F.size("_keys"))).alias("_repeats"),
-    )
-    # Repeated keys are rare: only their rows search all entries, and check each of them.
-    pairs = F.arrays_zip("_keys", "_values")
-    entries = entries.select(
-        *kept, "_null", "_values", "_keys", "_repeats",
-        F.when(F.col("_repeats"), F.array(*[_occurrence(name) for name in EVENT_COLUMNS])).alias("_decided"),
-        F.when(F.col("_repeats"), F.forall(pairs, lambda e: _entry_ok(e["_keys"], e["_values"])))
-        .otherwise(F.col("_keys").isNotNull()).alias("_entries_ok"),
-    )
-
-    def value_of(name: str) -> Column:
-        place = F.nullif(F.array_position("_keys", name), F.lit(0)).cast("int")
-        decided = F.try_element_at("_decided", F.lit(EVENT_COLUMNS.index(name) + 1))
-        return F.when(F.col("_repeats"), decided).otherwise(F.try_element_at("_values", place))
-
-    values = entries.select(
-        *kept, "_null", "_entries_ok", *[value_of(name).alias(f"_{name}") for name in EVENT_COLUMNS]
-    )
-    checked = ("_null", "_entries_ok", "_metadata", "_pii_redacted")
-    texts = values.select(
-        *kept, *checked,
-        *[variant_text(F.col(f"_{name}")).alias(f"_{name}_text") for name in TEXT_KEYS + TIME_KEYS],
-        *[_missing(F.col(f"_{name}")).alias(f"_{name}_missing") for name in TEXT_KEYS + TIME_KEYS],
-    )
-    typed = texts.select(
-        *kept, *checked,
-        *[F.col(f"_{n}_text") for n in TEXT_KEYS],
-        *[F.col(f"_{n}_missing") for n in TEXT_KEYS + TIME_KEYS],
-        *[parse_rfc3339(F.col(f"_{n}_text")).alias(f"_{n}_time") for n in TIME_KEYS],
-    )
-    fields_ok = _all(
-        [F.col(f"_{n}_missing") | F.col(f"_{n}_text").isNotNull() for n in TEXT_KEYS]
-        + [F.col(f"_{n}_missing") | F.col(f"_{n}_time").isNotNull() for n in TIME_KEYS]
-        + [_missing(F.col("_pii_redacted")) | _is_boolean(F.col("_pii_redacted"))]
+    kept = [f"`{c}`" for c in df.columns if c not in EVENT_COLUMNS and c != "parse_status"]
+    payload = f"`{col}`"
+    known = " + ".join(f"CAST(array_contains(_raw_keys, '{name}') AS INT)" for name in EVENT_COLUMNS)
+    scalars = TEXT_KEYS + TIME_KEYS
+
+    # Each layer names its results, so no expensive expression is written out twice in the plan.
+    layers = [
+        [
+            f"{objects_sql(payload)} AS _docs",
+            f"{closes_early_sql(payload)} AS _stray",
+            # A JSON null document is an empty event.
+            rf"trim(BOTH ' \t\r\n' FROM {payload}) = 'null' AS _null",
+        ],
+        ["_null", "CASE WHEN size(_docs) = 1 AND NOT _stray THEN try_element_at(_docs, 1) END AS _object"],
+        ["_null", "map_keys(_object) AS _raw_keys", "map_values(_object) AS _values"],
+        # All keys are distinct event keys in exact case: the usual document needs no folding.
+        ["_null", "_raw_keys", "_values", f"size(_raw_keys) = {known} AS _plain"],
+        ["_null", "_values", "_plain", f"CASE WHEN _plain THEN _raw_keys ELSE {FOLDED_KEYS} END AS _keys"],
+        ["_null", "_values", "_keys", "NOT _plain AND size(array_distinct(_keys)) <> size(_keys) AS _repeats"],
+        # Repeated keys are rare: only their rows search all entries, and check each of them.
+        [
+            "_null", "_values", "_keys", "_repeats",
+            f"CASE WHEN _repeats THEN array({', '.join(map(_occurrence, EVENT_COLUMNS))}) END AS _decided",
+            f"CASE WHEN _repeats THEN forall(arrays_zip(_keys, _values), e -> {ENTRY_OK}) "
+            "ELSE _keys IS NOT NULL END AS _entries_ok",
+        ],
+        ["_null", "_entries_ok", *[_value(n, name) for n, name in enumerate(EVENT_COLUMNS, 1)]],
+        [
+            "_null", "_entries_ok", "_metadata", "_pii_redacted",
+            *[f"{text_sql(f'_{n}')} AS _{n}_text" for n in scalars],
+            *[f"(_{n} IS NULL OR is_variant_null(_{n})) AS _{n}_missing" for n in scalars],
+        ],
+        [
+            "_null", "_entries_ok", "_metadata", "_pii_redacted",
+            *[f"_{n}_text" for n in TEXT_KEYS], *[f"_{n}_missing" for n in scalars],
+            *[f"{rfc3339_sql(f'_{n}_text')} AS _{n}_time" for n in TIME_KEYS],
+        ],
+    ]
+    for layer in layers:
+        df = df.selectExpr(*kept, *layer)
+
+    fields_ok = " AND ".join(
+        [f"(_{n}_missing OR _{n}_text IS NOT NULL)" for n in TEXT_KEYS]
+        + [f"(_{n}_missing OR _{n}_time IS NOT NULL)" for n in TIME_KEYS]
+        + ["(_pii_redacted IS NULL OR is_variant_null(_pii_redacted) OR schema_of_variant(_pii_redacted) = 'BOOLEAN')"]
     )
-    verdict = F.coalesce(F.col("_null") | (F.col("_entries_ok") & fields_ok), F.lit(False))
     # The verdict passes through a one-element explode: all event columns depend on it, and no
     # filter on them moves below a generator, where it would repeat the decode many times over.
-    judged = typed.select("*", F.explode(F.array(verdict)).alias("_ok"))
-
-    def text(name: str) -> Column:
-        return F.coalesce(F.col(f"_{name}_text"), F.lit(""))
-
-    event_time = F.col("_event_time_time")
-    if missing_time == "zero":
-        event_time = F.coalesce(event_time, F.lit("0001-01-01T00:00:00Z").cast("timestamp"))
-    columns = {
-        "event_id": text("event_id"),
-        "received_at": F.col("_received_at_time"),
-        "event_time": event_time,
-        "source": text("source"),
-        "level": text("level"),
-        "message": text("message"),
-        "metadata": F.to_json("_metadata"),
-        "pii_redacted": F.coalesce(F.try_variant_get("_pii_redacted", "$", "boolean"), F.lit(False)),
+    judged = df.selectExpr("*", f"explode(array(coalesce(_null OR (_entries_ok AND {fields_ok}), false))) AS _ok")
+
+    zero = "TIMESTAMP '0001-01-01 00:00:00Z'"
+    results = {name: f"coalesce(_{name}_text, '')" for name in TEXT_KEYS} | {
+        "received_at": "_received_at_time",
+        "event_time": f"coalesce(_event_time_time, {zero})" if missing_time else "_event_time_time",
+        "metadata": "to_json(_metadata)",
+        "pii_redacted": "coalesce(try_variant_get(_pii_redacted, '$', 'boolean'), false)",
     }
-    return judged.select(
+    return judged.selectExpr(
         *kept,
-        *[F.when(F.col("_ok"), columns[name]).alias(name) for name in EVENT_COLUMNS],
-        F.when(F.col("_ok"), OK).otherwise(ERROR_PARSE).alias("parse_status"),
+        *[f"CASE WHEN _ok THEN {results[name]} END AS {name}" for name in EVENT_COLUMNS],
+        f"CASE WHEN _ok THEN '{OK}' ELSE '{ERROR_PARSE}' END AS parse_status",
     )

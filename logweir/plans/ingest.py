@@ -9,7 +9,7 @@ from logweir.functions.decode import OK, parse_events
 from logweir.functions.enrich import enrich
 from logweir.functions.redact import redact
 from logweir.functions.scalars import (
-    classify_media_type, parse_duration_ms, parse_message_id, within_size,
+    classify_media_type, message_id_text, parse_duration_ms, parse_message_id, within_size,
 )
 from logweir.operators import auth, metrics, quality
 from logweir.plans import sql as S
@@ -69,7 +69,7 @@ def redact_field(spark, sf_dir):
 
 
 @query("redacted_per_day", S.with_(S.EV) + """
-SELECT CAST(event_time AS DATE) AS event_date, level, count(*) AS events,
+SELECT strftime(event_time, '%Y-%m-%d') AS event_date, level, count(*) AS events,
        CAST(count(*) FILTER (WHERE cleaned IS NOT NULL) AS BIGINT) AS redacted
 FROM ev GROUP BY ALL""")
 def redacted_per_day(spark, sf_dir):
@@ -79,9 +79,10 @@ def redacted_per_day(spark, sf_dir):
                   {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("raw_event")
     )
     events = redact(parse_events(lines).where(F.col("parse_status") == OK))
-    return events.groupBy(F.to_date("event_time").alias("event_date"), "level").agg(
+    days = events.groupBy(F.to_date("event_time").alias("event_date"), "level").agg(
         F.count("*").alias("events"), F.count_if("pii_redacted").alias("redacted")
     )
+    return days.withColumn("event_date", F.col("event_date").cast("string"))
 
 
 @query("enrich_ids", S.with_(S.EV, """named AS (
@@ -239,10 +240,11 @@ def batch_conflicts(spark, sf_dir):
 
 @query("parse_duration", """
 SELECT event_id AS n,
-       CASE event_type WHEN 'click' THEN (user_id * 3600 + (event_id % 60) * 60) * 1000 + 500
-                       WHEN 'view' THEN event_id * 1000 + user_id
-                       WHEN 'signup' THEN -60000 * user_id
-                       WHEN 'purchase' THEN event_id // 1000 END AS millis
+       CASE event_type WHEN 'click' THEN CAST((user_id * 3600 + (event_id % 60) * 60) * 1000 + 500 AS VARCHAR)
+                       WHEN 'view' THEN CAST(event_id * 1000 + user_id AS VARCHAR)
+                       WHEN 'signup' THEN CAST(-60000 * user_id AS VARCHAR)
+                       WHEN 'purchase' THEN CAST(event_id // 1000 AS VARCHAR)
+                       ELSE 'invalid' END AS millis
 FROM events""")
 def parse_duration(spark, sf_dir):
     n, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
@@ -253,15 +255,16 @@ def parse_duration(spark, sf_dir):
         .when(kind == "purchase", F.concat(n, F.lit("µs")))
         .otherwise(F.concat(n, F.lit(" s")))
     )
-    return V.table(spark, sf_dir, "events").select(n.alias("n"), parse_duration_ms(text).alias("millis"))
+    millis = F.coalesce(parse_duration_ms(text).cast("string"), F.lit("invalid"))
+    return V.table(spark, sf_dir, "events").select(n.alias("n"), millis.alias("millis"))
 
 
 @query("parse_message_id", """
 SELECT event_id AS n,
-       CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN 0
-                       WHEN 'purchase' THEN 9223372036854775807 ELSE epoch_us(ts) // 1000 END AS ms,
-       CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN event_id
-                       WHEN 'purchase' THEN 9223372036854775807 ELSE 0 END AS seq
+       CASE event_type WHEN 'error' THEN 'invalid' WHEN 'signup' THEN '0-0'
+                       WHEN 'purchase' THEN '9223372036854775807-9223372036854775807'
+                       WHEN 'click' THEN (epoch_us(ts) // 1000) || '-' || event_id
+                       ELSE (epoch_us(ts) // 1000) || '-0' END AS message_id
 FROM events""")
 def message_id(spark, sf_dir):
     n, kind = F.col("event_id"), F.col("event_type")
@@ -273,5 +276,6 @@ def message_id(spark, sf_dir):
         .when(kind == "purchase", "+")
         .otherwise(F.concat(ms, F.lit("-x")))
     )
-    parsed = parse_message_id(text)
-    return V.table(spark, sf_dir, "events").select(n.alias("n"), parsed.alias("id")).select("n", "id.ms", "id.seq")
+    parsed = V.table(spark, sf_dir, "events").select(n.alias("n"), parse_message_id(text).alias("id"))
+    shown = F.when(F.col("id").isNotNull(), message_id_text(F.col("id"))).otherwise("invalid")
+    return parsed.select("n", shown.alias("message_id"))

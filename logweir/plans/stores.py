@@ -108,7 +108,7 @@ def spill_and_replay(spark, sf_dir):
     path = work_dir(spark, "replay")
     spill, buffer = f"{path}/spill", f"{path}/buffer"
     sinks.sink_with_spill(unreachable, spill, persist=False)(V.log_events(spark, sf_dir), 0)
-    jobs.replay_job(spark, spill, buffer, f"{path}/checkpoint").awaitTermination()
+    jobs.replay_spill(spark, spill, buffer, f"{path}/checkpoint").awaitTermination()
     events = read_buffer(spark, buffer).where(F.col("parse_status") == OK)
     return events.select("event_id", *V.ntz("received_at", "event_time"), "message", "metadata")
 

@@ -43,9 +43,12 @@ def stored_logs(spark, sf_dir):
 
 
 @query("current_logs", LATEST + """
-SELECT event_id, event_time, source, level, message, metadata, CAST(event_time AS DATE) AS event_date FROM latest""")
+SELECT event_id, event_time, source, level, message, metadata,
+       strftime(event_time, '%Y-%m-%d') AS event_date FROM latest""")
 def current_logs(spark, sf_dir):
-    return stored_logs(spark, sf_dir).select(*LOG_COLUMNS, *V.ntz("event_time"), "event_date")
+    return stored_logs(spark, sf_dir).select(
+        *LOG_COLUMNS, *V.ntz("event_time"), F.col("event_date").cast("string").alias("event_date")
+    )
 
 
 @query("count_logs", LATEST + "SELECT count(*) AS events FROM latest")

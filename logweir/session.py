@@ -56,12 +56,28 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/logweir/{name}-{uuid.uuid4().hex}"
 
 
-def matches(spark: SparkSession, pattern: str) -> bool:
-    """Whether any file or folder matches the path pattern, on whatever file system it names."""
+def _found(spark: SparkSession, pattern: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = system.globStatus(path)
-    return found is not None and len(found) > 0
+    return system, [status.getPath() for status in system.globStatus(path) or []]
+
+
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file or folder matches the path pattern, on whatever file system it names."""
+    return bool(_found(spark, pattern)[1])
+
+
+def folder_numbers(spark: SparkSession, prefix: str) -> list[int]:
+    """The numbers n for which there is a folder ``<prefix>n``, ascending. Only names are listed."""
+    name = prefix.rsplit("/", 1)[-1]
+    return sorted(int(path.getName().removeprefix(name)) for path in _found(spark, f"{prefix}*")[1])
+
+
+def remove(spark: SparkSession, pattern: str) -> None:
+    """Delete the files and folders that match the path pattern."""
+    system, paths = _found(spark, pattern)
+    for path in paths:
+        system.delete(path, True)
 
 
 def committed(spark: SparkSession, path: str) -> bool:

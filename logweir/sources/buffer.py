@@ -24,6 +24,18 @@ def read_buffer(
     return decode_entries(reader.parquet(path))
 
 
+def kafka_entries(records: DataFrame) -> DataFrame:
+    """Rows of Spark's Kafka source as buffer entries, for clusters that buffer in a topic.
+
+    The id is the record's time, then its partition and offset.
+    """
+    seq = F.shiftleft(F.col("partition").cast("long"), 48) + F.col("offset")
+    return records.select(
+        F.struct(F.unix_millis("timestamp").alias("ms"), seq.alias("seq")).alias("message_id"),
+        F.col("value").cast("string").alias("payload"),
+    )
+
+
 def decode_entries(entries: DataFrame) -> DataFrame:
-    """Decode the ``payload`` of buffer or Kafka entries, keeping the message id."""
+    """Decode the ``payload`` of entries, keeping the message id."""
     return parse_events(entries.select(F.col("message_id"), F.col("payload")), "payload")

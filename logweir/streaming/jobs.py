@@ -106,7 +106,7 @@ def rate_job(
     return _start(writer, checkpoint, once)
 
 
-def replay_job(
+def replay_spill(
     spark: SparkSession, spill: str, buffer: str, checkpoint: str, archive: str | None = None
 ) -> StreamingQuery | None:
     """Put all spilled events back into the buffer, and end; None when there are none.

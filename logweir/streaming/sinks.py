@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from logweir.functions.scalars import message_id_text
 from logweir.operators.keyed import latest_by_key
 from logweir.schema import LOGS
-from logweir.session import committed, matches
+from logweir.session import committed, folder_numbers, remove
 
 WriteFn = Callable[[DataFrame, int], None]
 
@@ -97,11 +97,14 @@ def append_logs(events: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return folder_numbers(spark, f"{path}/batches/batch_id=")
+
+
 def _folded_upto(spark: SparkSession, path: str) -> int:
-    """The last batch the current snapshot holds, -1 without one."""
-    if not matches(spark, f"{path}/pointer/*.parquet"):
-        return -1
-    return spark.read.parquet(f"{path}/pointer").agg(F.max("upto")).first()[0]
+    """The last batch the current snapshot holds, -1 without one: the newest committed pointer."""
+    pointers = folder_numbers(spark, f"{path}/pointer/upto=")
+    return max((n for n in pointers if committed(spark, f"{path}/pointer/upto={n}")), default=-1)
 
 
 def _snapshot(spark: SparkSession, path: str, upto: int) -> DataFrame:
@@ -119,7 +122,7 @@ def current_logs(spark: SparkSession, path: str) -> DataFrame:
     columns = [*LOGS.fieldNames(), "event_date"]
     upto = _folded_upto(spark, path)
     base = _snapshot(spark, path, upto).select(*columns)
-    if not matches(spark, f"{path}/batches/batch_id=*"):
+    if not any(n > upto for n in _batches(spark, path)):
         return base
     newer = spark.read.parquet(f"{path}/batches").where(F.col("batch_id") > upto)
     latest = latest_by_key(newer, "event_id", VERSION_ORDER).withColumn(
@@ -135,23 +138,37 @@ def current_logs(spark: SparkSession, path: str) -> DataFrame:
 def compact_logs(spark: SparkSession, path: str) -> None:
     """Fold all batches into a new snapshot, foldered by ``event_date``, and point to it.
 
-    Readers keep the old snapshot until the pointer row is there. Dates of any size are spread
+    Readers keep the old snapshot until the pointer's write is complete. Dates of any size are spread
     over files of even size.
     """
-    if not matches(spark, f"{path}/batches/batch_id=*"):
-        return
-    last = spark.read.parquet(f"{path}/batches").agg(F.max("batch_id")).first()[0]
-    if last is None or last <= _folded_upto(spark, path):
+    last = max(_batches(spark, path), default=-1)
+    if last <= _folded_upto(spark, path):
         return
     rows = current_logs(spark, path)
     rows.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(
         f"{path}/snapshots/upto={last}"
     )
-    spark.range(1).select(F.lit(last).cast("long").alias("upto")).write.mode("append").parquet(
-        f"{path}/pointer"
+    spark.createDataFrame([(last,)], "upto long").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/pointer/upto={last}"
     )
 
 
+def expire_logs(spark: SparkSession, path: str) -> None:
+    """Delete the batches and snapshots the current snapshot replaces.
+
+    To be run when no reader holds an older state: it keeps the folders to list few, however long
+    the table has been fed.
+    """
+    upto = _folded_upto(spark, path)
+    for batch in _batches(spark, path):
+        if batch <= upto:
+            remove(spark, f"{path}/batches/batch_id={batch}")
+    for older in folder_numbers(spark, f"{path}/snapshots/upto="):
+        if older < upto:
+            remove(spark, f"{path}/pointer/upto={older}")
+            remove(spark, f"{path}/snapshots/upto={older}")
+
+
 # --- batch control ---------------------------------------------------------------------------
 
 

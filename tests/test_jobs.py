@@ -137,7 +137,7 @@ def test_unreachable_buffer_spills_and_replays(pipeline, monkeypatch):
     pipeline.ingest()
     pipeline.consume()
     assert pipeline.count() == 10
-    jobs.replay_job(
+    jobs.replay_spill(
         pipeline.spark, pipeline.path("spill"), pipeline.path("buffer"), pipeline.path("cp-replay")
     ).awaitTermination()
     pipeline.consume()

@@ -9,7 +9,7 @@ from logweir.functions.decode import parse_events
 from logweir.operators import metrics
 from logweir.schema import LOG_EVENT
 from logweir.session import committed
-from logweir.sources.buffer import read_buffer
+from logweir.sources.buffer import decode_entries, kafka_entries, read_buffer
 from logweir.sources.files import (
     ordered_segments, scan_json_documents, scan_ndjson, scan_segments, segment_files,
 )
@@ -111,6 +111,13 @@ def test_buffer_entries_that_do_not_decode(spark, tmp_path):
     }
 
 
+def test_kafka_records(spark):
+    record = [(1, 7, dt.datetime(2024, 1, 1), bytearray(b'{"message":"m"}'))]
+    records = spark.createDataFrame(record, "partition int, offset long, timestamp timestamp, value binary")
+    row = decode_entries(kafka_entries(records)).first()
+    assert row["message"] == "m" and tuple(row["message_id"]) == (1_704_067_200_000, 2**48 + 7)
+
+
 def test_dlq(spark, two, tmp_path):
     sinks.write_dlq(two, str(tmp_path / "dlq"), 3)
     sinks.write_dlq(two, str(tmp_path / "dlq"), 3)
@@ -170,13 +177,13 @@ def test_unreachable_sinks_spill_and_others_raise(spark, two, tmp_path):
 
 def test_replay_is_done_once_per_segment(spark, two, tmp_path):
     spill, buffer, check = (str(tmp_path / n) for n in ("spill", "buffer", "check"))
-    assert jobs.replay_job(spark, spill, buffer, check) is None
+    assert jobs.replay_spill(spark, spill, buffer, check) is None
     sinks.write_spill(two, spill, 0)
     for _ in range(2):
-        jobs.replay_job(spark, spill, buffer, check).awaitTermination()
+        jobs.replay_spill(spark, spill, buffer, check).awaitTermination()
         assert read_buffer(spark, buffer).count() == 2
     sinks.write_spill(make_events(spark, "event 3", start=5), spill, 1)
-    jobs.replay_job(spark, spill, buffer, check).awaitTermination()
+    jobs.replay_spill(spark, spill, buffer, check, archive=str(tmp_path / "done")).awaitTermination()
     assert sorted(r["message"] for r in read_buffer(spark, buffer).collect()) == ["event 1", "event 2", "event 3"]
 
 
@@ -209,6 +216,11 @@ def test_log_table_versions_and_compaction(spark, tmp_path):
     sinks.compact_logs(spark, path)
     assert messages() == ["a4", "b3", "c", "d"]
     assert metrics.count_logs(sinks.current_logs(spark, path)).first()["events"] == 4
+    sinks.append_logs(log_batch(make_events(spark, "e", start=60)), path, 4)
+    sinks.expire_logs(spark, path)
+    assert messages() == ["a4", "b3", "c", "d", "e"]
+    assert [p.name for p in (tmp_path / "logs" / "batches").iterdir()] == ["batch_id=4"]
+    assert [p.name for p in (tmp_path / "logs" / "snapshots").iterdir()] == ["upto=3"]
 
 
 def test_date_filter_selects_snapshot_folders(spark, tmp_path):
