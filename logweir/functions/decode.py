@@ -124,7 +124,7 @@ def parse_events(df: DataFrame, col: str = "raw_event", missing_time: str | None
             f"{objects_sql(payload)} AS _docs",
             f"{closes_early_sql(payload)} AS _stray",
             # A JSON null document is an empty event.
-            rf"trim(BOTH ' \t\r\n' FROM {payload}) = 'null' AS _null",
+            rf"{payload} RLIKE r'^[ \t\r\n]*null[ \t\r\n]*\z' AS _null",
         ],
         ["_null", "CASE WHEN size(_docs) = 1 AND NOT _stray THEN try_element_at(_docs, 1) END AS _object"],
         ["_null", "map_keys(_object) AS _raw_keys", "map_values(_object) AS _values"],

@@ -147,15 +147,20 @@ def stream_ingest(spark, sf_dir):
 
 
 @query("stream_dlq", S.with_(S.EV, S.TEXTS, S.DECODED) + """
-SELECT 'DLQED' AS final_status, 2 AS attempts, 0 AS wal_active, count(*) AS events, count(*) AS dead_letters
-FROM decoded WHERE parse_status = 'ok'""")
+SELECT 'batches' AS kind, 'DLQED' AS outcome, 2 AS attempts, count(*) AS events
+FROM decoded WHERE parse_status = 'ok'
+UNION ALL
+SELECT 'dead letters', 'sink failed', 0, count(*) FROM decoded WHERE parse_status = 'ok'""")
 def stream_dlq(spark, sf_dir):
     """The sink refuses every batch: reports and dead letters."""
     path = consumed(spark, sf_dir, write_fn=unreachable)
-    letters = spark.read.parquet(f"{path}/dlq").agg(F.count("*").alias("dead_letters"))
-    reports = sinks.batch_report(spark, f"{path}/reports")
-    totals = reports.groupBy("final_status", "attempts", "wal_active").agg(F.sum("events").alias("events"))
-    return totals.join(letters)
+    batches = sinks.batch_report(spark, f"{path}/reports").groupBy(
+        F.lit("batches").alias("kind"), F.col("final_status").alias("outcome"), "attempts"
+    ).agg(F.sum("events").alias("events"))
+    letters = spark.read.parquet(f"{path}/dlq").groupBy(
+        F.lit("dead letters").alias("kind"), F.col("reason").alias("outcome"), F.lit(0).alias("attempts")
+    ).agg(F.count("*").alias("events"))
+    return batches.unionByName(letters)
 
 
 @query("stream_rate", S.with_(S.EV) + """

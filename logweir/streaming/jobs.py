@@ -3,6 +3,9 @@
 Progress is the query's checkpoint: a micro-batch is committed when its ``foreachBatch`` function
 returns, and comes again under the same number when it does not. Together with one folder per
 batch and last-version-wins reads this makes each event count once.
+
+The numbers belong to a checkpoint: a job that starts over with a new checkpoint needs an
+``origin`` of its own in the buffer, and a log table of its own.
 """
 
 from __future__ import annotations
@@ -40,13 +43,13 @@ def accept(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
 def ingest_job(
     spark: SparkSession, landing: str, buffer: str, checkpoint: str,
     spill: str, bad_lines: str, fields: list[str] | None = None,
-    once: bool = False, max_files: int = 1_000,
+    once: bool = False, max_files: int = 1_000, origin: str = "ingest",
 ) -> StreamingQuery:
     """Landed NDJSON files to the buffer, or to the spill while the buffer is unreachable."""
     lines = scan_ndjson(spark.readStream.option("maxFilesPerTrigger", max_files), landing)
 
     to_buffer = sinks.sink_with_spill(
-        lambda batch, n: sinks.append_buffer(batch, buffer, n), spill, persist=False
+        lambda batch, n: sinks.append_buffer(batch, buffer, n, origin), spill, persist=False
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -107,7 +110,8 @@ def rate_job(
 
 
 def replay_spill(
-    spark: SparkSession, spill: str, buffer: str, checkpoint: str, archive: str | None = None
+    spark: SparkSession, spill: str, buffer: str, checkpoint: str, archive: str | None = None,
+    origin: str = "replay",
 ) -> StreamingQuery | None:
     """Put all spilled events back into the buffer, and end; None when there are none.
 
@@ -123,6 +127,6 @@ def replay_spill(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         events = parse_events(batch).where(F.col("parse_status") == OK).select(*EVENT_COLUMNS)
-        sinks.append_buffer(events, buffer, batch_id, origin="replay")
+        sinks.append_buffer(events, buffer, batch_id, origin)
 
     return _start(lines.writeStream.foreachBatch(run), checkpoint, once=True)
