@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: the reason a moved row gets.
 MOVE_REASON = "manual DLQ move"
 
 

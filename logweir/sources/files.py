@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
+from logweir.functions.scalars import MAX_BODY_BYTES
 from logweir.session import matches
 
 SEGMENT_GLOB = "segment-*"
@@ -30,9 +31,11 @@ def scan_ndjson(reader: DataFrameReader | DataStreamReader, path: str) -> DataFr
     ).where(F.octet_length("raw_event") > 0)
 
 
-def scan_json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One payload per file, which the body limit bounds to about a MiB."""
-    bodies = spark.read.text(path, wholetext=True)
+def scan_json_documents(
+    spark: SparkSession, path: str, max_bytes: int = MAX_BODY_BYTES
+) -> DataFrame:
+    """One payload per file. Files over the body limit are refused unread, so a row stays small."""
+    bodies = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") <= max_bytes)
     return bodies.select(F.col("value").alias("raw_event"), F.col("_metadata.file_path").alias("file"))
 
 

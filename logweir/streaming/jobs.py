@@ -44,12 +44,14 @@ def ingest_job(
     spark: SparkSession, landing: str, buffer: str, checkpoint: str,
     spill: str, bad_lines: str, fields: list[str] | None = None,
     once: bool = False, max_files: int = 1_000, origin: str = "ingest",
+    spill_quota: int | None = None,
 ) -> StreamingQuery:
     """Landed NDJSON files to the buffer, or to the spill while the buffer is unreachable."""
     lines = scan_ndjson(spark.readStream.option("maxFilesPerTrigger", max_files), landing)
 
     to_buffer = sinks.sink_with_spill(
-        lambda batch, n: sinks.append_buffer(batch, buffer, n, origin), spill, persist=False
+        lambda batch, n: sinks.append_buffer(batch, buffer, n, origin), spill,
+        quota=spill_quota, persist=False,
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:

@@ -17,6 +17,7 @@ from logweir.functions.scalars import message_id_text
 from logweir.operators.keyed import latest_by_key
 from logweir.schema import LOGS
 from logweir.session import committed, folder_numbers, remove
+from logweir.sources.files import segment_files
 
 WriteFn = Callable[[DataFrame, int], None]
 
@@ -78,11 +79,26 @@ def write_quarantine(rows: DataFrame, path: str, batch_id: int) -> None:
     ).parquet(f"{path}/batch_id={batch_id}")
 
 
-def write_spill(events: DataFrame, path: str, batch_id: int, max_records: int = 100_000) -> None:
-    """Write a batch as a segment of JSON lines in files of at most ``max_records``."""
-    events.select(event_json()).write.mode("overwrite").option("maxRecordsPerFile", max_records).text(
-        f"{path}/segment-{batch_id:020d}"
-    )
+class SpillFull(Exception):
+    """The spill would exceed its quota."""
+
+
+def write_spill(
+    events: DataFrame, path: str, batch_id: int, max_records: int = 100_000, quota: int | None = None
+) -> None:
+    """Write a batch as a segment of JSON lines in files of at most ``max_records``.
+
+    With ``quota`` the bytes of all segments together stay within it, or nothing is written.
+    """
+    segment = f"segment-{batch_id:020d}"
+    lines = events.select(event_json().alias("value"))
+    if quota is not None:
+        others = segment_files(events.sparkSession, path).where(F.col("segment") != segment)
+        used = others.agg(F.sum("bytes")).first()[0] or 0
+        size = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+        if used + size > quota:
+            raise SpillFull(f"spill quota exceeded ({used + size} > {quota})")
+    lines.write.mode("overwrite").option("maxRecordsPerFile", max_records).text(f"{path}/{segment}")
 
 
 # --- the log table: batches of versions, and snapshots that fold them -----------------------
@@ -249,6 +265,7 @@ def sink_with_spill(
     report_fn: Callable[[BatchReport], None] | None = None,
     unavailable: Callable[[BaseException], bool] = is_unavailable,
     max_records: int = 100_000,
+    quota: int | None = None,
     persist: bool = True,
 ) -> WriteFn:
     """A ``foreachBatch`` function that spills the batch when the primary sink is unreachable.
@@ -266,7 +283,7 @@ def sink_with_spill(
             except Exception as error:
                 if not unavailable(error):
                     raise
-                write_spill(batch, spill_path, batch_id, max_records)
+                write_spill(batch, spill_path, batch_id, max_records, quota)
                 wal_active = 1
             if report_fn:
                 status = "SPILLED" if wal_active else "SINKED"

@@ -159,6 +159,8 @@ def test_file_scans(spark, tmp_path):
     (tmp_path / "d" / "two.json").write_text('{"message":"a"}\n{"message":"b"}')
     docs = parse_events(scan_json_documents(spark, str(tmp_path / "d"))).collect()
     assert {(r["parse_status"], r["message"]) for r in docs} == {("ok", "whole"), ("error_parse", None)}
+    small = scan_json_documents(spark, str(tmp_path / "d"), max_bytes=25).collect()
+    assert [r["raw_event"] for r in small] == ['{\n"message":\n"whole"}\n']
 
 
 def test_unreachable_sinks_spill_and_others_raise(spark, two, tmp_path):
@@ -175,6 +177,19 @@ def test_unreachable_sinks_spill_and_others_raise(spark, two, tmp_path):
     assert sinks.is_unavailable(TimeoutError()) and not sinks.is_unavailable(ValueError("bad row"))
 
 
+def test_spill_quota(spark, two, tmp_path):
+    path = str(tmp_path / "spill")
+    size = sum(len(r[0]) + 1 for r in two.select(sinks.event_json()).collect())
+    sinks.write_spill(two, path, 0, quota=size)
+    sinks.write_spill(two, path, 0, quota=size)
+    with pytest.raises(sinks.SpillFull):
+        sinks.write_spill(two, path, 1, quota=2 * size - 1)
+    assert scan_segments(spark, path).count() == 2
+    sinks.write_spill(two, path, 1, quota=2 * size)
+    with pytest.raises(sinks.SpillFull):
+        sinks.sink_with_spill(Sink(1, ConnectionError()), path, quota=2 * size)(two, 2)
+
+
 def test_replay_is_done_once_per_segment(spark, two, tmp_path):
     spill, buffer, check = (str(tmp_path / n) for n in ("spill", "buffer", "check"))
     assert jobs.replay_spill(spark, spill, buffer, check) is None
