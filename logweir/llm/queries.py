@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import quality
+from logweir.llm import linededup, quality
 from logweir.llm.text import table
 from logweir.session import configure
 
@@ -32,3 +32,27 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.clean_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return docs.select("doc_id", *[F.col(f"q_{name}").alias(name) for name in names])
+
+
+@query("op8_line_dedup", r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), k AS (
+  SELECT doc_id, pos, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+  FROM l
+), f AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+  SELECT k.doc_id, k.pos, k.line, coalesce(k.doc_id <> f.keeper, false) AS gone FROM k LEFT JOIN f ON k.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return docs.select("doc_id", F.col("l_lines").alias("n_lines"), F.col("l_dropped").alias("n_dropped"),
+                       F.sha2("l_text", 256).alias("kept_sha256"))
