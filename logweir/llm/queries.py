@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import linededup, quality
+from logweir.llm import licenses, linededup, packing, quality
 from logweir.llm.text import table
 from logweir.session import configure
 
@@ -56,3 +56,23 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return docs.select("doc_id", F.col("l_lines").alias("n_lines"), F.col("l_dropped").alias("n_dropped"),
                        F.sha2("l_text", 256).alias("kept_sha256"))
+
+
+@query("op3_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    starts = F.transform("c_base", lambda x: x["i"])
+    base = F.array_distinct(F.transform("c_base", lambda x: x["label"]))
+    more = F.coalesce(F.col("c_found.labels"), F.array().cast("array<string>"))
+    named = F.when(F.size("c_base") > 0, F.lit(licenses.FORMS["named"][1])).otherwise(F.lit(0.0))
+    return docs.select(
+        "doc_id", F.col("c_words").alias("n_words"), F.size("c_base").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        F.greatest(named, F.coalesce("c_found.score", F.lit(0.0))).alias("score"))
+
+
+@query("op9_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), packing.count_tokens(F.col("text")))
