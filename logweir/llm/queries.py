@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import licenses, linededup, packing, quality
+from logweir.llm import licenses, linededup, packing, quality, wrapper
 from logweir.llm.text import table
 from logweir.session import configure
 
@@ -76,3 +76,8 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), packing.count_tokens(F.col("text")))
+
+
+@query("op1_html_wrapper")
+def html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
