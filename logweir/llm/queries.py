@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import licenses, linededup, packing, quality, wrapper
+from logweir.llm import licenses, linededup, packing, quality, warc, wrapper
 from logweir.llm.text import table
 from logweir.session import configure
 
@@ -81,3 +81,9 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html_wrapper")
 def html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op10_warc_derivatives")
+def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.derive(warc.responses_of_pages(pages), "page_id").withColumnRenamed("key", "page_id")
