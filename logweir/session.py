@@ -39,16 +39,16 @@ def build_session(app: str = "logweir", master: str | None = None, **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, as the cluster names it.
 
-    Only a local-mode session without that setting gets a temporary folder.
+    Where neither that setting nor a checkpoint folder of the context is there, a local-mode session, whose
+    only executor is the driver, gets a folder of its own; a cluster session is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    base = tempfile.mkdtemp(prefix="logweir-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logweir-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
