@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import licenses, linededup, packing, quality, warc, wrapper
+from logweir.llm import licenses, linededup, packing, quality, tokens, warc, wrapper
 from logweir.llm.text import table
-from logweir.session import configure
+from logweir.session import configure, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,3 +89,10 @@ def html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     return warc.derive(warc.responses_of_pages(pages), "page_id").withColumnRenamed("key", "page_id")
+
+
+@query("op7_rans_tokens")
+def rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "tokens")
+    tokens.write(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return tokens.read(spark, path, zlib.crc32, "bigint").withColumnRenamed("taken", "ids_crc32")
