@@ -100,14 +100,15 @@ class Encoder:
         if text[0] == " " or text[-1] == " " or self.MIXED.search(text):
             return self._encode([text])[0]
         first, *rest = text.split(" ")
-        missing = set(rest).difference(self.runs)
-        if missing:
+        found = list(map(self.runs.get, rest))
+        if None in found:
+            missing = {run for run, ids in zip(rest, found) if ids is None}
             if len(self.runs) > CACHE:
                 self.runs.clear()
                 missing = set(rest)
             self._learn(list(missing))
-        runs = self.runs
-        return self._encode([first])[0] + b"".join([runs[run] for run in rest])
+            found = map(self.runs.get, rest)
+        return self._encode([first])[0] + b"".join(found)
 
 
 def _blocks(path: str, end_id: int):
