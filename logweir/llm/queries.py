@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import licenses, linededup, packing, quality, tokens, warc, wrapper
+from logweir.llm import licenses, linededup, packing, ppm, quality, tokens, warc, wrapper
 from logweir.llm.text import table
 from logweir.session import configure, work_dir
 
@@ -96,3 +96,8 @@ def rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "tokens")
     tokens.write(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path)
     return tokens.read(spark, path, zlib.crc32, "bigint").withColumnRenamed("taken", "ids_crc32")
+
+
+@query("op5_ppm_score")
+def ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents", "doc_id", "text"))
