@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import licenses, linededup, packing, ppm, quality, tokens, warc, wrapper
+from logweir.llm import licenses, linededup, neardup, packing, ppm, quality, tokens, warc, wrapper
 from logweir.llm.text import table
 from logweir.session import configure, work_dir
 
@@ -101,3 +101,32 @@ def rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ppm_score")
 def ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op4_hyperminhash_dedup", """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id
+  WHERE 100 * p.shared >= 85 * (x.n + y.n - p.shared)
+), r AS (
+  WITH RECURSIVE c AS (
+    SELECT doc_id, doc_id AS reached FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.reached = e.a
+  ) SELECT doc_id, min(reached) AS component_id FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON d.doc_id = r.doc_id
+""")
+def hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                        F.col("component").alias("component_id"), "kept")
