@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import licenses, linededup, neardup, packing, ppm, quality, tokens, warc, wrapper
+from logweir.llm import decontaminate, licenses, linededup, neardup, packing, ppm, quality, tokens, warc, wrapper
 from logweir.llm.text import table
 from logweir.session import configure, work_dir
 
@@ -130,3 +130,9 @@ def hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                         F.col("component").alias("component_id"), "kept")
+
+
+@query("op2_cgk_decontamination")
+def cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))

@@ -38,19 +38,25 @@ def grouped(texts: list[str | None], chunk: int = CHUNK) -> Iterator[tuple[int,
         yield first, held
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash per word and the number of the text it is in; words end at ``[\\x20\\x09-\\x0D]``."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word its hash, the number of its text, its first byte there and its length.
+
+    Words end at ``[\\x20\\x09-\\x0D]``.
+    """
     data = np.frombuffer(b" ".join(texts), np.uint8)
     at = np.flatnonzero(~SPACES[data])
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
     lengths = np.diff(first, append=len(at))
     inside = np.arange(len(at)) - np.repeat(first, lengths)
     powers = np.cumprod(np.full(int(lengths.max()), FACTOR, np.uint64))
     hashed = np.add.reduceat(BYTES[data[at]] * powers[inside], first)
     ends = np.cumsum([len(text) + 1 for text in texts])
-    return mix(hashed + lengths.astype(np.uint64)), np.searchsorted(ends, at[first], "right")
+    of = np.searchsorted(ends, at[first], "right")
+    starts = at[first] - np.concatenate([[0], ends])[of]
+    return mix(hashed + lengths.astype(np.uint64)), of, starts, lengths
 
 
 def shingle_sets(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
@@ -58,7 +64,7 @@ def shingle_sets(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
 
     A text with fewer words has one shingle, the whole sequence; a text without words has none.
     """
-    words, of = word_hashes(texts)
+    words, of, *_ = word_hashes(texts)
     counts = np.bincount(of, minlength=len(texts))
     ends = np.cumsum(counts)
     sums = np.zeros(max(0, len(words) - size + 1), np.uint64)
