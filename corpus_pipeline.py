@@ -17,26 +17,26 @@ from logweir.llm import decontaminate, linededup, neardup, packing, quality
 from logweir.session import configure, work_dir
 
 
-def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
-    """The named columns, with the text replaced and its length brought up to date."""
+def _with_text(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The fields of ``doc``, with the text replaced and its length brought up to date."""
     changed = {"text": text, "n_chars": F.length(text).cast("bigint")}
-    return docs.select(*[changed[name].alias(name) if name in changed else F.col(f"`{name}`") for name in columns])
+    return rows.select(*[changed.get(name, F.col("doc")[name]).alias(name) for name in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that failed."""
-    return _with_text(quality.clean_lines(docs).where("q_kept"), docs.columns, F.col("q_text"))
+    return _with_text(quality.clean_lines(docs).where("quality.kept"), docs.columns, F.col("quality.text"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; a line that many of them share stays in one."""
-    return _with_text(linededup.dedup_lines(docs), docs.columns, F.col("l_text"))
+    return _with_text(linededup.dedup_lines(docs), docs.columns, F.col("lines.text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,4 +214,4 @@ def find_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item is found; the ids to drop are few and joined, not collected."""
     leaked = find_items(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]), "left_anti")

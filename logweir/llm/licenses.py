@@ -13,8 +13,8 @@ are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``. Base labels are always part of `
 All is one projection over the scan, without shuffle; the largest unit of work is one text.
 
 Defined results: NULL and empty texts have no words and no labels, positions NULL, score 0; repeated rows
-are scanned one by one; an empty table gives an empty result; extra columns pass through ``scan``, whose own
-columns carry the prefix ``c_``.
+are scanned one by one; an empty table gives an empty result; whatever columns the input has, ``scan`` returns
+its rows as the struct ``doc`` beside columns of its own, so that names never clash.
 """
 
 from __future__ import annotations
@@ -192,15 +192,14 @@ def count_words(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with ``c_words``, ``c_base`` places, ``c_matches`` (all) and ``c_found`` (those that stay)."""
-    low = F.col("c_low")
-    places, found = base_places(low), matches(low)
+    """The input rows as ``doc``, ``n_words``, ``base`` places, all ``matches`` and what is ``found`` in the end."""
+    low = F.col("low")
     phrases = "|".join(phrase.replace(" ", SEPARATOR + "+") for phrase in BASE)
-    rows = docs.withColumn("c_low", lower_ascii(F.coalesce(F.col(text), F.lit(""))))
-    empty_places = F.array().cast("array<struct<i:bigint,label:string>>")
-    empty = F.array().cast("array<struct<start:int,minus_stop:int,minus_priority:int,rule:string,label:string,score:double>>")
-    rows = rows.select(
-        *[F.col(f"`{name}`") for name in docs.columns], count_words(low).alias("c_words"),
-        F.when(low.contains("license") & low.rlike(phrases), places).otherwise(empty_places).alias("c_base"),
-        F.when(_holds_any(low, ANCHORS), found).otherwise(empty).alias("c_matches"))
-    return rows.withColumn("c_found", F.when(F.size("c_matches") > 0, resolve(F.col("c_matches"))))
+    no_base = F.array().cast("array<struct<i:bigint,label:string>>")
+    no_match = F.array().cast(
+        "array<struct<start:int,minus_stop:int,minus_priority:int,rule:string,label:string,score:double>>")
+    rows = docs.select(F.struct("*").alias("doc"), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("low")).select(
+        "doc", count_words(low).alias("n_words"),
+        F.when(low.contains("license") & low.rlike(phrases), base_places(low)).otherwise(no_base).alias("base"),
+        F.when(_holds_any(low, ANCHORS), matches(low)).otherwise(no_match).alias("matches"))
+    return rows.withColumn("found", F.when(F.size("matches") > 0, resolve(F.col("matches"))))

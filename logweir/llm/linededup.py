@@ -17,7 +17,8 @@ Keys are compared by two 64-bit hashes, so two different lines meet with a chanc
 Defined results: NULL or empty text is one empty line; a NULL id is one document, smaller than all others;
 rows that repeat an id and a text are one document and get the same bitmap; rows that share an id but not
 the text count as one document, and each text has its own bitmap; an empty table gives an empty result;
-extra columns pass through, the operator's own ones carry the prefix ``l_``.
+whatever columns the input has, ``apply_bitmaps`` returns its rows as the struct ``doc`` beside the struct
+``lines``, so that names never clash.
 """
 
 from __future__ import annotations
@@ -40,10 +41,6 @@ def _identity(id: str, text: str) -> list[Column]:
             F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("l_text_hash")]
 
 
-def lines(text: str) -> Column:
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-
-
 def long_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per line whose key is long enough: document, position, key hashes."""
     keys = F.transform(F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), "\n", -1),
@@ -83,18 +80,16 @@ def dropped_positions(bitmap: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with ``l_lines``, ``l_dropped`` and the remaining text ``l_text``."""
-    joined = docs.select("*", *_identity(id, text)).join(bitmaps, ROW, "left")
+    """The input rows as ``doc`` beside ``lines``: their number ``n``, how many are ``dropped``, the remaining ``text``."""
+    joined = docs.select(F.struct("*").alias("doc"), *_identity(id, text)).join(bitmaps, ROW, "left")
     gone = F.coalesce(dropped_positions(F.col("l_bitmap")), F.array().cast("array<int>"))
-    split = joined.select(*[F.col(f"`{name}`") for name in docs.columns],
-                          lines(text).alias("l_split"), gone.alias("l_gone"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("l_split") - 1), "l_gone"),
-                       lambda i: F.get(F.col("l_split"), i))
-    return split.select(
-        *[F.col(f"`{name}`") for name in docs.columns], F.size("l_split").cast("bigint").alias("l_lines"),
-        F.size("l_gone").cast("bigint").alias("l_dropped"),
-        F.when(F.size("l_gone") == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(
-            F.array_join(left, "\n")).alias("l_text"))
+    body = F.coalesce(F.col("doc")[text], F.lit(""))
+    split = joined.select("doc", F.split(body, "\n", -1).alias("split"), gone.alias("gone"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone"),
+                       lambda i: F.get(F.col("split"), i))
+    return split.select("doc", F.struct(
+        F.size("split").cast("bigint").alias("n"), F.size("gone").cast("bigint").alias("dropped"),
+        F.when(F.size("gone") == 0, body).otherwise(F.array_join(left, "\n")).alias("text")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text",

@@ -12,8 +12,8 @@ words stand in three-word windows found twice or more), or when its failing line
 no key can be hot, and one row is the largest unit of work.
 
 Defined results: NULL and blank texts have no words and fail; repeated rows are judged alike, each for
-itself; an empty table gives an empty result; extra columns pass through ``clean_lines`` untouched, and
-its own columns carry the prefix ``q_`` so that no input column is replaced.
+itself; an empty table gives an empty result; whatever columns the input has, ``clean_lines`` returns its rows
+as the struct ``doc`` beside the struct ``quality``, so that names never clash.
 """
 
 from __future__ import annotations
@@ -101,27 +101,27 @@ def line_fails(line: Column) -> Column:
 
 
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with the measures ``q_*``, the remaining text ``q_text`` and the verdict ``q_kept``."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    judged = F.transform(F.split(body, "\n", -1), lambda line: F.struct(line.alias("line"), line_fails(line).alias("bad")))
-    spoken = F.filter(F.split(body, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    """The input rows as ``doc`` beside ``quality``: the measures, the verdict ``kept``, the remaining ``text``."""
+    lines = F.split("body", "\n", -1)
+    judged = F.transform(lines, lambda line: F.struct(line.alias("line"), line_fails(line).alias("bad")))
+    spoken = F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
     def chosen(bad: bool) -> Column:
         return F.array_join(F.transform(
-            F.filter("q_lines", lambda x: x["bad"] if bad else ~x["bad"]), lambda x: x["line"]), "\n")
+            F.filter("lines", lambda x: x["bad"] if bad else ~x["bad"]), lambda x: x["line"]), "\n")
 
-    measured = bind(words(body), lambda w: F.struct(
+    measured = bind(words(F.col("body")), lambda w: F.struct(
         F.size(w).cast("bigint").alias("n_words"),
         F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
         repeat_words(w).cast("bigint").alias("n_repeat_words"),
     ))
-    rows = docs.select("*", measured.alias("q_words"), judged.alias("q_lines"),
-                       bind(spoken, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("q_dup_lines"))
-    n, chars, repeats = (F.col(f"q_words.{name}") for name in ("n_words", "word_chars", "n_repeat_words"))
+    rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body")).select(
+        "doc", "body", measured.alias("m"), judged.alias("lines"),
+        bind(spoken, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup_lines"))
+    n, chars, repeats = (F.col(f"m.{name}") for name in ("n_words", "word_chars", "n_repeat_words"))
     failed = (n < MIN_WORDS) | (100 * repeats > int(100 * MAX_REPEAT) * n)
-    return rows.select(
-        *[F.col(f"`{name}`") for name in docs.columns], n.alias("q_n_words"), chars.alias("q_word_chars"),
-        symbols(body).cast("bigint").alias("q_n_symbols"), F.col("q_dup_lines").cast("bigint").alias("q_n_dup_lines"),
-        repeats.alias("q_n_repeat_words"), failed.alias("q_base_failed"),
-        (~failed & (100 * word_chars(chosen(True)) <= int(100 * MAX_LOSS) * chars)).alias("q_kept"),
-        chosen(False).alias("q_text"))
+    return rows.select("doc", F.struct(
+        n.alias("n_words"), chars.alias("word_chars"), symbols(F.col("body")).cast("bigint").alias("n_symbols"),
+        F.col("dup_lines").alias("n_dup_lines"), repeats.alias("n_repeat_words"), failed.alias("base_failed"),
+        (~failed & (100 * word_chars(chosen(True)) <= int(100 * MAX_LOSS) * chars)).alias("kept"),
+        chosen(False).alias("text")).alias("quality"))

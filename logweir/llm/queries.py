@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.clean_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return docs.select("doc_id", *[F.col(f"q_{name}").alias(name) for name in names])
+    return docs.select("doc.doc_id", *[f"quality.{name}" for name in names])
 
 
 @query("op8_line_dedup", r"""
@@ -56,23 +56,23 @@ FROM m GROUP BY doc_id
 """)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return docs.select("doc_id", F.col("l_lines").alias("n_lines"), F.col("l_dropped").alias("n_dropped"),
-                       F.sha2("l_text", 256).alias("kept_sha256"))
+    return docs.select("doc.doc_id", F.col("lines.n").alias("n_lines"), F.col("lines.dropped").alias("n_dropped"),
+                       F.sha2("lines.text", 256).alias("kept_sha256"))
 
 
 @query("op3_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
-    starts = F.transform("c_base", lambda x: x["i"])
-    base = F.array_distinct(F.transform("c_base", lambda x: x["label"]))
-    more = F.coalesce(F.col("c_found.labels"), F.array().cast("array<string>"))
-    named = F.when(F.size("c_base") > 0, F.lit(licenses.FORMS["named"][1])).otherwise(F.lit(0.0))
+    starts = F.transform("base", lambda x: x["i"])
+    base = F.array_distinct(F.transform("base", lambda x: x["label"]))
+    more = F.coalesce(F.col("found.labels"), F.array().cast("array<string>"))
+    named = F.when(F.size("base") > 0, F.lit(licenses.FORMS["named"][1])).otherwise(F.lit(0.0))
     return docs.select(
-        "doc_id", F.col("c_words").alias("n_words"), F.size("c_base").cast("bigint").alias("n_base"),
+        "doc.doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"),
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
-        F.greatest(named, F.coalesce("c_found.score", F.lit(0.0))).alias("score"))
+        F.greatest(named, F.coalesce("found.score", F.lit(0.0))).alias("score"))
 
 
 @query("op9_best_fit_packing")
