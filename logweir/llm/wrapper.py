@@ -1,6 +1,7 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
-1. Each host has a reference page (its smallest page id; one row per host through a partial aggregate).
+1. Each host has a reference page (its smallest page id; one row per host through a partial aggregate), written
+   to the shared folder.
 2. Every page's tree is aligned with its host's reference by simple tree matching: equal roots match, and
    the children are matched in order so that most nodes match. This gives each text block the number of
    the reference node it stands in, or none.
@@ -10,9 +11,11 @@
    footers, sidebars, notices, adverts, forms, comments (by tag, role, and the words of class and id), and
    without blocks that are nearly all links. Where a page has an ``article`` or ``main``, only that counts.
 
-Aligned blocks are written once to the shared folder, as both step 3 and step 4 read them. The pages of a
-host that has a third of all pages are spread by Spark's skew split of the join with the reference, and
-constants are counted with map-side sums. Each task holds one page and one reference tree at a time.
+Aligned blocks are written once to the shared folder, as both step 3 and step 4 read them. While all reference
+pages together are at most ``BROADCAST_BYTES`` they, and the smaller table of constants, are broadcast and pages
+never cross the network; beyond it both are joined by host, and Spark splits the join partition of a host that
+has a third of all pages. Constants are counted with map-side sums. A task holds one page and one reference tree
+at a time.
 
 Defined results: NULL and empty html give an empty text; a NULL or unreadable url belongs to the host '';
 a host with fewer than ``MIN_PAGES`` pages has no constants; rows with the same page id stay apart; an
@@ -28,13 +31,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweir.llm.components import stored
 from logweir.llm.html import INLINE, RAW, VOID, Block, Node, blocks, parse
-from logweir.session import work_dir
 
 MIN_PAGES = 8
 CONSTANT_SHARE = 0.6
 ARTICLE_SHARE = 0.95  # inside an explicit article a block must be nearly everywhere to count as template
 LINK_SHARE = 0.7
+BROADCAST_BYTES = 32 << 20
 ZONE_TAGS = frozenset("nav header footer aside form button select input dialog menu head noscript".split())
 ZONE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog menu alert".split())
 ZONE_WORDS = frozenset(
@@ -173,14 +177,13 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = CONSTANT_SHARE) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of every page, and the number of template blocks taken out."""
-    spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    references = rows.groupBy("host").agg(F.min_by("html", "page_id").alias("reference"))
-    folder = work_dir(spark, "wrapper")
-    (rows.join(references, "host").select("page_id", "url", "host", "html", "reference")
-     .mapInPandas(_aligned, f"page_id bigint, url string, host string, found {BLOCKS}").write.parquet(folder))
-    aligned = spark.read.parquet(folder)
+    references = stored(rows.groupBy("host").agg(F.min_by("html", "page_id").alias("reference")), "references")
+    size = references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
+    sent = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
+    aligned = stored(rows.join(sent(references), "host").select("page_id", "url", "host", "html", "reference").mapInPandas(
+        _aligned, f"page_id bigint, url string, host string, found {BLOCKS}"), "wrapper")
 
     sizes = aligned.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     texts = (aligned.select("host", F.explode("found").alias("b")).where("b.node >= 0")
@@ -193,7 +196,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = CONSTAN
         constant = F.struct(block["node"].alias("node"), F.xxhash64(block["text"]).alias("hash"))
         return F.col("template").isNull() | ~F.array_contains("template", constant)
 
-    kept = aligned.join(template, "host", "left").select(
+    kept = aligned.join(sent(stored(template, "template")), "host", "left").select(
         "page_id", "url", F.size("found").alias("n_found"), F.filter("found", varies).alias("kept"))
     text = F.array_join(F.transform("kept", lambda block: block["text"]), "\n\n")
     return kept.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"),
