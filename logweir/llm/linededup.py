@@ -65,7 +65,9 @@ def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text",
                  min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Per document that loses lines: ``l_bitmap``, its words with a dropped line; bit i of word w is line 64w+i."""
     rows = long_lines(docs, id, text, min_chars)
-    dropped = rows.join(frequent_keys(rows, min_docs), KEY).where("l_doc != l_keeper")
+    # Dealt evenly first, the keys get an exchange of their own, and Spark can split a hot key in the join.
+    keys = frequent_keys(rows, min_docs).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dropped = rows.join(keys, KEY).where("l_doc != l_keeper")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("l_pos") % 64)
     words = (dropped.groupBy(*ROW, F.floor(F.col("l_pos") / 64).cast("int").alias("word"))
              .agg(F.bit_or(bit).alias("dropped")))
