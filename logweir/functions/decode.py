@@ -17,16 +17,24 @@ from logweir.schema import EVENT_COLUMNS
 
 OK = "ok"
 ERROR_PARSE = "error_parse"
+ERROR_LIMIT = "error_limit"
 
 TEXT_KEYS = ("event_id", "source", "level", "message")
 TIME_KEYS = ("received_at", "event_time")
 
 # The standard JSON grammar: Spark's reader allows single quotes and NaN unless told otherwise.
-STRICT_JSON = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
+# The parser's own limits would refuse valid documents, so they are lifted; nesting is bounded by
+# the thread's stack, and what is nested deeper, or has a longer key, is told apart as ERROR_LIMIT.
+MAX_DEPTH = 3_000
+MAX_KEY = 50_000
+STRICT_JSON = (
+    "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false', "
+    f"'maxNestingDepth', '{MAX_DEPTH}', 'maxNumLen', '{2**31 - 1}', 'maxStringLen', '{2**31 - 1}')"
+)
 
 RFC3339 = (
     r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?"
-    r"(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"
+    r"(Z|[+-]([01]\d|2[0-3]):[0-5]\d)\z"
 )
 
 
@@ -56,6 +64,20 @@ def objects_sql(text: str) -> str:
     return f"from_json(concat('[', {text}, ']'), 'array<map<string,variant>>', {STRICT_JSON})"
 
 
+def one_value_sql(text: str) -> str:
+    """True when the text is exactly one JSON value, NULL or false otherwise."""
+    as_member = f"from_json(concat('{{\"d\":', {text}, '}}'), 'map<string,variant>', {STRICT_JSON})"
+    as_element = f"from_json(concat('[', {text}, ']'), 'array<variant>', {STRICT_JSON})"
+    return f"(map_keys({as_member}) = array('d') AND size({as_element}) = 1)"
+
+
+def beyond_limits_sql(text: str) -> str:
+    """Whether a text that does not parse may be valid JSON beyond what the parser can hold."""
+    openers = f"length({text}) - length(translate({text}, '[{{', ''))"
+    return (f"(octet_length({text}) > {MAX_DEPTH} AND ({openers} >= {MAX_DEPTH} "
+            f"OR {text} RLIKE r'\"[^\"]{{{MAX_KEY},}}\"'))")
+
+
 def closes_early_sql(text: str) -> str:
     """True when the first object is followed by a ``]`` of the text's own, as in ``{} ] x``.
 
@@ -106,7 +128,8 @@ def _value(place: int, name: str) -> str:
 def parse_events(df: DataFrame, col: str = "raw_event", missing_time: str | None = None) -> DataFrame:
     """Decode column ``col`` into the event columns and ``parse_status``.
 
-    Rows that break a rule keep their other columns, get NULL event columns and ``error_parse``.
+    Rows that break a rule keep their other columns, get NULL event columns and ``error_parse``, or
+    ``error_limit`` where the text may be valid but is nested too deep, or has too long a key, to read.
     A missing event time is NULL, or year 1 with ``missing_time="zero"``.
     """
     if missing_time not in (None, "zero"):
@@ -173,5 +196,6 @@ def parse_events(df: DataFrame, col: str = "raw_event", missing_time: str | None
     return judged.selectExpr(
         *kept,
         *[f"CASE WHEN _ok THEN {results[name]} END AS {name}" for name in EVENT_COLUMNS],
-        f"CASE WHEN _ok THEN '{OK}' ELSE '{ERROR_PARSE}' END AS parse_status",
+        f"CASE WHEN _ok THEN '{OK}' WHEN {beyond_limits_sql(payload)} THEN '{ERROR_LIMIT}' "
+        f"ELSE '{ERROR_PARSE}' END AS parse_status",
     )

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweir.functions.decode import objects_sql, one_value_sql
+
 # The placeholder and the fields redacted unless configured otherwise.
 PLACEHOLDER = "[REDACTED]"
 DEFAULT_FIELDS = "email,password,credit_card,ssn"
@@ -21,7 +23,8 @@ def redact(events: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Replace the value of each top-level ``metadata`` key in ``fields`` and flag the event.
 
     Metadata that is no JSON object, or has no such key, is left as it is. A key can only be there
-    when its text is, or when the text has an escape, so all other rows skip the JSON parse.
+    when its text is, or when the text has an escape, so all other rows skip the JSON parse. A suspect
+    text that cannot be read as JSON is never passed on: all of it is replaced, and the event flagged.
     """
     if fields is None:
         fields = parse_redaction_fields()
@@ -34,21 +37,14 @@ def redact(events: DataFrame, fields: list[str] | None = None) -> DataFrame:
     metadata = F.col("metadata")
     needles = [F.contains(metadata, F.lit(field)) for field in fields]
     suspect = reduce(lambda a, b: a | b, needles, F.contains(metadata, F.lit("\\")))
-    wrapped = F.concat(F.lit("["), metadata, F.lit("]"))
-    # The same text must be one object both as an array element and as a member.
-    as_member = F.try_parse_json(F.concat(F.lit('{"d":'), metadata, F.lit("}")))
     names = F.array(*[F.lit(field) for field in fields])
-    staged = events.withColumn("_docs", F.when(suspect, F.try_parse_json(wrapped)))
-    staged = staged.withColumn("_docs", F.col("_docs").try_cast("array<map<string,variant>>"))
-    staged = staged.withColumn(
-        "_object", F.when(F.size("_docs") == 1, F.try_element_at("_docs", F.lit(1)))
-    )
-    staged = staged.withColumn(
-        "_hit",
-        F.coalesce(
-            F.arrays_overlap(F.map_keys("_object"), names) & as_member.isNotNull(), F.lit(False)
-        ),
-    )
+    staged = events.withColumn("_suspect", F.coalesce(suspect, F.lit(False)))
+    staged = staged.withColumn("_docs", F.expr(f"CASE WHEN _suspect THEN {objects_sql('metadata')} END"))
+    # The same text must be one value both as an array element and as a member.
+    staged = staged.withColumn("_valid", F.expr(f"CASE WHEN _suspect THEN coalesce({one_value_sql('metadata')}, false) END"))
+    staged = staged.withColumn("_object", F.when((F.size("_docs") == 1) & F.col("_valid"), F.try_element_at("_docs", F.lit(1))))
+    staged = staged.withColumn("_hit", F.coalesce(F.arrays_overlap(F.map_keys("_object"), names), F.lit(False)))
+    unread = F.col("_suspect") & ~F.col("_valid")
     placeholder = F.parse_json(F.lit(f'"{PLACEHOLDER}"'))
     cleaned = F.to_json(
         F.transform_values(
@@ -57,7 +53,7 @@ def redact(events: DataFrame, fields: list[str] | None = None) -> DataFrame:
         )
     )
     replaced = {
-        "metadata": F.when(F.col("_hit"), cleaned).otherwise(metadata),
-        "pii_redacted": F.col("_hit") | F.coalesce(F.col("pii_redacted"), F.lit(False)),
+        "metadata": F.when(F.col("_hit"), cleaned).when(unread, F.lit(f'"{PLACEHOLDER}"')).otherwise(metadata),
+        "pii_redacted": F.col("_hit") | unread | F.coalesce(F.col("pii_redacted"), F.lit(False)),
     }
     return staged.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in columns])

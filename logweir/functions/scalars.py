@@ -44,9 +44,17 @@ def within_size(body: Column, max_bytes: int = MAX_BODY_BYTES) -> Column:
     return F.coalesce(F.octet_length(body), F.lit(0)) <= max_bytes
 
 
+def _term_nanos(number: Column, unit: Column) -> Column:
+    """Whole nanoseconds of one term. Digits after the point are cut, never rounded up."""
+    whole = F.coalesce(F.regexp_extract(number, r"^\d*", 0).try_cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)"))
+    digits = F.substring(F.regexp_extract(number, r"\.(\d*)", 1), 1, 18)
+    part = F.coalesce(digits.try_cast("double"), F.lit(0.0)) * (unit / F.pow(F.lit(10.0), F.length(digits)))
+    return (whole * unit.cast("decimal(19,0)") + F.floor(part).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def parse_duration_ms(text: Column) -> Column:
     """Whole milliseconds of a duration such as ``1h15m30.5s``; NULL when malformed or too long."""
-    whole = text.rlike(rf"^[+-]?({DURATION_TERM})+$")
+    whole = text.rlike(rf"^[+-]?({DURATION_TERM})+\z")
     amounts = F.regexp_extract_all(text, F.lit(DURATION_TERM), F.lit(1))
     units = F.regexp_extract_all(text, F.lit(DURATION_TERM), F.lit(2))
     table = F.create_map(*[F.lit(x) for pair in UNIT_NANOS.items() for x in pair])
@@ -54,10 +62,7 @@ def parse_duration_ms(text: Column) -> Column:
         F.zip_with(
             amounts,
             units,
-            # Whole nanoseconds per term; a fraction of a nanosecond is dropped.
-            lambda n, u: F.floor(
-                n.try_cast("decimal(28,9)") * F.try_element_at(table, u).cast("decimal(19,0)")
-            ).cast("decimal(38,0)"),
+            lambda n, u: _term_nanos(n, F.try_element_at(table, u)),
         ),
         F.lit(0).cast("decimal(38,0)"),
         lambda total, term: (total + term).cast("decimal(38,0)"),
@@ -78,7 +83,7 @@ def parse_message_id(text: Column) -> Column:
     seq = F.when(F.contains(text, F.lit("-")), F.split_part(text, F.lit("-"), F.lit(2))).otherwise("0")
     exact = F.struct(ms.alias("ms"), seq.try_cast("long").alias("seq"))
     return (
-        F.when(text == "-", low).when(text == "+", high).when(text.rlike(r"^\d+(-\d+)?$"), exact)
+        F.when(text == "-", low).when(text == "+", high).when(text.rlike(r"^\d+(-\d+)?\z"), exact)
     )
 
 

@@ -98,29 +98,32 @@ def ingest_rows(
 
     ``event_status`` is ``accepted``, ``error_parse``, ``error_size``, ``error_media_type`` or, for
     good lines of an NDJSON request that ended in an error, ``uncounted``: those are ingested, but
-    no counter has them.
+    no counter has them. Lines past the limits are decoded like all others, under ``past_limit``.
     """
     admitted = authenticate(requests.where(F.col("method") == "POST"), api_keys, as_of)
     staged = request_lines(admitted, max_bytes, line_limit)
     request_error = F.when(F.col("media") == "error_media_type", "error_media_type").when(
         ~F.col("size_ok") & F.col("line_ok"), "error_size"
     )
-    entry = F.transform(
-        F.filter("lines", lambda line: (F.col("media") == "json") | ~line.isin("", "\r")),
-        lambda line: F.struct(F.lit(None).cast("string").alias("request_error"), line.alias("raw")),
+    entry = F.filter(
+        F.transform("lines", lambda line, i: F.struct(
+            F.lit(None).cast("string").alias("request_error"), line.alias("raw"), (i >= F.col("read_to")).alias("past"))),
+        lambda x: (F.col("media") == "json") | ~x["raw"].isin("", "\r"),
     )
     error_entry = F.when(
         request_error.isNotNull(),
-        F.array(F.struct(request_error.alias("request_error"), F.lit(None).cast("string").alias("raw"))),
-    ).otherwise(F.array().cast("array<struct<request_error:string,raw:string>>"))
+        F.array(F.struct(request_error.alias("request_error"), F.lit(None).cast("string").alias("raw"),
+                         F.lit(False).alias("past"))),
+    ).otherwise(F.array().cast("array<struct<request_error:string,raw:string,past:boolean>>"))
     rows = staged.select(
         "request_id", "media", (F.col("size_ok") & F.col("line_ok")).alias("finished"),
         F.explode(F.concat(entry, error_entry)).alias("entry"),
-    ).select("request_id", "media", "finished", "entry.request_error", F.col("entry.raw").alias("raw_event"))
+    ).select("request_id", "media", "finished", "entry.request_error", F.col("entry.raw").alias("raw_event"), "entry.past")
     # A trailing carriage return is blank space to JSON, so lines need no trimming here.
     return parse_events(rows).withColumn(
         "event_status",
         F.when(F.col("request_error").isNotNull(), F.col("request_error"))
+        .when(F.col("past"), "past_limit")
         .when(F.col("parse_status") != OK, ERROR_PARSE)
         .when(F.col("finished"), "accepted")
         .otherwise("uncounted"),

@@ -16,9 +16,8 @@ from logweir.functions.scalars import id_from_rank, id_rank, parse_message_id
 
 DEFAULT_COUNT = 100
 
-# Fan-out of one histogram pass of the trim search, and the rows it may leave to a top-k.
+# Fan-out of one histogram pass of the trim search.
 TRIM_BUCKETS = 4_096
-TRIM_TOP = 100_000
 
 
 def _pending() -> Column:
@@ -58,10 +57,17 @@ def consumer_info(deliveries: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def pending_by_consumer(deliveries: DataFrame) -> DataFrame:
+    """Pending messages per group and consumer; consumers without any are left out."""
+    counts = deliveries.groupBy("stream", "grp", "consumer").agg(F.count_if(_pending()).alias("pending"))
+    return counts.where("pending > 0")
+
+
 def pending_summary(deliveries: DataFrame) -> DataFrame:
-    """Per group: total pending, first and last pending id, and the count of each consumer.
+    """Per group: total pending, first and last pending id, and the number of consumers with any.
 
-    Groups with nothing pending have total 0 and no ids or counts.
+    Groups with nothing pending have total 0 and no ids. The counts of the consumers are rows of
+    ``pending_by_consumer``; ``pending_totals`` has them as the map of one named group.
     """
     rank = F.when(_pending(), id_rank(F.col("message_id")))
     per_consumer = deliveries.groupBy("stream", "grp", "consumer").agg(
@@ -71,19 +77,22 @@ def pending_summary(deliveries: DataFrame) -> DataFrame:
         F.sum("n").alias("total"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
-        # One entry per consumer with pending messages, which is what the report lists.
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("n") > 0, F.struct("consumer", "n")))
-        ).alias("counts"),
+        F.count_if(F.col("n") > 0).alias("consumers"),
     )
     return totals.select(
         "stream", "grp", "total",
         id_from_rank(F.col("first")).alias("first_message_id"),
         id_from_rank(F.col("last")).alias("last_message_id"),
-        F.when(F.size("counts") > 0, F.col("counts")).alias("consumer_totals"),
+        "consumers",
     )
 
 
+def pending_totals(deliveries: DataFrame, stream: str, group: str) -> DataFrame:
+    """The one named group's pending counts as a map from consumer to number."""
+    own = pending_by_consumer(deliveries.where((F.col("stream") == stream) & (F.col("grp") == group)))
+    return own.agg(F.map_from_entries(F.collect_list(F.struct("consumer", "pending"))).alias("consumer_totals"))
+
+
 def id_at_least(message_id: Column, ms: Column | int, seq: Column | int) -> Column:
     """``message_id >= (ms, seq)``; the plain bound on ``ms`` reaches the scan's statistics."""
     return (message_id["ms"] >= ms) & ((message_id["ms"] > ms) | (message_id["seq"] >= seq))
@@ -195,31 +204,27 @@ def _newest_cutoff(messages: DataFrame, keep: int) -> int | None:
 
     Each pass counts the ids per equal slice of the range still in question, at most
     ``TRIM_BUCKETS`` counts, walks them from the newest, and goes on inside the one slice that
-    holds the cutoff. A slice of few ids is finished by a top-k. The slices shrink down to one id,
-    so a millisecond shared by a third of all messages is no harder than an even spread.
+    holds the cutoff, between its smallest and largest id, until the slice is one id. A millisecond
+    shared by a third of all messages is thus no harder than an even spread.
     """
     rank = id_rank(F.col("message_id"))
     bounds = messages.agg(F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.count("*").alias("n")).first()
     if bounds["n"] <= keep:
         return None
-    low, high, inside = int(bounds["lo"]), int(bounds["hi"]), bounds["n"]
-    while inside > TRIM_TOP and low < high:
+    low, high = int(bounds["lo"]), int(bounds["hi"])
+    while low < high:
         width = (high - low) // TRIM_BUCKETS + 1
         slices = (
             _between(messages, low, high)
-            .select(F.expr(f"int((rank - {low}BD) div {width}BD)").alias("slice"))
-            .groupBy("slice").count()
+            .groupBy(F.expr(f"int((rank - {low}BD) div {width}BD)").alias("slice"))
+            .agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"))
         )
         for row in sorted(slices.collect(), key=lambda r: -r["slice"]):
-            if row["count"] >= keep:
-                low, high = low + row["slice"] * width, min(high, low + (row["slice"] + 1) * width - 1)
-                inside = row["count"]
+            if row["n"] >= keep:
+                low, high = int(row["lo"]), int(row["hi"])
                 break
-            keep -= row["count"]
-    if low == high:
-        return low
-    newest = _between(messages, low, high).orderBy(F.desc("rank")).limit(keep)
-    return int(newest.agg(F.min("rank").alias("cutoff")).first()["cutoff"])
+            keep -= row["n"]
+    return low
 
 
 def _between(messages: DataFrame, low: int, high: int) -> DataFrame:

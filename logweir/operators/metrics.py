@@ -48,7 +48,7 @@ def events_by_status(
     """The ingest counter per status, over the admitted POST requests."""
     return (
         ingest_rows(requests, api_keys, as_of, **limits)
-        .where(F.col("event_status") != "uncounted")
+        .where(~F.col("event_status").isin("uncounted", "past_limit"))
         .groupBy(F.col("event_status").alias("status"))
         .agg(F.count("*").alias("events"))
     )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweir.functions.decode import one_value_sql
+
 # Fixed value: 32 hex digits, a hyphen allowed after each group of four, braces allowed around.
-UUID = r"^(\{[0-9a-fA-F]{4}(-?[0-9a-fA-F]{4}){7}\}|[0-9a-fA-F]{4}(-?[0-9a-fA-F]{4}){7})$"
+UUID = r"^(\{[0-9a-fA-F]{4}(-?[0-9a-fA-F]{4}){7}\}|[0-9a-fA-F]{4}(-?[0-9a-fA-F]{4}){7})\z"
 # A missing event time is kept as NULL, so it is not among them.
 REQUIRED = ("received_at", "source", "level", "message")
 
@@ -23,10 +25,7 @@ def invalid_reason(check_metadata: bool = True) -> Column:
         reason = reason.when(F.col(name).isNull(), f"{name} is null")
     if not check_metadata:
         return reason
-    as_member = F.try_parse_json(F.concat(F.lit('{"d":'), F.col("metadata"), F.lit("}")))
-    as_element = F.try_parse_json(F.concat(F.lit("["), F.col("metadata"), F.lit("]")))
-    one_value = as_member.isNotNull() & (F.size(as_element.try_cast("array<variant>")) == 1)
-    broken = F.col("metadata").isNotNull() & ~F.coalesce(one_value, F.lit(False))
+    broken = F.expr(f"metadata IS NOT NULL AND NOT coalesce({one_value_sql('metadata')}, false)")
     return reason.when(broken, "metadata is not json")
 
 

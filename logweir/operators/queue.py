@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from logweir.operators.keyed import insert_if_absent
 from logweir.schema import LOG_BUFFER
 
-# A claimed batch of up to this many ids is a few MB and may be broadcast.
-BROADCAST_IDS = 100_000
-
 
 def insert_queue(log_buffer: DataFrame, events: DataFrame) -> DataFrame:
     """Queue the events whose id is not queued yet: no group, not acknowledged, no retries."""
@@ -39,9 +36,9 @@ def read_queue_batch(log_buffer: DataFrame, group: str, count: int) -> DataFrame
     )
 
 
-def _marked(log_buffer: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
+def _marked(log_buffer: DataFrame, ids: DataFrame) -> DataFrame:
     named = ids.select("id").distinct().withColumn("_named", F.lit(True))
-    return log_buffer.join(F.broadcast(named) if small else named, "id", "left")
+    return log_buffer.join(named, "id", "left")
 
 
 def claim_queue(log_buffer: DataFrame, group: str, count: int) -> DataFrame:
@@ -49,7 +46,7 @@ def claim_queue(log_buffer: DataFrame, group: str, count: int) -> DataFrame:
     batch = read_queue_batch(log_buffer, group, count)
     owner = F.when(F.col("_named"), F.lit(group)).otherwise(F.col("consumer_group"))
     return (
-        _marked(log_buffer, batch, count <= BROADCAST_IDS)
+        _marked(log_buffer, batch)
         .withColumn("consumer_group", owner)
         .select(*log_buffer.columns)
     )
@@ -59,7 +56,7 @@ def ack_queue(log_buffer: DataFrame, ids: DataFrame, group: str) -> DataFrame:
     """New queue state: the named rows of the group are acknowledged, all others unchanged."""
     hit = F.col("_named") & (F.col("consumer_group") == group)
     return (
-        _marked(log_buffer, ids, False)
+        _marked(log_buffer, ids)
         .withColumn("acknowledged", F.coalesce(hit, F.lit(False)) | F.col("acknowledged"))
         .select(*log_buffer.columns)
     )

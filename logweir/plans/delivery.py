@@ -46,15 +46,14 @@ def pending_summary(spark, sf_dir):
         "stream", "grp", "total",
         F.col("first_message_id.ms").alias("first_ms"), F.col("first_message_id.seq").alias("first_seq"),
         F.col("last_message_id.ms").alias("last_ms"), F.col("last_message_id.seq").alias("last_seq"),
-        F.size("consumer_totals").cast("long").alias("consumers"),
+        "consumers",
     )
 
 
 @query("pending_consumers", BASE + """
-SELECT grp, consumer, count(*) AS pending FROM deliveries WHERE acked_at IS NULL GROUP BY grp, consumer""")
+SELECT stream, grp, consumer, count(*) AS pending FROM deliveries WHERE acked_at IS NULL GROUP BY stream, grp, consumer""")
 def pending_consumers(spark, sf_dir):
-    summary = ledger.pending_summary(V.deliveries(spark, sf_dir))
-    return summary.select("grp", F.explode("consumer_totals").alias("consumer", "pending"))
+    return ledger.pending_by_consumer(V.deliveries(spark, sf_dir))
 
 
 START_MS = 1_704_672_000_000  # 2024-01-08

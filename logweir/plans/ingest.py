@@ -20,6 +20,8 @@ from logweir.sources.files import scan_ndjson
 from logweir.sources.requests import explode_requests
 
 TEXT_LIMIT, TEXT_LINE = 8_192, 4_096
+# A size in the middle of the bodies, for the label alone.
+LABEL_LIMIT = 260
 
 
 def as_of() -> Column:
@@ -74,7 +76,7 @@ SELECT strftime(event_time, '%Y-%m-%d') AS event_date, level, count(*) AS events
 FROM ev GROUP BY ALL""")
 def redacted_per_day(spark, sf_dir):
     """Decode, redact and count: the whole narrow path under one aggregation."""
-    lines = V.log_events(spark, sf_dir, heavy=True).select(
+    lines = V.log_events(spark, sf_dir).select(
         F.to_json(F.struct("event_id", "event_time", "level", F.parse_json("metadata").alias("metadata")),
                   {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("raw_event")
     )
@@ -101,11 +103,11 @@ def enrich_ids(spark, sf_dir):
 
 
 @query("media_and_size", S.with_(S.EV, S.KEYS, S.REQUESTS) + f"""
-SELECT request_id, media, bytes <= {S.BODY_LIMIT} AS size_ok FROM sized""")
+SELECT request_id, media, bytes <= {LABEL_LIMIT} AS size_ok FROM sized""")
 def media_and_size(spark, sf_dir):
     return V.requests(spark, sf_dir).select(
         "request_id", classify_media_type(F.col("content_type")).alias("media"),
-        within_size(F.col("body"), S.BODY_LIMIT).alias("size_ok"),
+        within_size(F.col("body"), LABEL_LIMIT).alias("size_ok"),
     )
 
 
@@ -116,22 +118,19 @@ WITH lines AS (
   FROM documents),
 placed AS (
   SELECT doc_id, pos, line, strlen(CAST(to_json(line) AS VARCHAR)) + 12 AS bytes FROM lines),
-started AS (
-  SELECT *, CAST(sum(bytes + 1) OVER (PARTITION BY doc_id ORDER BY pos) - bytes - 1 AS BIGINT) AS begin FROM placed),
-reached AS (
-  SELECT *, least(bytes, {TEXT_LIMIT} - begin) AS got FROM started WHERE begin < {TEXT_LIMIT}),
-kept AS (
-  SELECT *, max(CASE WHEN got >= {TEXT_LINE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS stopped
-  FROM reached)
-SELECT doc_id AS request_id, pos AS line_no, got = bytes AS decoded,
-       CASE WHEN got = bytes THEN md5(line) END AS message_md5
-FROM kept WHERE stopped = 0""")
+ended AS (
+  SELECT *, CAST(sum(bytes + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS BIGINT) AS stop,
+         max(CASE WHEN bytes >= {TEXT_LINE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS stopped
+  FROM placed)
+SELECT doc_id AS request_id, pos AS line_no, TRUE AS decoded, md5(line) AS message_md5,
+       stopped = 1 OR stop > {TEXT_LIMIT} AS past_limit
+FROM ended""")
 def exploded(spark, sf_dir):
-    """Long texts as request bodies, cut at the body limit and stopped by an over-long line."""
+    """All lines of long texts as request bodies, with those beyond the limits marked."""
     rows = explode_requests(V.text_requests(spark, sf_dir), TEXT_LIMIT, TEXT_LINE)
     return parse_events(rows).select(
         "request_id", F.col("line_no").cast("long").alias("line_no"),
-        (F.col("parse_status") == OK).alias("decoded"), F.md5("message").alias("message_md5"),
+        (F.col("parse_status") == OK).alias("decoded"), F.md5("message").alias("message_md5"), "past_limit",
     )
 
 
@@ -145,28 +144,18 @@ def request_outcome(spark, sf_dir):
 
 
 def outcomes(spark, sf_dir):
-    return auth.request_outcome(
-        V.requests(spark, sf_dir), V.api_keys(spark, sf_dir), as_of(), S.BODY_LIMIT
-    )
+    return auth.request_outcome(V.requests(spark, sf_dir), V.api_keys(spark, sf_dir), as_of())
 
 
-@query("events_by_status", S.with_(S.EV, S.KEYS, S.REQUESTS, f"""counted AS (
-  SELECT *, bytes > {S.BODY_LIMIT} AS over, {S.BODY_LIMIT} AS m, g + b + 3 AS s4, 2 * g + b + 5 AS s5
-  FROM outcomes WHERE method = 'POST' AND authenticated),
-parts AS (
-  SELECT 'error_media_type' AS status, CASE WHEN label = 'error_media_type' THEN 1 ELSE 0 END AS k FROM counted
-  UNION ALL SELECT 'error_size', CASE WHEN label = 'error_size' THEN 1 ELSE 0 END FROM counted
-  UNION ALL SELECT 'accepted', CASE WHEN label = 'accepted' THEN CASE media WHEN 'json' THEN 1 ELSE 3 END ELSE 0 END FROM counted
-  UNION ALL SELECT 'error_parse', CASE WHEN label = 'error_media_type' THEN 0
-     WHEN media = 'json' THEN CASE WHEN label = 'error_parse' THEN 1 ELSE 0 END
-     WHEN NOT over THEN 1
-     ELSE CAST(m > g + 1 AS INTEGER) + CAST(s4 < m AND m < s4 + g AS INTEGER)
-        + CAST(s5 < m AND m < s5 + g AS INTEGER) + CAST(m < g AS INTEGER) END FROM counted)""") + """
-SELECT status, CAST(sum(k) AS BIGINT) AS events FROM parts GROUP BY status HAVING sum(k) > 0""")
+@query("events_by_status", S.with_(S.EV, S.KEYS, S.REQUESTS, """parts AS (
+  SELECT label AS status, 1 AS k FROM outcomes
+  WHERE method = 'POST' AND authenticated AND label IN ('error_media_type', 'error_size')
+  UNION ALL SELECT 'accepted', CASE media WHEN 'json' THEN 1 ELSE 3 END FROM outcomes WHERE label = 'accepted'
+  UNION ALL SELECT 'error_parse', 1 FROM outcomes
+  WHERE label = 'error_parse' OR (media = 'ndjson' AND label = 'accepted'))""") + """
+SELECT status, CAST(sum(k) AS BIGINT) AS events FROM parts GROUP BY status""")
 def events_by_status(spark, sf_dir):
-    return metrics.events_by_status(
-        V.requests(spark, sf_dir), V.api_keys(spark, sf_dir), as_of(), max_bytes=S.BODY_LIMIT
-    )
+    return metrics.events_by_status(V.requests(spark, sf_dir), V.api_keys(spark, sf_dir), as_of())
 
 
 @query("bytes_total", S.with_(S.EV, S.KEYS, S.REQUESTS) + """
@@ -218,14 +207,15 @@ def reject(spark, sf_dir):
 
 
 @query("invalid_rows", S.with_(S.EV) + """
-SELECT n, CASE WHEN level = 'click' AND user_id % 2 = 0 THEN 'event_id is not a uuid'
+SELECT n, CASE WHEN level IN ('click', 'signup') AND user_id % 2 = 0 THEN 'event_id is not a uuid'
                WHEN level = 'error' AND user_id % 2 = 0 THEN 'source is null'
                ELSE 'metadata is not json' END AS reason
-FROM ev WHERE (level = 'click' AND user_id % 2 = 0) OR (level = 'error' AND user_id % 2 = 0) OR level = 'view'""")
+FROM ev WHERE (level IN ('click', 'signup') AND user_id % 2 = 0) OR (level = 'error' AND user_id % 2 = 0) OR level = 'view'""")
 def invalid_rows(spark, sf_dir):
     level, even = F.col("level"), F.col("user_id") % 2 == 0
     events = V.log_events(spark, sf_dir).withColumns({
-        "event_id": F.when((level == "click") & even, F.concat("event_id", F.lit("x"))).otherwise(F.col("event_id")),
+        "event_id": F.when((level == "click") & even, F.concat("event_id", F.lit("x"))).when(
+            (level == "signup") & even, F.concat("event_id", F.lit("\n"))).otherwise(F.col("event_id")),
         "source": F.when(~((level == "error") & even), F.col("source")),
         "metadata": F.when(level == "view", F.concat("metadata", F.lit("]"))).otherwise(F.col("metadata")),
     })
@@ -244,6 +234,7 @@ SELECT event_id AS n,
                        WHEN 'view' THEN CAST(event_id * 1000 + user_id AS VARCHAR)
                        WHEN 'signup' THEN CAST(-60000 * user_id AS VARCHAR)
                        WHEN 'purchase' THEN CAST(event_id // 1000 AS VARCHAR)
+                       WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN CAST(event_id * 1000 + 999 AS VARCHAR) ELSE 'invalid' END
                        ELSE 'invalid' END AS millis
 FROM events""")
 def parse_duration(spark, sf_dir):
@@ -253,6 +244,8 @@ def parse_duration(spark, sf_dir):
         .when(kind == "view", F.concat(n, F.lit("s"), user, F.lit("ms")))
         .when(kind == "signup", F.concat(F.lit("-"), user, F.lit("m")))
         .when(kind == "purchase", F.concat(n, F.lit("µs")))
+        .when((kind == "error") & (n % 3 == 0), F.concat(n, F.lit(".9999999999s")))
+        .when((kind == "error") & (n % 3 == 1), F.concat(n, F.lit("s\n")))
         .otherwise(F.concat(n, F.lit(" s")))
     )
     millis = F.coalesce(parse_duration_ms(text).cast("string"), F.lit("invalid"))
@@ -274,6 +267,7 @@ def message_id(spark, sf_dir):
         .when(kind == "view", ms.cast("string"))
         .when(kind == "signup", "-")
         .when(kind == "purchase", "+")
+        .when(n % 2 == 0, F.concat(ms, F.lit("-5\n")))
         .otherwise(F.concat(ms, F.lit("-x")))
     )
     parsed = V.table(spark, sf_dir, "events").select(n.alias("n"), parse_message_id(text).alias("id"))

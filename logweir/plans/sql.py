@@ -67,8 +67,8 @@ valid_keys AS (
   SELECT key FROM api_keys
   WHERE is_active AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-02-01'))"""
 
-# Body limit of the request queries, in bytes.
-BODY_LIMIT = 260
+# Body limit of the request queries, in bytes: the default one.
+BODY_LIMIT = 1_048_576
 
 # Requests with the sizes and kinds of their body's parts instead of the body.
 REQUESTS = f"""requests AS (

@@ -34,9 +34,12 @@ def scan_ndjson(reader: DataFrameReader | DataStreamReader, path: str) -> DataFr
 def scan_json_documents(
     spark: SparkSession, path: str, max_bytes: int = MAX_BODY_BYTES
 ) -> DataFrame:
-    """One payload per file. Files over the body limit are refused unread, so a row stays small."""
-    bodies = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") <= max_bytes)
-    return bodies.select(F.col("value").alias("raw_event"), F.col("_metadata.file_path").alias("file"))
+    """One payload per file, whatever its size; ``size_ok`` tells whether a body limit would admit it."""
+    size = F.col("_metadata.file_size")
+    return spark.read.text(path, wholetext=True).select(
+        F.col("value").alias("raw_event"), F.col("_metadata.file_path").alias("file"),
+        size.alias("bytes"), (size <= max_bytes).alias("size_ok"),
+    )
 
 
 def scan_segments(spark: SparkSession, path: str) -> DataFrame:

@@ -73,30 +73,35 @@ def test_over_long_line_comes_before_size(spark, keys):
     body = f"{LINE % 1}\n" + "x" * 200
     case = [("POST", "good", NDJSON, body)]
     assert outcomes(spark, keys, case, max_bytes=100, line_limit=64) == {0: (400, "error_line")}
-    assert outcomes(spark, keys, case, max_bytes=60, line_limit=64) == {0: (413, "error_size")}
+    assert outcomes(spark, keys, case, max_bytes=60, line_limit=500) == {0: (413, "error_size")}
     assert outcomes(spark, keys, case, line_limit=None) == {0: (202, "accepted")}
 
 
 def payloads(spark, body, media=NDJSON, **limits):
     rows = explode_requests(requests(spark, ("POST", "good", media, body)), **limits)
-    return [r["raw_event"] for r in rows.orderBy("line_no").collect()]
+    found = rows.orderBy("line_no").collect()
+    return [r["raw_event"] for r in found], [r["raw_event"] for r in found if not r["past_limit"]]
 
 
 def test_lines_of_a_request(spark):
-    assert payloads(spark, "a\r\n\n\r\nb\r\r\nc\n") == ["a", "b\r", "c"]
-    assert payloads(spark, "a\nb", media=JSON) == ["a\nb"]
-    assert payloads(spark, "a", media="text/plain") == []
-    assert payloads(spark, "abcdef", media=JSON, max_bytes=3) == []
-    assert payloads(spark, "ab\ncdef", max_bytes=5) == ["ab", "cd"]
-    assert payloads(spark, "ab\ncdef", max_bytes=3) == ["ab"]
-    assert payloads(spark, "ab\nabcd\nef", line_limit=4) == ["ab"]
-    assert payloads(spark, "ab\nabc\nef", line_limit=4) == ["ab", "abc", "ef"]
+    assert payloads(spark, "a\r\n\n\r\nb\r\r\nc\n")[0] == ["a", "b\r", "c"]
+    assert payloads(spark, "a\nb", media=JSON) == (["a\nb"], ["a\nb"])
+    assert payloads(spark, "a", media="text/plain") == ([], [])
+
+
+def test_limits_mark_lines_and_cut_none(spark):
+    assert payloads(spark, "abcdef", media=JSON, max_bytes=3) == (["abcdef"], [])
+    assert payloads(spark, "ab\ncdef", max_bytes=5) == (["ab", "cdef"], ["ab"])
+    assert payloads(spark, "ab\ncdef\ng", max_bytes=7) == (["ab", "cdef", "g"], ["ab", "cdef"])
+    assert payloads(spark, "ab\ncdef", max_bytes=3) == (["ab", "cdef"], ["ab"])
+    assert payloads(spark, "ab\nabcd\nef", line_limit=4) == (["ab", "abcd", "ef"], ["ab"])
+    assert payloads(spark, "ab\nabc\nef", line_limit=4) == (["ab", "abc", "ef"], ["ab", "abc", "ef"])
 
 
 def test_line_limit_boundary(spark):
     fits, long = "x" * 65_535, "x" * 65_536
-    assert payloads(spark, f"a\n{fits}\nb") == ["a", fits, "b"]
-    assert payloads(spark, f"a\n{long}\nb") == ["a"]
+    assert payloads(spark, f"a\n{fits}\nb")[1] == ["a", fits, "b"]
+    assert payloads(spark, f"a\n{long}\nb") == (["a", long, "b"], ["a"])
 
 
 def test_counters(spark, keys):
@@ -105,7 +110,7 @@ def test_counters(spark, keys):
         ("POST", "good", JSON, good), ("POST", "good", JSON, "[]"), ("POST", "good", JSON, "x" * 200),
         ("POST", "good", NDJSON, f"{good}\nbad\n\n{good}\r\n"), ("POST", "good", "text/plain", good),
         ("POST", "off", JSON, good), ("GET", "good", JSON, good),
-        # Over the limit: two lines are read whole, one is cut; none of them counts as accepted.
+        # Over the limit: two lines are within it, the others past it; none of them counts.
         ("POST", "good", NDJSON, "\n".join([good] * 20)),
         # An over-long line: what came before it is not counted either.
         ("POST", "good", NDJSON, f"{good}\n" + "y" * 35),
@@ -116,7 +121,10 @@ def test_counters(spark, keys):
         "accepted": 3, "error_parse": 2, "error_size": 1, "error_media_type": 1,
     }
     rows = metrics.events_by_status(requests(spark, *cases[7:]), keys, F.lit(NOW), **limits).collect()
-    assert {r["status"]: r["events"] for r in rows} == {"error_parse": 1, "error_size": 1}
+    assert {r["status"]: r["events"] for r in rows} == {"error_size": 1}
+    rows = metrics.ingest_rows(requests(spark, *cases[7:]), keys, F.lit(NOW), **limits)
+    found = {(r["request_id"], r["event_status"]): r["count"] for r in rows.groupBy("request_id", "event_status").count().collect()}
+    assert found == {(0, "uncounted"): 2, (0, "past_limit"): 18, (0, "error_size"): 1, (1, "uncounted"): 1, (1, "past_limit"): 1}
     total = metrics.bytes_total(requests(spark, *cases), keys, F.lit(NOW)).first()["bytes"]
     assert total == sum(len(c[3]) for c in cases if c[0] == "POST" and c[1] == "good")
 

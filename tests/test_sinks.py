@@ -159,8 +159,8 @@ def test_file_scans(spark, tmp_path):
     (tmp_path / "d" / "two.json").write_text('{"message":"a"}\n{"message":"b"}')
     docs = parse_events(scan_json_documents(spark, str(tmp_path / "d"))).collect()
     assert {(r["parse_status"], r["message"]) for r in docs} == {("ok", "whole"), ("error_parse", None)}
-    small = scan_json_documents(spark, str(tmp_path / "d"), max_bytes=25).collect()
-    assert [r["raw_event"] for r in small] == ['{\n"message":\n"whole"}\n']
+    sized = scan_json_documents(spark, str(tmp_path / "d"), max_bytes=25).collect()
+    assert sorted((r["bytes"], r["size_ok"]) for r in sized) == [(23, True), (31, False)]
 
 
 def test_unreachable_sinks_spill_and_others_raise(spark, two, tmp_path):
