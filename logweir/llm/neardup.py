@@ -12,12 +12,13 @@ Two documents are linked when their sets of five-word shingles have a Jaccard si
    by all bands with a chance of (1 - 0.85^8)^48 = 2e-7, and less above it.
 4. Star: every member of a bucket is compared with the bucket's smallest id. A pair is dropped when the sizes
    alone exclude the threshold, or when the Jaccard estimate from the registers, corrected for registers that
-   agree by chance, lies six standard deviations below it; the rest is verified on full sets. Components of
+   agree by chance, lies ``SIGMAS`` standard deviations below it; the rest is verified on full sets. Components of
    the verified links label the documents.
-5. Rest: buckets that still hold several labels (without their smallest id, which is done) are cut into blocks
-   of ``BLOCK`` members. Each pair of blocks is one small task that checks all pairs of different labels the same
-   way and returns only links that join two groups, so that nothing is emitted per pair. Every pair that shares
-   a bucket has then been compared or is known to be connected.
+5. Rest: buckets that still hold several labels (without their smallest id, which is done) are split into classes
+   of similar size, as linked sets differ by 1 - 1 / 0.85 at most: a class is compared with itself and with the
+   next one. Large classes are cut into blocks of ``BLOCK`` members, and each pair of blocks is one small cell that
+   checks all pairs of different labels the same way and returns only links that join two groups, so nothing is
+   emitted per pair. Every pair that shares a bucket has then been compared or is known to be connected.
 
 Sets hold 64-bit shingle hashes; two different shingles of a pair of documents collide with a chance of about
 n^2 / 2^64. Nothing grows on the driver: it sees one count per round of the component search.
@@ -33,7 +34,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +46,7 @@ BANDS = 48
 ROWS = 8
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-SIGMAS = 6.0
+SIGMAS = 5.0
 BLOCK = 128
 BLOCK_BYTES = 4 << 20
 NO_ID = -(2**63)
@@ -165,28 +165,56 @@ def _verified(percent: int):
     return run
 
 
-def _block_pair(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between members of two blocks (or inside one) that join groups not joined before."""
-        rows = rows.sort_values(["block", "id"])
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        ids, sizes, block = rows["id"].to_numpy(), rows["n"].to_numpy(np.float64), rows["block"].to_numpy()
-        table = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows), -1)
-        sets = [np.frombuffer(data, np.uint64) for data in rows["shingles"]]
-        group = rows["label"].to_numpy().copy()
-        found = []
-        for k in range(len(rows)):
-            if block[k] != i:
-                break
-            others = np.arange(k + 1, len(rows)) if i == j else np.flatnonzero(block == j)
-            others = others[group[others] != group[k]]
-            if len(others):
-                others = others[plausible(table[k], table[others], sizes[k], sizes[others], percent)]
-            for other in others:
-                if group[other] != group[k] and linked(sets[k], sets[other], percent):
-                    found.append((ids[k], ids[other]))
-                    group[group == group[other]] = group[k]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+CELL = ["key", "cell", "i", "j"]
+
+
+def _joining(rows: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links of one cell that join groups not joined before.
+
+    The rows are the own class first, then the next larger one (``upper``), whose members are not compared among
+    themselves. Cells of two different blocks leave pairs inside a block to the cell of that block alone.
+    """
+    i, j = rows[0]["i"], rows[0]["j"]
+    sets = [np.frombuffer(row["shingles"], np.uint64) for row in rows]
+    table = np.stack([registers(shingles) for shingles in sets])
+    sizes = np.asarray([len(shingles) for shingles in sets], np.float64)
+    group = np.asarray([row["label"] for row in rows])
+    block, upper = np.asarray([row["block"] for row in rows]), np.asarray([row["upper"] for row in rows])
+    found = []
+    for k, row in enumerate(rows):
+        if upper[k]:
+            continue
+        later = np.arange(len(rows)) > k
+        # Of two different blocks each member of the own class meets all of the other block, once.
+        others = (block != block[k]) & (upper | later) if i != j else later
+        others = np.flatnonzero(others & (group != group[k]))
+        if len(others):
+            others = others[plausible(table[k], table[others], sizes[k], sizes[others], percent)]
+        for other in others:
+            if group[other] != group[k] and linked(sets[k], sets[other], percent):
+                found.append((row["id"], rows[other]["id"]))
+                group[group == group[other]] = group[k]
+    return found
+
+
+def _cells(percent: int):
+    """Cells come by sorted: one is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links_of(rows: list[dict]) -> pa.RecordBatch:
+            links = _joining(rows, percent)
+            return pa.RecordBatch.from_pydict({name: pa.array([link[k] for link in links], pa.int64())
+                                               for k, name in enumerate(("a", "b"))})
+
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(row[name] != held[0][name] for name in CELL):
+                    yield links_of(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links_of(held)
 
     return run
 
@@ -226,26 +254,31 @@ def _star(members: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -
     return stored(_verify(likely, _sets(texts, ids), percent), "links")
 
 
-def _rest(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links between groups whose members share a bucket, found block by block."""
     open_rows = members.where("id != hub").join(labels, "id", "left").select(
         "key", "id", "n", F.coalesce("label", "id").alias("label"))
-    h = F.xxhash64("id")
-    keys = (open_rows.groupBy("key").agg(
+    own = F.floor(F.log(F.col("n")) / float(np.log(100 / percent))).cast("int")
+    open_rows = open_rows.select("*", F.explode(F.array(F.struct(own.alias("cell"), F.lit(False).alias("upper")),
+                                                        F.struct((own - 1).alias("cell"), F.lit(True).alias("upper")))).alias("c"))
+    open_rows = open_rows.select("key", "c.cell", "c.upper", "id", "n", "label")
+    h = F.xxhash64("id", "upper")
+    keys = (open_rows.groupBy("key", "cell").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles"),
-        F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s")).where("low != high"))
-    # Bands often gather the same members again: one bucket of each kind is enough.
-    keys = keys.groupBy("size", "x", "s").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"))
+        F.count_if("upper").alias("uppers"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s"))
+        .where("low != high AND uppers < size"))
+    # Bands often gather the same members again: one cell of each kind is enough.
+    keys = keys.groupBy("size", "x", "s", "cell").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("shingles") / BLOCK_BYTES))
-    keys = _spread(keys.select("key", blocks.cast("int").alias("blocks")))
-    rest = stored(open_rows.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")),
-                  "rest")
-    ids = rest.select("id").distinct()
-    data = _sets(texts, ids).join(reps.select("id", "registers"), "id")
-    cells = rest.join(data, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
-                         "id", "n", "label", "registers", "shingles")
-    return stored(cells.groupBy("key", "i", "j").applyInPandas(_block_pair(percent), "a bigint, b bigint"), "links")
+    keys = _spread(keys.select("key", "cell", blocks.cast("int").alias("blocks")))
+    rest = stored(open_rows.join(keys, ["key", "cell"]).withColumn(
+        "block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).drop("n"), "rest")
+    rows = rest.join(_sets(texts, rest.select("id").distinct()), "id").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = rows.select("key", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                        "block", "upper", "id", "label", "shingles")
+    cells = cells.repartition(*CELL).sortWithinPartitions(*CELL, "upper", "block", "id")
+    return stored(cells.mapInArrow(_cells(percent), "a bigint, b bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -265,7 +298,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 
     links = _star(members, reps, texts, percent)
     labels = components(links)
-    more = _rest(members, labels, reps, texts, percent)
+    more = _rest(members, labels, texts, percent)
     if not more.isEmpty():
         labels = components(links.union(more))
 
