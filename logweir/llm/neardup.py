@@ -14,11 +14,17 @@ Two documents are linked when their sets of five-word shingles have a Jaccard si
    alone exclude the threshold, or when the Jaccard estimate from the registers, corrected for registers that
    agree by chance, lies ``SIGMAS`` standard deviations below it; the rest is verified on full sets. Components of
    the verified links label the documents.
-5. Rest: buckets that still hold several labels (without their smallest id, which is done) are split into classes
-   of similar size, as linked sets differ by 1 - 1 / 0.85 at most: a class is compared with itself and with the
-   next one. Large classes are cut into blocks of ``BLOCK`` members, and each pair of blocks is one small cell that
-   checks all pairs of different labels the same way and returns only links that join two groups, so nothing is
-   emitted per pair. Every pair that shares a bucket has then been compared or is known to be connected.
+5. Rest: documents in buckets that still hold several labels (without the bucket's smallest id, which is done)
+   are compared by prefix: with all shingles in one fixed order, linked sets share a shingle among the first
+   n - ceil(0.85 n) + 1 of each. The order puts shingles that many of these documents share last, so that a
+   passage in thousands of documents, or an unlinked crowd around one text, makes no candidates. Documents that
+   share a prefix shingle are split into classes of similar size, as linked sets differ by 1 - 1 / 0.85 at most: a
+   class is compared with itself and with the next one. Large classes are cut into blocks of ``BLOCK`` members,
+   and each pair of blocks is one small cell that checks all pairs of different labels like step 4 and returns
+   only links that join two groups, so nothing is emitted per pair. This step misses no pair.
+
+The shingles that the order puts last are those with at least 1 / ``MAX_COMMON`` of all entries of the sets in
+question, so at most MAX_COMMON of them are broadcast, whatever the corpus.
 
 Sets hold 64-bit shingle hashes; two different shingles of a pair of documents collide with a chance of about
 n^2 / 2^64. Nothing grows on the driver: it sees one count per round of the component search.
@@ -49,6 +55,7 @@ MANTISSA = 10
 SIGMAS = 5.0
 BLOCK = 128
 BLOCK_BYTES = 4 << 20
+MAX_COMMON = 1 << 20
 NO_ID = -(2**63)
 CLASS = ["f1", "f2", "n"]
 
@@ -165,6 +172,42 @@ def _verified(percent: int):
     return run
 
 
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data = batch.column("shingles").to_pylist()
+        found, counts = np.unique(np.frombuffer(b"".join(data), np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(found.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the fixed order: all others by hash, then the common ones by rank.
+
+    ``common`` is sorted; ``ranks`` are above 0.
+    """
+    n = len(shingles)
+    size = n - -(-percent * n // 100) + 1
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, ranks[at], 0)
+    return shingles[np.argsort(rank, kind="stable")[:size]]
+
+
+def _prefixes(shared, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, ranks = shared.value
+        for batch in batches:
+            sets = [np.frombuffer(data, np.uint64) for data in batch.column("shingles").to_pylist()]
+            first = [prefix(shingles, common, ranks, percent) for shingles in sets]
+            row = np.repeat(np.arange(len(sets)), [len(part) for part in first])
+            keys = np.concatenate(first) if first else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(keys.view(np.int64)), "id": batch.column("id").take(pa.array(row)),
+                "n": pa.array(np.asarray([len(shingles) for shingles in sets], np.int64)[row])})
+
+    return run
+
+
 CELL = ["key", "cell", "i", "j"]
 
 
@@ -255,9 +298,21 @@ def _star(members: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -
 
 
 def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links between groups whose members share a bucket, found block by block."""
-    open_rows = members.where("id != hub").join(labels, "id", "left").select(
-        "key", "id", "n", F.coalesce("label", "id").alias("label"))
+    """Links between groups whose members share a bucket, found by prefixes, block by block."""
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+
+    waiting = labelled(members.where("id != hub"))
+    mixed = waiting.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    sets = _sets(texts, waiting.join(_spread(mixed.select("key")), "key").select("id").distinct())
+    counts = stored(sets.mapInArrow(_shingle_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    common = counts.where((F.col("n") > 1) & (F.col("n") * MAX_COMMON >= total)).toPandas().sort_values("n", kind="stable")
+    keys = common["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    shared = texts.sparkSession.sparkContext.broadcast((keys[order], np.arange(1, len(keys) + 1)[order]))
+    open_rows = labelled(sets.mapInArrow(_prefixes(shared, percent), "key bigint, id bigint, n bigint"))
     own = F.floor(F.log(F.col("n")) / float(np.log(100 / percent))).cast("int")
     open_rows = open_rows.select("*", F.explode(F.array(F.struct(own.alias("cell"), F.lit(False).alias("upper")),
                                                         F.struct((own - 1).alias("cell"), F.lit(True).alias("upper")))).alias("c"))
@@ -267,13 +322,13 @@ def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int)
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles"),
         F.count_if("upper").alias("uppers"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s"))
         .where("low != high AND uppers < size"))
-    # Bands often gather the same members again: one cell of each kind is enough.
+    # Shingles often gather the same members again: one cell of each kind is enough.
     keys = keys.groupBy("size", "x", "s", "cell").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("shingles") / BLOCK_BYTES))
     keys = _spread(keys.select("key", "cell", blocks.cast("int").alias("blocks")))
     rest = stored(open_rows.join(keys, ["key", "cell"]).withColumn(
         "block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).drop("n"), "rest")
-    rows = rest.join(_sets(texts, rest.select("id").distinct()), "id").withColumn(
+    rows = rest.join(sets, "id").withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = rows.select("key", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                         "block", "upper", "id", "label", "shingles")
