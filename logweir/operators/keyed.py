@@ -64,20 +64,14 @@ def delete_by_id(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame
 
 
 def move_to_dlq(
-    log_buffer: DataFrame, log_dlq: DataFrame, ids: DataFrame,
+    log_buffer: DataFrame, log_dlq: DataFrame, events: DataFrame,
     as_of: Column, reason: str = MOVE_REASON,
 ) -> tuple[DataFrame, DataFrame]:
-    """New states of the dead-letter table and of the buffer after moving ``ids``.
+    """New states of the dead-letter table and of the buffer after moving the events.
 
-    A row already in the dead-letter table stays as it is, but still leaves the buffer.
+    ``events`` has the dead-letter table's data columns under ``id``; an event need not be in the buffer to be
+    kept. A row already in the dead-letter table stays as it is, but still leaves the buffer.
     """
-    moved = log_buffer.join(ids.select("id").distinct(), "id", "left_semi").select(
-        "id", as_of.alias("failed_at"), F.lit(reason).alias("reason"),
-        "event_time", "source", "level", "message", "metadata",
-    )
-    # The buffer has one row per id, so nothing needs reducing here.
-    absent = moved.join(log_dlq.select("id"), "id", "left_anti")
-    return (
-        log_dlq.unionByName(absent.select(*log_dlq.columns)),
-        delete_by_id(log_buffer, ids),
-    )
+    data = ("event_time", "source", "level", "message", "metadata")
+    moved = events.select("id", as_of.alias("failed_at"), F.lit(reason).alias("reason"), *data)
+    return insert_if_absent(log_dlq, moved, "id", ["event_time", "message"]), delete_by_id(log_buffer, events)

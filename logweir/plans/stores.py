@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logweir.functions.decode import OK, parse_events
-from logweir.operators import metrics
+from logweir.operators import auth, metrics
 from logweir.plans import sql as S
 from logweir.plans import views as V
+from logweir.plans.ingest import as_of
 from logweir.plans.registry import query
-from logweir.session import work_dir
+from logweir.schema import LOGS
+from logweir.session import remove, work_dir
 from logweir.sources.buffer import read_buffer
-from logweir.sources.files import scan_segments, segment_files
+from logweir.sources.files import load_api_keys, ordered_segments, scan_json_documents, scan_segments, segment_files
 from logweir.streaming import jobs, sinks
 
 STAMP = "'%Y-%m-%dT%H:%M:%S.%fZ'"
@@ -66,7 +69,7 @@ def spilled(spark, sf_dir):
     return path
 
 
-SEGMENT = "'segment-' || lpad(CAST(list_position(['click','error','purchase','signup','view'], level) - 1 AS VARCHAR), 20, '0')"
+SEGMENT = "'segment-ingest-' || lpad(CAST(list_position(['click','error','purchase','signup','view'], level) - 1 AS VARCHAR), 20, '0')"
 
 
 @query("scan_segments", S.with_(S.EV) + f"""
@@ -108,17 +111,138 @@ def spill_and_replay(spark, sf_dir):
     path = work_dir(spark, "replay")
     spill, buffer = f"{path}/spill", f"{path}/buffer"
     sinks.sink_with_spill(unreachable, spill, persist=False)(V.log_events(spark, sf_dir), 0)
-    jobs.replay_spill(spark, spill, buffer, f"{path}/checkpoint").awaitTermination()
+    jobs.replay_spill(spark, spill, buffer, f"{path}/checkpoint", f"{path}/quarantine")
     events = read_buffer(spark, buffer).where(F.col("parse_status") == OK)
     return events.select("event_id", *V.ntz("received_at", "event_time"), "message", "metadata")
 
 
+@query("exactly_once", S.with_(S.EV) + """
+SELECT event_id, message, received_at FROM ev""")
+def exactly_once(spark, sf_dir):
+    """Two origins, each batch spilled, delivered again with the buffer up, replayed and consumed."""
+    path = work_dir(spark, "once")
+    spill, buffer = f"{path}/spill", f"{path}/buffer"
+    events = V.log_events(spark, sf_dir)
+    for origin, part in (("east", F.col("n") % 2 == 0), ("west", F.col("n") % 2 == 1)):
+        append = lambda rows, n, origin=origin: sinks.append_buffer(rows, buffer, n, origin)
+        batch = events.where(part)
+        sinks.sink_with_spill(unreachable, spill, persist=False, origin=origin)(batch, 0)
+        sinks.sink_with_spill(append, spill, persist=False, origin=origin)(batch, 0)
+        sinks.sink_with_spill(append, spill, persist=False, origin=origin)(batch.where("n % 3 = 0"), 1)
+    for _ in range(2):
+        jobs.replay_spill(spark, spill, buffer, f"{path}/cp-replay", f"{path}/quarantine")
+    jobs.consume_job(
+        spark, buffer, f"{path}/logs", f"{path}/dlq", f"{path}/quarantine", f"{path}/reports", f"{path}/cp-consume",
+        once=True, max_files=2,
+    ).awaitTermination()
+    return sinks.current_logs(spark, f"{path}/logs").select("event_id", "message", *V.ntz("received_at"))
+
+
+@query("replay_quarantine", S.with_(S.EV, S.TEXTS, S.DECODED) + """
+, lines AS (
+  SELECT parse_status FROM decoded UNION ALL SELECT 'error_parse' FROM ev WHERE n % 50 = 2)
+SELECT parse_status, count(*) AS lines FROM lines WHERE parse_status <> 'ok' GROUP BY parse_status""")
+def replay_quarantine(spark, sf_dir):
+    """Malformed lines of a spill: none reaches the buffer, each has its place kept."""
+    path = work_dir(spark, "malformed")
+    V.raw_lines(spark, sf_dir).write.text(f"{path}/spill/segment-lines")
+    jobs.replay_spill(spark, f"{path}/spill", f"{path}/buffer", f"{path}/checkpoint", f"{path}/quarantine")
+    held = spark.read.parquet(f"{path}/quarantine").dropDuplicates(["file", "block_start", "line_in_block"])
+    return held.groupBy("parse_status").agg(F.count("*").alias("lines"))
+
+
+@query("fold_logs", S.with_(S.EV) + """
+SELECT event_id, CASE WHEN n % 4 = 0 THEN 'second ' || message ELSE message END AS message,
+       strftime(event_time, '%Y-%m-%d') AS event_date
+FROM ev""")
+def fold_logs(spark, sf_dir):
+    """A fold while a batch is being written: it waits for that batch, which then is not lost."""
+    path = work_dir(spark, "fold")
+    events = V.log_events(spark, sf_dir).withColumn("message_id", V.message_id())
+    sinks.append_logs(events.where("n % 2 = 0"), f"{path}/logs", 0)
+    events.where("n % 2 = 1").limit(5).select(*LOGS.fieldNames(), "message_id").write.parquet(f"{path}/logs/batch_id=1")
+    remove(spark, f"{path}/logs/batch_id=1/_SUCCESS")
+    again = events.where("n % 4 = 0").withColumn("message", F.concat(F.lit("second "), "message"))
+    sinks.append_logs(again, f"{path}/logs", 2)
+    first = sinks.fold_logs(spark, f"{path}/logs", f"{path}/folded-first")
+    sinks.append_logs(events.where("n % 2 = 1"), f"{path}/logs", 1)
+    last = sinks.fold_logs(spark, f"{path}/logs", f"{path}/folded")
+    folded = spark.read.parquet(f"{path}/folded")
+    return folded.where(F.lit((first, last) == (0, 2))).select(
+        "event_id", "message", F.col("event_date").cast("string").alias("event_date"))
+
+
+@query("scan_json_documents", """
+SELECT doc_id, md5(text) AS message_md5, strlen(CAST(to_json(text) AS VARCHAR)) + 12 <= 4096 AS size_ok, 'ok' AS parse_status
+FROM documents""")
+def scan_documents(spark, sf_dir):
+    """Every document as a file of its own; the size is a label and drops none."""
+    path = work_dir(spark, "documents")
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.col("text").alias("message"))).alias("value"))
+    docs.repartition(8).write.partitionBy("doc_id").text(path)
+    scanned = scan_json_documents(spark, f"{path}/*/*.txt", 4_097)
+    trimmed = scanned.withColumn("doc_id", F.regexp_extract("file", r"doc_id=(\d+)/", 1).cast("long"))
+    decoded = parse_events(trimmed.withColumn("raw_event", F.rtrim("raw_event", F.lit("\n"))))
+    return decoded.select("doc_id", F.md5("message").alias("message_md5"), "size_ok", "parse_status")
+
+
+@query("ordered_segments", S.with_(S.EV) + f"""
+SELECT row_number() OVER (ORDER BY segment) AS place, segment, bytes FROM (
+  SELECT {SEGMENT} AS segment, CAST(sum(strlen({PAYLOAD}) + 1) AS BIGINT) AS bytes FROM ev GROUP BY 1)""")
+def segments_in_order(spark, sf_dir):
+    listed = ordered_segments(spark, spilled(spark, sf_dir))
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long")
+    return listed.select(place.alias("place"), "segment", "bytes")
+
+
+@query("load_api_keys", S.with_(S.KEYS) + """
+SELECT key AS api_key FROM valid_keys""")
+def stored_keys(spark, sf_dir):
+    path = work_dir(spark, "keys")
+    V.api_keys(spark, sf_dir).write.parquet(path)
+    return auth.valid_keys(load_api_keys(spark, path), as_of())
+
+
 def landed(spark, sf_dir, path):
     """Land the raw lines and run the ingest job over them."""
     V.raw_lines(spark, sf_dir).write.text(f"{path}/landing")
     jobs.ingest_job(
-        spark, f"{path}/landing", f"{path}/buffer", f"{path}/cp-ingest", f"{path}/spill", f"{path}/bad", once=True
+        spark, f"{path}/landing", f"{path}/buffer", f"{path}/cp-ingest", f"{path}/spill", f"{path}/bad", once=True,
+        reports=f"{path}/ingest-reports",
+    ).awaitTermination()
+
+
+@query("ingest_report", S.with_(S.EV, S.TEXTS, S.DECODED) + """
+SELECT 'SINKED' AS final_status, 0 AS wal_active, CAST(count(*) FILTER (WHERE parse_status = 'ok') AS BIGINT) AS accepted,
+       CAST(count(*) FILTER (WHERE parse_status <> 'ok') AS BIGINT) AS refused
+FROM (SELECT parse_status FROM decoded UNION ALL SELECT 'error_parse' FROM ev WHERE n % 50 = 2)""")
+def ingest_report(spark, sf_dir):
+    """What the ingest job reported, and the places of the refused lines it kept."""
+    path = work_dir(spark, "reported")
+    landed(spark, sf_dir, path)
+    kept = spark.read.parquet(f"{path}/bad").agg(F.count("*").alias("kept"))
+    sums = sinks.batch_report(spark, f"{path}/ingest-reports").groupBy("final_status", "wal_active").agg(
+        F.sum("events").alias("accepted"), F.sum("refused").alias("refused"))
+    return sums.join(kept, sums["refused"] == kept["kept"]).drop("kept")
+
+
+@query("quarantined", S.with_(S.EV, S.TEXTS, S.DECODED) + """
+SELECT 'event_id is not a uuid' AS reason, count(*) AS entries FROM ev WHERE n % 3 = 0
+UNION ALL SELECT 'error_parse', count(*) FROM ev WHERE n % 3 = 1""")
+def quarantined(spark, sf_dir):
+    """Entries of a buffer that can never be stored, found by the consume job."""
+    path = work_dir(spark, "poison")
+    events = V.log_events(spark, sf_dir).where("n % 3 <> 1").withColumn(
+        "event_id", F.when(F.col("n") % 3 == 0, F.concat("event_id", F.lit("-bad"))).otherwise(F.col("event_id")))
+    sinks.append_buffer(events, f"{path}/buffer", 0)
+    broken = V.log_events(spark, sf_dir).where("n % 3 = 1").select(
+        V.message_id(), F.lit('{"message":').alias("payload"), "received_at")
+    sinks.write_once(broken, sinks.batch_folder(f"{path}/buffer", "other", 0))
+    jobs.consume_job(
+        spark, f"{path}/buffer", f"{path}/logs", f"{path}/dlq", f"{path}/quarantine", f"{path}/reports",
+        f"{path}/checkpoint", once=True,
     ).awaitTermination()
+    return spark.read.parquet(f"{path}/quarantine").groupBy("reason").agg(F.count("*").alias("entries"))
 
 
 def consumed(spark, sf_dir, write_fn=None):
@@ -150,7 +274,7 @@ def stream_ingest(spark, sf_dir):
 SELECT 'batches' AS kind, 'DLQED' AS outcome, 2 AS attempts, count(*) AS events
 FROM decoded WHERE parse_status = 'ok'
 UNION ALL
-SELECT 'dead letters', 'sink failed', 0, count(*) FROM decoded WHERE parse_status = 'ok'""")
+SELECT 'dead letters', 'sink failed: ConnectionError: connection refused', 0, count(*) FROM decoded WHERE parse_status = 'ok'""")
 def stream_dlq(spark, sf_dir):
     """The sink refuses every batch: reports and dead letters."""
     path = consumed(spark, sf_dir, write_fn=unreachable)
@@ -165,12 +289,13 @@ def stream_dlq(spark, sf_dir):
 
 @query("stream_rate", S.with_(S.EV) + """
 SELECT date_trunc('second', received_at) AS window_start, count(*) AS events, CAST(count(*) AS DOUBLE) AS rate
-FROM ev GROUP BY 1
-HAVING date_trunc('second', received_at) + INTERVAL 1 SECOND <= (SELECT max(received_at) FROM ev) - INTERVAL 10 SECOND""")
+FROM ev GROUP BY 1""")
 def stream_rate(spark, sf_dir):
-    """The seconds that are closed, which are those the watermark has passed."""
+    """Two runs over a buffer whose second batch is older than the first: no event is late."""
     path = work_dir(spark, "rate")
-    buffer = buffered(spark, sf_dir)
-    jobs.rate_job(spark, buffer, f"{path}/rates", f"{path}/checkpoint", once=True).awaitTermination()
-    rates = spark.read.parquet(f"{path}/rates")
-    return rates.select(*V.ntz("window_start"), "events", "rate")
+    events = V.log_events(spark, sf_dir)
+    middle = F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")).cast("timestamp")
+    for batch, part in enumerate((F.col("received_at") >= middle, F.col("received_at") < middle)):
+        sinks.append_buffer(events.where(part), f"{path}/buffer", batch, "replay" if batch else "ingest", again=bool(batch))
+        jobs.rate_job(spark, f"{path}/buffer", f"{path}/rates", f"{path}/checkpoint", once=True).awaitTermination()
+    return sinks.read_rates(spark, f"{path}/rates").select(*V.ntz("window_start"), "events", "rate")

@@ -32,13 +32,11 @@ def upsert(spark, sf_dir):
 
 
 def stored_logs(spark, sf_dir):
-    """A log table of all versions, with a snapshot of the first batches."""
+    """A log table of all versions."""
     path = work_dir(spark, "logs")
     versions = V.versions(spark, sf_dir)
     for batch in range(5):
         sinks.append_logs(versions.where(F.col("batch_id") == batch), path, batch)
-        if batch == FIRST_BATCHES:
-            sinks.compact_logs(spark, path)
     return sinks.current_logs(spark, path)
 
 
@@ -93,29 +91,39 @@ def insert_queue(spark, sf_dir):
     return state.select("id", *V.ntz("event_time"), "message", "retry_count", "acknowledged", "consumer_group")
 
 
-MOVED = S.with_(S.EV, S.QUEUE, "ids AS (SELECT id FROM log_buffer WHERE level = 'error')")
+MOVED = S.with_(S.EV, S.QUEUE, """moved AS (
+  SELECT event_id AS id, event_time, source, level, message, metadata FROM ev WHERE level = 'error'
+  UNION ALL
+  SELECT replace(event_id, '-8000-', '-9000-'), event_time, source, level, message, metadata
+  FROM ev WHERE level = 'purchase')""")
 
 
 @query("move_to_dlq", MOVED + """
 SELECT id, failed_at, reason, event_time, source, level, message, metadata FROM log_dlq
 UNION ALL
 SELECT id, TIMESTAMP '2024-02-01', 'manual DLQ move', event_time, source, level, message, metadata
-FROM log_buffer WHERE id IN (SELECT id FROM ids) AND id NOT IN (SELECT id FROM log_dlq)""")
+FROM moved WHERE id NOT IN (SELECT id FROM log_dlq)""")
 def move_to_dlq(spark, sf_dir):
     dlq, _ = moved(spark, sf_dir)
     return dlq.select("id", "reason", *LOG_COLUMNS[1:], *V.ntz("failed_at", "event_time"))
 
 
 @query("move_to_dlq_buffer", MOVED + """
-SELECT id, message, consumer_group FROM log_buffer WHERE id NOT IN (SELECT id FROM ids)""")
+SELECT id, message, consumer_group FROM log_buffer WHERE id NOT IN (SELECT id FROM moved)""")
 def move_to_dlq_buffer(spark, sf_dir):
     _, buffer = moved(spark, sf_dir)
     return buffer.select("id", "message", "consumer_group")
 
 
 def moved(spark, sf_dir):
+    """The errors, each given twice, and events that never were in the queue."""
+    columns = [F.col("event_id").alias("id"), *LOG_COLUMNS[1:], "event_time"]
+    events = V.log_events(spark, sf_dir)
+    errors = events.where(F.col("level") == "error").select(*columns)
+    never = events.where(F.col("level") == "purchase").withColumn(
+        "event_id", F.replace("event_id", F.lit("-8000-"), F.lit("-9000-"))).select(*columns)
     return keyed.move_to_dlq(
-        V.log_buffer(spark, sf_dir), V.log_dlq(spark, sf_dir), V.error_ids(spark, sf_dir), as_of()
+        V.log_buffer(spark, sf_dir), V.log_dlq(spark, sf_dir), errors.unionAll(errors).unionAll(never), as_of()
     )
 
 

@@ -41,7 +41,7 @@ LOG_DLQ = _struct(
     ("id", _S), ("failed_at", _TS), ("reason", _S), ("event_time", _TS), ("source", _S),
     ("level", _S), ("message", _S), ("metadata", _S),
 )
-BUFFER = _struct(("message_id", MESSAGE_ID), ("payload", _S))
+BUFFER = _struct(("message_id", MESSAGE_ID), ("payload", _S), ("received_at", _TS))
 MESSAGES = _struct(("stream", _S), ("message_id", MESSAGE_ID), ("payload", _S))
 DELIVERIES = _struct(
     ("stream", _S), ("grp", _S), ("consumer", _S), ("message_id", MESSAGE_ID),

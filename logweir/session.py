@@ -73,6 +73,13 @@ def folder_numbers(spark: SparkSession, prefix: str) -> list[int]:
     return sorted(int(path.getName().removeprefix(name)) for path in _found(spark, f"{prefix}*")[1])
 
 
+def committed_numbers(spark: SparkSession, prefix: str) -> list[int]:
+    """The numbers n whose folder ``<prefix>n`` was written to its end, ascending, from one listing."""
+    name = prefix.rsplit("/", 1)[-1]
+    done = _found(spark, f"{prefix}*/_SUCCESS")[1]
+    return sorted(int(path.getParent().getName().removeprefix(name)) for path in done)
+
+
 def remove(spark: SparkSession, pattern: str) -> None:
     """Delete the files and folders that match the path pattern."""
     system, paths = _found(spark, pattern)

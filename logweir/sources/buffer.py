@@ -1,4 +1,4 @@
-"""The event buffer: a Parquet dataset of ``message_id`` and ``payload``."""
+"""The event buffer: a Parquet dataset of ``message_id``, ``payload`` and ``received_at``."""
 
 from __future__ import annotations
 
@@ -9,19 +9,28 @@ from logweir.functions.decode import parse_events
 from logweir.schema import BUFFER
 
 
-def read_buffer(
+def buffer_entries(
     spark: SparkSession, path: str, stream: bool = False, max_per_trigger: int | None = None
 ) -> DataFrame:
-    """Buffered entries decoded into event columns, ``message_id``, ``payload`` and ``parse_status``.
+    """Entries of the buffer, not decoded: ``message_id``, ``payload`` and ``received_at``.
 
-    Entries without a payload, or with one that does not decode, have ``error_parse``. As a stream,
-    ``max_per_trigger`` limits the new files of one micro-batch.
+    As a stream, ``max_per_trigger`` limits the new files of one micro-batch.
     """
     reader = (spark.readStream if stream else spark.read).schema(BUFFER)
     reader = reader.option("recursiveFileLookup", "true")
     if stream and max_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_per_trigger)
-    return decode_entries(reader.parquet(path))
+    return reader.parquet(path)
+
+
+def read_buffer(
+    spark: SparkSession, path: str, stream: bool = False, max_per_trigger: int | None = None
+) -> DataFrame:
+    """Buffered entries decoded into event columns, ``message_id``, ``payload`` and ``parse_status``.
+
+    Entries without a payload, or with one that does not decode, have ``error_parse``.
+    """
+    return decode_entries(buffer_entries(spark, path, stream, max_per_trigger))
 
 
 def kafka_entries(records: DataFrame) -> DataFrame:
@@ -33,6 +42,7 @@ def kafka_entries(records: DataFrame) -> DataFrame:
     return records.select(
         F.struct(F.unix_millis("timestamp").alias("ms"), seq.alias("seq")).alias("message_id"),
         F.col("value").cast("string").alias("payload"),
+        F.col("timestamp").alias("received_at"),
     )
 
 

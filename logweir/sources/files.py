@@ -20,17 +20,26 @@ def drop_cr(line: Column) -> Column:
 
 
 def scan_ndjson(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
-    """One payload per non-empty line: ``raw_event`` and the ``file`` it came from.
+    """One payload per non-empty line: ``raw_event``, its ``file`` and the block it is in.
 
     Takes ``spark.read`` or ``spark.readStream``. Only a line feed ends a line, so large files
     still split. Decode with ``parse_events``.
     """
     lines = reader.option("lineSep", "\n").text(path)
     return lines.select(
-        drop_cr(F.col("value")).alias("raw_event"), F.col("_metadata.file_path").alias("file")
+        drop_cr(F.col("value")).alias("raw_event"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
     ).where(F.octet_length("raw_event") > 0)
 
 
+def with_place(lines: DataFrame) -> DataFrame:
+    """Scanned lines of a batch with ``line_in_block``: with file and block it tells lines apart.
+
+    The same files, read again by the same batch, give the same places.
+    """
+    return lines.withColumn("line_in_block", F.monotonically_increasing_id())
+
+
 def scan_json_documents(
     spark: SparkSession, path: str, max_bytes: int = MAX_BODY_BYTES
 ) -> DataFrame:

@@ -1,11 +1,12 @@
 """Structured Streaming jobs made of the batch transforms.
 
 Progress is the query's checkpoint: a micro-batch is committed when its ``foreachBatch`` function
-returns, and comes again under the same number when it does not. Together with one folder per
-batch and last-version-wins reads this makes each event count once.
+returns, and comes again under the same number when it does not. One folder per origin and batch that is
+written once, ids that follow from a line's place, and last-version-wins reads make each event count once.
 
 The numbers belong to a checkpoint: a job that starts over with a new checkpoint needs an
-``origin`` of its own in the buffer, and a log table of its own.
+``origin`` of its own, and a log table of its own. The jobs read entries from a Parquet buffer, or from any
+streaming DataFrame of its columns, such as ``sources.buffer.kafka_entries``.
 """
 
 from __future__ import annotations
@@ -14,19 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from logweir.functions.decode import ERROR_PARSE, OK, parse_events
+from logweir.functions.decode import OK, parse_events
 from logweir.functions.enrich import enrich
 from logweir.functions.redact import redact
-from logweir.operators.metrics import ingest_rate
 from logweir.operators.quality import invalid_reason
 from logweir.schema import EVENT_COLUMNS
-from logweir.session import matches
-from logweir.sources.buffer import read_buffer
-from logweir.sources.files import SEGMENT_GLOB, scan_ndjson
+from logweir.session import committed, matches, remove
+from logweir.sources.buffer import buffer_entries, decode_entries
+from logweir.sources.files import SEGMENT_GLOB, ordered_segments, scan_ndjson, with_place
 from logweir.streaming import sinks
 
 TICK = "1 second"
-RATE_DELAY = "10 seconds"
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQuery:
@@ -35,32 +34,44 @@ def _start(writer: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQu
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TICK)).start()
 
 
+PLACE = ("file", "block_start", "line_in_block", "raw_event")
+
+
 def accept(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """Ingest path of one line: decode, stamp, redact. Bad lines keep ``error_parse``."""
-    return redact(enrich(parse_events(lines)), fields)
+    """Ingest path of one line: decode, stamp, redact. Bad lines keep their status.
+
+    Missing ids follow from the line's place, so a line that is read again gets the same one.
+    """
+    decoded = parse_events(lines)
+    return redact(enrich(decoded, id_mode="deterministic", id_from=PLACE), fields)
 
 
 def ingest_job(
     spark: SparkSession, landing: str, buffer: str, checkpoint: str,
     spill: str, bad_lines: str, fields: list[str] | None = None,
     once: bool = False, max_files: int = 1_000, origin: str = "ingest",
-    spill_quota: int | None = None,
+    spill_quota: int | None = None, reports: str | None = None,
 ) -> StreamingQuery:
-    """Landed NDJSON files to the buffer, or to the spill while the buffer is unreachable."""
-    lines = scan_ndjson(spark.readStream.option("maxFilesPerTrigger", max_files), landing)
+    """Landed NDJSON files to the buffer, or to the spill while the buffer is unreachable.
 
-    to_buffer = sinks.sink_with_spill(
-        lambda batch, n: sinks.append_buffer(batch, buffer, n, origin), spill,
-        quota=spill_quota, persist=False,
-    )
+    With ``reports`` each batch reports its accepted and refused lines and whether it was spilled.
+    """
+    lines = scan_ndjson(spark.readStream.option("maxFilesPerTrigger", max_files), landing)
+    report = sinks.report_writer(spark, reports, origin) if reports else None
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = accept(batch, fields).persist()
+        rows = accept(with_place(batch), fields).persist()
         try:
-            rows.where(F.col("parse_status") == ERROR_PARSE).select("file", "raw_event").write.mode(
-                "overwrite"
-            ).parquet(f"{bad_lines}/batch_id={batch_id}")
-            to_buffer(rows.where(F.col("parse_status") == OK), batch_id)
+            sinks.write_bad_lines(rows.where(F.col("parse_status") != OK), bad_lines, batch_id, origin)
+
+            def counted(events: DataFrame) -> tuple[int, int]:
+                found = rows.agg(F.count_if(F.col("parse_status") == OK), F.count_if(F.col("parse_status") != OK)).first()
+                return found[0], found[1]
+
+            sinks.sink_with_spill(
+                lambda events, n: sinks.append_buffer(events, buffer, n, origin), spill, report,
+                quota=spill_quota, persist=False, origin=origin, counts=counted,
+            )(rows.where(F.col("parse_status") == OK), batch_id)
         finally:
             rows.unpersist()
 
@@ -69,7 +80,7 @@ def ingest_job(
 
 def split_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decoded buffer entries as (storable events, entries to quarantine with their reason)."""
-    reason = F.when(F.col("parse_status") != OK, ERROR_PARSE).otherwise(
+    reason = F.when(F.col("parse_status") != OK, F.col("parse_status")).otherwise(
         invalid_reason(check_metadata=False)
     )
     judged = entries.withColumn("reason", reason)
@@ -77,58 +88,74 @@ def split_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def consume_job(
-    spark: SparkSession, buffer: str, logs: str, dlq: str, quarantine: str, reports: str,
+    spark: SparkSession, buffer: str | DataFrame, logs: str, dlq: str, quarantine: str, reports: str,
     checkpoint: str, attempts: int = 3, backoff: float = 1.0,
-    write_fn: sinks.WriteFn | None = None, once: bool = False, max_files: int = 1_000,
+    write_fn: sinks.WriteFn | None = None, once: bool = False, max_files: int = 1_000, origin: str = "consume",
 ) -> StreamingQuery:
     """Buffer to the log table, with retries, the dead-letter table and a report per batch."""
     sink = sinks.sink_with_retry(
         write_fn or (lambda batch, n: sinks.append_logs(batch, logs, n)),
-        lambda batch, n: sinks.write_dlq(batch, dlq, n),
-        attempts, backoff, sinks.report_writer(spark, reports), persist=False,
+        lambda batch, n, reason: sinks.write_dlq(batch, dlq, n, reason, origin),
+        attempts, backoff, sinks.report_writer(spark, reports, origin), persist=False,
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             good, bad = split_entries(batch)
-            sinks.write_quarantine(bad, quarantine, batch_id)
+            sinks.write_quarantine(bad, quarantine, batch_id, origin)
             sink(good, batch_id)
         finally:
             batch.unpersist()
 
-    entries = read_buffer(spark, buffer, stream=True, max_per_trigger=max_files)
-    return _start(entries.writeStream.foreachBatch(run), checkpoint, once)
+    entries = _entries(spark, buffer, max_files)
+    return _start(decode_entries(entries).writeStream.foreachBatch(run), checkpoint, once)
+
+
+def _entries(spark: SparkSession, buffer: str | DataFrame, max_files: int | None = None) -> DataFrame:
+    return buffer_entries(spark, buffer, True, max_files) if isinstance(buffer, str) else buffer
 
 
 def rate_job(
-    spark: SparkSession, buffer: str, rates: str, checkpoint: str, once: bool = False
+    spark: SparkSession, buffer: str | DataFrame, rates: str, checkpoint: str, once: bool = False, origin: str = "rate"
 ) -> StreamingQuery:
-    """Buffer to a table of accepted events per second."""
-    events = read_buffer(spark, buffer, stream=True).where(F.col("parse_status") == OK)
-    series = ingest_rate(events.withWatermark("received_at", RATE_DELAY))
-    writer = series.writeStream.outputMode("append").format("parquet").option("path", rates)
-    return _start(writer, checkpoint, once)
+    """Buffer to a table of events per second: partial counts per batch, summed by ``sinks.read_rates``.
+
+    Nothing is late: a replayed event counts in the second it was received in. Payloads are not read.
+    """
+    received = _entries(spark, buffer).select("received_at")
+    counting = received.writeStream.foreachBatch(lambda batch, n: sinks.append_rates(batch, rates, n, origin))
+    return _start(counting, checkpoint, once)
 
 
 def replay_spill(
-    spark: SparkSession, spill: str, buffer: str, checkpoint: str, archive: str | None = None,
-    origin: str = "replay",
+    spark: SparkSession, spill: str, buffer: str, checkpoint: str, quarantine: str, origin: str = "replay",
 ) -> StreamingQuery | None:
-    """Put all spilled events back into the buffer, and end; None when there are none.
+    """Put all spilled events back into the buffer and then delete their segments; None when there are none.
 
-    The checkpoint lists the files that are done, so later spills are replayed by later runs and
-    nothing written meanwhile is lost. With ``archive`` the done files are moved there.
+    Runs to its end. The checkpoint lists the files that are done, so a run that failed goes on where it
+    stopped, and segments written meanwhile wait for the next run. Only segments that were there at the start,
+    and written to their end, are deleted, after all of them are in the buffer. Malformed lines go to the
+    quarantine table with their place.
     """
-    if not matches(spark, f"{spill}/{SEGMENT_GLOB}"):
+    segments = [row["segment"] for row in ordered_segments(spark, spill).collect()]
+    if not segments:
         return None
-    reader = spark.readStream
-    if archive:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    lines = scan_ndjson(reader, f"{spill}/{SEGMENT_GLOB}")
+    lines = scan_ndjson(spark.readStream, f"{spill}/{SEGMENT_GLOB}")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        events = parse_events(batch).where(F.col("parse_status") == OK).select(*EVENT_COLUMNS)
-        sinks.append_buffer(events, buffer, batch_id, origin)
+        rows = parse_events(with_place(batch)).persist()
+        try:
+            sinks.write_bad_lines(rows.where(F.col("parse_status") != OK), quarantine, batch_id, origin)
+            events = rows.where(F.col("parse_status") == OK).select(*EVENT_COLUMNS)
+            sinks.append_buffer(events, buffer, batch_id, origin, again=True)
+        finally:
+            rows.unpersist()
 
-    return _start(lines.writeStream.foreachBatch(run), checkpoint, once=True)
+    query = _start(lines.writeStream.foreachBatch(run), checkpoint, once=True)
+    query.awaitTermination()
+    for segment in segments:
+        # A folder without its commit mark is still being written; a plain file has none.
+        if not matches(spark, f"{spill}/{segment}/*") or committed(spark, f"{spill}/{segment}"):
+            remove(spark, f"{spill}/{segment}")
+    return query

@@ -1,11 +1,13 @@
 """Sinks: buffer, log table, dead-letter and quarantine tables, spill, and the retry rules.
 
-Every batch writes to a folder of its own name, so a batch that is delivered again replaces, or
-keeps, what it wrote before.
+Every batch of every job writes to a folder of its own, named by the job's ``origin`` and the batch's
+number. A folder that was written to its end is never written again: a batch that is delivered once more
+finds it and leaves it as it is, so neither a repeated batch nor another job can replace rows.
 """
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,16 +18,34 @@ from pyspark.sql import functions as F
 from logweir.functions.scalars import message_id_text
 from logweir.operators.keyed import latest_by_key
 from logweir.schema import LOGS
-from logweir.session import committed, folder_numbers, remove
+from logweir.session import committed, committed_numbers, folder_numbers
 from logweir.sources.files import segment_files
 
+log = logging.getLogger(__name__)
+
 WriteFn = Callable[[DataFrame, int], None]
 
 BUFFER_STREAM = "log_events"
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
-# Error texts that mean the sink cannot be reached.
+# Error texts and Java classes that mean the sink cannot be reached.
 UNAVAILABLE_TEXTS = ("i/o timeout", "connection refused")
+UNAVAILABLE_CLASSES = (
+    "java.net.ConnectException", "java.net.SocketTimeoutException", "java.net.UnknownHostException",
+    "java.net.NoRouteToHostException", "java.nio.channels.ClosedChannelException",
+)
+
+
+def batch_folder(path: str, origin: str, batch_id: int) -> str:
+    return f"{path}/origin={origin}/batch_id={batch_id}"
+
+
+def write_once(rows: DataFrame, target: str) -> bool:
+    """Write the folder unless it was written to its end before; whether it was written now."""
+    if committed(rows.sparkSession, target):
+        return False
+    rows.write.mode("overwrite").parquet(target)
+    return True
 
 
 def event_json() -> Column:
@@ -45,144 +65,119 @@ def event_json() -> Column:
     )
 
 
-def append_buffer(events: DataFrame, path: str, batch_id: int, origin: str = "ingest") -> None:
+def append_buffer(events: DataFrame, path: str, batch_id: int, origin: str = "ingest", again: bool = False) -> None:
     """Append a batch to the buffer, with message ids in the order of its rows.
 
-    A batch that was written to its end stays: its rows may carry random ids, and readers may have
-    seen them.
+    Ids carry the receive time; those of events that come ``again``, from a spill, carry the time of this
+    append, since they are newer entries than what was buffered meanwhile. ``received_at`` stands beside the
+    payload, so that rates need not decode it.
     """
-    target = f"{path}/origin={origin}/batch_id={batch_id}"
-    if committed(events.sparkSession, target):
-        return
+    ms = F.unix_millis(F.current_timestamp()) if again else F.unix_millis("received_at")
     entries = events.select(
-        F.struct(
-            F.unix_millis("received_at").alias("ms"), F.monotonically_increasing_id().alias("seq")
-        ).alias("message_id"),
+        F.struct(ms.alias("ms"), F.monotonically_increasing_id().alias("seq")).alias("message_id"),
         event_json().alias("payload"),
+        "received_at",
     )
-    entries.write.mode("overwrite").parquet(target)
+    write_once(entries, batch_folder(path, origin, batch_id))
 
 
-def write_dlq(events: DataFrame, path: str, batch_id: int, reason: str = "sink failed") -> None:
-    events.select(
+def write_dlq(
+    events: DataFrame, path: str, batch_id: int, reason: str = "sink failed", origin: str = "consume"
+) -> None:
+    write_once(events.select(
         event_json().alias("payload"),
         F.col("event_id").alias("original_event_id"),
         F.lit(BUFFER_STREAM).alias("original_stream"),
         F.lit(reason).alias("reason"),
-    ).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    ), batch_folder(path, origin, batch_id))
+
 
+def write_quarantine(rows: DataFrame, path: str, batch_id: int, origin: str = "consume") -> None:
+    """Keep entries that can never be stored: ``message_id, payload, reason``. Without any, nothing is written."""
+    kept = rows.select(message_id_text(F.col("message_id")).alias("message_id"), "payload", "reason")
+    if not kept.isEmpty():
+        write_once(kept, batch_folder(path, origin, batch_id))
 
-def write_quarantine(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Keep entries that can never be stored: ``message_id, payload, reason``."""
-    rows.select(message_id_text(F.col("message_id")).alias("message_id"), "payload", "reason").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/batch_id={batch_id}")
+
+def write_bad_lines(rows: DataFrame, path: str, batch_id: int, origin: str) -> None:
+    """Where the refused lines are, and a digest, but not the text: it was never redacted."""
+    kept = rows.select(
+        "file", "block_start", "line_in_block", "parse_status", F.octet_length("raw_event").alias("bytes"),
+        F.sha2("raw_event", 256).alias("sha256"))
+    if not kept.isEmpty():
+        write_once(kept, batch_folder(path, origin, batch_id))
 
 
 class SpillFull(Exception):
     """The spill would exceed its quota."""
 
 
+def segment_name(batch_id: int, origin: str = "ingest") -> str:
+    return f"segment-{origin}-{batch_id:020d}"
+
+
 def write_spill(
-    events: DataFrame, path: str, batch_id: int, max_records: int = 100_000, quota: int | None = None
+    events: DataFrame, path: str, batch_id: int, max_records: int = 100_000, quota: int | None = None,
+    origin: str = "ingest",
 ) -> None:
     """Write a batch as a segment of JSON lines in files of at most ``max_records``.
 
-    With ``quota`` the bytes of all segments together stay within it, or nothing is written.
+    With ``quota`` the bytes of all segments together, which are those not replayed yet, stay within it, or
+    nothing is written.
     """
-    segment = f"segment-{batch_id:020d}"
+    target = f"{path}/{segment_name(batch_id, origin)}"
+    if committed(events.sparkSession, target):
+        return
     lines = events.select(event_json().alias("value"))
     if quota is not None:
-        others = segment_files(events.sparkSession, path).where(F.col("segment") != segment)
-        used = others.agg(F.sum("bytes")).first()[0] or 0
+        used = segment_files(events.sparkSession, path).where(
+            F.col("segment") != segment_name(batch_id, origin)).agg(F.sum("bytes")).first()[0] or 0
         size = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
         if used + size > quota:
             raise SpillFull(f"spill quota exceeded ({used + size} > {quota})")
-    lines.write.mode("overwrite").option("maxRecordsPerFile", max_records).text(f"{path}/{segment}")
+    lines.write.mode("overwrite").option("maxRecordsPerFile", max_records).text(target)
 
 
-# --- the log table: batches of versions, and snapshots that fold them -----------------------
+# --- the log table: one folder of versions per batch -----------------------------------------
 
 VERSION_ORDER = ("batch_id", "message_id.ms", "message_id.seq")
 
 
 def append_logs(events: DataFrame, path: str, batch_id: int) -> None:
     """Upsert a batch into the log table: its rows become the newest version of their ids."""
-    events.select(*LOGS.fieldNames(), "message_id").write.mode("overwrite").parquet(
-        f"{path}/batches/batch_id={batch_id}"
-    )
-
-
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    return folder_numbers(spark, f"{path}/batches/batch_id=")
-
-
-def _folded_upto(spark: SparkSession, path: str) -> int:
-    """The last batch the current snapshot holds, -1 without one: the newest committed pointer."""
-    pointers = folder_numbers(spark, f"{path}/pointer/upto=")
-    return max((n for n in pointers if committed(spark, f"{path}/pointer/upto={n}")), default=-1)
-
-
-def _snapshot(spark: SparkSession, path: str, upto: int) -> DataFrame:
-    if upto < 0:
-        return spark.createDataFrame([], LOGS).withColumn("event_date", F.to_date("event_time"))
-    return spark.read.parquet(f"{path}/snapshots/upto={upto}")
+    write_once(events.select(*LOGS.fieldNames(), "message_id"), f"{path}/batch_id={batch_id}")
 
 
 def current_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of each event, with its ``event_date``.
+    """The latest version of each event, with its ``event_date``, over the batches written to their end.
 
-    Rows of the snapshot only have to miss the ids of newer batches: they are neither sorted nor
-    aggregated, and a filter on ``event_date`` selects their folders.
+    A batch is reduced to one row per key before the shuffle, so a hot id costs a task one row per file.
     """
-    columns = [*LOGS.fieldNames(), "event_date"]
-    upto = _folded_upto(spark, path)
-    base = _snapshot(spark, path, upto).select(*columns)
-    if not any(n > upto for n in _batches(spark, path)):
-        return base
-    newer = spark.read.parquet(f"{path}/batches").where(F.col("batch_id") > upto)
-    latest = latest_by_key(newer, "event_id", VERSION_ORDER).withColumn(
-        "event_date", F.to_date("event_time")
-    ).select(*columns)
-    if upto < 0:
-        return latest
-    return base.join(newer.select("event_id").distinct(), "event_id", "left_anti").select(
-        *columns
-    ).unionByName(latest)
-
-
-def compact_logs(spark: SparkSession, path: str) -> None:
-    """Fold all batches into a new snapshot, foldered by ``event_date``, and point to it.
-
-    Readers keep the old snapshot until the pointer's write is complete. Dates of any size are spread
-    over files of even size.
-    """
-    last = max(_batches(spark, path), default=-1)
-    if last <= _folded_upto(spark, path):
-        return
-    rows = current_logs(spark, path)
-    rows.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(
-        f"{path}/snapshots/upto={last}"
-    )
-    spark.createDataFrame([(last,)], "upto long").coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/pointer/upto={last}"
-    )
+    done = [f"{path}/batch_id={n}" for n in committed_numbers(spark, f"{path}/batch_id=")]
+    if not done:
+        return spark.createDataFrame([], LOGS).withColumn("event_date", F.to_date("event_time"))
+    rows = spark.read.option("basePath", path).parquet(*done)
+    return latest_by_key(rows, "event_id", VERSION_ORDER).select(
+        *LOGS.fieldNames(), F.to_date("event_time").alias("event_date"))
 
 
-def expire_logs(spark: SparkSession, path: str) -> None:
-    """Delete the batches and snapshots the current snapshot replaces.
+def fold_logs(spark: SparkSession, path: str, folded: str) -> int | None:
+    """Write the present state as a table foldered by ``event_date``, for readers that select dates.
 
-    To be run when no reader holds an older state: it keeps the folders to list few, however long
-    the table has been fed.
+    ``folded`` must be a new folder. The last batch it holds is returned; batches up to it are not needed any
+    more. It is the last one before the first batch still being written, so that none is passed over. Files of
+    a date have even sizes.
     """
-    upto = _folded_upto(spark, path)
-    for batch in _batches(spark, path):
-        if batch <= upto:
-            remove(spark, f"{path}/batches/batch_id={batch}")
-    for older in folder_numbers(spark, f"{path}/snapshots/upto="):
-        if older < upto:
-            remove(spark, f"{path}/pointer/upto={older}")
-            remove(spark, f"{path}/snapshots/upto={older}")
+    done = set(committed_numbers(spark, f"{path}/batch_id="))
+    open_batches = set(folder_numbers(spark, f"{path}/batch_id=")) - done
+    done = sorted(n for n in done if n < min(open_batches, default=n + 1))
+    if not done:
+        return None
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/batch_id={n}" for n in done])
+    latest = latest_by_key(rows, "event_id", VERSION_ORDER).select(
+        *LOGS.fieldNames(), F.to_date("event_time").alias("event_date"))
+    latest.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(folded)
+    return done[-1]
 
 
 # --- batch control ---------------------------------------------------------------------------
@@ -197,6 +192,16 @@ class BatchReport:
     final_status: str
     attempts: int
     wal_active: int = 0
+    refused: int = 0
+    error: str = ""
+
+
+def describe(error: BaseException | None) -> str:
+    """Class and first line of an error, as dead letters and reports keep it."""
+    if error is None:
+        return ""
+    lines = str(error).strip().splitlines()
+    return f"{type(error).__name__}: {lines[0][:300]}" if lines else type(error).__name__
 
 
 def backoff_delay(base: float, attempt: int) -> float:
@@ -206,14 +211,14 @@ def backoff_delay(base: float, attempt: int) -> float:
 
 def sink_with_retry(
     write_fn: WriteFn,
-    dlq_fn: WriteFn,
+    dlq_fn: Callable[[DataFrame, int, str], None],
     attempts: int = 3,
     backoff: float = 1.0,
     report_fn: Callable[[BatchReport], None] | None = None,
     sleep: Callable[[float], None] = time.sleep,
     persist: bool = True,
 ) -> WriteFn:
-    """A ``foreachBatch`` function that tries ``write_fn``, then hands the batch to ``dlq_fn``.
+    """A ``foreachBatch`` function that tries ``write_fn``, then hands the batch to ``dlq_fn`` with the reason.
 
     ``attempts`` counts all tries; waits double, with none after the last. An error of ``dlq_fn``
     is raised, so the batch is not committed and comes again. An empty batch calls nothing.
@@ -230,20 +235,22 @@ def sink_with_retry(
             count = batch.count()
             if count == 0:
                 return
-            status, used = "SINKED", 0
+            status, used, failure = "SINKED", 0, None
             for attempt in range(attempts):
                 used = attempt + 1
                 try:
                     write_fn(batch, batch_id)
                     break
-                except Exception:
+                except Exception as error:
+                    failure = error
+                    log.warning("batch %s, attempt %s of %s failed: %s", batch_id, used, attempts, describe(error))
                     if used == attempts:
-                        dlq_fn(batch, batch_id)
+                        dlq_fn(batch, batch_id, f"sink failed: {describe(error)}")
                         status = "DLQED"
                     else:
                         sleep(backoff_delay(backoff, attempt))
             if report_fn:
-                report_fn(BatchReport(batch_id, count, status, used))
+                report_fn(BatchReport(batch_id, count, status, used, error=describe(failure)))
         finally:
             if persist:
                 batch.unpersist()
@@ -251,12 +258,24 @@ def sink_with_retry(
     return run
 
 
+def _causes(error: BaseException):
+    """Text of the error and of all its causes, in Python and in the JVM."""
+    while error is not None:
+        yield str(error)
+        java = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+        while java is not None and hasattr(java, "getCause"):
+            yield java.toString()
+            java = java.getCause()
+        error = error.__cause__ or error.__context__
+
+
 def is_unavailable(error: BaseException) -> bool:
     """Whether the error means that the sink cannot be reached, rather than that it refuses."""
     if isinstance(error, (ConnectionError, TimeoutError)):
         return True
-    text = str(error).lower()
-    return any(part in text for part in UNAVAILABLE_TEXTS)
+    return any(
+        any(name in text for name in UNAVAILABLE_CLASSES) or any(part in text.lower() for part in UNAVAILABLE_TEXTS)
+        for text in _causes(error))
 
 
 def sink_with_spill(
@@ -267,27 +286,35 @@ def sink_with_spill(
     max_records: int = 100_000,
     quota: int | None = None,
     persist: bool = True,
+    origin: str = "ingest",
+    counts: Callable[[DataFrame], tuple[int, int]] = lambda batch: (batch.count(), 0),
 ) -> WriteFn:
     """A ``foreachBatch`` function that spills the batch when the primary sink is unreachable.
 
-    All other errors are raised. The report's ``wal_active`` tells which way the batch went.
+    All other errors are raised. A batch that was spilled to its end before the job died is in the spill and
+    nowhere else, so when it comes again nothing is written. The report's ``wal_active`` tells which way the
+    batch went.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if persist:
             batch = batch.persist()
         try:
-            wal_active = 0
-            try:
-                primary_fn(batch, batch_id)
-            except Exception as error:
-                if not unavailable(error):
-                    raise
-                write_spill(batch, spill_path, batch_id, max_records, quota)
+            wal_active, failure = 0, None
+            if committed(batch.sparkSession, f"{spill_path}/{segment_name(batch_id, origin)}"):
                 wal_active = 1
+            else:
+                try:
+                    primary_fn(batch, batch_id)
+                except Exception as error:
+                    if not unavailable(error):
+                        raise
+                    write_spill(batch, spill_path, batch_id, max_records, quota, origin)
+                    wal_active, failure = 1, error
             if report_fn:
                 status = "SPILLED" if wal_active else "SINKED"
-                report_fn(BatchReport(batch_id, batch.count(), status, 1, wal_active))
+                accepted, refused = counts(batch)
+                report_fn(BatchReport(batch_id, accepted, status, 1, wal_active, refused, describe(failure)))
         finally:
             if persist:
                 batch.unpersist()
@@ -295,21 +322,37 @@ def sink_with_spill(
     return run
 
 
-def report_writer(spark: SparkSession, path: str) -> Callable[[BatchReport], None]:
+def report_writer(spark: SparkSession, path: str, origin: str = "consume") -> Callable[[BatchReport], None]:
     """Keeps one report row per batch as a table."""
 
     def write(report: BatchReport) -> None:
         row = spark.createDataFrame(
-            [(report.events, report.final_status, report.attempts, report.wal_active)],
-            "events long, final_status string, attempts int, wal_active int",
+            [(report.events, report.final_status, report.attempts, report.wal_active, report.refused, report.error)],
+            "events long, final_status string, attempts int, wal_active int, refused long, error string",
         )
-        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={report.batch_id}")
+        write_once(row.coalesce(1), batch_folder(path, origin, report.batch_id))
 
     return write
 
 
 def batch_report(spark: SparkSession, path: str) -> DataFrame:
-    """Per micro-batch: events, final status, attempts, and whether it was spilled."""
+    """Per micro-batch of each job: events, refused lines, final status, attempts, spilled or not, last error."""
     return spark.read.parquet(path).select(
-        F.col("batch_id").cast("long").alias("batch_id"), "events", "final_status", "attempts", "wal_active"
+        "origin", F.col("batch_id").cast("long").alias("batch_id"), "events", "refused", "final_status", "attempts",
+        "wal_active", "error",
     )
+
+
+# --- the rate table --------------------------------------------------------------------------
+
+
+def append_rates(entries: DataFrame, path: str, batch_id: int, origin: str = "rate") -> None:
+    """Events of a batch per second of receipt; late events count in their own second."""
+    ticks = F.date_trunc("second", "received_at").alias("window_start")
+    write_once(entries.groupBy(ticks).agg(F.count("*").alias("events")), batch_folder(path, origin, batch_id))
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    """The series over all batches: ``window_start``, ``events`` and ``rate`` per second."""
+    sums = spark.read.parquet(path).groupBy("window_start").agg(F.sum("events").alias("events"))
+    return sums.withColumn("rate", F.col("events").cast("double"))

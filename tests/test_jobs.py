@@ -5,7 +5,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from logweir.operators import metrics
-from logweir.sources.buffer import read_buffer
+from logweir.sources.buffer import kafka_entries, read_buffer
 from logweir.streaming import jobs, sinks
 
 
@@ -25,7 +25,7 @@ class Pipeline:
     def ingest(self):
         jobs.ingest_job(
             self.spark, self.path("landing"), self.path("buffer"), self.path("cp-ingest"),
-            self.path("spill"), self.path("bad"), once=True,
+            self.path("spill"), self.path("bad"), once=True, reports=self.path("ingest-reports"),
         ).awaitTermination()
 
     def consume(self, **options):
@@ -81,7 +81,7 @@ def test_bad_lines_redaction_and_quarantine(pipeline):
     assert rows["m"]["metadata"] == '{"email":"[REDACTED]","k":1}' and rows["m"]["pii_redacted"]
     assert uuid.UUID(rows["m"]["event_id"]) and rows["m"]["received_at"] is not None
     bad = pipeline.spark.read.parquet(pipeline.path("bad")).collect()
-    assert [r["raw_event"] for r in bad] == ['{"message":1}']
+    assert [(r["bytes"], r["parse_status"]) for r in bad] == [(13, "error_parse")] and "raw_event" not in bad[0]
     held = pipeline.spark.read.parquet(pipeline.path("quarantine")).collect()
     assert [r["reason"] for r in held] == ["event_id is not a uuid"]
 
@@ -138,8 +138,10 @@ def test_unreachable_buffer_spills_and_replays(pipeline, monkeypatch):
     pipeline.consume()
     assert pipeline.count() == 10
     jobs.replay_spill(
-        pipeline.spark, pipeline.path("spill"), pipeline.path("buffer"), pipeline.path("cp-replay")
-    ).awaitTermination()
+        pipeline.spark, pipeline.path("spill"), pipeline.path("buffer"), pipeline.path("cp-replay"), pipeline.path("bad"))
+    reports = sinks.batch_report(pipeline.spark, pipeline.path("ingest-reports")).orderBy("batch_id").collect()
+    assert [(r["events"], r["final_status"], r["wal_active"]) for r in reports] == [(10, "SPILLED", 1), (10, "SINKED", 0)]
+    assert reports[0]["error"] == "ConnectionError: connection refused"
     pipeline.consume()
     assert pipeline.count() == 20
 
@@ -150,9 +152,26 @@ def test_rate_stream(spark, tmp_path):
         F.lit(None).cast("timestamp").alias("event_time"), F.lit("").alias("source"), F.lit("").alias("level"),
         F.lit("m").alias("message"), F.lit(None).cast("string").alias("metadata"), F.lit(False).alias("pii_redacted"),
     )
-    buffer, rates = str(tmp_path / "buffer"), str(tmp_path / "rates")
-    sinks.append_buffer(rows, buffer, 0)
-    jobs.rate_job(spark, buffer, rates, str(tmp_path / "check"), once=True).awaitTermination()
-    got = spark.read.parquet(rates).collect()
-    assert len(got) == 89 and all((r["events"], r["rate"]) == (4, 4.0) for r in got)
+    buffer, rates, check = (str(tmp_path / n) for n in ("buffer", "rates", "check"))
+    sinks.append_buffer(rows.where("id >= 200"), buffer, 0)
+    jobs.rate_job(spark, buffer, rates, check, once=True).awaitTermination()
+    sinks.append_buffer(rows.where("id < 200"), buffer, 0, "replay", again=True)
+    jobs.rate_job(spark, buffer, rates, check, once=True).awaitTermination()
+    got = sinks.read_rates(spark, rates).collect()
+    assert len(got) == 100 and all((r["events"], r["rate"]) == (4, 4.0) for r in got)
     assert read_buffer(spark, buffer).count() == 400
+
+
+def test_jobs_take_any_stream_of_entries(spark, pipeline):
+    """Records shaped like those of a topic, as a stream."""
+    schema = "partition int, offset long, timestamp timestamp, value binary"
+    rows = spark.createDataFrame([(LINES[n].encode(), n) for n in range(5)], "value binary, offset long")
+    rows.select(F.lit(0).alias("partition"), "offset", F.timestamp_seconds(F.lit(1_704_067_200)).alias("timestamp"), "value").write.parquet(
+        pipeline.path("topic"))
+    entries = kafka_entries(spark.readStream.schema(schema).parquet(pipeline.path("topic")))
+    jobs.consume_job(
+        spark, entries.withColumn("payload", F.regexp_replace("payload", "^[{]", '{"received_at":"2024-01-01T00:00:00Z",')),
+        pipeline.path("logs"), pipeline.path("dlq"), pipeline.path("quarantine"), pipeline.path("reports"),
+        pipeline.path("cp-consume"), once=True,
+    ).awaitTermination()
+    assert pipeline.count() == 5

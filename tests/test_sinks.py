@@ -37,8 +37,9 @@ class Sink:
     def __init__(self, failures=0, error=RuntimeError("refused")):
         self.failures, self.error, self.calls, self.kept = failures, error, 0, []
 
-    def __call__(self, batch, batch_id):
+    def __call__(self, batch, batch_id, reason=None):
         self.calls += 1
+        self.reason = reason
         if self.calls <= self.failures:
             raise self.error
         self.kept += sorted(r["message"] for r in batch.collect())
@@ -64,6 +65,7 @@ def test_retry(spark, two):
     sink, dlq = Sink(9), Sink()
     reports, waits = run(two, sink, dlq, attempts=2)
     assert dlq.kept == ["event 1", "event 2"] and sink.calls == 2 and waits == [1.0]
+    assert dlq.reason == "sink failed: RuntimeError: refused" and reports[0].error == "RuntimeError: refused"
     assert (reports[0].final_status, reports[0].events) == ("DLQED", 2)
 
     with pytest.raises(RuntimeError):
@@ -101,7 +103,8 @@ def test_buffer_round_trip_and_first_write_stays(spark, two, tmp_path):
 
 def test_buffer_entries_that_do_not_decode(spark, tmp_path):
     rows = [((1, 0), None), ((2, 0), "{"), ((3, 0), '{"message":"m"}')]
-    spark.createDataFrame(rows, "message_id struct<ms:bigint,seq:bigint>, payload string").write.parquet(
+    rows = [(*row, T0) for row in rows]
+    spark.createDataFrame(rows, "message_id struct<ms:bigint,seq:bigint>, payload string, received_at timestamp").write.parquet(
         str(tmp_path / "b")
     )
     good, bad = jobs.split_entries(read_buffer(spark, str(tmp_path / "b")))
@@ -123,6 +126,8 @@ def test_dlq(spark, two, tmp_path):
     sinks.write_dlq(two, str(tmp_path / "dlq"), 3)
     rows = spark.read.parquet(str(tmp_path / "dlq")).collect()
     assert len(rows) == 2 and {r["original_stream"] for r in rows} == {"log_events"}
+    sinks.write_dlq(two, str(tmp_path / "dlq"), 3, origin="other")
+    assert spark.read.parquet(str(tmp_path / "dlq")).count() == 4
     assert all(json.loads(r["payload"])["event_id"] == r["original_event_id"] for r in rows)
 
 
@@ -137,16 +142,16 @@ def test_spill_segments(spark, tmp_path):
     lines = parse_events(scan_segments(spark, path))
     order = ["segment", "file", "block_start", "line_in_block"]
     assert [r["message"] for r in lines.orderBy(*order).where("parse_status = 'ok'").collect()] == [
-        "m0", "m1", "m2", "m3", "m4", "z"
+        "z", "m0", "m1", "m2", "m3", "m4"
     ]
     report = {r["segment"]: (r["replayed"], r["malformed"]) for r in metrics.replay_report(lines).collect()}
-    assert report == {"segment-00000000000000000001": (5, 0), "segment-9.log": (1, 1), None: (6, 1)}
+    assert report == {"segment-ingest-00000000000000000001": (5, 0), "segment-9.log": (1, 1), None: (6, 1)}
     size = sum(f.stat().st_size for f in (tmp_path / "spill").rglob("*") if f.suffix in (".txt", ".log") and "segment" in str(f.relative_to(tmp_path)))
     usage = metrics.segment_usage(segment_files(spark, path), size - 1).first()
     assert tuple(usage) == (2, size, True)
     assert metrics.segment_usage(segment_files(spark, path), size).first()["over_quota"] is False
     assert [r["segment"] for r in ordered_segments(spark, path).collect()] == [
-        "segment-00000000000000000001", "segment-9.log"
+        "segment-9.log", "segment-ingest-00000000000000000001"
     ]
 
 
@@ -160,7 +165,7 @@ def test_file_scans(spark, tmp_path):
     docs = parse_events(scan_json_documents(spark, str(tmp_path / "d"))).collect()
     assert {(r["parse_status"], r["message"]) for r in docs} == {("ok", "whole"), ("error_parse", None)}
     sized = scan_json_documents(spark, str(tmp_path / "d"), max_bytes=25).collect()
-    assert sorted((r["bytes"], r["size_ok"]) for r in sized) == [(23, True), (31, False)]
+    assert sorted((r["bytes"], r["size_ok"]) for r in sized) == [(22, True), (31, False)]
 
 
 def test_unreachable_sinks_spill_and_others_raise(spark, two, tmp_path):
@@ -175,6 +180,49 @@ def test_unreachable_sinks_spill_and_others_raise(spark, two, tmp_path):
         sinks.sink_with_spill(Sink(9), path)(two, 2)
     assert sinks.is_unavailable(RuntimeError("dial tcp: Connection refused"))
     assert sinks.is_unavailable(TimeoutError()) and not sinks.is_unavailable(ValueError("bad row"))
+    for name in ("net.SocketTimeoutException: Read timed out", "net.ConnectException", "net.UnknownHostException: h",
+                 "net.NoRouteToHostException", "nio.channels.ClosedChannelException"):
+        assert sinks.is_unavailable(RuntimeError(f"Job aborted.\nCaused by: java.{name}"))
+    try:
+        try:
+            raise RuntimeError("java.net.ConnectException: gone")
+        except RuntimeError as inner:
+            raise ValueError("write failed") from inner
+    except ValueError as error:
+        assert sinks.is_unavailable(error)
+    assert not sinks.is_unavailable(RuntimeError("java.lang.IllegalArgumentException: bad row"))
+
+
+def test_jvm_causes_are_walked():
+    class Java:
+        def __init__(self, text, cause=None):
+            self.text, self.cause = text, cause
+
+        def toString(self):  # noqa: N802
+            return self.text
+
+        def getCause(self):  # noqa: N802
+            return self.cause
+
+    error = RuntimeError("An error occurred while calling o1.parquet")
+    error.java_exception = Java("SparkException: Job aborted", Java("java.net.SocketTimeoutException: Read timed out"))
+    assert sinks.is_unavailable(error)
+
+
+def test_spilled_epoch_that_comes_again_is_not_buffered_too(spark, two, tmp_path):
+    path, buffer = str(tmp_path / "spill"), str(tmp_path / "buffer")
+    sinks.sink_with_spill(Sink(1, ConnectionError("gone")), path)(two, 4)
+    sinks.sink_with_spill(lambda batch, n: sinks.append_buffer(batch, buffer, n), path)(two, 4)
+    assert not committed(spark, f"{buffer}/origin=ingest/batch_id=4") and scan_segments(spark, path).count() == 2
+
+
+def test_origins_do_not_share_segments(spark, two, tmp_path):
+    path = str(tmp_path / "spill")
+    sinks.write_spill(two, path, 0, origin="east")
+    sinks.write_spill(make_events(spark, "other", start=9), path, 0, origin="west")
+    sinks.write_spill(make_events(spark, "again", start=9), path, 0, origin="west")
+    lines = parse_events(scan_segments(spark, path))
+    assert sorted(r["message"] for r in lines.collect()) == ["event 1", "event 2", "other"]
 
 
 def test_spill_quota(spark, two, tmp_path):
@@ -190,61 +238,73 @@ def test_spill_quota(spark, two, tmp_path):
         sinks.sink_with_spill(Sink(1, ConnectionError()), path, quota=2 * size)(two, 2)
 
 
-def test_replay_is_done_once_per_segment(spark, two, tmp_path):
-    spill, buffer, check = (str(tmp_path / n) for n in ("spill", "buffer", "check"))
-    assert jobs.replay_spill(spark, spill, buffer, check) is None
-    sinks.write_spill(two, spill, 0)
-    for _ in range(2):
-        jobs.replay_spill(spark, spill, buffer, check).awaitTermination()
-        assert read_buffer(spark, buffer).count() == 2
-    sinks.write_spill(make_events(spark, "event 3", start=5), spill, 1)
-    jobs.replay_spill(spark, spill, buffer, check, archive=str(tmp_path / "done")).awaitTermination()
-    assert sorted(r["message"] for r in read_buffer(spark, buffer).collect()) == ["event 1", "event 2", "event 3"]
+def test_replay_removes_what_is_in_the_buffer(spark, two, tmp_path):
+    spill, buffer, check, bad = (str(tmp_path / n) for n in ("spill", "buffer", "check", "bad"))
+    assert jobs.replay_spill(spark, spill, buffer, check, bad) is None
+    size = sum(len(r[0]) + 1 for r in two.select(sinks.event_json()).collect())
+    sinks.write_spill(two, spill, 0, quota=size)
+    (tmp_path / "spill" / "segment-9.log").write_text('broken\n{"message":"from a file"}\n')
+    unfinished = tmp_path / "spill" / "segment-open"
+    unfinished.mkdir()
+    (unfinished / "part-0.txt").write_text('{"message":"still written"}\n')
+    jobs.replay_spill(spark, spill, buffer, check, bad)
+    assert sorted(r["message"] for r in read_buffer(spark, buffer).collect()) == [
+        "event 1", "event 2", "from a file", "still written"]
+    assert [r["segment"] for r in ordered_segments(spark, spill).collect()] == ["segment-open"]
+    held = spark.read.parquet(bad).first()
+    assert held["file"].endswith("segment-9.log") and held["bytes"] == 6 and held["parse_status"] == "error_parse"
+    # Replayed segments no longer count against the quota, and a second replay adds nothing.
+    sinks.write_spill(make_events(spark, "event 3", start=5), spill, 1, quota=size)
+    jobs.replay_spill(spark, spill, buffer, check, bad)
+    assert read_buffer(spark, buffer).count() == 5
+
+
+def test_replayed_entries_are_newer_than_buffered_ones(spark, two, tmp_path):
+    buffer = str(tmp_path / "buffer")
+    sinks.append_buffer(two, buffer, 0)
+    sinks.append_buffer(two, buffer, 0, "replay", again=True)
+    by = {}
+    for row in read_buffer(spark, buffer).collect():
+        by.setdefault(row["event_id"], []).append((row["message_id"]["ms"], row["received_at"]))
+    assert all(len({ms for ms, _ in rows}) == 2 and len({at for _, at in rows}) == 1 for rows in by.values())
 
 
 def log_batch(events, seq=0):
     return events.withColumn("message_id", F.struct(F.lit(1).cast("long").alias("ms"), F.lit(seq).cast("long").alias("seq")))
 
 
-def test_log_table_versions_and_compaction(spark, tmp_path):
+def test_log_table_versions(spark, tmp_path):
     path = str(tmp_path / "logs")
 
     def messages():
         return sorted(r["message"] for r in sinks.current_logs(spark, path).collect())
 
-    assert messages() == []
+    assert messages() == [] and sinks.fold_logs(spark, path, str(tmp_path / "none")) is None
     sinks.append_logs(log_batch(make_events(spark, "a", "b", "c")), path, 0)
     sinks.append_logs(log_batch(make_events(spark, "a2")), path, 1)
     assert messages() == ["a2", "b", "c"]
-    sinks.compact_logs(spark, path)
-    sinks.compact_logs(spark, path)
+    # A batch that comes again is left as it is.
+    sinks.append_logs(log_batch(make_events(spark, "a3", "b3")), path, 1)
     assert messages() == ["a2", "b", "c"]
-    sinks.append_logs(log_batch(make_events(spark, "a3", "b3")), path, 2)
+    # A batch half written is neither read nor passed over by a fold.
+    log_batch(make_events(spark, "half", start=80)).write.parquet(f"{path}/batch_id=2")
+    (tmp_path / "logs" / "batch_id=2" / "_SUCCESS").unlink()
     sinks.append_logs(log_batch(make_events(spark, "d", start=50)), path, 3)
-    assert messages() == ["a3", "b3", "c", "d"]
-    # A batch that comes again replaces itself.
-    sinks.append_logs(log_batch(make_events(spark, "a4", "b3")), path, 2)
-    assert messages() == ["a4", "b3", "c", "d"]
-    # A snapshot without its pointer is as good as none.
-    spark.range(1).write.parquet(f"{path}/snapshots/upto=3")
-    assert messages() == ["a4", "b3", "c", "d"]
-    sinks.compact_logs(spark, path)
-    assert messages() == ["a4", "b3", "c", "d"]
-    assert metrics.count_logs(sinks.current_logs(spark, path)).first()["events"] == 4
-    sinks.append_logs(log_batch(make_events(spark, "e", start=60)), path, 4)
-    sinks.expire_logs(spark, path)
-    assert messages() == ["a4", "b3", "c", "d", "e"]
-    assert [p.name for p in (tmp_path / "logs" / "batches").iterdir()] == ["batch_id=4"]
-    assert [p.name for p in (tmp_path / "logs" / "snapshots").iterdir()] == ["upto=3"]
-
-
-def test_date_filter_selects_snapshot_folders(spark, tmp_path):
+    assert messages() == ["a2", "b", "c", "d"]
+    assert sinks.fold_logs(spark, path, str(tmp_path / "folded")) == 1
+    sinks.append_logs(log_batch(make_events(spark, "whole", "batch", start=80)), path, 2)
+    assert messages() == ["a2", "b", "batch", "c", "d", "whole"]
+    assert sinks.fold_logs(spark, path, str(tmp_path / "all")) == 3
+    assert sorted(r["message"] for r in spark.read.parquet(str(tmp_path / "all")).collect()) == messages()
+    assert metrics.count_logs(sinks.current_logs(spark, path)).first()["events"] == 6
+
+
+def test_date_filter_selects_folders_of_a_fold(spark, tmp_path):
     path = str(tmp_path / "logs")
     sinks.append_logs(log_batch(make_events(spark, "a", "b")), path, 0)
-    sinks.compact_logs(spark, path)
+    sinks.fold_logs(spark, path, str(tmp_path / "folded"))
     day = F.lit(dt.datetime(2024, 1, 1))
-    df = metrics.filter_logs(sinks.current_logs(spark, path), day, day + F.expr("interval 1 day"))
+    df = metrics.filter_logs(spark.read.parquet(str(tmp_path / "folded")), day, day + F.expr("interval 1 day"))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in plan.splitlines() if "FileScan" in line]
-    assert any("PartitionFilters: [isnotnull(event_date" in line for line in scans)
+    assert any("PartitionFilters: [isnotnull(event_date" in line for line in plan.splitlines() if "FileScan" in line)
     assert [r["message"] for r in df.collect()] == ["a"]

@@ -104,13 +104,15 @@ def test_insert_queue(spark, buffer):
 
 def test_move_to_dlq(spark, buffer):
     dlq = spark.createDataFrame([("a", T0, "earlier", T0, "s", "l", "kept", None)], LOG_DLQ)
-    ids = spark.createDataFrame([("a",), ("b",), ("b",), ("zz",)], "id string")
+    rows = [(key, T0, "s", "l", f"m-{key}", None) for key in ("a", "b", "b", "never queued")]
+    events = spark.createDataFrame(rows, "id string, event_time timestamp, source string, level string, message string, metadata string")
     now = dt.datetime(2024, 3, 1)
-    letters, rest = keyed.move_to_dlq(buffer, dlq, ids, F.lit(now))
+    letters, rest = keyed.move_to_dlq(buffer, dlq, events, F.lit(now))
     rows = {r["id"]: r for r in letters.collect()}
-    assert set(rows) == {"a", "b"} and letters.count() == 2
+    assert set(rows) == {"a", "b", "never queued"} and letters.count() == 3
     assert rows["a"]["message"] == "kept" and rows["a"]["reason"] == "earlier"
     assert rows["b"]["reason"] == "manual DLQ move" and rows["b"]["failed_at"] == now
+    assert rows["never queued"]["message"] == "m-never queued"
     assert {r["id"] for r in rest.collect()} == {"c", "d", "e", "f"}
 
 
