@@ -46,7 +46,7 @@ STEPS = 256
 BLOCK_IDS = 1 << 20
 CHECKPOINT = 64
 LOW = 1 << 31
-CACHE = 500_000
+CACHE = 1_000_000
 NO_ID = -(2**63)
 HEAD = "part int, block int, within bigint, n_ids bigint, doc_ids binary, doc_lengths binary"
 WORK_SCHEMA = f"{HEAD}, ids binary"
@@ -57,13 +57,21 @@ BLOCK_SCHEMA = (f"{HEAD}, lanes int, states binary, words binary, checkpoints bi
 # --- tokenizing ------------------------------------------------------------------------------------------
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [byte for byte in range(256) if byte not in set(printable)]
+    return {byte: chr(byte) for byte in printable} | {byte: chr(256 + k) for k, byte in enumerate(others)}
+
+
 class Encoder:
     """Byte-level BPE ids of texts, with bounded caches for what texts repeat.
 
     The tokenizer always splits before a space that a visible character follows, so the runs between single
     spaces can be encoded one by one; a run not seen before is split like the tokenizer does, and only words not
-    seen before go to it. Texts with a space beside another white-space character, and runs with a special token
-    or with letters beyond Latin (whose classes may differ between Unicode versions), go to the tokenizer whole.
+    seen before go to its BPE model. Texts with a space beside another white-space character, and runs with a
+    special token or with letters beyond Latin (whose classes may differ between Unicode versions), go to the
+    tokenizer whole.
     """
 
     MIXED = re.compile(r" \s|\s ")
@@ -74,31 +82,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.letters = byte_letters()
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array.array("H", found.ids).tobytes()
-                for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, runs: list[str]) -> None:
-        split = {run: [" " + run] if "<|" in run or max(run) >= self.LATIN else self.SPLIT.findall(" " + run)
-                 for run in runs}
+    def _whole(self, text: str) -> bytes:
+        return array.array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _bpe(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the tokenizer would not split."""
+        out: list[bytes] = []
+        for low in range(0, len(words), 1024):
+            part = words[low:low + 1024]
+            # No word holds a zero byte beside another character, so it can stand between them.
+            spelled = "\0".join(part).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+            found = self.model.encode(spelled, is_pretokenized=True, add_special_tokens=False)
+            ids = array.array("H", found.ids).tobytes()
+            ends = 2 * np.searchsorted(np.asarray(found.word_ids), np.arange(len(part)), "right")
+            starts = [0, *ends.tolist()]
+            out += [ids[start:end] for start, end in zip(starts, starts[1:])]
+        return out
+
+    def _parts(self, run: str, space: str) -> list[str] | None:
+        """The words of a run, or None where only the tokenizer can tell."""
+        if run.isalpha():
+            return [space + run] if max(run) < self.LATIN else None
+        if run[:-1].isalpha() and run[-1] in ".,:;!?" and max(run) < self.LATIN:
+            return [space + run[:-1], run[-1]]
+        return None if "<|" in run or "\0" in run or max(run) >= self.LATIN else self.SPLIT.findall(space + run)
+
+    def _learn(self, runs: dict[str, str]) -> dict[str, bytes]:
+        """Ids of runs, given with the space before them or none."""
+        split = {run: self._parts(run, space) for run, space in runs.items()}
         words = self.words
-        missing = {word for parts in split.values() for word in parts if word not in words}
+        missing = {word for parts in split.values() if parts for word in parts if word not in words}
         if missing:
             if len(words) > CACHE:
                 words.clear()
-                missing = {word for parts in split.values() for word in parts}
+                missing = {word for parts in split.values() if parts for word in parts}
             new = list(missing)
-            words.update(zip(new, self._encode(new)))
-        self.runs.update((run, b"".join([words[word] for word in parts])) for run, parts in split.items())
+            words.update(zip(new, self._bpe(new)))
+        return {run: self._whole(runs[run] + run) if parts is None else b"".join([words[word] for word in parts])
+                for run, parts in split.items()}
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if text[0] == " " or text[-1] == " " or self.MIXED.search(text):
-            return self._encode([text])[0]
+            return self._whole(text)
         first, *rest = text.split(" ")
         found = list(map(self.runs.get, rest))
         if None in found:
@@ -106,9 +138,9 @@ class Encoder:
             if len(self.runs) > CACHE:
                 self.runs.clear()
                 missing = set(rest)
-            self._learn(list(missing))
+            self.runs.update(self._learn(dict.fromkeys(missing, " ")))
             found = map(self.runs.get, rest)
-        return self._encode([first])[0] + b"".join(found)
+        return self._learn({first: ""})[first] + b"".join(found)
 
 
 def _blocks(path: str, end_id: int):

@@ -514,7 +514,7 @@ def test_encoder_splits_like_the_tokenizer(vocabulary, reference):
     encode = tokens.Encoder(vocabulary)
     rng = random.Random(3)
     odd = ["", " ", "  a", "a  b", "a\n b", "a \nb", "a\n\nb c", "it's <|endoftext|> we've", "x<|endoftext|>", "naïve 中文 日本 １２ ٣",
-           "a b c", "tab\there x", "emoji 😀 here", "a b", "x  y", "'ll 'S", "1234 5.6", "́a b"]
+           "a b c", "tab\there x", "emoji 😀 here", "a b", "x  y", "'ll 'S", "1234 5.6", "a\0b c\0", "\0", "x \0. y", "́a b"]
     odd += ["".join(rng.choice("ab'.\n \t1é ") for _ in range(rng.randint(1, 40))) for _ in range(500)]
     for text in odd:
         assert encode(text) == np.asarray(reference(text), "<u2").tobytes(), repr(text)
