@@ -61,7 +61,7 @@ START_MS = 1_704_672_000_000  # 2024-01-08
 
 @query("pending_messages", BASE + f"""
 SELECT ms, seq, consumer, epoch_us({S.AS_OF}) // 1000 - epoch_us(delivered_at) // 1000 AS idle_ms, delivery_count AS retry_count
-FROM deliveries WHERE acked_at IS NULL AND ms >= {START_MS}
+FROM mine WHERE acked_at IS NULL AND ms >= {START_MS}
 ORDER BY ms, seq LIMIT 100""")
 def pending_messages(spark, sf_dir):
     page = ledger.pending_messages(
@@ -72,7 +72,7 @@ def pending_messages(spark, sf_dir):
 
 @query("pending_of_consumer", BASE + f"""
 SELECT ms, seq, consumer, epoch_us({S.AS_OF}) // 1000 - epoch_us(delivered_at) // 1000 AS idle_ms, delivery_count AS retry_count
-FROM deliveries WHERE acked_at IS NULL AND consumer = 'c2'
+FROM mine WHERE acked_at IS NULL AND consumer = 'c2'
 ORDER BY ms, seq LIMIT 250""")
 def pending_of_consumer(spark, sf_dir):
     page = ledger.pending_messages(
@@ -81,27 +81,28 @@ def pending_of_consumer(spark, sf_dir):
     return page.select("message_id.ms", "message_id.seq", "consumer", "idle_ms", "retry_count")
 
 
-HIT = f"""acked_at IS NULL AND consumer IN ('c1', 'c3')
+HIT = f"""stream = 'log_events' AND grp = 'log-processors' AND acked_at IS NULL AND consumer IN ('c1', 'c3')
          AND epoch_us({S.AS_OF}) // 1000 - epoch_us(delivered_at) // 1000 >= {MIN_IDLE_MS}"""
 
 
 def claimed(spark, sf_dir):
     """All messages of two consumers are named; the pending, idle ones go to another."""
     deliveries = V.deliveries(spark, sf_dir)
-    named = deliveries.where(F.col("consumer").isin("c1", "c3")).select("message_id")
+    named = V.mine(deliveries).where(F.col("consumer").isin("c1", "c3")).select("message_id")
     return ledger.claim_stale(
         deliveries, V.messages(spark, sf_dir), V.STREAM, V.GROUP, "rescue", MIN_IDLE_MS, named, as_of()
     )
 
 
 @query("claim_stale", BASE + f"""
-SELECT ms, seq, CASE WHEN {HIT} THEN 'rescue' ELSE consumer END AS consumer,
+SELECT stream, grp, ms, seq, CASE WHEN {HIT} THEN 'rescue' ELSE consumer END AS consumer,
        CASE WHEN {HIT} THEN {S.AS_OF} ELSE delivered_at END AS delivered_at,
        CASE WHEN {HIT} THEN delivery_count + 1 ELSE delivery_count END AS delivery_count
 FROM deliveries""")
 def claim_stale(spark, sf_dir):
     state, _ = claimed(spark, sf_dir)
-    return state.select("message_id.ms", "message_id.seq", "consumer", *V.ntz("delivered_at"), "delivery_count")
+    return state.select(
+        "stream", "grp", "message_id.ms", "message_id.seq", "consumer", *V.ntz("delivered_at"), "delivery_count")
 
 
 @query("claimed_events", BASE + f"""
@@ -114,30 +115,34 @@ def claimed_events(spark, sf_dir):
 def acknowledged(spark, sf_dir):
     """The messages of one consumer are named, each twice."""
     deliveries = V.deliveries(spark, sf_dir)
-    named = deliveries.where(F.col("consumer") == "c0").select("message_id")
+    named = V.mine(deliveries).where(F.col("consumer") == "c0").select("message_id")
     return ledger.ack_deliveries(deliveries, V.STREAM, V.GROUP, named.unionByName(named), as_of())
 
 
 @query("ack_deliveries", BASE + f"""
-SELECT ms, seq, consumer, CASE WHEN consumer = 'c0' THEN coalesce(acked_at, {S.AS_OF}) ELSE acked_at END AS acked_at
-FROM deliveries""")
+SELECT stream, grp, ms, seq, consumer, acked_at FROM deliveries WHERE NOT (stream = 'log_events' AND grp = 'log-processors')
+UNION ALL
+SELECT stream, grp, ms, seq, consumer, CASE WHEN consumer = 'c0' THEN coalesce(acked_at, {S.AS_OF}) ELSE acked_at END
+FROM mine""")
 def ack_deliveries(spark, sf_dir):
     state, _ = acknowledged(spark, sf_dir)
-    return state.select("message_id.ms", "message_id.seq", "consumer", *V.ntz("acked_at"))
+    return state.select("stream", "grp", "message_id.ms", "message_id.seq", "consumer", *V.ntz("acked_at"))
 
 
-@query("ack_count", BASE + "SELECT count(*) AS acknowledged FROM deliveries WHERE consumer = 'c0' AND acked_at IS NULL")
+@query("ack_count", BASE + "SELECT count(*) AS acknowledged FROM mine WHERE consumer = 'c0' AND acked_at IS NULL")
 def ack_count(spark, sf_dir):
     return acknowledged(spark, sf_dir)[1]
 
 
-@query("trim_kept", BASE + f"SELECT ms, seq, event_id FROM deliveries ORDER BY ms DESC, seq DESC LIMIT {KEEP}")
+@query("trim_kept", BASE + f"""
+(SELECT stream, ms, seq, event_id FROM mine ORDER BY ms DESC, seq DESC LIMIT {KEEP})
+UNION ALL SELECT stream, ms, seq, event_id FROM deliveries WHERE stream = 'other_events'""")
 def trim_kept(spark, sf_dir):
     kept, _ = ledger.trim_stream(V.messages(spark, sf_dir), V.STREAM, KEEP)
     event_id = F.regexp_extract("payload", r'^\{"event_id":"([^"]*)"', 1)
-    return kept.select("message_id.ms", "message_id.seq", event_id.alias("event_id"))
+    return kept.select("stream", "message_id.ms", "message_id.seq", event_id.alias("event_id"))
 
 
-@query("trim_count", BASE + f"SELECT greatest(count(*) - {KEEP}, 0) AS trimmed FROM deliveries")
+@query("trim_count", BASE + f"SELECT greatest(count(*) - {KEEP}, 0) AS trimmed FROM mine")
 def trim_count(spark, sf_dir):
     return ledger.trim_stream(V.messages(spark, sf_dir), V.STREAM, KEEP)[1]

@@ -106,11 +106,21 @@ log_dlq AS (
          event_time, source, level, message, metadata
   FROM ev WHERE level = 'signup' OR (level = 'error' AND day(event_time) <= 10))"""
 
+# Two streams and two groups; ids repeat between them. ``mine`` is the group the operations name.
 DELIVERIES = """deliveries AS (
   SELECT 'log_events' AS stream, 'log-processors' AS grp, 'c' || (user_id % 4) AS consumer,
          epoch_us(event_time) // 1000 AS ms, n AS seq, event_time AS delivered_at, n % 3 + 1 AS delivery_count,
          CASE WHEN level <> 'error' THEN event_time END AS acked_at, n, event_id, message
-  FROM ev)"""
+  FROM ev
+  UNION ALL
+  SELECT 'log_events', 'auditors', 'c' || (user_id % 3), epoch_us(event_time) // 1000, n, event_time, 1,
+         CASE WHEN level <> 'view' THEN event_time END, n, event_id, message
+  FROM ev WHERE n % 2 = 0
+  UNION ALL
+  SELECT 'other_events', 'log-processors', 'c' || (user_id % 4), epoch_us(event_time) // 1000, n, event_time, 2,
+         CASE WHEN level <> 'error' THEN event_time END, n, event_id, message
+  FROM ev WHERE n % 3 = 0),
+mine AS (SELECT * FROM deliveries WHERE stream = 'log_events' AND grp = 'log-processors')"""
 
 AS_OF = "TIMESTAMP '2024-02-01'"
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from logweir.functions.scalars import JSON_TYPE, NDJSON_TYPE
 
 STREAM = "log_events"
+OTHER_STREAM = "other_events"
 GROUP = "log-processors"
 HOT_ID = "00000000-0000-4000-8000-ffffffffffff"
 
@@ -222,18 +223,35 @@ def error_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delivery state of the events: errors are pending, the rest is acknowledged on delivery."""
-    return log_events(spark, sf_dir).select(
-        F.lit(STREAM).alias("stream"),
-        F.lit(GROUP).alias("grp"),
-        F.concat(F.lit("c"), F.col("user_id") % 4).alias("consumer"),
-        message_id(),
-        F.col("event_time").alias("delivered_at"),
-        (F.col("n") % 3 + 1).alias("delivery_count"),
-        F.when(F.col("level") != "error", F.col("event_time")).alias("acked_at"),
+    """Delivery state of the events, in two groups of one stream and one of another.
+
+    Errors, or views, are pending; the rest is acknowledged on delivery.
+    """
+    events = log_events(spark, sf_dir)
+    n = F.col("n")
+
+    def of(rows: DataFrame, stream: str, group: str, consumers: int, count: Column, pending: str) -> DataFrame:
+        return rows.select(
+            F.lit(stream).alias("stream"),
+            F.lit(group).alias("grp"),
+            F.concat(F.lit("c"), F.col("user_id") % consumers).alias("consumer"),
+            message_id(),
+            F.col("event_time").alias("delivered_at"),
+            count.cast("long").alias("delivery_count"),
+            F.when(F.col("level") != pending, F.col("event_time")).alias("acked_at"),
+        )
+
+    return (
+        of(events, STREAM, GROUP, 4, n % 3 + 1, "error")
+        .unionAll(of(events.where(n % 2 == 0), STREAM, "auditors", 3, F.lit(1), "view"))
+        .unionAll(of(events.where(n % 3 == 0), OTHER_STREAM, GROUP, 4, F.lit(2), "error"))
     )
 
 
+def mine(deliveries: DataFrame) -> DataFrame:
+    return deliveries.where((F.col("stream") == STREAM) & (F.col("grp") == GROUP))
+
+
 def message_id() -> Column:
     return F.struct(
         F.unix_millis("event_time").alias("ms"), F.col("n").alias("seq")
@@ -241,12 +259,13 @@ def message_id() -> Column:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as stream entries; every eleventh payload is cut and does not decode."""
+    """The events as entries of two streams; every eleventh payload is cut and does not decode."""
     whole = F.to_json(F.struct(
         "event_id", "event_time", "source", "level", "message", F.parse_json("metadata").alias("metadata"),
     ), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
     cut = F.substring(whole, F.lit(1), F.length(whole) - 1)
+    streams = F.when(F.col("n") % 3 == 0, F.array(F.lit(STREAM), F.lit(OTHER_STREAM))).otherwise(F.array(F.lit(STREAM)))
     return log_events(spark, sf_dir).select(
-        F.lit(STREAM).alias("stream"), message_id(),
+        F.explode(streams).alias("stream"), message_id(),
         F.when(F.col("n") % 11 == 0, cut).otherwise(whole).alias("payload"),
     )
