@@ -53,13 +53,22 @@ def with_auth(requests: DataFrame, api_keys: DataFrame, as_of: Column | None = N
     )
 
 
+def _with_refused(rows: DataFrame, refused: DataFrame | None) -> DataFrame:
+    """Rows with ``_refused``: whether the buffer refused the event of their request and line."""
+    if refused is None:
+        return rows.withColumn("_refused", F.lit(False))
+    named = refused.select("request_id", "line_no").distinct().withColumn("_refused", F.lit(True))
+    return rows.join(named, ["request_id", "line_no"], "left").withColumn("_refused", F.coalesce("_refused", F.lit(False)))
+
+
 def request_outcome(
     requests: DataFrame, api_keys: DataFrame, as_of: Column | None = None,
-    max_bytes: int = MAX_BODY_BYTES, line_limit: int | None = LINE_LIMIT,
+    max_bytes: int = MAX_BODY_BYTES, line_limit: int | None = LINE_LIMIT, refused: DataFrame | None = None,
 ) -> DataFrame:
     """HTTP ``status`` and ``label`` of each request; the first rule broken decides.
 
-    Bad NDJSON lines do not fail their request. Only bodies that get that far are decoded.
+    Bad NDJSON lines do not fail their request. Only bodies that get that far are decoded. ``refused`` names
+    events, by ``request_id`` and ``line_no``, that the buffer did not take: a JSON request fails with its event.
     """
     staged = request_lines(with_auth(requests, api_keys, as_of), max_bytes, line_limit)
     admitted = (F.col("method") == "POST") & F.col("authenticated")
@@ -72,13 +81,15 @@ def request_outcome(
             "authenticated", "media", "size_ok", "line_ok", document.alias("raw_event"),
         )
     )
+    judged = _with_refused(judged.withColumn("line_no", F.lit(0)), refused)
     rules = [
         (F.col("method") != "POST", 405, "method_not_allowed"),
         (~F.col("authenticated"), 401, "unauthorized"),
         (F.col("media") == "error_media_type", 415, "error_media_type"),
         ((F.col("media") == "ndjson") & ~F.col("line_ok"), 400, "error_line"),
         (~F.col("size_ok"), 413, "error_size"),
-        ((F.col("media") == "json") & (F.col("parse_status") == ERROR_PARSE), 400, ERROR_PARSE),
+        ((F.col("media") == "json") & (F.col("parse_status") != OK), 400, ERROR_PARSE),
+        ((F.col("media") == "json") & F.col("_refused"), 400, "error_buffer"),
     ]
     status, label = F.lit(202), F.lit("accepted")
     for broken, code, name in reversed(rules):
@@ -92,11 +103,12 @@ def request_outcome(
 
 def ingest_rows(
     requests: DataFrame, api_keys: DataFrame, as_of: Column | None = None,
-    max_bytes: int = MAX_BODY_BYTES, line_limit: int | None = LINE_LIMIT,
+    max_bytes: int = MAX_BODY_BYTES, line_limit: int | None = LINE_LIMIT, refused: DataFrame | None = None,
 ) -> DataFrame:
     """Decoded payloads of admitted requests plus one row per request-level error.
 
-    ``event_status`` is ``accepted``, ``error_parse``, ``error_size``, ``error_media_type`` or, for
+    ``event_status`` is ``accepted``, ``error_parse``, ``error_size``, ``error_media_type``, ``error_buffer`` for
+    events in ``refused`` (``request_id``, ``line_no``), which the buffer did not take, or, for
     good lines of an NDJSON request that ended in an error, ``uncounted``: those are ingested, but
     no counter has them. Lines past the limits are decoded like all others, under ``past_limit``.
     """
@@ -107,24 +119,27 @@ def ingest_rows(
     )
     entry = F.filter(
         F.transform("lines", lambda line, i: F.struct(
-            F.lit(None).cast("string").alias("request_error"), line.alias("raw"), (i >= F.col("read_to")).alias("past"))),
+            F.lit(None).cast("string").alias("request_error"), line.alias("raw"), (i >= F.col("read_to")).alias("past"),
+            i.alias("line_no"))),
         lambda x: (F.col("media") == "json") | ~x["raw"].isin("", "\r"),
     )
     error_entry = F.when(
         request_error.isNotNull(),
         F.array(F.struct(request_error.alias("request_error"), F.lit(None).cast("string").alias("raw"),
-                         F.lit(False).alias("past"))),
-    ).otherwise(F.array().cast("array<struct<request_error:string,raw:string,past:boolean>>"))
+                         F.lit(False).alias("past"), F.lit(-1).alias("line_no"))),
+    ).otherwise(F.array().cast("array<struct<request_error:string,raw:string,past:boolean,line_no:int>>"))
     rows = staged.select(
         "request_id", "media", (F.col("size_ok") & F.col("line_ok")).alias("finished"),
         F.explode(F.concat(entry, error_entry)).alias("entry"),
-    ).select("request_id", "media", "finished", "entry.request_error", F.col("entry.raw").alias("raw_event"), "entry.past")
+    ).select("request_id", "media", "finished", "entry.request_error", F.col("entry.raw").alias("raw_event"), "entry.past",
+             "entry.line_no")
     # A trailing carriage return is blank space to JSON, so lines need no trimming here.
-    return parse_events(rows).withColumn(
+    return _with_refused(parse_events(rows), refused).withColumn(
         "event_status",
         F.when(F.col("request_error").isNotNull(), F.col("request_error"))
         .when(F.col("past"), "past_limit")
         .when(F.col("parse_status") != OK, ERROR_PARSE)
+        .when(F.col("_refused"), "error_buffer")
         .when(F.col("finished"), "accepted")
         .otherwise("uncounted"),
     )

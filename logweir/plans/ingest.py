@@ -158,6 +158,36 @@ def events_by_status(spark, sf_dir):
     return metrics.events_by_status(V.requests(spark, sf_dir), V.api_keys(spark, sf_dir), as_of())
 
 
+def refused(spark, sf_dir):
+    """The first event of every ninth request, and a line that does not exist."""
+    first = V.requests(spark, sf_dir).where("request_id % 9 = 0").select("request_id", F.lit(0).alias("line_no"))
+    return first.unionAll(first).unionAll(first.select("request_id", F.lit(99).alias("line_no")))
+
+
+@query("error_buffer_outcome", S.with_(S.EV, S.KEYS, S.REQUESTS) + """
+SELECT request_id, CASE WHEN failed THEN 400 ELSE status END AS status,
+       CASE WHEN failed THEN 'error_buffer' ELSE label END AS label
+FROM (SELECT *, label = 'accepted' AND media = 'json' AND request_id % 9 = 0 AS failed FROM answered)""")
+def error_buffer_outcome(spark, sf_dir):
+    rows = auth.request_outcome(
+        V.requests(spark, sf_dir), V.api_keys(spark, sf_dir), as_of(), refused=refused(spark, sf_dir))
+    return rows.select("request_id", "status", "label")
+
+
+@query("error_buffer_events", S.with_(S.EV, S.KEYS, S.REQUESTS, """taken AS (
+  SELECT *, request_id % 9 = 0 AS refused FROM outcomes WHERE method = 'POST' AND authenticated),
+parts AS (
+  SELECT label AS status, 1 AS k FROM taken WHERE label IN ('error_media_type', 'error_size')
+  UNION ALL SELECT CASE WHEN refused THEN 'error_buffer' ELSE 'accepted' END, 1 FROM taken WHERE label = 'accepted'
+  UNION ALL SELECT 'accepted', 2 FROM taken WHERE label = 'accepted' AND media = 'ndjson'
+  UNION ALL SELECT 'error_parse', 1 FROM taken
+  WHERE label = 'error_parse' OR (media = 'ndjson' AND label = 'accepted'))""") + """
+SELECT status, CAST(sum(k) AS BIGINT) AS events FROM parts GROUP BY status""")
+def error_buffer_events(spark, sf_dir):
+    return metrics.events_by_status(
+        V.requests(spark, sf_dir), V.api_keys(spark, sf_dir), as_of(), refused=refused(spark, sf_dir))
+
+
 @query("bytes_total", S.with_(S.EV, S.KEYS, S.REQUESTS) + """
 SELECT CAST(sum(bytes) AS BIGINT) AS bytes FROM sized WHERE method = 'POST' AND authenticated""")
 def bytes_total(spark, sf_dir):
