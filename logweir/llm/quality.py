@@ -3,7 +3,7 @@ r"""Line-first quality rules: judge lines, drop the failing ones, then judge wha
 A line fails when it is
 
 - navigation: at least two column bars, or at most eight words of which none ends a sentence;
-- badly punctuated: it ends without a closing mark, or holds a symbol of ``[#*$%&|<>]`` for every two words;
+- badly punctuated: no sentence ends within its last ``TAIL`` characters, or it holds a symbol of ``[#*$%&|<>]`` for every two words;
 - boilerplate: a short line (up to 200 characters) with a phrase such as "cookie policy" or "enable javascript".
 
 A document is rejected when the base rules reject it (fewer than 50 words, or more than half of its
@@ -27,6 +27,7 @@ MIN_WORDS = 50
 MAX_REPEAT = 0.5
 MAX_LOSS = 0.3
 SHORT_LINE = 200
+TAIL = 40
 SYMBOLS = "[#*$%&|<>]"
 CLOSED = (".", "!", "?", ":", ";", "…", "。", "！", "？")
 CLOSERS = "\"'”’»)]"
@@ -93,8 +94,8 @@ def line_fails(line: Column) -> Column:
     n_words = F.size(words(line))
     short = F.length(line) <= SHORT_LINE
     bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-    last = F.right(F.rtrim(line, F.lit(SPACE + CLOSERS)), F.lit(1))
-    open_end = ~last.isin(*CLOSED)
+    end = F.rtrim(line, F.lit(SPACE + CLOSERS))
+    open_end = ~F.right(end, F.lit(1)).isin(*CLOSED) & ~F.right(end, F.lit(TAIL)).rlike("[.!?…。！？]")
     navigation = (bars >= 2) | (short & ~line.rlike("[.!?…。！？]") & (n_words <= 8))
     noisy = line.rlike(SYMBOLS) & (2 * symbols(line) > n_words)
     return line.rlike(r"[^\x20\x09-\x0D]") & (open_end | navigation | noisy | (short & line.rlike(BOILERPLATE)))

@@ -74,6 +74,7 @@ def test_line_rules(spark):
     lines = {
         "A sentence that ends as it should.": False, 'He said: "Well done."': False, "": False, "  ": False,
         "Home | About | Contact.": True, "no closing mark at the end of this line of text": True, "Menu": True,
+        "This sentence is whole. A word": False, "A whole sentence. But then comes much more text that never ends anywhere": True,
         "We use cookies: read our Cookie Policy today, it is short and clear.": True,
         "a# b* c$ d% e& f|.": True, "This costs 5% more than it did in the last year of the plan.": False,
     }

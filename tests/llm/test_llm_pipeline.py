@@ -22,10 +22,11 @@ def line_is_bad(line):
     w = WORDS.findall(line)
     if not w:
         return False
-    ending = line.rstrip(SPACE + quality.CLOSERS)[-1:]
+    end = line.rstrip(SPACE + quality.CLOSERS)
+    open_end = end[-1:] not in quality.CLOSED and not re.search("[.!?…。！？]", end[-quality.TAIL:])
     short = len(line) <= quality.SHORT_LINE
     symbols = sum(c in "#*$%&|<>" for c in line)
-    return (ending not in quality.CLOSED or line.count("|") >= 2 or 2 * symbols > len(w) and symbols > 0
+    return (open_end or line.count("|") >= 2 or 2 * symbols > len(w) and symbols > 0
             or short and len(w) <= 8 and not re.search("[.!?…。！？]", line)
             or short and bool(re.search(quality.BOILERPLATE.replace("(?i)", ""), line, re.I | re.A)))
 
