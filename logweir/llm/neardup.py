@@ -8,7 +8,7 @@ Two documents are linked when their sets of five-word shingles have a Jaccard si
    bucket only the number of leading zeros and ``MANTISSA`` further bits are kept (16 bits, 0 for empty).
 2. Documents with equal fingerprints and sizes are one class, represented by its smallest id. Groups of exact
    copies, however large, are one row from here on.
-3. ``BANDS`` bands of ``ROWS`` registers hash representatives into buckets. At the threshold a pair is missed
+3. ``BANDS`` bands of ``ROWS`` registers, empty ones filled from others, hash representatives into buckets. At the threshold a pair is missed
    by all bands with a chance of (1 - 0.85^8)^48 = 2e-7, and less above it.
 4. Star: every member of a bucket is compared with the bucket's smallest id. A pair is dropped when the sizes
    alone exclude the threshold, or when the Jaccard estimate from the registers, corrected for registers that
@@ -23,8 +23,8 @@ Two documents are linked when their sets of five-word shingles have a Jaccard si
    and each pair of blocks is one small cell that checks all pairs of different labels like step 4 and returns
    only links that join two groups, so nothing is emitted per pair. This step misses no pair.
 
-The shingles that the order puts last are those with at least 1 / ``MAX_COMMON`` of all entries of the sets in
-question, so at most MAX_COMMON of them are broadcast, whatever the corpus.
+The shingles that the order puts last are those found to be shared with at least 1 / ``MAX_COMMON`` of all such
+finds, so at most MAX_COMMON of them are broadcast, whatever the corpus. Any order gives the same links.
 
 Sets hold 64-bit shingle hashes; two different shingles of a pair of documents collide with a chance of about
 n^2 / 2^64. Nothing grows on the driver: it sees one count per round of the component search.
@@ -76,9 +76,28 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def densified(table: np.ndarray) -> np.ndarray:
+    """The registers with each empty one filled from the first full one on a walk of its own.
+
+    A short text fills few buckets. Filled up, all registers of two sets agree with a chance near their
+    similarity, so that a band is as selective for short texts as for long ones. The walk of a register, a
+    sequence of random buckets, is the same for all texts; rows that are empty as a whole stay so.
+    """
+    table = table.copy()
+    walk = np.random.default_rng(3)
+    rows, places = np.nonzero((table == 0) & table.any(axis=1)[:, None])
+    full = table.copy()
+    while len(rows):
+        source = walk.integers(0, REGISTERS, REGISTERS)[places]
+        found = full[rows, source]
+        table[rows, places] = found
+        rows, places = rows[found == 0], places[found == 0]
+    return table
+
+
 def band_keys(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) for each band that is not empty, of registers with one row per document."""
-    halves = np.ascontiguousarray(table).view(np.uint64).reshape(len(table), BANDS, 2)
+    """(document, bucket) for each band, of registers with one row per document."""
+    halves = np.ascontiguousarray(densified(table)).view(np.uint64).reshape(len(table), BANDS, 2)
     keys = mix(halves[:, :, 0] * PLACES[1] + mix(halves[:, :, 1] * PLACES[2] + np.arange(BANDS, dtype=np.uint64)))
     doc, band = np.nonzero(halves.any(axis=2))
     return doc, keys[doc, band]
@@ -172,10 +191,12 @@ def _verified(percent: int):
     return run
 
 
-def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that several sets of a batch have; the order may be any, so those of few sets need no count."""
     for batch in batches:
         data = batch.column("shingles").to_pylist()
         found, counts = np.unique(np.frombuffer(b"".join(data), np.uint64), return_counts=True)
+        found, counts = found[counts > 1], counts[counts > 1]
         yield pa.RecordBatch.from_pydict({"key": pa.array(found.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
 
 
@@ -306,9 +327,9 @@ def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int)
     waiting = labelled(members.where("id != hub"))
     mixed = waiting.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     sets = _sets(texts, waiting.join(_spread(mixed.select("key")), "key").select("id").distinct())
-    counts = stored(sets.mapInArrow(_shingle_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    counts = stored(sets.mapInArrow(_shared_shingles, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    common = counts.where((F.col("n") > 1) & (F.col("n") * MAX_COMMON >= total)).toPandas().sort_values("n", kind="stable")
+    common = counts.where(F.col("n") * MAX_COMMON >= total).toPandas().sort_values("n", kind="stable")
     keys = common["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     shared = texts.sparkSession.sparkContext.broadcast((keys[order], np.arange(1, len(keys) + 1)[order]))

@@ -186,6 +186,26 @@ def test_registers_estimate_similarity():
         assert abs(got[0] - true) < 5 * math.sqrt(true * (1 - true) / used[0]) + 1e-9
 
 
+def test_bands_catch_pairs_at_the_threshold_and_few_below():
+    """Of pairs right at 0.85 none may be missed, of any size; half as similar pairs seldom meet."""
+    rng = np.random.default_rng(12)
+    for n in (7, 20, 60, 160, 1000):
+        met = {}
+        for share in (0.85, 0.4):
+            met[share] = 0
+            for _ in range(200):
+                same = max(1, math.ceil(share * n))
+                both = rng.integers(1, 2**64, same, np.uint64)
+                extra = (n - same) // 2
+                a, b = (np.unique(np.concatenate([both, rng.integers(1, 2**64, k, np.uint64)])) for k in (extra, n - same - extra))
+                table = np.stack([neardup.registers(a), neardup.registers(b)])
+                doc, keys = neardup.band_keys(table)
+                met[share] += bool(set(keys[doc == 0].tolist()) & set(keys[doc == 1].tolist()))
+        assert met[0.85] == 200 and met[0.4] < 60, (n, met)
+    empty = np.zeros((2, neardup.REGISTERS), np.uint16)
+    assert len(neardup.band_keys(empty)[0]) == 0
+
+
 def test_no_link_is_lost_at_the_threshold(spark):
     """Pairs right at the limit, chains of them, and a crowd that shares a passage without being linked."""
     rng = random.Random(9)
