@@ -4,15 +4,17 @@ Texts are compared in lower case with every run of other ASCII characters than l
 An item is found in a document when a stretch of it has an edit distance of at most ``MAX_EDITS`` of the item's
 length (both in UTF-8 bytes).
 
-1. Places: a document and an item that share a run of whole words of at least ``SEED_BYTES`` bytes suggest a window
-   of the item's size, so placed that the runs lie on each other. An item whose edits are spread at random over
-   it keeps such a run nearly always (recall is measured in the tests); unrelated text has next to none, so that
-   the millions of windows without one are never embedded.
+1. Places: an item that may take d edits is cut into d + 1 pieces of some 6 bytes; edits within the bound leave a
+   piece whole (only short items have pieces of 4 or 5). Every byte place of a document is looked up among the
+   pieces. A find goes on when its neighbour piece stands beside it with at most one edit, and when the group of
+   up to ``GROUP`` pieces around it stands there with fewer edits than it has pieces. If all finds of an item failed
+   one of these tests, each group would hold as many edits as pieces, so no stretch within the bound is lost, wherever
+   its edits lie and whether or not the text has spaces.
 2. CGK: a random walk reads window and item, at each step staying on a character or going on, as a random bit of
    (step, character) says. Strings of small edit distance fall into step again, so their walks agree in most
    coordinates: edit distance became Hamming distance.
 3. Bit sampling: from each of ``WALKS`` walks ``SAMPLES`` samples of ``BITS`` coordinates; a window goes on when one
-   of its samples equals the item's.
+   of its samples equals the item's. There are so many samples that windows within the bound pass (see the tests).
 4. The edit distance of the item to the best stretch near the window is computed exactly (bit-parallel).
 
 The items are the query set and are broadcast in blocks of at most ``BLOCK_BYTES`` of text, one pass over the
@@ -32,16 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.shingles import CHUNK, FACTOR, mix, word_hashes
+from logweir.llm.shingles import CHUNK
 
 MAX_EDITS = 0.15
 SEED_BYTES = 12
 WALKS = 8
-SAMPLES = 12
-BITS = 3
+SAMPLES = 64
+BITS = 2
+PIECE = 6
+GROUP = 8
+PAD = 64
+CLASSES = 64
 BLOCK_BYTES = 16 << 20
 GATE_BITS = 22
 BATCH = 512
+FINDS = 1 << 18
+# Filters may take two bytes for one: letters and digits have a class each, bytes beyond ASCII share the others.
+KIND = np.asarray([b".abcdefghijklmnopqrstuvwxyz0123456789 ".find(c) % CLASSES if c < 128 else 38 + c % 25 for c in range(256)])
 FOLD = bytes(c if chr(c).isalnum() and c < 128 or c > 127 else 32 for c in range(256))
 
 
@@ -49,45 +58,132 @@ def normal(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode().translate(FOLD).split())
 
 
-def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and place of the shortest run of whole words of SEED_BYTES bytes from each word on."""
-    words, of, at, lengths = word_hashes(texts)
-    base = np.cumsum([0] + [len(text) + SEED_BYTES for text in texts])[of]  # no run reaches into the next text
-    last = np.searchsorted(base + at + lengths, base + at + SEED_BYTES)
-    whole = last < len(words)
-    whole[whole] = of[last[whole]] == of[whole]
-    first, last = np.flatnonzero(whole), last[whole]
-    powers = np.cumprod(np.full(len(words), FACTOR, np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers)])
-    back = np.cumprod(np.full(len(words), pow(int(FACTOR), -1, 1 << 64), np.uint64))
-    return mix((sums[last + 1] - sums[first]) * back[first] + (last - first).astype(np.uint64)), of[first], at[first]
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts one after another with zeros around them, and where each begins."""
+    lengths = np.asarray([len(text) + PAD for text in texts], np.int64)
+    return np.frombuffer(bytes(PAD) + bytes(PAD).join(texts) + bytes(PAD), np.uint8), PAD + np.cumsum(lengths) - lengths
+
+
+def packed(text: np.ndarray, at: np.ndarray | slice, size) -> np.ndarray:
+    """The bytes of the text from each place on, up to 7, as one number."""
+    words = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    return words[at] & ((np.uint64(1) << np.asarray(8 * size, np.uint64)) - np.uint64(1))
 
 
 class Items:
-    """A block of benchmark items, indexed by their seeds."""
+    """A block of benchmark items, indexed by their pieces."""
 
     def __init__(self, ids: list[int], texts: list[bytes]) -> None:
         self.ids, self.texts = np.asarray(ids, np.int64), texts
-        keys, self.of, self.at = seeds(texts)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.of, self.at = keys[order], self.of[order], self.at[order]
-        self.gate = np.zeros(1 << GATE_BITS, bool)
-        self.gate[(self.keys >> np.uint64(64 - GATE_BITS)).astype(np.int64)] = True
         self.lengths = np.asarray([len(text) for text in texts], np.int64)
         self.edits = (self.lengths * MAX_EDITS).astype(np.int64)
+        self.text, self.base = joined(texts)
+        pieces: list[tuple[int, ...]] = []  # key size, item, place, next place, neighbour's place and size, group
+        groups: list[tuple[int, int, int, int]] = []  # item, place, size, edits
+        for item, (size, edits) in enumerate(zip(self.lengths.tolist(), self.edits.tolist())):
+            if size < SEED_BYTES:
+                continue
+            n = edits + 1
+            cuts = [size * k // n for k in range(n + 1)]
+            pairs = -(-n // 2)
+            parts = -(-n // GROUP)
+            ends = [min(n, 2 * (pairs * (k + 1) // parts)) for k in range(parts)]
+            for low, high in zip([0, *ends], ends):
+                groups.append((item, cuts[low], cuts[high] - cuts[low], high - low - 1))
+                for k in range(low, high):
+                    other = k ^ 1 if k ^ 1 < n else k
+                    pieces.append((min(PIECE, size // n), item, cuts[k], cuts[k + 1], cuts[other],
+                                   cuts[other + 1] - cuts[other], len(groups) - 1))
+        table = np.asarray(pieces, np.int64).reshape(-1, 7)
+        keys = packed(self.text, self.base[table[:, 1]] + table[:, 2], table[:, 0])
+        order = np.lexsort((keys, table[:, 0]))
+        self.keys = keys[order]
+        self.sizes, self.of, self.at, self.stop, self.other, self.other_size, self.group = table[order].T
+        self.bounds = {int(q): np.searchsorted(self.sizes, [q, q + 1]) for q in np.unique(self.sizes)}
+        self.gates = {}
+        for q, (low, high) in self.bounds.items():
+            self.gates[q] = np.zeros(1 << GATE_BITS, bool)
+            self.gates[q][self.slot(self.keys[low:high])] = True
+        self.group_item, self.group_at, self.group_size, self.group_edits = np.asarray(groups, np.int64).reshape(-1, 4).T
+        self.masks = np.zeros((len(groups), CLASSES), np.uint64)
+        for k in range(int(self.group_size.max(initial=0))):
+            own = np.flatnonzero(k < self.group_size)
+            kind = KIND[self.text[self.base[self.group_item[own]] + self.group_at[own] + k]]
+            self.masks[own, kind] |= np.uint64(1 << k)
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GATE_BITS)).astype(np.int64)
+
+    def beside(self, text: np.ndarray, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether the neighbour may stand beside the piece with one edit: the half that has none is where it can be."""
+        size, right = self.other_size[piece], self.other[piece] > self.at[piece]
+        start = at + self.other[piece] - self.at[piece]
+        own = self.base[self.of[piece]] + self.other[piece]
+        half = size // 2
+        near, far = np.where(right, 0, half), np.where(right, half, 0)
+        near_size, far_size = np.where(right, half, size - half), np.where(right, size - half, half)
+        good = packed(self.text, own + near, near_size) == packed(text, start + near, near_size)
+        wanted = packed(self.text, own + far, far_size)
+        for shift in (-1, 0, 1):
+            good |= wanted == packed(text, start + far + shift, far_size)
+        return good | (self.other[piece] == self.at[piece])
+
+    def around(self, text: np.ndarray, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether the piece's group stands around it with fewer edits than it has pieces (Myers, 1999, in one word)."""
+        group = self.group[piece]
+        size, edits = self.group_size[group].astype(np.uint64), self.group_edits[group]
+        start = at + self.group_at[group] - self.at[piece] - edits
+        one = np.uint64(1)
+        last, score = one << (size - one), self.group_size[group].copy()
+        up, down = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
+        best = score.copy()
+        for k in range(int((self.group_size[group] + 2 * edits).max(initial=0))):
+            mask = self.masks[group, KIND[text[np.clip(start + k, 0, len(text) - 1)]]]
+            cross = mask | down
+            flat = (((mask & up) + up) ^ up) | mask
+            rise, fall = down | ~(flat | up), up & flat
+            score += ((rise & last) != 0).astype(np.int64) - ((fall & last) != 0)
+            rise, fall = rise << one, fall << one
+            up, down = fall | ~(cross | rise), rise & cross
+            np.minimum(best, score, out=best)
+        return best <= edits
 
     def places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, first byte of the window), one per stretch that the allowed edits can tell apart."""
-        keys, of, at = seeds(texts)
-        maybe = np.flatnonzero(self.gate[(keys >> np.uint64(64 - GATE_BITS)).astype(np.int64)])
-        low, high = (np.searchsorted(self.keys, keys[maybe], side) for side in ("left", "right"))
-        times = high - low
-        hit = np.repeat(maybe, times)
-        posting = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
-        item, start = self.of[posting], at[hit] - self.at[posting]
+        text, base = joined(texts)
+        codes = packed(text, slice(PAD, len(text) - PAD), PIECE)
+        none = np.zeros(0, np.int64)
+        found = [(none, none)]
+        for q, (low, high) in self.bounds.items():
+            keys = codes & np.uint64((1 << 8 * q) - 1)
+            maybe = np.flatnonzero(self.gates[q][self.slot(keys)])
+            known, runs = np.unique(self.keys[low:high], return_counts=True)
+            slot = np.minimum(np.searchsorted(known, keys[maybe]), len(known) - 1)
+            same = known[slot] == keys[maybe]
+            maybe, slot = maybe[same], slot[same]
+            last = np.cumsum(runs)[slot]
+            first = last - runs[slot]
+            # Some texts hold a common piece very often: the finds are tested a bounded number at a time.
+            steps = np.cumsum(last - first)
+            cut = 0
+            while cut < len(maybe):
+                done = steps[cut - 1] if cut else 0
+                stop = max(cut + 1, int(np.searchsorted(steps, done + FINDS, "right")))
+                times = (last - first)[cut:stop]
+                at = PAD + np.repeat(maybe[cut:stop], times)
+                piece = low + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[cut:stop], times)
+                good = self.beside(text, at, piece)
+                at, piece = at[good], piece[good]
+                good = self.around(text, at, piece)
+                found.append((at[good], piece[good]))
+                cut = stop
+        at, piece = (np.concatenate(part) for part in zip(*found))
+        of = np.searchsorted(base, at, "right") - 1
+        item, start = self.of[piece], at - base[of] - self.at[piece]
         cell = np.floor_divide(start, self.edits[item] + 1)
-        _, first = np.unique(np.stack([of[hit], item, cell]), axis=1, return_index=True)
-        return of[hit][first], item[first], start[first]
+        _, first = np.unique(np.stack([of, item, cell]), axis=1, return_index=True)
+        return of[first], item[first], start[first]
 
 
 def walks(strings: list[bytes], steps: int) -> np.ndarray:

@@ -333,6 +333,44 @@ def test_recall_of_edited_items(spark, sf_dir, documents, share, recall):
     assert len(found & wanted) >= recall * len(wanted)
 
 
+def spread_evenly(item, edits):
+    out = bytearray(item)
+    for k in range(edits):
+        at = int((k + 0.5) * len(item) / edits)
+        out[at] = ord("q") if out[at] != ord("q") else ord("z")
+    return bytes(out)
+
+
+@pytest.mark.parametrize("spaces", [True, False])
+@pytest.mark.parametrize("spread", ["even", "random"])
+def test_no_leak_within_the_bound_is_lost(spark, sf_dir, documents, spread, spaces):
+    """Items with all the edits that are allowed, also spread evenly and without spaces, next to brute force."""
+    items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark", "item_id", "text").collect()]
+    hosts = sorted(text for text in documents.values() if text and len(text) > 300)
+    if not spaces:
+        items = [(i, "".join(text.split())) for i, text in items]
+    rows, want = [], set()
+    for k, (i, text) in enumerate(items):
+        normal, host = decontaminate.normal(text), hosts[k % len(hosts)]
+        edits = int(decontaminate.MAX_EDITS * len(normal))
+        if spread == "even":
+            changed = spread_evenly(normal, edits).decode(errors="replace")
+        else:
+            changed = normal.decode()
+            rng = random.Random(k)
+            for _ in range(edits):
+                at = rng.randrange(len(changed))
+                changed = changed[:at] + rng.choice(["", "q", changed[at] + "q"]) + changed[at + 1:]
+        body = host[:100] + " " + changed + " " + host[100:300]
+        rows.append((k, body))
+        if decontaminate.nearest(normal, decontaminate.normal(body))[0] <= edits:
+            want.add((k, i))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_items(docs, bench).collect()}
+    assert want and want <= found
+
+
 def test_exact_leaks(spark, sf_dir, documents):
     items = {r.item_id: decontaminate.normal(r.text) for r in table(spark, sf_dir, "benchmark", "item_id", "text").collect()}
     rows = queries.QUERIES["op2_cgk_decontamination"](spark, sf_dir).collect()
