@@ -6,11 +6,14 @@ next shorter context then excludes all symbols of the longer one. The log10 prob
 over its symbols, its end included.
 
 - Training counts all windows of ORDER + 1 symbols of all training documents: per task in numpy, then summed
-  by Spark. Shorter contexts are sums over these windows.
-- A window stays in the trie when it makes up at least 1 / ``MAX_NODES`` of all symbols, so each order has at
-  most MAX_NODES nodes at any size of the corpus: this bounds what is broadcast. Contexts stay nested, as a
-  window is never more frequent than its suffix, so probabilities stay proper.
-- The cost of a symbol only depends on its window, so a task looks up each distinct window of its chunk once.
+  by Spark. Shorter contexts are sums over these windows. Nothing is pruned: what is learned grows with the corpus.
+- Windows of up to ``LOW`` symbols have at most 257^3 values, whatever the corpus; they are broadcast in full. Longer
+  ones stay on Spark: all windows of training and held-out documents are dealt and sorted by the LOW symbols before the
+  last, so that a window stands beside everything that its cost depends on. A key has at most 257^2 windows, and a
+  task holds some ``COSTED`` at a time.
+- The cost of a symbol only depends on its window. The costs of the most frequent windows, at most ``MAX_NODES``, are
+  broadcast as a cache; the other windows of a document leave the task as (row, window, times) and meet their costs in a
+  join. Any size of the cache gives the same scores, but for the order of the sums.
 
 Unigram part: words are runs of characters outside ``[\\x20\\x09-\\x0D]`` after A-Z became a-z; each text also has
 one end token. Words that make up at least 1 / ``MAX_WORDS`` of all training tokens are broadcast (at most
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from logweir.session import work_dir
 
 ORDER = 4
+LOW = 3
 BITS = 9  # symbols: 0 end of text and the space before it, 1 to 256 bytes
 SYMBOLS = 257
 MAX_NODES = 1 << 22
@@ -42,6 +46,7 @@ MAX_WORDS = 1 << 20
 LONG_WORD = 64
 CHUNK = 1 << 20
 FLUSH = 1 << 20
+COSTED = 1 << 17
 FOLDS = 7
 HELD_OUT = 2
 
@@ -135,18 +140,31 @@ class Trie:
 
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """``grams[k]``: windows of k + 1 symbols and their counts, sorted by window."""
-        self.grams = grams
-        self.contexts, self.totals, self.kinds, self.excluded = [], [], [], []
-        for k, (codes, counts) in enumerate(grams):
-            contexts, of = np.unique(codes >> np.uint64(BITS), return_inverse=True)
-            self.contexts.append(contexts)
-            self.totals.append(np.bincount(of, counts, len(contexts)))
-            self.kinds.append(np.bincount(of, minlength=len(contexts)))
-            shorter = np.zeros(len(codes))
-            if k:
-                at, known = self._find(grams[k - 1][0], codes & self.mask(k - 1))
-                shorter = np.where(known, grams[k - 1][1][at] if len(grams[k - 1][1]) else 0, 0)
-            self.excluded.append(np.bincount(of, shorter, len(contexts)))
+        self.grams, self.contexts, self.totals, self.kinds, self.excluded = [], [], [], [], []
+        for codes, counts in grams:
+            self._add(codes, counts)
+
+    def _add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        contexts, of = np.unique(codes >> np.uint64(BITS), return_inverse=True)
+        shorter = np.zeros(len(codes))
+        if k := len(self.grams):
+            at, known = self._find(self.grams[k - 1][0], codes & self.mask(k - 1))
+            shorter = np.where(known, self.grams[k - 1][1][at] if len(self.grams[k - 1][1]) else 0, 0)
+        self.grams.append((codes, counts))
+        self.contexts.append(contexts)
+        self.totals.append(np.bincount(of, counts, len(contexts)))
+        self.kinds.append(np.bincount(of, minlength=len(contexts)))
+        self.excluded.append(np.bincount(of, shorter, len(contexts)))
+
+    def longer(self, codes: np.ndarray, counts: np.ndarray) -> Trie:
+        """This trie with the orders up to ORDER, from whole windows and their counts."""
+        trie = Trie([])
+        for name, values in vars(self).items():
+            setattr(trie, name, list(values))
+        for k in range(len(self.grams), ORDER + 1):
+            grams, of = np.unique(codes & self.mask(k), return_inverse=True)
+            trie._add(grams, np.bincount(of, counts, len(grams)).astype(np.int64))
+        return trie
 
     @staticmethod
     def mask(k: int) -> np.uint64:
@@ -191,7 +209,7 @@ class Trie:
 
 
 def train(docs: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie over the texts of the documents."""
+    """The trie over the texts of the documents in one piece; windows rarer than 1 / max_nodes are left out."""
     spark = docs.sparkSession
     folder = work_dir(spark, "ppm-windows")
     (docs.select("text").mapInArrow(_count_windows, "code bigint, n bigint")
@@ -208,24 +226,98 @@ def train(docs: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
     return Trie(grams)
 
 
+def _costed(low):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def costed(code: np.ndarray, n: np.ndarray, uses: np.ndarray) -> pa.RecordBatch:
+            trie = low.value.longer(code[n > 0], n[n > 0])
+            return pa.RecordBatch.from_pydict({
+                "code": pa.array(code.astype(np.int64)), "uses": pa.array(uses), "cost": pa.array(trie.log10(code))})
+
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append([batch.column(name).to_numpy() for name in ("code", "n", "uses")])
+            size += batch.num_rows
+            if size > COSTED:
+                code, n, uses = (np.concatenate(part) for part in zip(*held))
+                keys = (code.astype(np.uint64) >> np.uint64(BITS)) & Trie.mask(LOW - 1)
+                cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+                if cut:
+                    yield costed(code[:cut].astype(np.uint64), n[:cut], uses[:cut])
+                held, size = [[code[cut:], n[cut:], uses[cut:]]], len(code) - cut
+        if size:
+            code, n, uses = (np.concatenate(part) for part in zip(*held))
+            yield costed(code.astype(np.uint64), n, uses)
+
+    return run
+
+
+def window_costs(training: DataFrame, others: DataFrame) -> DataFrame:
+    """``code``, ``uses`` and ``cost`` of every window of both, by the model of the training documents."""
+    spark = training.sparkSession
+    folder = work_dir(spark, "ppm-windows")
+
+    def counted(docs: DataFrame, trained: str) -> DataFrame:
+        return docs.select("text").mapInArrow(_count_windows, "code bigint, n bigint").selectExpr(
+            "code", f"{trained} AS n", "n AS uses")
+
+    (counted(training, "n").unionAll(counted(others, "0L")).groupBy("code")
+     .agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")).write.parquet(folder))
+    table = spark.read.parquet(folder)
+    grams = []
+    for k in range(LOW):
+        # At most 257^3 rows, whatever the corpus.
+        found = (table.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(int(Trie.mask(k)))).alias("code"))
+                 .agg(F.sum("n").alias("n")).toPandas().sort_values("code"))
+        grams.append((found["code"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)))
+    low = spark.sparkContext.broadcast(Trie(grams))
+    key = F.shiftright("code", BITS).bitwiseAND(F.lit(int(Trie.mask(LOW - 1))))
+    costs_at = work_dir(spark, "ppm-costs")
+    (table.withColumn("key", key).repartition("key").sortWithinPartitions("key")
+     .select("code", "n", "uses").mapInArrow(_costed(low), "code bigint, uses bigint, cost double").write.parquet(costs_at))
+    return spark.read.parquet(costs_at)
+
+
+def cache(costs: DataFrame, max_nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent windows, at most ``max_nodes``, sorted, and their costs."""
+    sizes = costs.groupBy(F.length(F.bin("uses")).alias("bits")).count().orderBy(F.desc("bits")).collect()
+    least, n = 1 << 62, 0
+    for row in sizes:  # at most 63
+        n += row["count"]
+        if n > max_nodes:
+            break
+        least = 1 << (row["bits"] - 1)
+    found = costs.where(F.col("uses") >= least).select("code", "cost").toPandas().sort_values("code")
+    return found["code"].to_numpy(np.uint64), found["cost"].to_numpy(np.float64)
+
+
 # --- scoring ---------------------------------------------------------------------------------------------
 
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, " \
-         "words array<binary>, times array<int>"
+         "words array<binary>, times array<int>, codes array<bigint>, uses array<bigint>"
 
 
 def _scored(model, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, logs = model.value, frequent.value
+        (cached, costs), logs = model.value, frequent.value
         for batch in batches:
             texts = [(text or "").encode() for text in batch.column("text").to_pylist()]
             score = np.zeros(len(texts))
+            missed = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             first = 0
             for group in _grouped(iter(texts)):
                 for codes, text in windows(group):
                     unique, inverse = np.unique(codes, return_inverse=True)
-                    score[first:first + len(group)] += np.bincount(text, trie.log10(unique)[inverse], len(group))
+                    place, known = Trie._find(cached, unique)
+                    cost = np.where(known, costs[place] if len(costs) else 0.0, 0.0)
+                    score[first:first + len(group)] += np.bincount(text, cost[inverse], len(group))
+                    rare = ~known[inverse]
+                    pairs, n = np.unique(text[rare] * len(unique) + inverse[rare], return_counts=True)
+                    missed.append((first + pairs // len(unique), unique[pairs % len(unique)], n))
                 first += len(group)
+            of, codes, uses = (np.concatenate(part) for part in zip(*missed))
+            order = np.argsort(of, kind="stable")
+            at_code = pa.array(np.searchsorted(of[order], np.arange(len(texts) + 1)).astype(np.int32))
             n_tokens, n_known, base = [], [], []
             words: list[bytes] = []
             times: list[int] = []
@@ -251,17 +343,19 @@ def _scored(model, frequent):
                 "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
                 "base": pa.array(base, pa.float64()), "score": pa.array(score),
                 "words": pa.ListArray.from_arrays(at, pa.array(words, pa.binary())),
-                "times": pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))})
+                "times": pa.ListArray.from_arrays(at, pa.array(times, pa.int32())),
+                "codes": pa.ListArray.from_arrays(at_code, pa.array(codes[order].astype(np.int64))),
+                "uses": pa.ListArray.from_arrays(at_code, pa.array(uses[order].astype(np.int64)))})
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """Train on the documents outside the held-out fold and score all of them."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     training = rows.where("NOT held_out")
-    trie = train(training)
+    costs = window_costs(training, rows.where("held_out"))
 
     folder = work_dir(spark, "ppm-words")
     (training.select("text").mapInArrow(_count_words, "word binary, n bigint")
@@ -275,7 +369,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     context = spark.sparkContext
     scored_at = work_dir(spark, "ppm-scored")
-    scored = rows.mapInArrow(_scored(context.broadcast(trie), context.broadcast(logs)), SCORED)
+    scored = rows.mapInArrow(_scored(context.broadcast(cache(costs, max_nodes)), context.broadcast(logs)), SCORED)
     scored.withColumn("row", F.monotonically_increasing_id()).write.parquet(scored_at)
     scored = spark.read.parquet(scored_at)
 
@@ -285,10 +379,15 @@ def score(docs: DataFrame) -> DataFrame:
     sums = (rest.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * log).alias("more"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known")))
+    rare = scored.select("row", F.explode(F.arrays_zip("codes", "uses")).alias("x")).select(
+        "row", F.col("x.codes").alias("code"), F.col("x.uses").alias("times"))
+    left = rare.join(costs.select("code", "cost"), "code").groupBy("row").agg(
+        F.sum(F.col("times") * F.col("cost")).alias("rare_score"))
     n_tokens = F.col("n_tokens") + 1
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(float(np.log10(ends + 1)))
-    return scored.drop("words", "times").join(sums, "row", "left").select(
+    return scored.drop("words", "times", "codes", "uses").join(sums, "row", "left").join(left, "row", "left").select(
         "doc_id", "held_out", n_tokens.alias("n_tokens"),
         (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (base - n_tokens * float(np.log10(total + kinds + 1))).alias("base_score"), "score")
+        (base - n_tokens * float(np.log10(total + kinds + 1))).alias("base_score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))

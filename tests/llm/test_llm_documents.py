@@ -511,6 +511,20 @@ def test_model_is_a_distribution_even_when_pruned(spark):
             assert (10 ** trie.log10(codes)).sum() == pytest.approx(1)
 
 
+def test_rare_windows_are_never_pruned(spark):
+    """Beyond MAX_NODES symbols a name seen once is still known, and the size of the cache changes nothing."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    common = [(i, "so many words of this kind " * 4_000) for i in ids[:45]]
+    rows = [*common, (ids[45], "the Quetzalcoatlus xyzzy"), (next(i for i in range(60) if i not in ids), "a Quetzalcoatlus")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sum(len(text) for _, text in common) > ppm.MAX_NODES
+    whole = ppm.train(df.where(~ppm.held_out(F.col("doc_id"))), max_nodes=1 << 40)
+    for found in (ppm.score(df), ppm.score(df, max_nodes=20), ppm.score(df, max_nodes=0)):
+        got = {r.doc_id: r.score for r in found.collect()}
+        for i, text in rows[-3:]:
+            assert got[i] == pytest.approx(sum(whole.log10(codes).sum() for codes, _ in ppm.windows([text.encode()])), rel=1e-9)
+
+
 def test_held_out_prose_is_likelier_than_noise(spark, sf_dir, documents):
     trie = ppm.train(table(spark, sf_dir, "documents", "doc_id", "text").where(~ppm.held_out(F.col("doc_id"))))
     rng = random.Random(0)
