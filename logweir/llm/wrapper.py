@@ -6,7 +6,8 @@
    the children are matched in order so that most nodes match. This gives each text block the number of
    the reference node it stands in, or none.
 3. Over *all* pages of the host, a reference node whose text is the same on nearly all pages that have it
-   is a constant: template. A node whose text varies is a slot: content.
+   is a constant: template. A node whose text varies is a slot: content. Pages with the same blocks at the same
+   nodes, such as copies and recrawls, count as one page, and a text counts once a page, however often it stands there.
 4. A page's text is its slots, without those in zones that never hold the article: navigation, headers,
    footers, sidebars, notices, adverts, forms, comments (by tag, role, and the words of class and id), and
    without blocks that are nearly all links. Where a page has an ``article`` or ``main``, only that counts.
@@ -18,7 +19,7 @@ has a third of all pages. Constants are counted with map-side sums. A task holds
 at a time.
 
 Defined results: NULL and empty html give an empty text; a NULL or unreadable url belongs to the host '';
-a host with fewer than ``MIN_PAGES`` pages has no constants; rows with the same page id stay apart; an
+a host with fewer than ``MIN_PAGES`` different pages has no constants; rows with the same page id stay apart; an
 empty table gives an empty result; only the three named columns are read, so extra ones never clash.
 """
 
@@ -185,9 +186,12 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = CONSTAN
     aligned = stored(rows.join(sent(references), "host").select("page_id", "url", "host", "html", "reference").mapInPandas(
         _aligned, f"page_id bigint, url string, host string, found {BLOCKS}"), "wrapper")
 
-    sizes = aligned.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    texts = (aligned.select("host", F.explode("found").alias("b")).where("b.node >= 0")
-             .groupBy("host", "b.node", "b.inside", F.xxhash64("b.text").alias("hash")).agg(F.count("*").alias("n")))
+    known = aligned.select("host", "found", F.xxhash64("found").alias("page"))
+    sizes = (known.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+             .where(F.col("pages") >= min_pages))
+    texts = (known.select("host", "page", F.explode("found").alias("b")).where("b.node >= 0")
+             .select("host", "page", "b.node", "b.inside", F.xxhash64("b.text").alias("hash")).distinct()
+             .groupBy("host", "node", "inside", "hash").agg(F.count("*").alias("n")))
     need = F.when(F.col("inside"), F.lit(ARTICLE_SHARE)).otherwise(F.lit(share)) * F.col("pages")
     template = (texts.join(sizes, "host").where(F.col("n") >= need).groupBy("host")
                 .agg(F.collect_set(F.struct("node", "hash")).alias("template")))

@@ -61,6 +61,22 @@ def test_constant_nodes_are_template(spark):
     assert got[101].text.startswith("Daily news") and got[101].n_template == 0
 
 
+@pytest.mark.parametrize("tag, copies", [("div", 40), ("article", 400)])
+def test_copies_of_a_page_are_no_template(spark, tag, copies):
+    """A host that is mostly copies of one article keeps it; what all its different pages share still goes."""
+    shape = f"<body><div><{tag}><span>Daily news</span><p>Story %d by the staff.</p><p>More of story %d.</p></{tag}></div>"
+    rows = [(i, f"http://a.example/{i}", shape % (i, i)) for i in range(12)]
+    rows += [(100 + i, f"http://a.example/copy{i}", shape % (99, 99)) for i in range(copies)]
+    rows += [(1000 + i, "http://b.example/", shape % (5, 5)) for i in range(20)]
+    rows += [(2000 + i, f"http://c.example/{i}", "<body><div><p>Story %d.</p></div>%s" % (i, "<div><p>Well said.</p></div>" * (9 * (i < 3))))
+             for i in range(12)]
+    got = {r.page_id: r for r in wrapper.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[7].text == "Story 7 by the staff.\n\nMore of story 7." and got[7].n_template == 1
+    assert all(got[100 + i].text == "Story 99 by the staff.\n\nMore of story 99." for i in range(copies))
+    assert all("Story 5 by the staff." in got[1000 + i].text for i in range(20))
+    assert "Well said." in got[2001].text and got[2005].text == "Story 5."
+
+
 def test_join_beyond_the_broadcast_bound_gives_the_same(spark, sf_dir, monkeypatch):
     want = {tuple(r) for r in queries.QUERIES["op1_html_wrapper"](spark, sf_dir).collect()}
     monkeypatch.setattr(wrapper, "BROADCAST_BYTES", 0)
