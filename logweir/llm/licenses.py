@@ -2,8 +2,9 @@ r"""License scan: an ordered list of signature rules, gated by keywords, overlap
 
 ``rules()`` crosses the license families below with the ways in which texts name a license (an SPDX tag,
 "licensed under the ...", "... license", "... version 2.0", a bare short name) to some hundreds of regular
-expressions over the lower-cased text. A text is only looked at when it holds one of the ``ANCHORS``, and a
-rule only runs on it when the text holds the rule's keyword. Matches are sorted by start, longest first, then
+expressions over the lower-cased text. A rule only runs on a text that passes the gate of its form (``GATES``) and
+holds the rule's keyword. Gates and keywords are single words that the expressions cannot do without, so they never
+stop a rule that would match. Matches are sorted by start, longest first, then
 priority: a match inside the one kept before it is suppressed; of two that overlap partly the one with the
 higher priority stays, the earlier one on a tie.
 
@@ -34,7 +35,7 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 
 # label: (keyword the text must hold, spellings of the name, SPDX ids), spaces stand for any separators.
 FAMILIES = {
-    "mit": ("mit", "mit|expat", "mit(-0)?"),
+    "mit": ("mit|expat", "mit|expat", "mit(-0)?"),
     "apache": ("apache", "apache( software)?", r"apache-[12]\.[01]"),
     "gpl": ("gpl|general", "(gnu )?general public|gnu gpl|gpl", r"gpl-[123]\.0(-only|-or-later)?"),
     "lgpl": ("lgpl|lesser|library", "(gnu )?(lesser|library) general public|gnu lgpl|lgpl", r"lgpl-[23]\.[01](-only|-or-later)?"),
@@ -56,7 +57,7 @@ FAMILIES = {
     "artistic": ("artistic", "(perl )?artistic", r"artistic-[12]\.0"),
     "psf": ("psf|python", "python software foundation|psf", r"(psf|python)-2\.0"),
     "postgresql": ("postgresql", "postgresql", "postgresql"),
-    "ofl": ("ofl|open font|openfont", "(sil )?open font|ofl", r"ofl-1\.[01]"),
+    "ofl": ("ofl|font", "(sil )?open font|ofl", r"ofl-1\.[01]"),
     "ms-pl": ("microsoft|ms", "microsoft public|ms pl", "ms-pl"),
     "ms-rl": ("microsoft|ms", "microsoft reciprocal|ms rl", "ms-rl"),
     "eupl": ("eupl|european", "european union public|eupl", r"eupl-1\.[012]"),
@@ -69,7 +70,7 @@ FAMILIES = {
     "vim": ("vim", "vim", "vim"),
     "ruby": ("ruby", "ruby", "ruby"),
     "php": ("php", "php", r"php-3\.0[01]?"),
-    "qpl": ("qpl|q ", "q public|qpl", r"qpl-1\.0"),
+    "qpl": ("qpl|public", "q public|qpl", r"qpl-1\.0"),
     "sleepycat": ("sleepycat", "sleepycat", "sleepycat"),
     "w3c": ("w3c", "w3c( software)?", "w3c"),
     "zpl": ("zpl|zope", "zope public|zpl", r"zpl-[12]\.[01]"),
@@ -94,8 +95,14 @@ FORMS = {
     "named": (30, 0.8, "({name}) (public )?licen[cs]e"),
     "reversed": (20, 0.7, "licen[cs]e( is)? ({name})"),
 }
-ANCHORS = ("licen", "spdx", "released under", "distributed under", "available under", "provided under",
-           "published under", "covered by", "covered under", " version ", " v1", " v2", " v3", "-v")
+# form: what any text that it matches holds.
+GATES = {
+    "tag": "spdx",
+    "grant": "licensed|released|distributed|available|provided|published|covered",
+    "versioned": f"{SEPARATOR}v(?:ersion)?{SEPARATOR}*[0-9]",
+    "named": "licen",
+    "reversed": "licen",
+}
 
 
 def rules() -> list[tuple[str, str, int, float, str, str]]:
@@ -111,8 +118,21 @@ def rules() -> list[tuple[str, str, int, float, str, str]]:
     return sorted(made, key=lambda rule: -rule[2])
 
 
-def _holds_any(text: Column, needles) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(needle) for needle in needles))
+def gates(text: Column) -> Column:
+    """For each form whether its rules can match."""
+    def passes(gate: str) -> Column:
+        if SEPARATOR in gate:
+            return text.rlike(gate)
+        return reduce(lambda a, b: a | b, (text.contains(word) for word in gate.split("|")))
+
+    return F.array(*[passes(GATES[form]) for form in FORMS])
+
+
+def gated_matches(text: Column) -> Column:
+    """``matches``, without looking at the rules where no form can match."""
+    nothing = F.array().cast(
+        "array<struct<start:int,minus_stop:int,minus_priority:int,rule:string,label:string,score:double>>")
+    return bind(gates(text), lambda open: F.when(F.array_contains(open, True), matches(text, open)).otherwise(nothing))
 
 
 def find(text: Column, regex: Column) -> Column:
@@ -134,13 +154,15 @@ def find(text: Column, regex: Column) -> Column:
                 lambda hits: F.when(F.size(hits) == 0, nothing).otherwise(places(hits)))
 
 
-def matches(text: Column) -> Column:
-    """All matches of all rules whose keyword the text holds, sorted for ``resolve``."""
-    shape = "struct<rule:string,label:string,priority:int,score:double,keys:array<string>,regex:string>"
+def matches(text: Column, open: Column) -> Column:
+    """All matches of all rules of open forms whose keyword the text holds, sorted for ``resolve``."""
+    shape = "struct<rule:string,label:string,priority:int,score:double,keys:array<string>,regex:string,form:int>"
+    forms = list(FORMS)
     listed = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("label"), F.lit(r[2]).alias("priority"),
                                 F.lit(r[3]).alias("score"), F.array(*map(F.lit, r[4].split("|"))).alias("keys"),
-                                F.lit(r[5]).alias("regex")) for r in rules()]).cast(f"array<{shape}>")
-    gated = F.filter(listed, lambda r: F.exists(r["keys"], lambda key: text.contains(key)))
+                                F.lit(r[5]).alias("regex"), F.lit(forms.index(r[0].rsplit("-", 1)[1])).alias("form"))
+                       for r in rules()]).cast(f"array<{shape}>")
+    gated = F.filter(listed, lambda r: F.get(open, r["form"]) & F.exists(r["keys"], lambda key: text.contains(key)))
     found = F.transform(gated, lambda r: F.transform(find(text, r["regex"]), lambda m: F.struct(
         m["start"].alias("start"), (-m["start"] - m["size"]).alias("minus_stop"), (-r["priority"]).alias("minus_priority"),
         r["rule"].alias("rule"), r["label"].alias("label"), r["score"].alias("score"))))
@@ -196,10 +218,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     low = F.col("low")
     phrases = "|".join(phrase.replace(" ", SEPARATOR + "+") for phrase in BASE)
     no_base = F.array().cast("array<struct<i:bigint,label:string>>")
-    no_match = F.array().cast(
-        "array<struct<start:int,minus_stop:int,minus_priority:int,rule:string,label:string,score:double>>")
     rows = docs.select(F.struct("*").alias("doc"), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("low")).select(
         "doc", count_words(low).alias("n_words"),
         F.when(low.contains("license") & low.rlike(phrases), base_places(low)).otherwise(no_base).alias("base"),
-        F.when(_holds_any(low, ANCHORS), matches(low)).otherwise(no_match).alias("matches"))
+        gated_matches(low).alias("matches"))
     return rows.withColumn("found", F.when(F.size("matches") > 0, resolve(F.col("matches"))))

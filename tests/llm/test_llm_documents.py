@@ -165,6 +165,19 @@ def test_license_rules(spark):
             assert 0 <= m.start < -m.minus_stop <= len(text)
 
 
+def test_no_gate_stops_a_rule_that_matches(spark, documents):
+    wrapped = ["distributed\nunder the gpl", "code released\nunder the terms of the apache", "released publicly under the mpl",
+               "available freely under bsd", "the gnu general public\nversion 2", "published by\tisc", "released by the zlib",
+               "sil open\nfont v1.1", "under the q\npublic\nlicense", "the expat license", "apache\nv2", "gpl-v 3", "mpl (version\n2.0)"]
+    texts = wrapped + [text for text in documents.values() if text][:150]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    compiled = [(rule[0], re.compile(rule[5])) for rule in licenses.rules()]
+    for row in licenses.scan(df).collect():
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), row.doc.text)
+        want = {rule for rule, regex in compiled if regex.search(low)}
+        assert {m.rule for m in row.matches} == want and (want or row.doc.doc_id >= len(wrapped)), row.doc.text
+
+
 def test_license_odd_cases(odd, empty):
     got = licenses.scan(odd).collect()
     assert len(got) == 9 and all(r.found is None for r in got)
