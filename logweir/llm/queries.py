@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import decontaminate, licenses, linededup, neardup, packing, ppm, quality, tokens, warc, wrapper
+from logweir.llm import (
+    decontaminate, licenses, linededup, neardup, packing, ppm, quality, resample, tokens, warc, wrapper,
+)
 from logweir.llm.text import table
 from logweir.session import configure, work_dir
 
@@ -136,3 +138,10 @@ def hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op11_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents", "doc_id", "text"),
+                              table(spark, sf_dir, "benchmark", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
