@@ -6,7 +6,7 @@ a vector. Every vector is indexed: it goes to its most probable partition. A que
 until their probabilities reach a mass, and the candidates there are scored exactly.
 
 - The mass is measured, not chosen: on sampled vectors that the network was not trained on, it is the least one that
-  reaches ``TARGET`` of their true neighbours. So vectors without structure are searched widely, clustered ones narrowly.
+  reaches ``TARGET`` of their true neighbours (a target of 1 takes all partitions). So vectors without structure are searched widely, clustered ones narrowly.
 - Copies of one vector have the same neighbours, so they're searched once and indexed once, with the ids of the first
   ``K + 1``: a search needs no more of them, one of which may be the query itself. Spark cuts a vector's copies down to
   these before its shuffle, so that a vector with a third of all rows is not hot.
@@ -73,9 +73,12 @@ class Index:
         self.router = partitions.Router(self.width, parts, HIDDEN)
         asked = np.arange(len(sample)) % 8 == 7
         if graph.shape[1] == 0 or not asked.any():
-            self.mass = 1.0
+            self.mass = math.inf
             return
         self.router.train(sample[~asked], partitions.shares(part, graph, parts)[~asked], EPOCHS)
+        if target >= 1:
+            self.mass = math.inf
+            return
         shares = self.router.probabilities(sample)
         before = partitions.mass_before(shares[asked], shares.argmax(axis=1)[graph[asked, :k]])
         self.mass = float(np.quantile(before, target, method="higher"))
