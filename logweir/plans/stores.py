@@ -158,15 +158,16 @@ def fold_logs(spark, sf_dir):
     path = work_dir(spark, "fold")
     events = V.log_events(spark, sf_dir).withColumn("message_id", V.message_id())
     sinks.append_logs(events.where("n % 2 = 0"), f"{path}/logs", 0)
-    events.where("n % 2 = 1").limit(5).select(*LOGS.fieldNames(), "message_id").write.parquet(f"{path}/logs/batch_id=1")
-    remove(spark, f"{path}/logs/batch_id=1/_SUCCESS")
+    half = sinks.batch_folder(f"{path}/logs", "direct", 1)
+    events.where("n % 2 = 1 AND n % 3 = 0").select(*LOGS.fieldNames(), "message_id").write.parquet(half)
+    remove(spark, f"{half}/_SUCCESS")
     again = events.where("n % 4 = 0").withColumn("message", F.concat(F.lit("second "), "message"))
     sinks.append_logs(again, f"{path}/logs", 2)
     first = sinks.fold_logs(spark, f"{path}/logs", f"{path}/folded-first")
     sinks.append_logs(events.where("n % 2 = 1"), f"{path}/logs", 1)
     last = sinks.fold_logs(spark, f"{path}/logs", f"{path}/folded")
     folded = spark.read.parquet(f"{path}/folded")
-    return folded.where(F.lit((first, last) == (0, 2))).select(
+    return folded.where(F.lit((first, last) == ({"direct": 0}, {"direct": 2}))).select(
         "event_id", "message", F.col("event_date").cast("string").alias("event_date"))
 
 
@@ -297,3 +298,40 @@ def stream_rate(spark, sf_dir):
         sinks.append_buffer(events.where(part), f"{path}/buffer", batch, "replay" if batch else "ingest", again=bool(batch))
         jobs.rate_job(spark, f"{path}/buffer", f"{path}/rates", f"{path}/checkpoint", once=True).awaitTermination()
     return sinks.read_rates(spark, f"{path}/rates").select(*V.ntz("window_start"), "events", "rate")
+
+
+@query("two_consumers", S.with_(S.EV) + """
+SELECT event_id, message, n % 2 AS half FROM ev""")
+def two_consumers(spark, sf_dir):
+    """Consumers with checkpoints of their own on one log table: batches of the same numbers, no row lost."""
+    path = work_dir(spark, "consumers")
+    events = V.log_events(spark, sf_dir)
+    for half in (0, 1):
+        sinks.append_buffer(events.where(F.col("n") % 2 == half), f"{path}/buffer-{half}", 0)
+        jobs.consume_job(
+            spark, f"{path}/buffer-{half}", f"{path}/logs", f"{path}/dlq", f"{path}/quarantine", f"{path}/reports",
+            f"{path}/cp-{half}", once=True,
+        ).awaitTermination()
+    stored = sinks.batch_report(spark, f"{path}/reports").where("batch_id = 0 AND final_status = 'SINKED'")
+    logs = sinks.current_logs(spark, f"{path}/logs").where(F.lit(stored.count() == 2))
+    number = F.substring("event_id", -12, 12).cast("long")
+    return logs.select("event_id", "message", (number % 2).alias("half"))
+
+
+@query("replay_beside_writer", S.with_(S.EV) + """
+SELECT event_id, message, CASE WHEN level = 'click' THEN 'second' ELSE 'first' END AS run FROM ev""")
+def replay_beside_writer(spark, sf_dir):
+    """A segment that is still being written when a replay starts is left alone, and replayed by the next one."""
+    path = work_dir(spark, "beside")
+    spill, buffer = f"{path}/spill", f"{path}/buffer"
+    for batch, level in enumerate(LEVELS):
+        sinks.write_spill(V.log_events(spark, sf_dir).where(F.col("level") == level), spill, batch, max_records=1_000)
+    open_segment = f"{spill}/{sinks.segment_name(LEVELS.index('click'))}"
+    remove(spark, f"{open_segment}/_SUCCESS")
+    runs = []
+    for name in ("first", "second"):
+        jobs.replay_spill(spark, spill, f"{buffer}-{name}", f"{path}/checkpoint", f"{path}/quarantine")
+        runs.append(read_buffer(spark, f"{buffer}-{name}").select("event_id", "message", F.lit(name).alias("run")))
+        if name == "first":
+            sinks.write_spill(V.log_events(spark, sf_dir).where("level = 'click'"), spill, LEVELS.index("click"), max_records=1_000)
+    return runs[0].unionByName(runs[1])

@@ -17,6 +17,7 @@ LATEST = S.with_(S.EV, S.VERSIONS, """latest AS (
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY batch_id DESC, ms DESC, seq DESC) = 1)""")
 LOG_COLUMNS = ("event_id", "source", "level", "message", "metadata")
 FIRST_BATCHES = 2
+ORDER = ("batch_id", "message_id.ms", "message_id.seq")
 
 
 @query("upsert", LATEST + "SELECT event_id, received_at, event_time, source, level, message, metadata FROM latest")
@@ -25,9 +26,9 @@ def upsert(spark, sf_dir):
     versions = V.versions(spark, sf_dir)
     first = versions.where(F.col("batch_id") < FIRST_BATCHES)
     columns = ["event_id", "received_at", "event_time", "source", "level", "message", "metadata"]
-    target = keyed.latest_by_key(first, "event_id", sinks.VERSION_ORDER).select(*columns)
+    target = keyed.latest_by_key(first, "event_id", ORDER).select(*columns)
     later = versions.where(F.col("batch_id") >= FIRST_BATCHES)
-    state = keyed.upsert(target, later, order=sinks.VERSION_ORDER)
+    state = keyed.upsert(target, later, order=ORDER)
     return state.select(*LOG_COLUMNS, *V.ntz("received_at", "event_time"))
 
 
@@ -75,7 +76,7 @@ UNION ALL SELECT event_id, source, message FROM fresh""")
 def insert_if_absent(spark, sf_dir):
     target = V.log_dlq(spark, sf_dir).select("id", "source", "message")
     rows = V.versions(spark, sf_dir).select(F.col("event_id").alias("id"), "source", "message", "batch_id", "message_id")
-    return keyed.insert_if_absent(target, rows, "id", sinks.VERSION_ORDER)
+    return keyed.insert_if_absent(target, rows, "id", ORDER)
 
 
 @query("insert_queue", S.with_(S.EV, S.QUEUE) + """

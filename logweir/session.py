@@ -67,10 +67,15 @@ def matches(spark: SparkSession, pattern: str) -> bool:
     return bool(_found(spark, pattern)[1])
 
 
+def folder_names(spark: SparkSession, prefix: str) -> list[str]:
+    """What follows the prefix in the names of the folders that start with it, ascending."""
+    name = prefix.rsplit("/", 1)[-1]
+    return sorted(path.getName().removeprefix(name) for path in _found(spark, f"{prefix}*")[1])
+
+
 def folder_numbers(spark: SparkSession, prefix: str) -> list[int]:
     """The numbers n for which there is a folder ``<prefix>n``, ascending. Only names are listed."""
-    name = prefix.rsplit("/", 1)[-1]
-    return sorted(int(path.getName().removeprefix(name)) for path in _found(spark, f"{prefix}*")[1])
+    return sorted(int(number) for number in folder_names(spark, prefix))
 
 
 def committed_numbers(spark: SparkSession, prefix: str) -> list[int]:

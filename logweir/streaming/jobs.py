@@ -4,9 +4,9 @@ Progress is the query's checkpoint: a micro-batch is committed when its ``foreac
 returns, and comes again under the same number when it does not. One folder per origin and batch that is
 written once, ids that follow from a line's place, and last-version-wins reads make each event count once.
 
-The numbers belong to a checkpoint: a job that starts over with a new checkpoint needs an
-``origin`` of its own, and a log table of its own. The jobs read entries from a Parquet buffer, or from any
-streaming DataFrame of its columns, such as ``sources.buffer.kafka_entries``.
+The numbers belong to a checkpoint, so the origin carries the checkpoint's query id: several consumers, or one that
+starts over with a new checkpoint, share tables without taking each other's batches for their own. The jobs read
+entries from a Parquet buffer, or from any streaming DataFrame of its columns, such as ``sources.buffer.kafka_entries``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from logweir.operators.quality import invalid_reason
 from logweir.schema import EVENT_COLUMNS
 from logweir.session import committed, matches, remove
 from logweir.sources.buffer import buffer_entries, decode_entries
-from logweir.sources.files import SEGMENT_GLOB, ordered_segments, scan_ndjson, with_place
+from logweir.sources.files import ordered_segments, scan_ndjson, with_place
 from logweir.streaming import sinks
 
 TICK = "1 second"
@@ -57,20 +57,21 @@ def ingest_job(
     With ``reports`` each batch reports its accepted and refused lines and whether it was spilled.
     """
     lines = scan_ndjson(spark.readStream.option("maxFilesPerTrigger", max_files), landing)
-    report = sinks.report_writer(spark, reports, origin) if reports else None
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        own = sinks.checkpoint_origin(spark, origin)
+        report = sinks.report_writer(spark, reports, own) if reports else None
         rows = accept(with_place(batch), fields).persist()
         try:
-            sinks.write_bad_lines(rows.where(F.col("parse_status") != OK), bad_lines, batch_id, origin)
+            sinks.write_bad_lines(rows.where(F.col("parse_status") != OK), bad_lines, batch_id, own)
 
             def counted(events: DataFrame) -> tuple[int, int]:
                 found = rows.agg(F.count_if(F.col("parse_status") == OK), F.count_if(F.col("parse_status") != OK)).first()
                 return found[0], found[1]
 
             sinks.sink_with_spill(
-                lambda events, n: sinks.append_buffer(events, buffer, n, origin), spill, report,
-                quota=spill_quota, persist=False, origin=origin, counts=counted,
+                lambda events, n: sinks.append_buffer(events, buffer, n, own), spill, report,
+                quota=spill_quota, persist=False, origin=own, counts=counted,
             )(rows.where(F.col("parse_status") == OK), batch_id)
         finally:
             rows.unpersist()
@@ -93,17 +94,18 @@ def consume_job(
     write_fn: sinks.WriteFn | None = None, once: bool = False, max_files: int = 1_000, origin: str = "consume",
 ) -> StreamingQuery:
     """Buffer to the log table, with retries, the dead-letter table and a report per batch."""
-    sink = sinks.sink_with_retry(
-        write_fn or (lambda batch, n: sinks.append_logs(batch, logs, n)),
-        lambda batch, n, reason: sinks.write_dlq(batch, dlq, n, reason, origin),
-        attempts, backoff, sinks.report_writer(spark, reports, origin), persist=False,
-    )
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        own = sinks.checkpoint_origin(spark, origin)
+        sink = sinks.sink_with_retry(
+            write_fn or (lambda rows, n: sinks.append_logs(rows, logs, n, own)),
+            lambda rows, n, reason: sinks.write_dlq(rows, dlq, n, reason, own),
+            attempts, backoff, sinks.report_writer(spark, reports, own), persist=False,
+        )
         batch = batch.persist()
         try:
             good, bad = split_entries(batch)
-            sinks.write_quarantine(bad, quarantine, batch_id, origin)
+            sinks.write_quarantine(bad, quarantine, batch_id, own)
             sink(good, batch_id)
         finally:
             batch.unpersist()
@@ -124,7 +126,8 @@ def rate_job(
     Nothing is late: a replayed event counts in the second it was received in. Payloads are not read.
     """
     received = _entries(spark, buffer).select("received_at")
-    counting = received.writeStream.foreachBatch(lambda batch, n: sinks.append_rates(batch, rates, n, origin))
+    counting = received.writeStream.foreachBatch(
+        lambda batch, n: sinks.append_rates(batch, rates, n, sinks.checkpoint_origin(spark, origin)))
     return _start(counting, checkpoint, once)
 
 
@@ -133,29 +136,35 @@ def replay_spill(
 ) -> StreamingQuery | None:
     """Put all spilled events back into the buffer and then delete their segments; None when there are none.
 
-    Runs to its end. The checkpoint lists the files that are done, so a run that failed goes on where it
-    stopped, and segments written meanwhile wait for the next run. Only segments that were there at the start,
-    and written to their end, are deleted, after all of them are in the buffer. Malformed lines go to the
+    Runs to its end. Only segments that were written to their end before the start are read, and only they are
+    deleted, after all of them are in the buffer; a segment that is finished meanwhile waits for the next run. The
+    checkpoint lists the files that are done, so a run that failed goes on where it stopped. Malformed lines go to the
     quarantine table with their place.
     """
-    segments = [row["segment"] for row in ordered_segments(spark, spill).collect()]
+    segments = finished_segments(spark, spill)
     if not segments:
         return None
-    lines = scan_ndjson(spark.readStream, f"{spill}/{SEGMENT_GLOB}")
+    lines = scan_ndjson(spark.readStream, f"{spill}/{{{','.join(segments)}}}")
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        own = sinks.checkpoint_origin(spark, origin)
         rows = parse_events(with_place(batch)).persist()
         try:
-            sinks.write_bad_lines(rows.where(F.col("parse_status") != OK), quarantine, batch_id, origin)
+            sinks.write_bad_lines(rows.where(F.col("parse_status") != OK), quarantine, batch_id, own)
             events = rows.where(F.col("parse_status") == OK).select(*EVENT_COLUMNS)
-            sinks.append_buffer(events, buffer, batch_id, origin, again=True)
+            sinks.append_buffer(events, buffer, batch_id, own, again=True)
         finally:
             rows.unpersist()
 
     query = _start(lines.writeStream.foreachBatch(run), checkpoint, once=True)
     query.awaitTermination()
     for segment in segments:
-        # A folder without its commit mark is still being written; a plain file has none.
-        if not matches(spark, f"{spill}/{segment}/*") or committed(spark, f"{spill}/{segment}"):
-            remove(spark, f"{spill}/{segment}")
+        remove(spark, f"{spill}/{segment}")
     return query
+
+
+def finished_segments(spark: SparkSession, spill: str) -> list[str]:
+    """The segments by age, without folders that lack their commit mark; a plain file has none and is whole."""
+    return [
+        row["segment"] for row in ordered_segments(spark, spill).collect()
+        if committed(spark, f"{spill}/{row['segment']}") or not matches(spark, f"{spill}/{row['segment']}/*")]

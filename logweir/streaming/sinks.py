@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from logweir.functions.scalars import message_id_text
 from logweir.operators.keyed import latest_by_key
 from logweir.schema import LOGS
-from logweir.session import committed, committed_numbers, folder_numbers
+from logweir.session import committed, committed_numbers, folder_names, folder_numbers
 from logweir.sources.files import segment_files
 
 log = logging.getLogger(__name__)
@@ -40,6 +40,15 @@ def batch_folder(path: str, origin: str, batch_id: int) -> str:
     return f"{path}/origin={origin}/batch_id={batch_id}"
 
 
+def checkpoint_origin(spark: SparkSession, origin: str) -> str:
+    """The origin with the id of the streaming query that runs in this thread, which its checkpoint keeps.
+
+    Two jobs, or one that starts over with a new checkpoint, never take each other's batches for their own.
+    """
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{origin}-{query}" if query else origin
+
+
 def write_once(rows: DataFrame, target: str) -> bool:
     """Write the folder unless it was written to its end before; whether it was written now."""
     if committed(rows.sparkSession, target):
@@ -138,14 +147,32 @@ def write_spill(
     lines.write.mode("overwrite").option("maxRecordsPerFile", max_records).text(target)
 
 
-# --- the log table: one folder of versions per batch -----------------------------------------
+# --- the log table: one folder of versions per origin and batch -------------------------------
+
+# The later write wins. Numbers of batches only compare within an origin, so the time of the write comes first.
+VERSION_ORDER = ("stored_at", "batch_id", "message_id.ms", "message_id.seq", "origin")
+
+
+def append_logs(events: DataFrame, path: str, batch_id: int, origin: str = "direct") -> bool:
+    """Upsert a batch into the log table: its rows become the newest version of their ids.
+
+    Whether it was written now; False means that this origin has stored this batch before.
+    """
+    rows = events.select(*LOGS.fieldNames(), "message_id", F.current_timestamp().alias("stored_at"))
+    return write_once(rows, batch_folder(path, origin, batch_id))
 
-VERSION_ORDER = ("batch_id", "message_id.ms", "message_id.seq")
 
+def stored_batches(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Per origin the numbers of the batches written to their end, ascending."""
+    return {origin: committed_numbers(spark, f"{path}/origin={origin}/batch_id=") for origin in folder_names(spark, f"{path}/origin=")}
 
-def append_logs(events: DataFrame, path: str, batch_id: int) -> None:
-    """Upsert a batch into the log table: its rows become the newest version of their ids."""
-    write_once(events.select(*LOGS.fieldNames(), "message_id"), f"{path}/batch_id={batch_id}")
+
+def versions(spark: SparkSession, path: str, batches: dict[str, list[int]]) -> DataFrame | None:
+    folders = [batch_folder(path, origin, n) for origin, numbers in batches.items() for n in numbers]
+    if not folders:
+        return None
+    rows = spark.read.option("basePath", path).parquet(*folders)
+    return rows.withColumns({"origin": F.col("origin").cast("string"), "batch_id": F.col("batch_id").cast("long")})
 
 
 def current_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -153,31 +180,38 @@ def current_logs(spark: SparkSession, path: str) -> DataFrame:
 
     A batch is reduced to one row per key before the shuffle, so a hot id costs a task one row per file.
     """
-    done = [f"{path}/batch_id={n}" for n in committed_numbers(spark, f"{path}/batch_id=")]
-    if not done:
+    rows = versions(spark, path, stored_batches(spark, path))
+    if rows is None:
         return spark.createDataFrame([], LOGS).withColumn("event_date", F.to_date("event_time"))
-    rows = spark.read.option("basePath", path).parquet(*done)
     return latest_by_key(rows, "event_id", VERSION_ORDER).select(
         *LOGS.fieldNames(), F.to_date("event_time").alias("event_date"))
 
 
-def fold_logs(spark: SparkSession, path: str, folded: str) -> int | None:
+def closed_batches(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """The stored batches of each origin before the first one that is still being written."""
+    closed = {}
+    for origin, done in stored_batches(spark, path).items():
+        being_written = set(folder_numbers(spark, f"{path}/origin={origin}/batch_id=")) - set(done)
+        if numbers := [n for n in done if n < min(being_written, default=n + 1)]:
+            closed[origin] = numbers
+    return closed
+
+
+def fold_logs(spark: SparkSession, path: str, folded: str) -> dict[str, int]:
     """Write the present state as a table foldered by ``event_date``, for readers that select dates.
 
-    ``folded`` must be a new folder. The last batch it holds is returned; batches up to it are not needed any
-    more. It is the last one before the first batch still being written, so that none is passed over. Files of
-    a date have even sizes.
+    ``folded`` must be a new folder. The last batch of each origin that it holds is returned; batches up to it are not
+    needed any more. It is the last one before the first batch still being written, so that none is passed over.
+    Files of a date have even sizes.
     """
-    done = set(committed_numbers(spark, f"{path}/batch_id="))
-    open_batches = set(folder_numbers(spark, f"{path}/batch_id=")) - done
-    done = sorted(n for n in done if n < min(open_batches, default=n + 1))
-    if not done:
-        return None
-    rows = spark.read.option("basePath", path).parquet(*[f"{path}/batch_id={n}" for n in done])
+    closed = closed_batches(spark, path)
+    rows = versions(spark, path, closed)
+    if rows is None:
+        return {}
     latest = latest_by_key(rows, "event_id", VERSION_ORDER).select(
         *LOGS.fieldNames(), F.to_date("event_time").alias("event_date"))
     latest.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(folded)
-    return done[-1]
+    return {origin: numbers[-1] for origin, numbers in closed.items()}
 
 
 # --- batch control ---------------------------------------------------------------------------

@@ -175,3 +175,66 @@ def test_jobs_take_any_stream_of_entries(spark, pipeline):
         pipeline.path("cp-consume"), once=True,
     ).awaitTermination()
     assert pipeline.count() == 5
+
+
+def test_consumers_share_a_log_table(pipeline):
+    """Another consumer of the same origin, with a checkpoint of its own, starts at batch 0 again."""
+    for turn, part in enumerate((LINES[:60], LINES[60:])):
+        pipeline.land(f"part-{turn}", part)
+        pipeline.ingest()
+        jobs.consume_job(
+            pipeline.spark, pipeline.path("buffer"), pipeline.path("logs"), pipeline.path("dlq"), pipeline.path("quarantine"),
+            pipeline.path("reports"), pipeline.path(f"cp-consume-{turn}"), once=True,
+        ).awaitTermination()
+    assert pipeline.count() == 100
+    assert len(sinks.stored_batches(pipeline.spark, pipeline.path("logs"))) == 2
+
+
+def test_ingest_with_a_new_checkpoint_keeps_what_is_buffered(pipeline):
+    pipeline.land("first", LINES[:10])
+    pipeline.ingest()
+    (pipeline.root / "cp-ingest").rename(pipeline.root / "cp-lost")
+    pipeline.land("second", LINES[10:30])
+    pipeline.ingest()
+    pipeline.consume()
+    assert pipeline.count() == 30
+
+
+def test_the_later_write_wins_across_consumers(pipeline):
+    """A consumer far ahead in batch numbers does not outrank one that has just begun."""
+    changed = [line.replace("integration", "changed") for line in LINES[:5]]
+    for turn, part in enumerate((LINES[:5], LINES[:5], LINES[:5])):
+        pipeline.land(f"part-{turn}", part)
+        pipeline.ingest()
+        pipeline.consume()
+    pipeline.land("changed", changed)
+    pipeline.ingest()
+    jobs.consume_job(
+        pipeline.spark, pipeline.path("buffer"), pipeline.path("logs"), pipeline.path("dlq"), pipeline.path("quarantine"),
+        pipeline.path("reports"), pipeline.path("cp-new"), once=True, max_files=100,
+    ).awaitTermination()
+    assert {r["message"].split()[0] for r in pipeline.logs().collect()} == {"changed"}
+
+
+def test_segment_finished_during_a_replay_is_kept(pipeline, monkeypatch):
+    """The writer of the second segment ends while the first one is being replayed."""
+    spark, spill = pipeline.spark, pipeline.path("spill")
+    for number, lines in enumerate((LINES[:2], LINES[2:5])):
+        folder = pipeline.root / "spill" / f"segment-ingest-{number:020d}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_text("".join(f"{line}\n" for line in lines))
+    (pipeline.root / "spill" / f"segment-ingest-{0:020d}" / "_SUCCESS").touch()
+    append = sinks.append_buffer
+
+    def finish_other(*args, **kwargs):
+        (folder / "part-1.txt").write_text(f"{LINES[5]}\n")
+        (folder / "_SUCCESS").touch()
+        append(*args, **kwargs)
+
+    monkeypatch.setattr(sinks, "append_buffer", finish_other)
+    replay = lambda: jobs.replay_spill(spark, spill, pipeline.path("buffer"), pipeline.path("cp-replay"), pipeline.path("bad"))
+    replay()
+    assert folder.exists() and read_buffer(spark, pipeline.path("buffer")).count() == 2
+    replay()
+    messages = sorted(r["message"] for r in read_buffer(spark, pipeline.path("buffer")).collect())
+    assert messages == sorted(f"integration test event {n}" for n in range(6)) and replay() is None
