@@ -18,12 +18,14 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from logweir.functions.decode import OK, parse_events
 from logweir.functions.enrich import enrich
 from logweir.functions.redact import redact
+from logweir.functions.scalars import message_id_text
 from logweir.operators.quality import invalid_reason
 from logweir.schema import EVENT_COLUMNS
 from logweir.session import committed, matches, remove
 from logweir.sources.buffer import buffer_entries, decode_entries
 from logweir.sources.files import ordered_segments, scan_ndjson, with_place
 from logweir.streaming import sinks
+from logweir.streaming.stateful import dedup_stream
 
 TICK = "1 second"
 
@@ -62,29 +64,32 @@ def ingest_job(
         own = sinks.checkpoint_origin(spark, origin)
         report = sinks.report_writer(spark, reports, own) if reports else None
         rows = accept(with_place(batch), fields).persist()
+        good = F.col("parse_status") == OK
+        tally = sinks.Tally(rows, {"events": F.count_if(good), "refused": F.count_if(~good)}, good)
         try:
-            sinks.write_bad_lines(rows.where(F.col("parse_status") != OK), bad_lines, batch_id, own)
-
-            def counted(events: DataFrame) -> tuple[int, int]:
-                found = rows.agg(F.count_if(F.col("parse_status") == OK), F.count_if(F.col("parse_status") != OK)).first()
-                return found[0], found[1]
-
-            sinks.sink_with_spill(
+            counts = sinks.sink_with_spill(
                 lambda events, n: sinks.append_buffer(events, buffer, n, own), spill, report,
-                quota=spill_quota, persist=False, origin=own, counts=counted,
-            )(rows.where(F.col("parse_status") == OK), batch_id)
+                quota=spill_quota, persist=False, origin=own,
+            )(tally, batch_id)
+            some = None if counts is None else counts["refused"] > 0
+            sinks.write_bad_lines(rows.where(~good), bad_lines, batch_id, own, some)
         finally:
             rows.unpersist()
 
     return _start(lines.writeStream.foreachBatch(run), checkpoint, once)
 
 
-def split_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Decoded buffer entries as (storable events, entries to quarantine with their reason)."""
+def judge_entries(entries: DataFrame) -> DataFrame:
+    """Decoded buffer entries with ``reason``, why one can never be stored; NULL for those that can."""
     reason = F.when(F.col("parse_status") != OK, F.col("parse_status")).otherwise(
         invalid_reason(check_metadata=False)
     )
-    judged = entries.withColumn("reason", reason)
+    return entries.withColumn("reason", reason)
+
+
+def split_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decoded buffer entries as (storable events, entries to quarantine with their reason)."""
+    judged = judge_entries(entries)
     return judged.where(F.col("reason").isNull()), judged.where(F.col("reason").isNotNull())
 
 
@@ -92,8 +97,13 @@ def consume_job(
     spark: SparkSession, buffer: str | DataFrame, logs: str, dlq: str, quarantine: str, reports: str,
     checkpoint: str, attempts: int = 3, backoff: float = 1.0,
     write_fn: sinks.WriteFn | None = None, once: bool = False, max_files: int = 1_000, origin: str = "consume",
+    dedup: str | None = None, dedup_time: str | None = None,
 ) -> StreamingQuery:
-    """Buffer to the log table, with retries, the dead-letter table and a report per batch."""
+    """Buffer to the log table, with retries, the dead-letter table and a report per batch.
+
+    With ``dedup``, a time, events whose id came within it before are left out early (``dedup_stream``). The log table
+    folds what passes, so that this only saves work.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         own = sinks.checkpoint_origin(spark, origin)
@@ -102,16 +112,22 @@ def consume_job(
             lambda rows, n, reason: sinks.write_dlq(rows, dlq, n, reason, own),
             attempts, backoff, sinks.report_writer(spark, reports, own), persist=False,
         )
-        batch = batch.persist()
+        judged = judge_entries(batch).persist()
+        good = F.col("reason").isNull()
         try:
-            good, bad = split_entries(batch)
-            sinks.write_quarantine(bad, quarantine, batch_id, own)
-            sink(good, batch_id)
+            counts = sink(
+                sinks.Tally(judged, {"events": F.count_if(good), "bad": F.count_if(~good)}, good), batch_id)
+            some = None if counts is None else counts["bad"] > 0
+            sinks.write_quarantine(judged.where(~good), quarantine, batch_id, own, some)
         finally:
-            batch.unpersist()
-
-    entries = _entries(spark, buffer, max_files)
-    return _start(decode_entries(entries).writeStream.foreachBatch(run), checkpoint, once)
+            judged.unpersist()
+
+    events = decode_entries(_entries(spark, buffer, max_files))
+    if dedup:
+        # An entry that did not decode has no id to compare.
+        key = F.when(F.col("parse_status") == OK, F.col("event_id"))
+        events = dedup_stream(events, F.coalesce(key, message_id_text(F.col("message_id"))), dedup, dedup_time)
+    return _start(events.writeStream.foreachBatch(run), checkpoint, once)
 
 
 def _entries(spark: SparkSession, buffer: str | DataFrame, max_files: int | None = None) -> DataFrame:

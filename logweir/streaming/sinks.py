@@ -8,22 +8,25 @@ finds it and leaves it as it is, so neither a repeated batch nor another job can
 from __future__ import annotations
 
 import logging
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from logweir.functions.scalars import message_id_text
-from logweir.operators.keyed import latest_by_key
+from logweir.operators.keyed import first_by_key, latest_by_key
 from logweir.schema import LOGS
 from logweir.session import committed, committed_numbers, folder_names, folder_numbers
 from logweir.sources.files import segment_files
 
 log = logging.getLogger(__name__)
 
-WriteFn = Callable[[DataFrame, int], None]
+# Tells whether it wrote the rows just now; None where that is not known.
+WriteFn = Callable[[DataFrame, int], bool | None]
 
 BUFFER_STREAM = "log_events"
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -74,12 +77,12 @@ def event_json() -> Column:
     )
 
 
-def append_buffer(events: DataFrame, path: str, batch_id: int, origin: str = "ingest", again: bool = False) -> None:
+def append_buffer(events: DataFrame, path: str, batch_id: int, origin: str = "ingest", again: bool = False) -> bool:
     """Append a batch to the buffer, with message ids in the order of its rows.
 
     Ids carry the receive time; those of events that come ``again``, from a spill, carry the time of this
     append, since they are newer entries than what was buffered meanwhile. ``received_at`` stands beside the
-    payload, so that rates need not decode it.
+    payload, so that rates need not decode it. Whether it was written now, and not before.
     """
     ms = F.unix_millis(F.current_timestamp()) if again else F.unix_millis("received_at")
     entries = events.select(
@@ -87,13 +90,13 @@ def append_buffer(events: DataFrame, path: str, batch_id: int, origin: str = "in
         event_json().alias("payload"),
         "received_at",
     )
-    write_once(entries, batch_folder(path, origin, batch_id))
+    return write_once(entries, batch_folder(path, origin, batch_id))
 
 
 def write_dlq(
     events: DataFrame, path: str, batch_id: int, reason: str = "sink failed", origin: str = "consume"
-) -> None:
-    write_once(events.select(
+) -> bool:
+    return write_once(events.select(
         event_json().alias("payload"),
         F.col("event_id").alias("original_event_id"),
         F.lit(BUFFER_STREAM).alias("original_stream"),
@@ -101,19 +104,24 @@ def write_dlq(
     ), batch_folder(path, origin, batch_id))
 
 
-def write_quarantine(rows: DataFrame, path: str, batch_id: int, origin: str = "consume") -> None:
+def write_quarantine(
+    rows: DataFrame, path: str, batch_id: int, origin: str = "consume", some: bool | None = None
+) -> None:
     """Keep entries that can never be stored: ``message_id, payload, reason``. Without any, nothing is written."""
     kept = rows.select(message_id_text(F.col("message_id")).alias("message_id"), "payload", "reason")
-    if not kept.isEmpty():
+    if not kept.isEmpty() if some is None else some:
         write_once(kept, batch_folder(path, origin, batch_id))
 
 
-def write_bad_lines(rows: DataFrame, path: str, batch_id: int, origin: str) -> None:
-    """Where the refused lines are, and a digest, but not the text: it was never redacted."""
+def write_bad_lines(rows: DataFrame, path: str, batch_id: int, origin: str, some: bool | None = None) -> None:
+    """Where the refused lines are, and a digest, but not the text: it was never redacted.
+
+    ``some`` tells whether there are any, where the caller knows.
+    """
     kept = rows.select(
         "file", "block_start", "line_in_block", "parse_status", F.octet_length("raw_event").alias("bytes"),
         F.sha2("raw_event", 256).alias("sha256"))
-    if not kept.isEmpty():
+    if not kept.isEmpty() if some is None else some:
         write_once(kept, batch_folder(path, origin, batch_id))
 
 
@@ -128,15 +136,15 @@ def segment_name(batch_id: int, origin: str = "ingest") -> str:
 def write_spill(
     events: DataFrame, path: str, batch_id: int, max_records: int = 100_000, quota: int | None = None,
     origin: str = "ingest",
-) -> None:
+) -> bool:
     """Write a batch as a segment of JSON lines in files of at most ``max_records``.
 
     With ``quota`` the bytes of all segments together, which are those not replayed yet, stay within it, or
-    nothing is written.
+    nothing is written. Whether it was written now, and not before.
     """
     target = f"{path}/{segment_name(batch_id, origin)}"
     if committed(events.sparkSession, target):
-        return
+        return False
     lines = events.select(event_json().alias("value"))
     if quota is not None:
         used = segment_files(events.sparkSession, path).where(
@@ -145,6 +153,7 @@ def write_spill(
         if used + size > quota:
             raise SpillFull(f"spill quota exceeded ({used + size} > {quota})")
     lines.write.mode("overwrite").option("maxRecordsPerFile", max_records).text(target)
+    return quota is None  # with a quota the first action was not the write
 
 
 # --- the log table: one folder of versions per origin and batch -------------------------------
@@ -243,51 +252,85 @@ def backoff_delay(base: float, attempt: int) -> float:
     return base * 2**attempt
 
 
+class Tally:
+    """Rows to write, and counts over them that come with the action that writes them (``observe``), not from a pass.
+
+    ``keep`` selects what is written; the counts are over all ``rows``.
+    """
+
+    def __init__(self, rows: DataFrame, counts: dict[str, Column] | None = None, keep: Column | None = None) -> None:
+        self.rows, self.keep = rows, keep
+        self.counts = counts or {"events": F.count(F.lit(1))}
+        self.seen: Observation | None = None
+
+    def frame(self) -> DataFrame:
+        """The rows to write, under an observation of its own: an attempt that failed may have counted some of them."""
+        self.seen = Observation()
+        rows = self.rows.observe(self.seen, *[count.alias(name) for name, count in self.counts.items()])
+        return rows if self.keep is None else rows.where(self.keep)
+
+    def is_empty(self) -> bool:
+        return (self.rows if self.keep is None else self.rows.where(self.keep)).isEmpty()
+
+    def read(self, written: bool | None) -> dict[str, int]:
+        """The counts. Only a write that says it has just run the frame is known to have observed them."""
+        if written is True:
+            return self.seen.get
+        return self.rows.agg(*[count.alias(name) for name, count in self.counts.items()]).first().asDict()
+
+
+def _tally(batch: DataFrame | Tally) -> Tally:
+    return batch if isinstance(batch, Tally) else Tally(batch)
+
+
 def sink_with_retry(
     write_fn: WriteFn,
-    dlq_fn: Callable[[DataFrame, int, str], None],
+    dlq_fn: Callable[[DataFrame, int, str], bool | None],
     attempts: int = 3,
     backoff: float = 1.0,
     report_fn: Callable[[BatchReport], None] | None = None,
     sleep: Callable[[float], None] = time.sleep,
     persist: bool = True,
-) -> WriteFn:
+) -> Callable[[DataFrame | Tally, int], dict[str, int] | None]:
     """A ``foreachBatch`` function that tries ``write_fn``, then hands the batch to ``dlq_fn`` with the reason.
 
     ``attempts`` counts all tries; waits double, with none after the last. An error of ``dlq_fn``
     is raised, so the batch is not committed and comes again. An empty batch calls nothing.
-    ``persist=False`` is for callers that keep the batch themselves.
+    ``persist=False`` is for callers that keep the batch themselves. The counts of the batch are returned; they need
+    no pass of their own where the write says that it took place.
     """
     if attempts < 1:
         raise ValueError("attempts must be at least 1")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        # Retries and the count below read the rows again; a lost executor's share is recomputed.
+    def run(batch: DataFrame | Tally, batch_id: int) -> dict[str, int] | None:
+        # Retries read the rows again; a lost executor's share is recomputed.
+        tally = _tally(batch)
         if persist:
-            batch = batch.persist()
+            tally.rows = tally.rows.persist()
         try:
-            count = batch.count()
-            if count == 0:
-                return
-            status, used, failure = "SINKED", 0, None
+            if tally.is_empty():
+                return None
+            status, used, failure, written = "SINKED", 0, None, None
             for attempt in range(attempts):
                 used = attempt + 1
                 try:
-                    write_fn(batch, batch_id)
+                    written = write_fn(tally.frame(), batch_id)
                     break
                 except Exception as error:
                     failure = error
                     log.warning("batch %s, attempt %s of %s failed: %s", batch_id, used, attempts, describe(error))
                     if used == attempts:
-                        dlq_fn(batch, batch_id, f"sink failed: {describe(error)}")
+                        written = dlq_fn(tally.frame(), batch_id, f"sink failed: {describe(error)}")
                         status = "DLQED"
                     else:
                         sleep(backoff_delay(backoff, attempt))
+            counts = tally.read(written)
             if report_fn:
-                report_fn(BatchReport(batch_id, count, status, used, error=describe(failure)))
+                report_fn(BatchReport(batch_id, counts["events"], status, used, error=describe(failure)))
+            return counts
         finally:
             if persist:
-                batch.unpersist()
+                tally.rows.unpersist()
 
     return run
 
@@ -321,60 +364,124 @@ def sink_with_spill(
     quota: int | None = None,
     persist: bool = True,
     origin: str = "ingest",
-    counts: Callable[[DataFrame], tuple[int, int]] = lambda batch: (batch.count(), 0),
-) -> WriteFn:
+) -> Callable[[DataFrame | Tally, int], dict[str, int] | None]:
     """A ``foreachBatch`` function that spills the batch when the primary sink is unreachable.
 
     All other errors are raised. A batch that was spilled to its end before the job died is in the spill and
     nowhere else, so when it comes again nothing is written. The report's ``wal_active`` tells which way the
-    batch went.
+    batch went. With a report the counts of the batch are returned.
     """
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame | Tally, batch_id: int) -> dict[str, int] | None:
+        tally = _tally(batch)
         if persist:
-            batch = batch.persist()
+            tally.rows = tally.rows.persist()
         try:
-            wal_active, failure = 0, None
-            if committed(batch.sparkSession, f"{spill_path}/{segment_name(batch_id, origin)}"):
+            wal_active, failure, written = 0, None, None
+            if committed(tally.rows.sparkSession, f"{spill_path}/{segment_name(batch_id, origin)}"):
                 wal_active = 1
             else:
                 try:
-                    primary_fn(batch, batch_id)
+                    written = primary_fn(tally.frame(), batch_id)
                 except Exception as error:
                     if not unavailable(error):
                         raise
-                    write_spill(batch, spill_path, batch_id, max_records, quota, origin)
+                    written = write_spill(tally.frame(), spill_path, batch_id, max_records, quota, origin)
                     wal_active, failure = 1, error
-            if report_fn:
-                status = "SPILLED" if wal_active else "SINKED"
-                accepted, refused = counts(batch)
-                report_fn(BatchReport(batch_id, accepted, status, 1, wal_active, refused, describe(failure)))
+            if not report_fn:
+                return None
+            counts = tally.read(written)
+            status = "SPILLED" if wal_active else "SINKED"
+            report_fn(BatchReport(
+                batch_id, counts["events"], status, 1, wal_active, counts.get("refused", 0), describe(failure)))
+            return counts
         finally:
             if persist:
-                batch.unpersist()
+                tally.rows.unpersist()
 
     return run
 
 
-def report_writer(spark: SparkSession, path: str, origin: str = "consume") -> Callable[[BatchReport], None]:
-    """Keeps one report row per batch as a table."""
+# --- reports ---------------------------------------------------------------------------------
+
+REPORTS = ("origin string, batch_id bigint, events bigint, refused bigint, final_status string, attempts int, "
+           "wal_active int, error string, input_rows bigint, duration_ms bigint")
 
-    def write(report: BatchReport) -> None:
-        row = spark.createDataFrame(
-            [(report.events, report.final_status, report.attempts, report.wal_active, report.refused, report.error)],
-            "events long, final_status string, attempts int, wal_active int, refused long, error string",
-        )
-        write_once(row.coalesce(1), batch_folder(path, origin, report.batch_id))
 
-    return write
+class Reports(StreamingQueryListener):
+    """Reports of many batches, kept until there are ``every`` of them, and written together as one file.
+
+    As a listener it adds what the engine tells about a batch after its end: its input rows and its duration. What is
+    kept is lost with the driver; a batch that was not committed is reported again when it comes again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 100) -> None:
+        self.spark, self.path, self.every = spark, path, every
+        self.kept: dict[tuple[str, int], list] = {}
+        self.lock = threading.Lock()
+
+    def add(self, report: BatchReport, origin: str) -> None:
+        with self.lock:
+            self.kept[origin, report.batch_id] = [
+                report.events, report.refused, report.final_status, report.attempts, report.wal_active, report.error, None, None]
+
+    def flush(self) -> None:
+        # Held until the rows are written: whoever reads next waits for them, and no two writes meet in the folder.
+        with self.lock:
+            rows = [(*key, *values) for key, values in self.kept.items()]
+            if rows:
+                self.spark.createDataFrame(rows, REPORTS).coalesce(1).write.mode("append").parquet(self.path)
+            self.kept.clear()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        with self.lock:
+            for (origin, batch_id), values in self.kept.items():
+                if batch_id == progress.batchId and origin.endswith(str(progress.id)):
+                    values[-2:] = progress.numInputRows, progress.batchDuration
+            full = len(self.kept) >= self.every
+        if full:
+            self.flush()
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.flush()
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.flush()
+
+
+_OPEN: dict[str, Reports] = {}
+
+
+def reports_at(spark: SparkSession, path: str) -> Reports:
+    """The collector of this driver for the report table at ``path``."""
+    if path not in _OPEN or _OPEN[path].spark is not spark:
+        _OPEN[path] = Reports(spark, path)
+        spark.streams.addListener(_OPEN[path])
+    return _OPEN[path]
+
+
+def report_writer(spark: SparkSession, path: str, origin: str = "consume") -> Callable[[BatchReport], None]:
+    """Keeps one report row per batch for the table at ``path``."""
+    return lambda report: reports_at(spark, path).add(report, origin)
 
 
 def batch_report(spark: SparkSession, path: str) -> DataFrame:
-    """Per micro-batch of each job: events, refused lines, final status, attempts, spilled or not, last error."""
-    return spark.read.parquet(path).select(
-        "origin", F.col("batch_id").cast("long").alias("batch_id"), "events", "refused", "final_status", "attempts",
-        "wal_active", "error",
-    )
+    """Per micro-batch of each job: events, refused lines, final status, attempts, spilled or not, last error, and the
+    engine's input rows and duration where they were known when the report was written.
+
+    Of a batch that was reported twice, since it came again, one report stays. What this driver keeps is written first.
+    """
+    if path in _OPEN:
+        _OPEN[path].flush()
+        if not spark.streams.active:
+            spark.streams.removeListener(_OPEN.pop(path))
+    rows = spark.read.schema(REPORTS).parquet(path)
+    return first_by_key(
+        rows.withColumn("_batch", F.struct("origin", "batch_id")), "_batch", ["duration_ms"]).drop("_batch")
 
 
 # --- the rate table --------------------------------------------------------------------------
