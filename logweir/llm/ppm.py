@@ -7,10 +7,10 @@ over its symbols, its end included.
 
 - Training counts all windows of ORDER + 1 symbols of all training documents: per task in numpy, then summed
   by Spark. Shorter contexts are sums over these windows. Nothing is pruned: what is learned grows with the corpus.
-- Windows of up to ``LOW`` symbols have at most 257^3 values, whatever the corpus; they are broadcast in full. Longer
+- Windows of up to ``LOW`` symbols have at most 257^2 values, whatever the corpus; they are broadcast in full. Longer
   ones stay on Spark: all windows of training and held-out documents are dealt and sorted by the LOW symbols before the
-  last, so that a window stands beside everything that its cost depends on. A key has at most 257^2 windows, and a
-  task holds some ``COSTED`` at a time.
+  last, so that a window stands beside everything that its cost depends on. A task holds some ``COSTED`` windows at a
+  time, and at most the distinct windows of one key.
 - The cost of a symbol only depends on its window. The costs of the most frequent windows, at most ``MAX_NODES``, are
   broadcast as a cache; the other windows of a document leave the task as (row, window, times) and meet their costs in a
   join. Any size of the cache gives the same scores, but for the order of the sums.
@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from logweir.session import work_dir
 
 ORDER = 4
-LOW = 3
+LOW = 2
 BITS = 9  # symbols: 0 end of text and the space before it, 1 to 256 bytes
 SYMBOLS = 257
-MAX_NODES = 1 << 22
+MAX_NODES = 1 << 21
 MAX_WORDS = 1 << 20
 LONG_WORD = 64
 CHUNK = 1 << 20
@@ -208,22 +208,12 @@ class Trie:
         return cost
 
 
-def train(docs: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie over the texts of the documents in one piece; windows rarer than 1 / max_nodes are left out."""
-    spark = docs.sparkSession
-    folder = work_dir(spark, "ppm-windows")
-    (docs.select("text").mapInArrow(_count_windows, "code bigint, n bigint")
-     .groupBy("code").agg(F.sum("n").alias("n")).write.parquet(folder))
-    table = spark.read.parquet(folder)
-    total = table.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // max_nodes))
-    grams = []
-    for k in range(ORDER + 1):
-        # At most max_nodes rows can hold 1 / max_nodes of all symbols each.
-        found = (table.groupBy(F.col("code").bitwiseAND(F.lit(int(Trie.mask(k)))).alias("code"))
-                 .agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas().sort_values("code"))
-        grams.append((found["code"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)))
-    return Trie(grams)
+def _collected(table: DataFrame, value: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """``code`` and ``value``, sorted by code; as Arrow buffers, without an object per row."""
+    found = table.select("code", value).toArrow()
+    codes = found.column("code").to_numpy().astype(np.uint64)
+    order = np.argsort(codes)
+    return codes[order], found.column(value).to_numpy()[order].astype(kind)
 
 
 def _costed(low):
@@ -266,10 +256,10 @@ def window_costs(training: DataFrame, others: DataFrame) -> DataFrame:
     table = spark.read.parquet(folder)
     grams = []
     for k in range(LOW):
-        # At most 257^3 rows, whatever the corpus.
-        found = (table.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(int(Trie.mask(k)))).alias("code"))
-                 .agg(F.sum("n").alias("n")).toPandas().sort_values("code"))
-        grams.append((found["code"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)))
+        # At most 257^2 rows, whatever the corpus.
+        grams.append(_collected(
+            table.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(int(Trie.mask(k)))).alias("code"))
+            .agg(F.sum("n").alias("n")), "n", np.int64))
     low = spark.sparkContext.broadcast(Trie(grams))
     key = F.shiftright("code", BITS).bitwiseAND(F.lit(int(Trie.mask(LOW - 1))))
     costs_at = work_dir(spark, "ppm-costs")
@@ -287,8 +277,22 @@ def cache(costs: DataFrame, max_nodes: int) -> tuple[np.ndarray, np.ndarray]:
         if n > max_nodes:
             break
         least = 1 << (row["bits"] - 1)
-    found = costs.where(F.col("uses") >= least).select("code", "cost").toPandas().sort_values("code")
-    return found["code"].to_numpy(np.uint64), found["cost"].to_numpy(np.float64)
+    return _collected(costs.where(F.col("uses") >= least), "cost", np.float64)
+
+
+class Frequent:
+    """Words with log10 of their counts plus one: two buffers on the driver and on the way, a dict in a worker."""
+
+    def __init__(self, counts: DataFrame) -> None:
+        found = counts.select("word", "n").toArrow().combine_chunks()
+        self.words = found.column("word")
+        self.logs = np.log10(found.column("n").to_numpy().astype(np.float64) + 1)
+        self.table: dict[bytes, float] | None = None
+
+    def get(self) -> dict[bytes, float]:
+        if self.table is None:
+            self.table = dict(zip(self.words.to_pylist(), self.logs.tolist()))
+        return self.table
 
 
 # --- scoring ---------------------------------------------------------------------------------------------
@@ -299,7 +303,7 @@ SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base
 
 def _scored(model, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (cached, costs), logs = model.value, frequent.value
+        (cached, costs), logs = model.value, frequent.value.get()
         for batch in batches:
             texts = [(text or "").encode() for text in batch.column("text").to_pylist()]
             score = np.zeros(len(texts))
@@ -364,12 +368,11 @@ def score(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     ends = training.count()
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
-    common = counts.where((F.col("n") * MAX_WORDS >= total) & (F.length("word") <= LONG_WORD)).toPandas()
-    logs = dict(zip(map(bytes, common["word"]), np.log10(common["n"].to_numpy(np.float64) + 1).tolist()))
+    common = counts.where((F.col("n") * MAX_WORDS >= total) & (F.length("word") <= LONG_WORD))
 
     context = spark.sparkContext
     scored_at = work_dir(spark, "ppm-scored")
-    scored = rows.mapInArrow(_scored(context.broadcast(cache(costs, max_nodes)), context.broadcast(logs)), SCORED)
+    scored = rows.mapInArrow(_scored(context.broadcast(cache(costs, max_nodes)), context.broadcast(Frequent(common))), SCORED)
     scored.withColumn("row", F.monotonically_increasing_id()).write.parquet(scored_at)
     scored = spark.read.parquet(scored_at)
 

@@ -511,17 +511,22 @@ def test_scores_against_brute_force(spark, sf_dir, documents):
         assert r.score == pytest.approx(model.log10(documents[r.doc_id]), rel=1e-9)
 
 
-def test_model_is_a_distribution_even_when_pruned(spark):
-    df = spark.createDataFrame([("abracadabra " * 20,), ("the quick brown fox",), ("zzz",)], "text string")
-    for nodes in (1 << 20, 60):
-        trie = ppm.train(df, max_nodes=nodes)
-        for context in (b"abra", b"quic", b"\xff\xfe\xfd\xfc", b"zzz"):
-            past = [0] * (ppm.ORDER - len(context)) + [b + 1 for b in context]
-            code = 0
-            for s in past:
-                code = code << ppm.BITS | s
-            codes = np.asarray([code << ppm.BITS | s for s in range(ppm.SYMBOLS)], np.uint64)
-            assert (10 ** trie.log10(codes)).sum() == pytest.approx(1)
+def model(texts):
+    """The whole model in one piece, from the parts that the query deals out: low orders, then longer ones."""
+    codes = np.concatenate([codes for codes, _ in ppm.windows([text.encode() for text in texts])])
+    low = [np.unique(codes & ppm.Trie.mask(k), return_counts=True) for k in range(ppm.LOW)]
+    return ppm.Trie(low).longer(*np.unique(codes, return_counts=True))
+
+
+def test_model_is_a_distribution():
+    trie = model(["abracadabra " * 20, "the quick brown fox", "zzz"])
+    for context in (b"abra", b"quic", b"\xff\xfe\xfd\xfc", b"zzz"):
+        past = [0] * (ppm.ORDER - len(context)) + [b + 1 for b in context]
+        code = 0
+        for s in past:
+            code = code << ppm.BITS | s
+        codes = np.asarray([code << ppm.BITS | s for s in range(ppm.SYMBOLS)], np.uint64)
+        assert (10 ** trie.log10(codes)).sum() == pytest.approx(1)
 
 
 def test_rare_windows_are_never_pruned(spark):
@@ -531,15 +536,15 @@ def test_rare_windows_are_never_pruned(spark):
     rows = [*common, (ids[45], "the Quetzalcoatlus xyzzy"), (next(i for i in range(60) if i not in ids), "a Quetzalcoatlus")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sum(len(text) for _, text in common) > ppm.MAX_NODES
-    whole = ppm.train(df.where(~ppm.held_out(F.col("doc_id"))), max_nodes=1 << 40)
+    whole = model([text for i, text in rows if i in ids])
     for found in (ppm.score(df), ppm.score(df, max_nodes=20), ppm.score(df, max_nodes=0)):
         got = {r.doc_id: r.score for r in found.collect()}
         for i, text in rows[-3:]:
             assert got[i] == pytest.approx(sum(whole.log10(codes).sum() for codes, _ in ppm.windows([text.encode()])), rel=1e-9)
 
 
-def test_held_out_prose_is_likelier_than_noise(spark, sf_dir, documents):
-    trie = ppm.train(table(spark, sf_dir, "documents", "doc_id", "text").where(~ppm.held_out(F.col("doc_id"))))
+def test_held_out_prose_is_likelier_than_noise(documents):
+    trie = model([t for d, t in documents.items() if zlib.crc32(str(d).encode()) % 7 != 2])
     rng = random.Random(0)
 
     def bits(text):
