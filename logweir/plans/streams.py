@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from logweir.plans import sql as S
@@ -95,3 +96,57 @@ def ack_stream(spark, sf_dir):
         streams.append(spark.readStream.schema(rows.schema).parquet(f"{path}/{name}"))
     found = drained(stateful.acks_of(*streams, "2 HOURS"), path, "found").where(F.col("stream") != TICK)
     return found.select(*stateful.KEYS, "consumer", *V.ntz("delivered_at", "acked_at"))
+
+
+@query("tick_run", S.with_(S.EV, S.TEXTS, S.DECODED) + """
+SELECT parse_status = 'ok' AS accepted, count(*) AS lines FROM decoded GROUP BY 1""")
+def tick_run(spark, sf_dir):
+    """Ingest on the one-second tick while files land: several ticks work them off."""
+    path = work_dir(spark, "ticks")
+    lines = V.raw_lines(spark, sf_dir)
+    part = F.pmod(F.xxhash64("value"), F.lit(3))
+    lines.where(part == 0).write.mode("append").text(f"{path}/landing")
+    job = jobs.ingest_job(
+        spark, f"{path}/landing", f"{path}/buffer", f"{path}/checkpoint", f"{path}/spill", f"{path}/bad",
+        reports=f"{path}/reports")
+    try:
+        job.processAllAvailable()
+        for turn in (1, 2):
+            lines.where(part == turn).write.mode("append").text(f"{path}/landing")
+            job.processAllAvailable()
+    finally:
+        job.stop()
+    sums = sinks.batch_report(spark, f"{path}/reports").agg(
+        F.sum("events").alias("events"), F.sum("refused").alias("refused"), F.count("*").alias("ticks"))
+    kinds = F.explode(F.array(
+        F.struct(F.lit(True).alias("accepted"), F.col("events").alias("lines")),
+        F.struct(F.lit(False).alias("accepted"), F.col("refused").alias("lines"))))
+    return sums.where("ticks >= 3").select(kinds.alias("x")).select("x.*")
+
+
+@query("failed_batch_again", S.with_(S.EV) + "SELECT event_id, message, 2 AS runs FROM ev")
+def failed_batch_again(spark, sf_dir):
+    """A consumer dies after its write and before its commit; the batch comes again and counts once."""
+    path = work_dir(spark, "again")
+    sinks.append_buffer(V.log_events(spark, sf_dir), f"{path}/buffer", 0)
+    runs = []
+
+    def write(rows, n):
+        runs.append(n)
+        done = sinks.append_logs(rows, f"{path}/logs", n, sinks.checkpoint_origin(spark, "consume"))
+        if len(runs) == 1:
+            raise RuntimeError("lost after the write")
+        return done
+
+    def refuse(rows, n, reason, origin):
+        raise RuntimeError("no dead letters either")
+
+    for _ in range(2):
+        job = jobs.consume_job(
+            spark, f"{path}/buffer", f"{path}/logs", f"{path}/dlq", f"{path}/quarantine", f"{path}/reports",
+            f"{path}/checkpoint", attempts=1, write_fn=write, once=True, dlq_fn=refuse)
+        try:
+            job.awaitTermination()
+        except StreamingQueryException:
+            continue
+    return sinks.current_logs(spark, f"{path}/logs").select("event_id", "message", F.lit(len(runs)).alias("runs"))

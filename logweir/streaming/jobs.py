@@ -11,6 +11,8 @@ entries from a Parquet buffer, or from any streaming DataFrame of its columns, s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -98,18 +100,21 @@ def consume_job(
     checkpoint: str, attempts: int = 3, backoff: float = 1.0,
     write_fn: sinks.WriteFn | None = None, once: bool = False, max_files: int = 1_000, origin: str = "consume",
     dedup: str | None = None, dedup_time: str | None = None,
+    dlq_fn: Callable[[DataFrame, int, str, str], bool | None] | None = None,
 ) -> StreamingQuery:
     """Buffer to the log table, with retries, the dead-letter table and a report per batch.
 
     With ``dedup``, a time, events whose id came within it before are left out early (``dedup_stream``). The log table
-    folds what passes, so that this only saves work.
+    folds what passes, so that this only saves work. ``dlq_fn`` takes a batch, its number, the reason and the origin
+    in place of the dead-letter table.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         own = sinks.checkpoint_origin(spark, origin)
         sink = sinks.sink_with_retry(
             write_fn or (lambda rows, n: sinks.append_logs(rows, logs, n, own)),
-            lambda rows, n, reason: sinks.write_dlq(rows, dlq, n, reason, own),
+            lambda rows, n, reason: (
+                dlq_fn(rows, n, reason, own) if dlq_fn else sinks.write_dlq(rows, dlq, n, reason, own)),
             attempts, backoff, sinks.report_writer(spark, reports, own), persist=False,
         )
         judged = judge_entries(batch).persist()

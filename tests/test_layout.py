@@ -1,0 +1,133 @@
+"""What layouts and sketches are for: no shuffle of the table, few rows read, bounded errors."""
+
+import datetime as dt
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from logweir.operators import keyed, layout, metrics, sketches
+
+ORDER = ("batch_id", "seq")
+VERSION = "event_id string, message string, batch_id long, seq long"
+
+
+def rows_above(plan, marker):
+    """The operators between the root and the line with the marker."""
+    lines = [line for line in plan.splitlines() if line.strip()]
+    at = next(i for i, line in enumerate(lines) if marker in line)
+    depth = lambda line: len(re.match(r"^[\s:|+\-]*", line).group(0))
+    above, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            above.append(line[level:])
+    return above
+
+
+@pytest.fixture
+def bucketed(spark, tmp_path):
+    rows = spark.range(2_000).select(
+        F.concat(F.lit("id"), "id").alias("event_id"), F.lit("old").alias("message"))
+    layout.write_bucketed(rows, "bucketed_logs", str(tmp_path / "a"), buckets=4)
+    yield "bucketed_logs"
+    for name in ("bucketed_logs", "merged_logs"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_merge_does_not_shuffle_the_table(spark, bucketed, tmp_path):
+    changes = spark.createDataFrame(
+        [(f"id{n % 700}", f"new {n}", n // 50, n) for n in range(1_000)] + [("fresh", "f", 0, 0)], VERSION)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in ("-1", before):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            state = layout.merged(spark, bucketed, changes, ORDER)
+            want = keyed.upsert(spark.table(bucketed), changes, order=ORDER)
+            assert sorted(map(tuple, state.collect())) == sorted(map(tuple, want.collect()))
+            above = rows_above(state._jdf.queryExecution().executedPlan().toString(), "FileScan parquet")
+            assert above and not any("Exchange" in name for name in above)
+        layout.merge_bucketed(spark, bucketed, changes, ORDER, "merged_logs", str(tmp_path / "b"), buckets=4)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert spark.table("merged_logs").count() == 2_001
+    assert {r["message"] for r in spark.table("merged_logs").where("event_id = 'id5'").collect()} == {"new 705"}
+    counted = spark.table("merged_logs").groupBy("event_id").count()
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()  # the next merge has its buckets
+
+
+def test_merge_without_changes_and_of_a_hot_key(spark, bucketed):
+    none = spark.createDataFrame([], VERSION)
+    assert layout.merged(spark, bucketed, none, ORDER).count() == 2_000
+    hot = spark.range(5_000).select(
+        F.lit("id1").alias("event_id"), F.concat(F.lit("v"), "id").alias("message"), F.lit(0).alias("batch_id"), F.col("id").alias("seq"))
+    state = layout.merged(spark, bucketed, hot, ORDER)
+    assert state.count() == 2_000 and state.where("event_id = 'id1'").first()["message"] == "v4999"
+
+
+def rows_read(df):
+    """Rows that the scans of the plan gave, after files and row groups were ruled out."""
+    df.collect()
+    pending, total = [df._jdf.queryExecution().executedPlan()], 0
+    while pending:
+        node = pending.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            pending.append(node.executedPlan())
+            continue
+        if "FileSourceScan" in node.getClass().getSimpleName():
+            total += node.metrics().apply("numOutputRows").value()
+        pending += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_clustered_logs_are_read_selectively(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    logs = spark.range(60_000).select(
+        F.concat(F.lit("id"), "id").alias("event_id"),
+        F.timestamp_seconds(F.col("id") * 30 + 1_704_067_200).alias("event_time"),
+        F.concat(F.lit("svc-"), F.pmod(F.xxhash64("id"), F.lit(20))).alias("source"),
+        F.concat(F.lit("level-"), F.pmod(F.hash("id"), F.lit(5))).alias("level"))
+    layout.cluster_logs(logs.unionByName(logs.limit(3).withColumns({"event_time": F.lit(None).cast("timestamp")})), path, 400)
+    table = spark.read.parquet(path)
+    assert table.count() == 60_003
+    start, end = (F.lit(dt.datetime(2024, 1, day)) for day in (3, 9))
+    found = metrics.filter_logs(table, start, end, ["svc-3"], ["level-1"])
+    want = metrics.filter_logs(logs, start, end, ["svc-3"], ["level-1"])
+    assert {r["event_id"] for r in found.collect()} == {r["event_id"] for r in want.collect()}
+    in_dates = metrics.filter_logs(table, start, end).count()
+    assert 0 < rows_read(found) <= 0.2 * in_dates
+    assert rows_read(table.where("event_id = 'id777'")) <= 0.05 * 60_000
+
+
+def test_latency_sketches_merge(spark):
+    rows = spark.range(50_000).select(
+        F.timestamp_seconds(F.col("id") * 7).alias("request_received_at"), F.lit("POST").alias("method"),
+        F.concat(F.lit("/"), F.col("id") % 2).alias("path"), F.lit(202).alias("status"),
+        F.pmod(F.xxhash64("id"), F.lit(10_000)).alias("duration_ms"))
+    hourly = sketches.latency_sketches(rows)
+    assert hourly.count() > 90
+    for by in (("path",), ("status",)):
+        for row in sketches.latency_rollup(hourly, by).collect():
+            values = sorted(r["duration_ms"] for r in rows.where(F.col(by[0]) == row[by[0]]).select("duration_ms").collect())
+            assert row["requests"] == len(values)
+            for p in (50, 95, 99):
+                below = sum(v < row[f"p{p}_ms"] for v in values) / len(values)
+                upto = sum(v <= row[f"p{p}_ms"] for v in values) / len(values)
+                assert below - sketches.RANK_ERROR <= p / 100 <= upto + sketches.RANK_ERROR
+
+
+def test_distinct_sketches_merge(spark):
+    rows = spark.range(80_000).select(
+        F.timestamp_seconds(F.col("id") % 300_000).alias("delivered_at"), F.lit("s").alias("stream"),
+        F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("grp"),
+        F.concat(F.lit("c"), F.col("id") % 9).alias("consumer"),
+        F.struct((F.col("id") % 30_000).alias("ms"), F.lit(0).alias("seq")).alias("message_id"))
+    hourly = sketches.delivery_sketches(rows)
+    exact = {r["grp"]: (r["c"], r["n"]) for r in rows.groupBy("grp").agg(
+        F.count_distinct("consumer").alias("c"), F.count_distinct("message_id").alias("n")).collect()}
+    for row in sketches.distinct_deliveries(hourly).collect():
+        consumers, ids = exact[row["grp"]]
+        assert row["consumers"] == consumers and abs(row["ids"] - ids) <= sketches.DISTINCT_ERROR * ids
+    both = sketches.ids_in_both(hourly, {"grp": "a"}, {"grp": "b"}).first()["ids"]
+    common = rows.where("grp = 'a'").select("message_id").intersect(rows.where("grp = 'b'").select("message_id")).count()
+    assert abs(both - common) <= 3 * sketches.DISTINCT_ERROR * max(common, 1_000)
