@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from logweir.functions import variants
 from logweir.operators import keyed, layout, metrics, sketches
 from logweir.plans import sql as S
 from logweir.plans import views as V
@@ -70,3 +71,35 @@ def distinct_deliveries(spark, sf_dir):
     off = F.abs(F.col("ids") - F.col("n")) / F.col("n")
     return found.join(exact, ["stream", "grp"]).select(
         "stream", "grp", "consumers", (off <= sketches.DISTINCT_ERROR).alias("ids_ok"))
+
+
+def variant_logs(spark, sf_dir):
+    """Log events stored with their metadata as a shredded VARIANT."""
+    path = work_dir(spark, "variants")
+    before = {name: spark.conf.get(name, None) for name in variants.SHREDDING}
+    for name, value in variants.SHREDDING.items():
+        spark.conf.set(name, value)
+    try:
+        variants.with_variant(V.log_events(spark, sf_dir)).select("event_id", "level", "metadata").write.parquet(path)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return spark.read.parquet(path)
+
+
+@query("variant_filter", S.with_(S.EV) + """
+SELECT event_id, level, user_id AS "user" FROM ev
+WHERE level IN ('signup', 'error') AND user_id BETWEEN 100 AND 400""")
+def variant_filter(spark, sf_dir):
+    """A path predicate on stored metadata; errors and signups have a user."""
+    user = variants.at_path(F.col("metadata"), "$.user", "bigint")
+    rows = variant_logs(spark, sf_dir).where(user.between(100, 400) & F.col("level").isin("signup", "error"))
+    return rows.select("event_id", "level", user.alias("user"))
+
+
+@query("variant_redact", S.with_(S.EV) + f"""
+SELECT event_id, coalesce(cleaned, {S.COMPACT}) AS metadata, cleaned IS NOT NULL AS pii_redacted FROM ev""")
+def variant_redact(spark, sf_dir):
+    """Stored metadata redacted as a value; the text is only made for the result."""
+    rows = variants.redact_variant(variant_logs(spark, sf_dir))
+    return rows.select("event_id", F.to_json("metadata").alias("metadata"), "pii_redacted")
