@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from logweir.functions.redact import PLACEHOLDER, parse_redaction_fields
 
-# Paths that rows have in common are written as columns of their own, so that a filter on one reads only that.
-SHREDDING = {
-    "spark.sql.variant.writeShredding.enabled": "true",
-    "spark.sql.variant.inferShreddingSchema": "true",
-    "spark.sql.variant.pushVariantIntoScan": "true",
-}
+# Values that aren't objects stand in a column of their own: Spark writes the keys that most objects share as columns
+# (shredding), from which a filter on a path reads just its own, but only where all values are objects.
+OTHER = "_other"
 
 
 def with_variant(events: DataFrame, column: str = "metadata") -> DataFrame:
-    """The events with ``column`` parsed; what is not JSON becomes NULL."""
-    return events.withColumn(column, F.try_parse_json(column))
+    """The events with the objects of ``column`` parsed, and its other values in ``<column>_other``.
+
+    What is not JSON is NULL in both.
+    """
+    value = F.try_parse_json(column)
+    is_object = F.startswith(F.schema_of_variant(value), F.lit("OBJECT<"))
+    return events.withColumns({column: F.when(is_object, value), f"{column}{OTHER}": F.when(~is_object, value)})
+
+
+def whole(column: str = "metadata") -> Column:
+    """The value as it was given, whichever column it stands in."""
+    return F.coalesce(F.col(column), F.col(f"{column}{OTHER}"))
 
 
 def at_path(variant: Column, path: str, kind: str) -> Column:

@@ -76,14 +76,8 @@ def distinct_deliveries(spark, sf_dir):
 def variant_logs(spark, sf_dir):
     """Log events stored with their metadata as a shredded VARIANT."""
     path = work_dir(spark, "variants")
-    before = {name: spark.conf.get(name, None) for name in variants.SHREDDING}
-    for name, value in variants.SHREDDING.items():
-        spark.conf.set(name, value)
-    try:
-        variants.with_variant(V.log_events(spark, sf_dir)).select("event_id", "level", "metadata").write.parquet(path)
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    variants.with_variant(V.log_events(spark, sf_dir)).select(
+        "event_id", "level", "metadata", "metadata_other").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -102,4 +96,4 @@ SELECT event_id, coalesce(cleaned, {S.COMPACT}) AS metadata, cleaned IS NOT NULL
 def variant_redact(spark, sf_dir):
     """Stored metadata redacted as a value; the text is only made for the result."""
     rows = variants.redact_variant(variant_logs(spark, sf_dir))
-    return rows.select("event_id", F.to_json("metadata").alias("metadata"), "pii_redacted")
+    return rows.select("event_id", F.to_json(variants.whole()).alias("metadata"), "pii_redacted")
