@@ -654,3 +654,40 @@ def test_damaged_blocks_are_refused(spark, odd, vocabulary):
 def test_hashes_of_kept_lines(spark, sf_dir, documents):
     rows = queries.QUERIES["op8_line_dedup"](spark, sf_dir).where("n_dropped = 0").collect()
     assert all(r.kept_sha256 == hashlib.sha256(documents[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+def test_bit_sampling_keeps_edited_windows_and_turns_others_away(documents):
+    """Windows with all edits that the bound allows, at random and evenly spread places, and unrelated windows."""
+    rng = random.Random(3)
+    texts = [decontaminate.normal(t) for t in documents.values()]
+    items = [t[k:k + rng.randint(80, 380)] for t in texts if len(t) > 1000 for k in (0, 500)][:150]
+    everything = b"".join(texts)
+
+    def edited(item, even):
+        out, n = list(item), int(len(item) * decontaminate.MAX_EDITS)
+        places = [int((k + 0.5) * len(item) / n) for k in range(n)] if even else sorted(rng.sample(range(len(item)), n))
+        for place in reversed(places):
+            letter = rng.choice(b"abcdefghijklmnopqrstuvwxyz ")
+            out[place:place + 1] = rng.choice([[letter], [letter, out[place]], []])
+        return bytes(out)
+
+    for even in (False, True):
+        assert decontaminate.alike([edited(item, even) for item in items], items).mean() >= 0.98
+    places = [rng.randrange(len(everything) - 400) for _ in items]
+    others = [everything[at:at + len(item)] for at, item in zip(places, items)]
+    assert decontaminate.alike(others, items).mean() <= 0.07
+
+
+def test_short_items_are_searched_too(spark):
+    rows = [(1, "Seven of nine, abc def."), (2, "sevn ofnine"), (3, "xab cdex"), (4, "q"), (5, "\u00e9t\u00e9 chaud"), (6, None)]
+    items = [(1, "seven"), (2, "Abc-def"), (3, "q"), (4, "..."), (5, ""), (6, "\u00c9T\u00c9"), (7, "seven ofnine"), (8, "of nine")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_items(docs, bench).collect()}
+    want = set()
+    for d, text in rows:
+        for i, item in items:
+            item, body = decontaminate.normal(item), decontaminate.normal(text)
+            if item and decontaminate.nearest(item, body)[0] <= int(len(item) * decontaminate.MAX_EDITS):
+                want.add((d, i))
+    assert found == want and {(1, 1), (1, 2), (4, 3), (5, 6)} <= found

@@ -79,7 +79,7 @@ def brute_near(docs):
 
 def brute_clean(docs, items):
     def leaked(text):
-        return any(len(item) >= decontaminate.SEED_BYTES
+        return any(item
                    and decontaminate.nearest(item, text)[0] <= int(len(item) * decontaminate.MAX_EDITS) for item in items)
 
     return {d: t for d, t in docs.items() if not leaked(decontaminate.normal(t))}
