@@ -2,11 +2,11 @@ r"""License scan: an ordered list of signature rules, gated by keywords, overlap
 
 ``rules()`` crosses the license families below with the ways in which texts name a license (an SPDX tag,
 "licensed under the ...", "... license", "... version 2.0", a bare short name) to some hundreds of regular
-expressions over the lower-cased text. A rule only runs on a text that passes the gate of its form (``GATES``) and
+expressions over the lower-cased text, beside hand-written signatures of sentences from the licenses themselves. A rule only runs on a text that passes the gate of its form (``GATES``) and
 holds the rule's keyword. Gates and keywords are single words that the expressions cannot do without, so they never
-stop a rule that would match. Matches are sorted by start, longest first, then
-priority: a match inside the one kept before it is suppressed; of two that overlap partly the one with the
-higher priority stays, the earlier one on a tie.
+stop a rule that would match. Overlaps are resolved by priority: matches are taken from the highest priority down,
+the earlier and then the longer ones first, and one that lies in a match taken before, or overlaps it, is suppressed.
+So nothing is lost to a match that is itself suppressed.
 
 Beside the rules, the base counts every place where the words of a phrase stand one after another; words
 are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``. Base labels are always part of ``labels``.
@@ -86,6 +86,32 @@ FAMILIES = {
     "elastic": ("elastic", "elastic", r"elastic-2\.0"),
 }
 
+# Fixed values, label: (keyword, sentences of the license or of its notice).
+BODIES = {
+    "mit": ("hereby", ("permission is hereby granted free of charge to any person obtaining a copy of this software",
+                       "the above copyright notice and this permission notice shall be included in all copies or substantial"
+                       " portions of the software")),
+    "bsd": ("redistribution|redistributions", (
+        "redistribution and use in source and binary forms with or without modification are permitted",
+        "redistributions of source code must retain the above copyright notice",
+        "redistributions in binary form must reproduce the above copyright notice")),
+    "gpl": ("redistribute", ("this program is free software you can redistribute it",
+                             "\\w+ is free software you can redistribute it and or modify it under the terms of the gnu general public")),
+    "lgpl": ("redistribute", ("this library is free software you can redistribute it",)),
+    "agpl": ("affero", ("under the terms of the gnu affero general public",)),
+    "apache": ("compliance", ("you may not use this file except in compliance with the license",)),
+    "isc": ("fee", ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",)),
+    "zlib": ("misrepresented", ("the origin of this software must not be misrepresented",)),
+    "mpl": ("subject", ("this source code form is subject to the terms of the mozilla public",)),
+    "bsl": ("organization", ("permission is hereby granted free of charge to any person or organization obtaining a copy",)),
+    "unlicense": ("unencumbered", ("this is free and unencumbered software released into the public domain",)),
+    "epl": ("accompanying", ("this program and the accompanying materials are made available under the terms of the eclipse public",)),
+    "cc0": ("waived", ("has waived all copyright and related or neighboring rights",)),
+    "postgresql": ("agreement", ("permission to use copy modify and distribute this software and its documentation for any purpose"
+                                 " without fee and without a written agreement is hereby granted",)),
+}
+BODY = (70, 1.0)
+
 # form: (priority, score, pattern with {name} or {spdx}); higher priority is tried and kept first.
 FORMS = {
     "tag": (60, 1.0, "spdx license identifier {spdx}"),
@@ -102,6 +128,7 @@ GATES = {
     "versioned": f"{SEPARATOR}v(?:ersion)?{SEPARATOR}*[0-9]",
     "named": "licen",
     "reversed": "licen",
+    "body": "hereby|redistribut|affero|compliance|misrepresented|subject|unencumbered|accompanying|waived",
 }
 
 
@@ -115,6 +142,8 @@ def rules() -> list[tuple[str, str, int, float, str, str]]:
              pattern(shape.format(name=name, spdx=spdx.replace("-", SEPARATOR)).replace("(", "(?:")))
             for form, (priority, score, shape) in FORMS.items()
             for label, (keyword, name, spdx) in FAMILIES.items()]
+    made += [(f"{label}-{k}-body", label, *BODY, keyword, pattern(sentence))
+             for label, (keyword, sentences) in BODIES.items() for k, sentence in enumerate(sentences)]
     return sorted(made, key=lambda rule: -rule[2])
 
 
@@ -125,7 +154,7 @@ def gates(text: Column) -> Column:
             return text.rlike(gate)
         return reduce(lambda a, b: a | b, (text.contains(word) for word in gate.split("|")))
 
-    return F.array(*[passes(GATES[form]) for form in FORMS])
+    return F.array(*[passes(gate) for gate in GATES.values()])
 
 
 def gated_matches(text: Column) -> Column:
@@ -157,7 +186,7 @@ def find(text: Column, regex: Column) -> Column:
 def matches(text: Column, open: Column) -> Column:
     """All matches of all rules of open forms whose keyword the text holds, sorted for ``resolve``."""
     shape = "struct<rule:string,label:string,priority:int,score:double,keys:array<string>,regex:string,form:int>"
-    forms = list(FORMS)
+    forms = list(GATES)
     listed = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("label"), F.lit(r[2]).alias("priority"),
                                 F.lit(r[3]).alias("score"), F.array(*map(F.lit, r[4].split("|"))).alias("keys"),
                                 F.lit(r[5]).alias("regex"), F.lit(forms.index(r[0].rsplit("-", 1)[1])).alias("form"))
@@ -171,24 +200,18 @@ def matches(text: Column, open: Column) -> Column:
 
 def resolve(found: Column) -> Column:
     """Labels, number and best score of the matches that stay."""
-    nothing = F.struct(
-        F.array().cast("array<string>").alias("labels"), F.lit(0).alias("n"), F.lit(0.0).alias("score"),
-        F.lit(-1).alias("stop"), F.lit(0).alias("priority"), F.lit("").alias("label"), F.lit(0.0).alias("last"))
-
-    def settled(a: Column) -> list[Column]:
-        some = a["stop"] >= 0
-        return [F.when(some, F.array_union(a["labels"], F.array(a["label"]))).otherwise(a["labels"]).alias("labels"),
-                F.when(some, a["n"] + 1).otherwise(a["n"]).alias("n"), F.greatest(a["score"], a["last"]).alias("score")]
-
-    def step(a: Column, m: Column) -> Column:
-        stop, priority = -m["minus_stop"], -m["minus_priority"]
-        new = [stop.alias("stop"), priority.alias("priority"), m["label"].alias("label"), m["score"].alias("last")]
-        loses = (stop <= a["stop"]) | ((m["start"] < a["stop"]) & (priority <= a["priority"]))
-        return F.when(loses, a).when(
-            m["start"] < a["stop"], F.struct(a["labels"].alias("labels"), a["n"].alias("n"), a["score"].alias("score"), *new)
-        ).otherwise(F.struct(*settled(a), *new))
-
-    return F.aggregate(found, nothing, step, lambda a: F.struct(*settled(a)))
+    ranked = F.array_sort(F.transform(found, lambda m: F.struct(
+        m["minus_priority"], m["start"], m["minus_stop"], m["rule"], m["label"], m["score"])))
+    nothing = F.array().cast("array<struct<start:int,stop:int,label:string,score:double>>")
+
+    def step(taken: Column, m: Column) -> Column:
+        clash = F.exists(taken, lambda t: (m["start"] < t["stop"]) & (t["start"] < -m["minus_stop"]))
+        return F.when(clash, taken).otherwise(F.concat(taken, F.array(F.struct(
+            m["start"].alias("start"), (-m["minus_stop"]).alias("stop"), m["label"].alias("label"), m["score"].alias("score")))))
+
+    return bind(F.aggregate(ranked, nothing, step), lambda taken: F.struct(
+        F.array_distinct(F.transform(F.array_sort(taken), lambda t: t["label"])).alias("labels"),
+        F.size(taken).alias("n"), F.coalesce(F.array_max(F.transform(taken, lambda t: t["score"])), F.lit(0.0)).alias("score")))
 
 
 def base_places(text: Column) -> Column:

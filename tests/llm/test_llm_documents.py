@@ -691,3 +691,45 @@ def test_short_items_are_searched_too(spark):
             if item and decontaminate.nearest(item, body)[0] <= int(len(item) * decontaminate.MAX_EDITS):
                 want.add((d, i))
     assert found == want and {(1, 1), (1, 2), (4, 3), (5, 6)} <= found
+
+
+BODIES = {
+    """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal""": {"mit"},
+    """ * Redistributions of source code must retain the above copyright
+ * notice, this list of conditions and the following disclaimer.""": {"bsd"},
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that": {"bsd"},
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public": {"gpl"},
+    "you may not use this file except in compliance with the License.": {"apache"},
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted": {"isc"},
+    "This is free and unencumbered software released into the public domain.": {"unlicense"},
+    "Permission to speak was granted, free of charge, to any person in the room.": None,
+    "The redistribution of income and its use in source documents is discussed.": None,
+    "Subject to availability, accompanying persons have waived their rights.": None,
+}
+
+
+def test_sentences_of_licenses_are_found_and_others_are_not(spark):
+    df = spark.createDataFrame([(k,) for k in BODIES], "text string")
+    for r in licenses.scan(df).collect():
+        assert (set(r.found.labels) if r.found else None) == BODIES[r.doc.text], r.doc.text
+
+
+def test_overlaps_are_resolved_by_priority(spark):
+    """Random matches against a plain version; a match is not lost to one that is suppressed itself."""
+    shape = "array<struct<start:int,minus_stop:int,minus_priority:int,rule:string,label:string,score:double>>"
+    rng = random.Random(8)
+    sets = [[(0, -10, -30, "a", "A", 0.8), (2, -5, -20, "b", "B", 0.7), (8, -20, -50, "c", "C", 0.9)], []]
+    for _ in range(150):
+        starts = [(rng.randrange(60), rng.randint(1, 12)) for _ in range(rng.randint(1, 25))]
+        sets.append([(a, -a - n, -10 * rng.randint(1, 5), f"r{k}", rng.choice("ABCDE"), rng.random()) for k, (a, n) in enumerate(starts)])
+    df = spark.createDataFrame([(k, rows) for k, rows in enumerate(sets)], f"k int, m {shape}")
+    got = {r.k: r.found for r in df.select("k", licenses.resolve(F.col("m")).alias("found")).collect()}
+    for k, rows in enumerate(sets):
+        taken = []
+        for m in sorted(rows, key=lambda m: (m[2], m[0], m[1], m[3])):
+            if all(m[0] >= -t[1] or t[0] >= -m[1] for t in taken):
+                taken.append(m)
+        assert (set(got[k].labels), got[k].n) == ({m[4] for m in taken}, len(taken))
+        assert got[k].score == max((m[5] for m in taken), default=0.0)
+    assert set(got[0].labels) == {"B", "C"}

@@ -71,7 +71,7 @@ def brute_near(docs):
     for k, a in enumerate(ids):
         for b in ids[k + 1:]:
             shared = len(sets[a] & sets[b])
-            if shared and 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+            if shared and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {d: t for d, t in docs.items() if root(d) == d}
