@@ -17,6 +17,9 @@ from logweir.llm import decontaminate, linededup, neardup, packing, quality
 from logweir.session import configure, work_dir
 
 
+SIMILAR = 80
+
+
 def _with_text(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
     """The fields of ``doc``, with the text replaced and its length brought up to date."""
     changed = {"text": text, "n_chars": F.length(text).cast("bigint")}
@@ -34,8 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("id").alias("kept_id")).distinct()
+    """One document of each group of near duplicates, from ``SIMILAR`` percent on: the one with the smallest id."""
+    kept = neardup.near_duplicates(docs, percent=SIMILAR).where("kept").select(F.col("id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
