@@ -2,10 +2,15 @@ r"""Line-first quality rules: judge lines, drop the failing ones, then judge wha
 
 A line fails when it is
 
-- navigation: at least two column bars, or at most eight words of which none ends a sentence;
+- navigation: at least two column bars, or at most eight words (``FEW_CHARS`` characters where words have no spaces
+  between them) of which none ends a sentence;
 - badly punctuated: no sentence ends within its last ``TAIL`` characters, or it holds a symbol of ``[#*$%&|<>]`` for every two words;
 - boilerplate: a short line (up to 200 characters) with a phrase such as "cookie policy" or "enable javascript".
 
+Endings are judged by paragraph: a line of hard-wrapped text, which the next line goes on with, need not end a sentence.
+Such a line is of ``WRAPPED`` characters, and the first word of the next line would have made it longer than all lines
+up to two places away. Sentences end as Unicode has it in all scripts; Thai and Lao have no such mark, and no such rule.
+
 A document is rejected when the base rules reject it (fewer than 50 words, or more than half of its
 words stand in three-word windows found twice or more), or when its failing lines hold more than
 ``MAX_LOSS`` of its word characters. Everything runs inside one projection over the scan: no shuffle, so
@@ -29,8 +34,16 @@ MAX_LOSS = 0.3
 SHORT_LINE = 200
 TAIL = 40
 SYMBOLS = "[#*$%&|<>]"
-CLOSED = (".", "!", "?", ":", ";", "…", "。", "！", "？")
-CLOSERS = "\"'”’»)]"
+WRAPPED = (30, 120)
+FEW_CHARS = 24
+# Marks that end a sentence in Latin, East Asian, Devanagari, Arabic, Armenian, Ethiopic, Burmese, Khmer,
+# Tibetan and Mongolian writing, in this order.
+STOPS = ".!?…‥。．！？｡।॥؟۔։።፧፨၊။៕។།༎᠃᠉"
+SENTENCE_END = f"[{STOPS}]"
+CLOSED = (*STOPS, ":", ";", "；", "：", "؛", "፤")
+CLOSERS = "\"'”’»)]」』）】"
+UNENDED = r"[\p{IsThai}\p{IsLao}]"
+UNSPACED = r"[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 BOILERPLATE = r"(?i)\b(?:" + "|".join((
     "cookie (policy|settings|consent)", "uses cookies", "privacy policy", "terms of (use|service)",
     "terms and conditions", "all rights reserved", "enable javascript", "javascript is disabled",
@@ -89,14 +102,28 @@ def word_chars(text: Column) -> Column:
     return F.length(F.array_join(words(text), ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line breaks a rule; blank lines break none. Cheap tests guard the costly ones."""
+def goes_on(lines: Column, at: Column) -> Column:
+    """Whether the line at this place was broken only to keep its width, and the next one goes on with it."""
+    own, after = F.length(F.get(lines, at)), F.get(lines, at + 1)
+    width = F.greatest(*[F.length(F.get(lines, at + k)) for k in (-2, -1, 0, 1, 2)])
+    return F.coalesce(own.between(*WRAPPED) & after.rlike(r"[^\x20\x09-\x0D]") & (
+        own + 1 + F.length(F.regexp_extract(after, r"[^\x20\x09-\x0D]+", 0)) > width), F.lit(False))
+
+
+def line_fails(line: Column, unfinished: Column | None = None) -> Column:
+    """Whether a line breaks a rule; blank lines break none. Cheap tests guard the costly ones.
+
+    A line that is ``unfinished`` (default: none is) ends in a later line.
+    """
     n_words = F.size(words(line))
     short = F.length(line) <= SHORT_LINE
     bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
     end = F.rtrim(line, F.lit(SPACE + CLOSERS))
-    open_end = ~F.right(end, F.lit(1)).isin(*CLOSED) & ~F.right(end, F.lit(TAIL)).rlike("[.!?…。！？]")
-    navigation = (bars >= 2) | (short & ~line.rlike("[.!?…。！？]") & (n_words <= 8))
+    ended = F.lit(False) if unfinished is None else unfinished
+    open_end = (~F.right(end, F.lit(1)).isin(*CLOSED) & ~F.right(end, F.lit(TAIL)).rlike(SENTENCE_END)
+                & ~F.right(end, F.lit(TAIL)).rlike(UNENDED) & ~ended)
+    few = (n_words <= 8) & ((F.length(line) <= FEW_CHARS) | ~line.rlike(UNSPACED))
+    navigation = (bars >= 2) | (short & ~line.rlike(SENTENCE_END) & few & ~ended)
     noisy = line.rlike(SYMBOLS) & (2 * symbols(line) > n_words)
     return line.rlike(r"[^\x20\x09-\x0D]") & (open_end | navigation | noisy | (short & line.rlike(BOILERPLATE)))
 
@@ -104,7 +131,8 @@ def line_fails(line: Column) -> Column:
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input rows as ``doc`` beside ``quality``: the measures, the verdict ``kept``, the remaining ``text``."""
     lines = F.split("body", "\n", -1)
-    judged = F.transform(lines, lambda line: F.struct(line.alias("line"), line_fails(line).alias("bad")))
+    judged = bind(lines, lambda all_lines: F.transform(all_lines, lambda line, at: F.struct(
+        line.alias("line"), line_fails(line, goes_on(all_lines, at)).alias("bad"))))
     spoken = F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
     def chosen(bad: bool) -> Column:

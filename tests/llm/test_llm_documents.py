@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,6 +93,41 @@ def test_document_that_loses_too_much(spark):
     assert not got[2].base_failed and not got[2].kept and got[2].text == good
 
 
+SENTENCES = {
+    "en": ("the old harbour lies beyond the northern gate where boats were once repaired every spring".split(), " ", "."),
+    "de": ("Verwaltungsgebäude Straßenbahnhaltestelle Bibliothek Eisenbahnbrücke wurde damals Handwerksbetrieb".split(), " ", "."),
+    "hi": ("पुराना बंदरगाह उत्तरी द्वार के पार है जहाँ नावें हर वसंत में ठीक होती थीं".split(), " ", "।"),
+    "ur": ("پرانی بندرگاہ شمالی دروازے کے پار ہے جہاں ہر بہار میں کشتیاں مرمت ہوتی تھیں".split(), " ", "۔"),
+    "hy": ("հին նավահանգիստը գտնվում է հյուսիսային դարպասից այն կողմ որտեղ նավակները".split(), " ", "։"),
+    "am": ("ጥንታዊው ወደብ ከሰሜናዊው በር ባሻገር ይገኛል ጀልባዎች በየዓመቱ ይጠገኑ ነበር".split(), " ", "።"),
+    "th": ("ท่าเรือเก่า ตั้งอยู่นอกประตู ทางทิศเหนือ ซึ่งเคยซ่อมเรือ ทุกฤดูใบไม้ผลิ ก่อนสงครามโลก".split(), " ", ""),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(SENTENCES))
+@pytest.mark.parametrize("width", [None, 60, 76])
+def test_prose_is_kept_in_all_scripts_and_widths(spark, lang, width):
+    """Whole paragraphs, and the same text wrapped at a width: nothing of it fails."""
+    vocabulary, gap, stop = SENTENCES[lang]
+    rng = random.Random(7)
+    spoken = [gap.join(f"{rng.choice(vocabulary)}{rng.choice(range(1, 400))}" for _ in range(rng.randrange(9, 25))) + stop for _ in range(40)]
+    paragraphs = [" ".join(spoken[i:i + 5]) for i in range(0, 40, 5)]
+    text = "\n\n".join("\n".join(textwrap.wrap(p, width)) if width else p for p in paragraphs)
+    row = quality.clean_lines(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().quality
+    assert row.kept and not row.base_failed
+    lost = set(text.split("\n")) - set(row.text.split("\n"))
+    assert sum(map(len, lost)) <= (0.02 if width else 0) * len(text), lost
+
+
+def test_lists_are_not_taken_for_wrapped_prose(spark):
+    """Titles of all lengths stay open lines; so does a line that would have had room for the next word."""
+    rng = random.Random(3)
+    titles = [" ".join(rng.choice(SENTENCES["en"][0]) for _ in range(rng.choice([3, 5, 9, 14, 30]))) for _ in range(200)]
+    df = spark.createDataFrame([(1, "\n".join(titles))], "doc_id bigint, text string")
+    kept = quality.clean_lines(df).first().quality.text.split("\n")
+    assert len(kept) < 0.2 * len(titles)
+
+
 def test_quality_odd_cases(odd, empty):
     got = {(r.doc.doc_id, r.doc.text): r for r in quality.clean_lines(odd).collect()}
     assert quality.clean_lines(odd).count() == 9
