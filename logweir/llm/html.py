@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*)>""", re.S)
+OPEN = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>""")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math".split())
@@ -45,47 +47,96 @@ class Node:
         return any(found.lower() == name for found, _ in ATTRIBUTE.findall(self.attributes))
 
 
+class OpenElements:
+    """The elements still open, with the places of each tag and of the scopes, so that no step walks the stack."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        """Close the elements from place ``k`` on."""
+        for node in self.stack[k:]:
+            self.places[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+        del self.stack[k:]
+
+    def in_scope(self, tags) -> int:
+        """The place of the innermost open element of these tags that no scope hides, else 0."""
+        k = max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
+        return 0 if self.scopes and self.scopes[-1] > k else k
+
+    def close(self, tag: str) -> None:
+        if tag in INLINE:
+            k = self.in_scope((tag,))
+        else:
+            k = self.places[tag][-1] if self.places.get(tag) else 0
+        if k:
+            self.cut(k)
+
+    def make_room(self, tag: str) -> None:
+        """Close what a start tag of this name ends."""
+        ended = ENDS.get(tag, frozenset()) | ({"p"} if tag in P_ENDERS else frozenset())
+        while ended and (k := self.in_scope(ended)):
+            last = self.stack[k].tag
+            self.cut(k)
+            if last == "p" or tag != "tr":
+                break
+
+
 def parse(html: str) -> Node:
-    """The tree of a page. Unclosed and misnested tags are closed as browsers do in the common cases."""
+    """The tree of a page. Unclosed and misnested tags are closed as browsers do in the common cases.
+
+    Time is linear in the text. A tag with a quote that never ends goes to the next ``>``, and quotes count no more after it.
+    """
     root = Node("#root")
-    stack = [root]
-    at, size = 0, len(html)
-    while at < size:
-        found = TOKEN.search(html, at)
-        end = found.start() if found else size
-        if end > at:
-            stack[-1].items.append(html[at:end])
+    open_ = OpenElements(root)
+    at = said = 0  # where the next tag is looked for, and where the text before it begins
+    size, last, pattern = len(html), html.rfind(">"), TAG
+    while opened := OPEN.search(html, at):
+        start, found = opened.start(), None
+        if html.startswith("<!--", start):
+            close = html.find("-->", start + 4)
+            at = close + 3 if close >= 0 else size
+        elif html[start + 1] in "!?":
+            close = html.find(">", start)
+            at = close + 1 if close >= 0 else size
+        elif start > last:
+            at = start + 1
+            continue
+        elif not (found := pattern.match(html, start)):
+            pattern = LOOSE_TAG
+            continue
+        else:
+            at = found.end()
+        if start > said:
+            open_.stack[-1].items.append(html[said:start])
+        said = at
         if not found:
-            break
-        at = found.end()
-        if not found[2]:
             continue
         tag = found[2].lower()
         if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE and tag in INLINE:
-                    break
+            open_.close(tag)
             continue
-        ends = ENDS.get(tag, frozenset())
-        for k in range(len(stack) - 1, 0, -1):
-            open_tag = stack[k].tag
-            if open_tag in ends or (open_tag == "p" and tag in P_ENDERS):
-                del stack[k:]
-                if open_tag == "p" or tag not in ("tr",):
-                    break
-            elif open_tag in SCOPE:
-                break
+        open_.make_room(tag)
         node = Node(tag, found[3])
-        stack[-1].items.append(node)
+        open_.stack[-1].items.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+            close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             node.items.append(html[at:close.start() if close else size])
-            at = close.end() if close else size
+            at = said = close.end() if close else size
         elif tag not in VOID and not found[3].endswith("/"):
-            stack.append(node)
+            open_.push(node)
+    if said < size:
+        open_.stack[-1].items.append(html[said:])
     return root
 
 
@@ -94,54 +145,57 @@ def collapse(pieces: list[str]) -> str:
 
 
 class Block:
-    """A run of text without a block boundary: the element that holds it, its text, the text in links."""
+    """A run of text without a block boundary: the element that holds it, its text, the text in links, its marks."""
 
-    __slots__ = ("holder", "linked", "path", "text")
+    __slots__ = ("holder", "linked", "marks", "text")
 
-    def __init__(self, holder: Node, path: tuple[Node, ...], text: str, linked: int) -> None:
-        self.holder, self.path, self.text, self.linked = holder, path, text, linked
+    def __init__(self, holder: Node, text: str, linked: int, marks: int) -> None:
+        self.holder, self.text, self.linked, self.marks = holder, text, linked, marks
 
 
-def blocks(root: Node, skip=lambda node: False) -> list[Block]:
-    """The text blocks of the tree in document order; subtrees for which ``skip`` holds are left out."""
+def blocks(root: Node, skip=lambda node: False, mark=lambda node: 0) -> list[Block]:
+    """The text blocks of the tree in document order, without inline elements for which ``skip`` holds.
+
+    A block has the marks (bits) of all block-level elements around it.
+    """
     out: list[Block] = []
     pieces: list[str] = []
-    linked = [0]
-    holder: list[tuple[Node, ...]] = [(root,)]
+    linked = 0
+    holder, marks = root, 0
 
     def flush() -> None:
+        nonlocal linked
         if pieces and (text := collapse(pieces)):
-            out.append(Block(holder[0][-1], holder[0], text, linked[0]))
+            out.append(Block(holder, text, linked, marks))
         pieces.clear()
-        linked[0] = 0
+        linked = 0
 
-    # An explicit stack: (node, path, in a link, next item)
-    work: list[list] = [[root, (root,), False, 0]]
+    # An explicit stack: [node, block-level element, its marks, in a link, next item]
+    work: list[list] = [[root, root, 0, False, 0]]
     while work:
         frame = work[-1]
-        node, path, link, k = frame
+        node, block, bits, link, k = frame
         if k == len(node.items):
             work.pop()
             if node.tag not in INLINE:
                 flush()
             continue
-        frame[3] += 1
+        frame[4] += 1
         item = node.items[k]
         if isinstance(item, str):
             if not pieces:
-                holder[0] = path
+                holder, marks = block, bits
             pieces.append(item)
             if link:
-                linked[0] += len(item)
+                linked += len(item)
         elif item.tag == "br":
             pieces.append(" ")
-        elif item.tag in RAW or skip(item):
-            if item.tag not in INLINE:
-                flush()
         elif item.tag in INLINE:
-            work.append([item, path, link or item.tag == "a", 0])
+            if not skip(item):
+                work.append([item, block, bits, link or item.tag == "a", 0])
         else:
             flush()
-            work.append([item, (*path, item), link, 0])
+            if item.tag not in RAW:
+                work.append([item, item, bits | mark(item), link, 0])
     flush()
     return out

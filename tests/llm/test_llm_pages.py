@@ -1,7 +1,10 @@
 """Wrapper induction and WARC derivatives against brute force, round trips and odd cases."""
 
 import html as std
+import random
 import re
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +80,62 @@ def test_copies_of_a_page_are_no_template(spark, tag, copies):
     assert "Well said." in got[2001].text and got[2005].text == "Story 5."
 
 
+def test_each_layout_has_its_own_reference(spark):
+    """NULL and empty pages are no reference, and a layout on a tenth of a host's pages has its template found."""
+    article_page = "<body><header><p>Top</p></header><div><p>Box</p><p>Story %d here.</p></div>"
+    plain_page = "<body><div><span>Forum</span></div><div><p>Post %d here.</p></div><div><i>Rules</i></div>"
+    rows = [(1, "http://a.example/1", None), (2, "http://a.example/2", "")]
+    rows += [(i, f"http://a.example/{i}", article_page % i) for i in range(10, 100)]
+    rows += [(i, f"http://a.example/{i}", plain_page % i) for i in range(100, 110)]
+    got = {r.page_id: r for r in wrapper.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1].text == got[2].text == ""
+    assert all(got[i].text == f"Story {i} here." and got[i].n_template == 2 for i in range(10, 100))
+    assert all(got[i].text == f"Post {i} here." and got[i].n_template == 2 for i in range(100, 110))
+
+
+def test_template_is_found_without_zones(spark):
+    """With no list of tags and words to help, the frame of a host goes by induction alone."""
+    frame = ('<body><nav><ul><li>Home</li><li>News</li></ul></nav><div class="cookie-notice">We use cookies.</div>'
+             "<div><h1>Title %d</h1>%s</div><div class=related><p>Read next</p></div><footer>About us</footer>")
+    body = [[f"Paragraph {k} of page {i}." for k in range(1 + i % 5)] for i in range(12)]
+    rows = [(i, f"http://a.example/{i}", frame % (i, "".join(f"<p>{p}</p>" for p in body[i]))) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for zones in (True, False):
+        got = {r.page_id: r for r in wrapper.extract(df, zones=zones).collect()}
+        assert all(r.n_template == 5 for r in got.values())
+        assert {i: r.text for i, r in got.items()} == {i: "\n\n".join([f"Title {i}", *body[i]]) for i in range(12)}
+
+
+@pytest.mark.parametrize("page, other", [
+    ("<p>a b c" * 60000, "<p>a b c" * 50000),
+    ("<div>" * 100_000 + "<p>a", "<div>" * 100_000 + "<h1>b"),
+    ("<a " * 20000, "<a " * 20000 + ">"),
+    ('<a ">" ' * 20000 + '"', "<b>" * 50000 + "</i>" * 50000),
+    ("<p><b>" * 30000, "<li><table>" * 20000 + "</q>" * 20000),
+])
+def test_long_and_hostile_pages_take_little(page, other):
+    """Pages of up to 500 KB, in seconds and without a table of all pairs of nodes."""
+    tracemalloc.start()
+    begun = time.process_time()
+    root = parse(page)
+    wrapper.marked_blocks(root)
+    wrapper.align(wrapper.Shape(root), wrapper.Shape(parse(other)))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert time.process_time() - begun < 60 and peak < 500 << 20
+
+
+def test_alignment_of_many_different_children():
+    """The rows kept in memory are enough to find a largest matching of long lists."""
+    rng = random.Random(5)
+    parts = ["<p>x</p>", "<h2>y</h2>", "<ul><li>z</ul>", "<div><p>q</div>", "<ul><li>z<li>w</ul>", "<div><h2>a</h2><p>b</div>"]
+    for size in (1, 2, 7, 30, 120):
+        a, b = (wrapper.Shape(parse("".join(rng.choice(parts) for _ in range(size)))) for _ in range(2))
+        matched = wrapper.align(a, b)
+        assert len(matched) == brute_match(0, 0, a, b) and len(set(matched.values())) == len(matched)
+        assert all(a.labels[x] == b.labels[y] for x, y in matched.items())
+
+
 def test_join_beyond_the_broadcast_bound_gives_the_same(spark, sf_dir, monkeypatch):
     want = {tuple(r) for r in queries.QUERIES["op1_html_wrapper"](spark, sf_dir).collect()}
     monkeypatch.setattr(wrapper, "BROADCAST_BYTES", 0)
