@@ -23,6 +23,8 @@ ENDS = {
 P_ENDERS = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav "
     "ol p pre section table ul".split())
+ENDED_BY = {tag: tuple(ENDS.get(tag, set()) | ({"p"} if tag in P_ENDERS else set())) for tag in {*ENDS, *P_ENDERS}}
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 SCOPE = frozenset("html body table ul ol dl div section article aside main nav header footer form td th select".split())
 
 
@@ -71,7 +73,10 @@ class OpenElements:
 
     def in_scope(self, tags) -> int:
         """The place of the innermost open element of these tags that no scope hides, else 0."""
-        k = max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
+        k = 0
+        for tag in tags:
+            if (found := self.places.get(tag)) and found[-1] > k:
+                k = found[-1]
         return 0 if self.scopes and self.scopes[-1] > k else k
 
     def close(self, tag: str) -> None:
@@ -84,8 +89,7 @@ class OpenElements:
 
     def make_room(self, tag: str) -> None:
         """Close what a start tag of this name ends."""
-        ended = ENDS.get(tag, frozenset()) | ({"p"} if tag in P_ENDERS else frozenset())
-        while ended and (k := self.in_scope(ended)):
+        while k := self.in_scope(ENDED_BY[tag]):
             last = self.stack[k].tag
             self.cut(k)
             if last == "p" or tag != "tr":
@@ -126,11 +130,12 @@ def parse(html: str) -> Node:
         if found[1]:
             open_.close(tag)
             continue
-        open_.make_room(tag)
+        if tag in ENDED_BY:
+            open_.make_room(tag)
         node = Node(tag, found[3])
         open_.stack[-1].items.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            close = RAW_END[tag].search(html, at)
             node.items.append(html[at:close.start() if close else size])
             at = said = close.end() if close else size
         elif tag not in VOID and not found[3].endswith("/"):
