@@ -43,41 +43,69 @@ def ledger_entries(deliveries: DataFrame) -> DataFrame:
     ).select(*KEYS, "entry.kind", "entry.at", "consumer", "delivery_count")
 
 
+# Messages of a group that share a row of state: those of four minutes of ids, dealt to lanes. The calls to the state
+# store are made once a row and batch instead of once a message; a task holds one row of state at a time.
+SLICE_MS, LANES = 240_000, 4
+
+
 class IdleTimers(StatefulProcessor):
-    """One message of one group: its last delivery, and a timer that hands it on when no ack has come."""
+    """A slice of one group's messages: their last deliveries, and a timer that hands on those for which no ack has come."""
 
     def __init__(self, consumer: str, min_idle_ms: int, by_event: bool) -> None:
         self.consumer, self.min_idle_ms, self.by_event = consumer, min_idle_ms, by_event
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.delivery = handle.getValueState("delivery", "delivered_ms bigint, delivery_count bigint, done boolean")
-
-    def _stop(self) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+        # Per message, in arrays of one order; ``timer`` is the one that is set.
+        self.slice = handle.getValueState("slice", (
+            "ms array<bigint>, seq array<bigint>, delivered_ms array<bigint>, delivery_count array<bigint>, "
+            "done array<boolean>, timer bigint"))
+
+    def _load(self) -> tuple[dict, int | None]:
+        """The slice as ``(ms, seq) -> (delivered_ms, delivery_count, done)``, and its timer."""
+        kept = self.slice.get()
+        if kept is None:
+            return {}, None
+        ms, seq, delivered, counts, done, timer = kept
+        return dict(zip(zip(ms, seq), zip(delivered, counts, done))), timer
+
+    def _save(self, messages: dict, timer: int | None) -> None:
+        """Keep the slice, with a timer for the message that is idle first."""
+        due = min((ms for ms, _, done in messages.values() if not done and ms is not None), default=None)
+        if due is not None:
+            due += self.min_idle_ms
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        columns = [list(column) for column in (*zip(*messages), *zip(*messages.values()))]
+        self.slice.update((*columns, due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        kept = self.delivery.get() if self.delivery.exists() else (None, 0, False)
-        ms, count, done = kept
+        messages, timer = self._load()
         for row in rows:
+            message = (row.ms, row.seq)
+            ms, count, done = messages.get(message, (None, 0, False))
             if row.kind == ACKED:
                 done = True
             elif ms is None or (row.delivery_count, row.at_ms) > (count, ms):
                 ms, count = row.at_ms, row.delivery_count
-        self._stop()
-        self.delivery.update((ms, count, done))
-        if not done and ms is not None:
-            self.handle.registerTimer(ms + self.min_idle_ms)
+            messages[message] = (ms, count, done)
+        self._save(messages, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        _, count, _ = self.delivery.get()
+        messages, _ = self._load()
         now = timerValues.getCurrentWatermarkInMs() if self.by_event else timerValues.getCurrentProcessingTimeInMs()
-        self.delivery.update((now, count + 1, False))
-        self.handle.registerTimer(now + self.min_idle_ms)
-        yield Row(stream=key[0], grp=key[1], ms=key[2], seq=key[3], consumer=self.consumer,
-                  delivered_ms=now, delivery_count=count + 1)
+        idle = [message for message, (ms, _, done) in messages.items()
+                if not done and ms is not None and ms + self.min_idle_ms <= now]
+        for message in idle:
+            messages[message] = (now, messages[message][1] + 1, False)
+        self._save(messages, None)  # the timer that expired is gone
+        for ms, seq in idle:
+            yield Row(stream=key[0], grp=key[1], ms=ms, seq=seq, consumer=self.consumer,
+                      delivered_ms=now, delivery_count=messages[ms, seq][1])
 
     def close(self) -> None:
         pass
@@ -86,18 +114,25 @@ class IdleTimers(StatefulProcessor):
 REDELIVERED = "stream string, grp string, ms bigint, seq bigint, consumer string, delivered_ms bigint, delivery_count bigint"
 
 
-def redeliver_idle(entries: DataFrame, consumer: str, min_idle_ms: int, lateness: str | None = None) -> DataFrame:
+def redeliver_idle(
+    entries: DataFrame, consumer: str, min_idle_ms: int, lateness: str | None = None,
+    slice_ms: int = SLICE_MS, lanes: int = LANES,
+) -> DataFrame:
     """Hand messages on to ``consumer`` when they stay unacknowledged for ``min_idle_ms``, again and again until they are.
 
     ``entries`` is a stream like ``ledger_entries``. Idle time runs by the clock of the job; with ``lateness`` it runs
     by the entries' own times instead, and entries further behind the newest than that are dropped as late. By the
     job's clock a query needs a tick as its trigger: ``availableNow`` would wait for timers without an end.
-    Kept: one row a message, of an acknowledged one too, since its ack may come before its delivery.
+    Kept: one entry a message, of an acknowledged one too, since its ack may come before its delivery; the messages of
+    ``slice_ms`` of ids are dealt to ``lanes`` rows of state, which are read and written as a whole.
     """
     by_event = lateness is not None
     if by_event:
         entries = entries.withWatermark("at", lateness)
-    return entries.withColumn("at_ms", F.unix_millis("at")).groupBy(*KEYS).transformWithState(
+    sliced = entries.withColumns({
+        "at_ms": F.unix_millis("at"), "slice": F.expr(f"ms - pmod(ms, {slice_ms}L)"),
+        "lane": F.pmod(F.xxhash64("ms", "seq"), F.lit(lanes))})
+    return sliced.groupBy("stream", "grp", "slice", "lane").transformWithState(
         IdleTimers(consumer, min_idle_ms, by_event), REDELIVERED, "append", "EventTime" if by_event else "ProcessingTime",
     ).withColumn("delivered_at", F.timestamp_millis("delivered_ms")).drop("delivered_ms")
 

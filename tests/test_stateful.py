@@ -161,3 +161,38 @@ def test_reports_tell_input_rows_and_duration(spark, tmp_path):
 @pytest.mark.parametrize("attempt", range(4))
 def test_backoff_doubles(attempt):
     assert sinks.backoff_delay(0.5, attempt) == 0.5 * 2**attempt
+
+
+def test_messages_of_a_minute_share_rows_of_state(spark, tmp_path):
+    """200 messages cost a few rows and timers of state, and each is handed on by its own idle time."""
+    source, rows = Source(spark, tmp_path, ENTRY), []
+    source.put([entry(n, "delivered", n % 3) for n in range(200)] + [entry(n, "acked", 2) for n in range(0, 200, 4)]
+               + [entry(999, "acked", 61)])
+    stream = stateful.redeliver_idle(source.stream(), "rescue", 3_600_000, "0 seconds")
+    job = stream.writeStream.foreachBatch(lambda batch, n: rows.extend(batch.collect())).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    # 60 minutes after the minutes 0 and 1; those of minute 2 wait on.
+    assert {r["seq"] for r in rows} == {n for n in range(200) if n % 4 and n % 3 < 2}
+    assert len(rows) == len({r["seq"] for r in rows}) and {r["delivery_count"] for r in rows} == {2}
+    assert max(p.stateOperators[0].numRowsUpdated for p in job.recentProgress) <= 10 * stateful.LANES
+
+
+def test_a_message_that_is_idle_to_the_millisecond(spark, tmp_path):
+    """Handed on, alone in its slice or beside messages that have waited longer."""
+    source = Source(spark, tmp_path, ENTRY)
+    source.put([entry(1, "delivered", 10), entry(999, "acked", 70)])
+    alone = source.run(stateful.redeliver_idle(source.stream(), "rescue", 3_600_000, "0 seconds"))
+    (tmp_path / "beside").mkdir()
+    source = Source(spark, tmp_path / "beside", ENTRY)
+    source.put([entry(n, "delivered", 10 * (n == 1)) for n in range(30)] + [entry(999, "acked", 70)])
+    beside = source.run(stateful.redeliver_idle(source.stream(), "rescue", 3_600_000, "0 seconds"))
+    assert len(alone) == 1 and len(beside) == 30
+
+
+@pytest.mark.parametrize("ms, seq", [(None, 1), (1, None), (None, None), (-5, 2), (2**62, 3)])
+def test_redelivery_of_odd_ids(spark, tmp_path, ms, seq):
+    source = Source(spark, tmp_path, ENTRY)
+    source.put([("s", "g", ms, seq, "delivered", T0, "c", 1), entry(999, "acked", 99)])
+    rows = source.run(stateful.redeliver_idle(source.stream(), "rescue", 3_600_000, "0 seconds"))
+    assert [(r["ms"], r["seq"], r["delivery_count"]) for r in rows] == [(ms, seq, 2)]
