@@ -52,14 +52,19 @@ def checkpoint_origin(spark: SparkSession, origin: str) -> str:
     return f"{origin}-{query}" if query else origin
 
 
-def write_once(rows: DataFrame, target: str) -> bool:
+def write_once(rows: DataFrame, target: str, **options: str) -> bool:
     """Write the folder unless it was written to its end before; whether it was written now."""
     if committed(rows.sparkSession, target):
         return False
-    rows.write.mode("overwrite").parquet(target)
+    rows.write.mode("overwrite").options(**options).parquet(target)
     return True
 
 
+# Bytes of a row group of the buffer. A reader's tasks are made of whole row groups: with Parquet's default of 128 MB
+# a micro-batch of a few files would be decoded by one task a file.
+ROW_GROUP = 4 << 20
+
+
 def event_json() -> Column:
     """The event as JSON text. Empty source, level and metadata, and a false flag, are left out."""
     return F.to_json(
@@ -90,7 +95,7 @@ def append_buffer(events: DataFrame, path: str, batch_id: int, origin: str = "in
         event_json().alias("payload"),
         "received_at",
     )
-    return write_once(entries, batch_folder(path, origin, batch_id))
+    return write_once(entries, batch_folder(path, origin, batch_id), **{"parquet.block.size": str(ROW_GROUP)})
 
 
 def write_dlq(

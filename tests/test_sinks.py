@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import uuid
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +309,15 @@ def test_date_filter_selects_folders_of_a_fold(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert any("PartitionFilters: [isnotnull(event_date" in line for line in plan.splitlines() if "FileScan" in line)
     assert [r["message"] for r in df.collect()] == ["a"]
+
+
+def test_a_file_of_the_buffer_splits_into_tasks(spark, tmp_path):
+    """A micro-batch of few files is decoded by more tasks than files: a file has several row groups."""
+    n = F.col("id")
+    events = spark.range(60_000).coalesce(1).select(
+        F.concat(F.lit("e"), n).alias("event_id"), F.timestamp_seconds(n).alias("received_at"), F.timestamp_seconds(n).alias("event_time"),
+        F.lit("s").alias("source"), F.lit("l").alias("level"), F.sha2(n.cast("string"), 512).alias("message"),
+        F.lit("{}").alias("metadata"), F.lit(False).alias("pii_redacted"))
+    sinks.append_buffer(events, str(tmp_path / "buffer"), 0)
+    (file,) = (tmp_path / "buffer").rglob("*.parquet")
+    assert pq.ParquetFile(file).metadata.num_row_groups > 2
