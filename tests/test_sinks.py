@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 import uuid
 
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from logweir.functions.decode import parse_events
 from logweir.operators import metrics
+from logweir.plans import stores
+from logweir.plans.registry import QUERIES
 from logweir.schema import LOG_EVENT
 from logweir.session import committed
 from logweir.sources.buffer import decode_entries, kafka_entries, read_buffer
@@ -321,3 +324,14 @@ def test_a_file_of_the_buffer_splits_into_tasks(spark, tmp_path):
     sinks.append_buffer(events, str(tmp_path / "buffer"), 0)
     (file,) = (tmp_path / "buffer").rglob("*.parquet")
     assert pq.ParquetFile(file).metadata.num_row_groups > 2
+
+
+def test_every_document_is_a_file_in_few_folders(spark, tmp_path):
+    """A file a row, also of repeated, negative and missing ids, in one folder a thousand and without checksum files."""
+    rows = [(n, f"text {n}") for n in range(1_200)] + [(7, "again"), (-5, "x" * 4_071), (-6, "x" * 4_072), (None, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(3).write.parquet(f"{tmp_path}/documents.parquet")
+    stores.documents_as_files(spark, str(tmp_path), f"{tmp_path}/files")
+    folders = [f for f in (tmp_path / "files").iterdir() if f.is_dir()]
+    assert len(folders) == 2 and sum(len(list(f.iterdir())) for f in folders) == len(rows)
+    found = {(r["doc_id"], r["message_md5"]): r["size_ok"] for r in QUERIES["scan_json_documents"](spark, str(tmp_path)).collect()}
+    assert found == {(n, hashlib.md5(text.encode()).hexdigest()): len(text) + 14 <= 4096 for n, text in rows}
