@@ -117,7 +117,11 @@ def consume_job(
                 dlq_fn(rows, n, reason, own) if dlq_fn else sinks.write_dlq(rows, dlq, n, reason, own)),
             attempts, backoff, sinks.report_writer(spark, reports, own), persist=False,
         )
-        judged = judge_entries(batch).persist()
+        # Decoded again by what reads it twice: kept, a split of compressed files would be one block of many times its
+        # size. Behind a state it is kept, in the state's partitions.
+        judged = judge_entries(batch)
+        if dedup:
+            judged = judged.persist()
         good = F.col("reason").isNull()
         try:
             counts = sink(
@@ -125,7 +129,8 @@ def consume_job(
             some = None if counts is None else counts["bad"] > 0
             sinks.write_quarantine(judged.where(~good), quarantine, batch_id, own, some)
         finally:
-            judged.unpersist()
+            if dedup:
+                judged.unpersist()
 
     events = decode_entries(_entries(spark, buffer, max_files))
     if dedup:

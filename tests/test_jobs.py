@@ -238,3 +238,24 @@ def test_segment_finished_during_a_replay_is_kept(pipeline, monkeypatch):
     replay()
     messages = sorted(r["message"] for r in read_buffer(spark, pipeline.path("buffer")).collect())
     assert messages == sorted(f"integration test event {n}" for n in range(6)) and replay() is None
+
+
+def test_a_consumed_batch_is_not_kept_in_memory(pipeline):
+    """Tasks stream through the batch, whatever it expands to; retries and the quarantine read it again and lose nothing."""
+    spark = pipeline.spark
+    pipeline.land("first", LINES[:20] + ['{"event_id": "no id", "message": "bad"}'])
+    pipeline.ingest()
+    kept = []
+
+    def write(rows, n):
+        kept.append(rows.count() and spark.sparkContext._jsc.getPersistentRDDs().size())
+        if len(kept) == 1:
+            raise RuntimeError("after reading")
+        return sinks.append_logs(rows, pipeline.path("logs"), n, "consume")
+
+    spark.catalog.clearCache()
+    pipeline.consume(write_fn=write)
+    assert kept == [0, 0] and pipeline.count() == 20
+    assert [r["reason"] for r in spark.read.parquet(pipeline.path("quarantine")).collect()] == ["event_id is not a uuid"]
+    report = sinks.batch_report(spark, pipeline.path("reports")).first()
+    assert (report["events"], report["attempts"], report["final_status"]) == (20, 2, "SINKED")
