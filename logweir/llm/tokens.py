@@ -27,11 +27,12 @@ import array
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,8 @@ BLOCK_IDS = 1 << 20
 CHECKPOINT = 64
 LOW = 1 << 31
 CACHE = 1_000_000
+TOGETHER = 1 << 20
+RUNS = 256
 NO_ID = -(2**63)
 HEAD = "part int, block int, within bigint, n_ids bigint, doc_ids binary, doc_lengths binary"
 WORK_SCHEMA = f"{HEAD}, ids binary"
@@ -57,96 +60,91 @@ BLOCK_SCHEMA = (f"{HEAD}, lanes int, states binary, words binary, checkpoints bi
 # --- tokenizing ------------------------------------------------------------------------------------------
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if printable, else from U+0100 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [byte for byte in range(256) if byte not in set(printable)]
-    return {byte: chr(byte) for byte in printable} | {byte: chr(256 + k) for k, byte in enumerate(others)}
-
-
 class Encoder:
-    """Byte-level BPE ids of texts, with bounded caches for what texts repeat.
+    """Byte-level BPE ids of texts, with a bounded cache for what texts repeat.
 
     The tokenizer always splits before a space that a visible character follows, so the runs between single
-    spaces can be encoded one by one; a run not seen before is split like the tokenizer does, and only words not
-    seen before go to its BPE model. Texts with a space beside another white-space character, and runs with a
-    special token or with letters beyond Latin (whose classes may differ between Unicode versions), go to the
-    tokenizer whole.
+    spaces can be encoded on their own, and those not seen before together, each behind a vertical tab. The tab is a
+    token of its own then, and tells where a run's ids begin; should one be missing, the runs are encoded one by one.
+    So are runs with a vertical tab or a special token. Texts with a space beside another white-space character go to
+    the tokenizer whole.
     """
 
     MIXED = re.compile(r" \s|\s ")
-    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    LATIN = "\u0250"
+    MARK = "\v"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.letters = byte_letters()
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array.array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _bpe(self, words: list[str]) -> list[bytes]:
-        """Ids of words that the tokenizer would not split."""
-        out: list[bytes] = []
-        for low in range(0, len(words), 1024):
-            part = words[low:low + 1024]
-            # No word holds a zero byte beside another character, so it can stand between them.
-            spelled = "\0".join(part).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
-            found = self.model.encode(spelled, is_pretokenized=True, add_special_tokens=False)
-            ids = array.array("H", found.ids).tobytes()
-            ends = 2 * np.searchsorted(np.asarray(found.word_ids), np.arange(len(part)), "right")
-            starts = [0, *ends.tolist()]
-            out += [ids[start:end] for start, end in zip(starts, starts[1:])]
-        return out
-
-    def _parts(self, run: str, space: str) -> list[str] | None:
-        """The words of a run, or None where only the tokenizer can tell."""
-        if run.isalpha():
-            return [space + run] if max(run) < self.LATIN else None
-        if run[:-1].isalpha() and run[-1] in ".,:;!?" and max(run) < self.LATIN:
-            return [space + run[:-1], run[-1]]
-        return None if "<|" in run or "\0" in run or max(run) >= self.LATIN else self.SPLIT.findall(space + run)
-
-    def _learn(self, runs: dict[str, str]) -> dict[str, bytes]:
-        """Ids of runs, given with the space before them or none."""
-        split = {run: self._parts(run, space) for run, space in runs.items()}
-        words = self.words
-        missing = {word for parts in split.values() if parts for word in parts if word not in words}
-        if missing:
-            if len(words) > CACHE:
-                words.clear()
-                missing = {word for parts in split.values() if parts for word in parts}
-            new = list(missing)
-            words.update(zip(new, self._bpe(new)))
-        return {run: self._whole(runs[run] + run) if parts is None else b"".join([words[word] for word in parts])
-                for run, parts in split.items()}
+    def _learn(self, runs: Iterable[str], space: str) -> dict[str, bytes]:
+        """Ids of runs that have the space, or none, before them."""
+        found = {}
+        plain = []
+        for run in runs:
+            if self.MARK in run or "<|" in run:
+                found[run] = self._whole(space + run)
+            else:
+                plain.append(run)
+        lead = self.MARK + space
+        parts = [plain[low:low + RUNS] for low in range(0, len(plain), RUNS)]
+        coded = self.tokenizer.encode_batch_fast([lead + lead.join(part) for part in parts], add_special_tokens=False)
+        for part, encoding in zip(parts, coded):
+            ids = np.asarray(encoding.ids, "<u2")
+            marks = (2 * np.flatnonzero(ids == self.mark)).tolist()
+            data = ids.tobytes()
+            if len(marks) == len(part):
+                marks.append(len(data))
+                found.update(zip(part, [data[start + 2:end] for start, end in zip(marks, marks[1:])]))
+            else:
+                found.update((run, self._whole(space + run)) for run in part)
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. What no text before them had is learned for all of them at once."""
+        if len(self.runs) > CACHE:
+            self.runs.clear()
+        split = {k: text.split(" ") for k, text in enumerate(texts)
+                 if text and text[0] != " " and text[-1] != " " and not self.MIXED.search(text)}
+        firsts = self._learn({runs[0] for runs in split.values()}, "")
+        rests = {k: runs[1:] for k, runs in split.items()}
+        self.runs.update(self._learn(set(chain.from_iterable(rests.values())).difference(self.runs), " "))
+        found = self.runs.__getitem__
+        return [firsts[split[k][0]] + b"".join(map(found, rests[k])) if k in split else self._whole(text)
+                for k, text in enumerate(texts)]
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0] == " " or text[-1] == " " or self.MIXED.search(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        found = list(map(self.runs.get, rest))
-        if None in found:
-            missing = {run for run, ids in zip(rest, found) if ids is None}
-            if len(self.runs) > CACHE:
-                self.runs.clear()
-                missing = set(rest)
-            self.runs.update(self._learn(dict.fromkeys(missing, " ")))
-            found = map(self.runs.get, rest)
-        return self._learn({first: ""})[first] + b"".join(found)
+        return self.encode([text])[0]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: what it learned in one task serves the next ones."""
+    return Encoder(path)
+
+
+def _together(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Consecutive texts, in lists of little more than ``TOGETHER`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > TOGETHER:
+            yield held
+            held, size = [], 0
+    yield held
 
 
 def _blocks(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(path)
+        encode = encoder(path).encode
         end = np.asarray([end_id], dtype="<u2").tobytes()
         part, block, within, size = TaskContext.get().partitionId(), 0, 0, 0
         held: list[bytes] = []
@@ -162,8 +160,9 @@ def _blocks(path: str, end_id: int):
             return row
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                ids = encode(text or "") + end
+            texts = _together(text or "" for text in batch["text"])
+            for doc, ids in zip(batch["doc_id"], chain.from_iterable(map(encode, texts))):
+                ids += end
                 if size and size + len(ids) // 2 > BLOCK_IDS:
                     yield close()
                     block, within, size = block + 1, within + size, 0

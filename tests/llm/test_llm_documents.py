@@ -769,3 +769,20 @@ def test_overlaps_are_resolved_by_priority(spark):
         assert (set(got[k].labels), got[k].n) == ({m[4] for m in taken}, len(taken))
         assert got[k].score == max((m[5] for m in taken), default=0.0)
     assert set(got[0].labels) == {"B", "C"}
+
+
+def test_encoder_learns_runs_together(vocabulary, reference, monkeypatch):
+    """Unseen runs of many texts take few calls of the library, a cache serves all tasks of a worker, odd runs stay right."""
+    encode = tokens.encoder(vocabulary)
+    assert tokens.encoder(vocabulary) is encode
+    rng = random.Random(4)
+    odd = ["x\vy", "\v", "a\v", "a<|endoftext|>", "'s", "é", "中文", "́a", "᠎a", "​a", "\x1ca", "a b", "a\nb", "\0", "\x85"]
+    word = lambda: "".join(rng.choice("abcdefgh'.,1é") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(rng.choice(odd) if rng.random() < 0.1 else word() for _ in range(40)) for _ in range(200)]
+    assert encode.encode(texts) == [np.asarray(reference(text), "<u2").tobytes() for text in texts]
+    whole = []
+    monkeypatch.setattr(tokens.Encoder, "_whole", lambda self, text: whole.append(text) or b"")
+    plain = [" ".join(word() for _ in range(40)) for _ in range(50)]
+    encode.encode(plain)
+    assert not whole
+    assert [text for texts in tokens._together(plain) for text in texts] == plain
