@@ -26,6 +26,8 @@ from __future__ import annotations
 import array
 import os
 import re
+import string
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -33,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +51,7 @@ BLOCK_IDS = 1 << 20
 CHECKPOINT = 64
 LOW = 1 << 31
 CACHE = 1_000_000
-TOGETHER = 1 << 20
+TOGETHER = 1 << 22
 RUNS = 256
 NO_ID = -(2**63)
 HEAD = "part int, block int, within bigint, n_ids bigint, doc_ids binary, doc_lengths binary"
@@ -60,64 +63,114 @@ BLOCK_SCHEMA = (f"{HEAD}, lanes int, states binary, words binary, checkpoints bi
 # --- tokenizing ------------------------------------------------------------------------------------------
 
 
+BLANK, LETTER, MARK = 1, 2, 3
+
+
+def _kinds() -> np.ndarray:
+    """What each code point is, as far as runs need it: letters of Latin, Greek and Cyrillic, ASCII punctuation without the apostrophe."""
+    kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+    for code in range(0x3001):
+        c = chr(code)
+        kinds[code] = BLANK if c.isspace() else LETTER if code < 0x530 and c.isalpha() else 0
+    kinds[[ord(c) for c in string.punctuation if c != "'"]] = MARK
+    return kinds
+
+
 class Encoder:
     """Byte-level BPE ids of texts, with a bounded cache for what texts repeat.
 
-    The tokenizer always splits before a space that a visible character follows, so the runs between single
-    spaces can be encoded on their own, and those not seen before together, each behind a vertical tab. The tab is a
-    token of its own then, and tells where a run's ids begin; should one be missing, the runs are encoded one by one.
-    So are runs with a vertical tab or a special token. Texts with a space beside another white-space character go to
-    the tokenizer whole.
+    Texts are cut into runs at places where the tokenizer always splits, so that a run has the same ids alone: before
+    a space that a visible character follows, around a line end between visible characters, and where letters and
+    ASCII punctuation meet (but not behind an apostrophe, for contractions). Runs not seen before are encoded together,
+    with a special token between them, which parts whatever stands beside it. Texts that hold special tokens
+    themselves go to the tokenizer whole.
     """
 
-    MIXED = re.compile(r" \s|\s ")
-    MARK = "\v"
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = re.compile("|".join(re.escape(token.content) for token in added.values()) or "(?!)")
+        # The token between runs; without one each run is encoded on its own.
+        self.mark, self.mark_text = next(
+            ((n, t.content) for n, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)), (None, ""))
+        self.kinds = _kinds()
+        # Two generations: runs that the young one lacks are taken over from the old one, or learned.
         self.runs: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array.array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, runs: Iterable[str], space: str) -> dict[str, bytes]:
-        """Ids of runs that have the space, or none, before them."""
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        if self.mark is None:
+            return {run: self._whole(run) for run in runs}
         found = {}
-        plain = []
-        for run in runs:
-            if self.MARK in run or "<|" in run:
-                found[run] = self._whole(space + run)
-            else:
-                plain.append(run)
-        lead = self.MARK + space
-        parts = [plain[low:low + RUNS] for low in range(0, len(plain), RUNS)]
-        coded = self.tokenizer.encode_batch_fast([lead + lead.join(part) for part in parts], add_special_tokens=False)
+        parts = [runs[low:low + RUNS] for low in range(0, len(runs), RUNS)]
+        coded = self.tokenizer.encode_batch_fast([self.mark_text.join(part) for part in parts], add_special_tokens=False)
         for part, encoding in zip(parts, coded):
             ids = np.asarray(encoding.ids, "<u2")
-            marks = (2 * np.flatnonzero(ids == self.mark)).tolist()
             data = ids.tobytes()
-            if len(marks) == len(part):
-                marks.append(len(data))
-                found.update(zip(part, [data[start + 2:end] for start, end in zip(marks, marks[1:])]))
+            ends = [*(2 * np.flatnonzero(ids == self.mark)).tolist(), len(data)]
+            if len(ends) == len(part):
+                found.update(zip(part, [data[start:end] for start, end in zip([0, *[end + 2 for end in ends]], ends)]))
             else:
-                found.update((run, self._whole(space + run)) for run in part)
+                found.update((run, self._whole(run)) for run in part)
         return found
 
+    def _known(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs, each listed once."""
+        if len(self.runs) > CACHE // 2:
+            self.old, self.runs = self.runs, {}
+        found = list(map(self.runs.get, runs))
+        new = [run for run, ids in zip(runs, found) if ids is None]
+        kept = {run: self.old[run] for run in new if run in self.old}
+        kept |= self._learn([run for run in new if run not in kept])
+        self.runs |= kept
+        return [kept[run] if ids is None else ids for run, ids in zip(runs, found)]
+
+    def _cuts(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a run starts at each code point."""
+        kinds = self.kinds[codes]
+        visible, letter, mark = kinds != BLANK, kinds == LETTER, kinds == MARK
+        cuts = np.zeros(len(codes), bool)
+        cuts[:-1] = (codes[:-1] == ord(" ")) & visible[1:]
+        lines = 1 + np.flatnonzero((codes[1:-1] == ord("\n")) & visible[:-2] & visible[2:])
+        cuts[lines] = cuts[lines + 1] = True
+        cuts[1:] |= letter[:-1] & (mark[1:] | (codes[1:] == ord("'"))) | mark[:-1] & letter[1:]
+        return cuts
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens. Behind each stands a line end, as a run that has no ids."""
+        joined = "\n".join([*texts, ""])
+        data, codes = joined.encode(), np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        ends = np.cumsum(np.fromiter((len(text) + 1 for text in texts), np.int64, len(texts))) - 1
+        cuts = self._cuts(codes)
+        cuts[ends] = cuts[0] = True
+        cuts[ends[:-1] + 1] = True
+        at = np.flatnonzero(cuts)
+        behind = np.searchsorted(at, ends)
+        if len(data) > len(codes):
+            more = (codes >= 0x80).view(np.uint8) + (codes >= 0x800) + (codes >= 0x10000)
+            at = at + np.cumsum(more, dtype=np.int64)[at] - more[at]
+        offsets = np.append(at, len(data)).astype(np.int32)
+        runs = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        known = self._known(runs.dictionary.to_numpy(zero_copy_only=False).tolist())
+        places = runs.indices.to_numpy().copy()
+        places[behind] = len(known)
+        ids = pa.array([*known, b""], pa.large_binary()).take(pa.array(places))
+        _, starts, data = ids.buffers()
+        stops = np.frombuffer(starts, np.int64)[behind].tolist()
+        whole = memoryview(data or b"")
+        return [whole[start:stop].tobytes() for start, stop in zip([0, *stops], stops)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. What no text before them had is learned for all of them at once."""
-        if len(self.runs) > CACHE:
-            self.runs.clear()
-        split = {k: text.split(" ") for k, text in enumerate(texts)
-                 if text and text[0] != " " and text[-1] != " " and not self.MIXED.search(text)}
-        firsts = self._learn({runs[0] for runs in split.values()}, "")
-        rests = {k: runs[1:] for k, runs in split.items()}
-        self.runs.update(self._learn(set(chain.from_iterable(rests.values())).difference(self.runs), " "))
-        found = self.runs.__getitem__
-        return [firsts[split[k][0]] + b"".join(map(found, rests[k])) if k in split else self._whole(text)
-                for k, text in enumerate(texts)]
+        special = {k for k, text in enumerate(texts) if self.special.search(text)}
+        plain = [text for k, text in enumerate(texts) if k not in special]
+        found = iter(self._plain(plain) if plain else ())
+        return [self._whole(text) if k in special else next(found) for k, text in enumerate(texts)]
 
     def __call__(self, text: str) -> bytes:
         return self.encode([text])[0]

@@ -786,3 +786,32 @@ def test_encoder_learns_runs_together(vocabulary, reference, monkeypatch):
     encode.encode(plain)
     assert not whole
     assert [text for texts in tokens._together(plain) for text in texts] == plain
+
+
+def test_runs_are_cut_where_the_tokenizer_splits(vocabulary, reference):
+    """Every letter that runs are cut behind, every blank, and blanks beside each other, between two texts and at their ends."""
+    encode = tokens.Encoder(vocabulary)
+    letters = [chr(code) for code in np.flatnonzero(encode.kinds == tokens.LETTER)]
+    blanks = [chr(code) for code in np.flatnonzero(encode.kinds == tokens.BLANK)]
+    texts = [f"{c}.{c}'{c}'s,{c}_{c}" for c in letters] + [f"a{c}b {c}c{c} d\n{c}e {c}" for c in blanks]
+    texts += ["", " ", "a ", "a  ", " a", "\na", "a\n", "", "a\n\nb\nc", "x'.s 's'.t '#s", "#'s", "日本.a b。c", "é\né\n×.", "  <|endoftext|> a", "😀.a\n😀"]
+    assert encode.encode(texts) == [np.asarray(reference(text), "<u2").tobytes() for text in texts]
+
+
+def test_encoder_keeps_what_it_uses(vocabulary, reference, monkeypatch):
+    """Words are learned once, whatever punctuation and lines they stand in, and those in use outlast a full cache."""
+    encode = tokens.Encoder(vocabulary)
+    learned = []
+    learn = encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda runs: learned.extend(runs) or learn(runs))
+    words = ["Alpha", "béta", "gamma"]
+    texts = [f"x {word}{end}" for word in words for end in ("", ".", ",", ")", ".\nx", " z")]
+    assert [encode(text) for text in texts] == [np.asarray(reference(text), "<u2").tobytes() for text in texts]
+    assert all(sum(word in run for run in learned) == 1 for word in words)
+    monkeypatch.setattr(tokens, "CACHE", 100)
+    learned.clear()
+    for n in range(40):
+        text = " ".join(["x", *words, *(f"w{n}v{k}" for k in range(20))])
+        assert encode(text) == np.asarray(reference(text), "<u2").tobytes()
+        assert len(encode.runs) + len(encode.old) <= 200
+    assert not set(learned) & {" " + word for word in words}
