@@ -196,3 +196,57 @@ def test_redelivery_of_odd_ids(spark, tmp_path, ms, seq):
     source.put([("s", "g", ms, seq, "delivered", T0, "c", 1), entry(999, "acked", 99)])
     rows = source.run(stateful.redeliver_idle(source.stream(), "rescue", 3_600_000, "0 seconds"))
     assert [(r["ms"], r["seq"], r["delivery_count"]) for r in rows] == [(ms, seq, 2)]
+
+
+def two_sides(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "a").mkdir()
+    key = "stream string, grp string, ms long, seq long"
+    return (Source(spark, tmp_path / "d", f"{key}, consumer string, delivered_at timestamp"),
+            Source(spark, tmp_path / "a", f"{key}, acked_at timestamp"))
+
+
+def test_a_join_keeps_one_store_per_partition_and_reads_no_key_to_count_it(spark, tmp_path):
+    deliveries, acks = two_sides(spark, tmp_path)
+    at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
+    deliveries.put([("s", "g", 5, n, "c", at(n)) for n in range(1000)])
+    acks.put([("s", "g", 5, n, at(n + 1)) for n in range(0, 1000, 2)])
+    rows = []
+    job = stateful.acks_of(deliveries.stream(), acks.stream(), "60 MINUTES").writeStream.foreachBatch(
+        lambda batch, n: rows.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(
+        availableNow=True).start()
+    job.awaitTermination()
+    state = job.recentProgress[0].stateOperators[0]
+    assert state.numStateStoreInstances == state.numShufflePartitions and state.numRowsTotal == 0
+    assert state.numRowsUpdated == 1500 and sum(row["acked_at"] is not None for row in rows) == 500
+
+
+def test_a_join_goes_on_from_a_checkpoint_with_four_stores(spark, tmp_path):
+    """What was kept under the old settings meets its acks under the new ones, in this run and in one more."""
+    deliveries, acks = two_sides(spark, tmp_path)
+    at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
+    old = {"spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "true",
+           "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "false",
+           "spark.sql.streaming.join.stateFormatVersion": "2"}
+    found = []
+
+    def run():
+        rows = deliveries.run(stateful.acks_of(deliveries.stream(), acks.stream(), "60 MINUTES"))
+        found.append(sorted((row["seq"], row["acked_at"]) for row in rows if row["seq"] < 90))
+
+    now = {name: spark.conf.get(name) for name in old}
+    try:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+        deliveries.put([("s", "g", 5, n, "c", at(n)) for n in range(4)])
+        acks.put([("s", "g", 5, 0, at(5))])
+        run()
+    finally:
+        for name, value in now.items():
+            spark.conf.set(name, value)
+    acks.put([("s", "g", 5, 1, at(6))])
+    run()
+    deliveries.put([("s", "g", 5, 99, "tick", at(999))])
+    acks.put([("s", "g", 5, 2, at(7)), ("s", "g", 5, 98, at(999))])
+    run()
+    assert found == [[(0, at(5))], [(1, at(6))], [(2, at(7)), (3, None)]]
